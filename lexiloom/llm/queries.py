@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, wavelet
+from . import exact_dedup, packing, secrets, simhash, suffix_dedup, wavelet
 from .common import read_table
 
 
@@ -17,6 +17,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return wavelet.token_file_digest(docs, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -36,7 +45,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_shards, op5_exact_dedup, op6_best_fit_packing, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op3_token_shards,
+        op4_secret_scan,
+        op5_exact_dedup,
+        op6_best_fit_packing,
+        op10_simhash,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_secret_scan": secrets.oracle_sql(),
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+}
