@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, secrets, simhash, suffix_dedup, wavelet
+from . import decontaminate, exact_dedup, html_extract, packing, secrets, simhash, suffix_dedup, wavelet
 from .common import read_table
 
 
@@ -26,6 +26,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return wavelet.token_file_digest(docs, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -48,10 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup,
+        op2_html_extract,
         op3_token_shards,
         op4_secret_scan,
         op5_exact_dedup,
         op6_best_fit_packing,
+        op7_decontaminate,
         op10_simhash,
     )
 }
