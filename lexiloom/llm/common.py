@@ -8,9 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def read_table(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     """One table of the data folder, read by Spark so that any store works."""
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     return df.select(*cols) if cols else df
 
@@ -26,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is spark.checkpoint.dir when the cluster names one; only where that is unset (local
     tests) a temporary folder takes its place.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, packing, secrets, simhash, suffix_dedup, wavelet
+from . import decontaminate, exact_dedup, html_extract, language_id, packing, quality_fm, secrets, simhash, suffix_dedup, wavelet
 from .common import read_table
 
 
@@ -49,6 +49,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_fm.score(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op6_best_fit_packing,
         op7_decontaminate,
+        op8_language_id,
+        op9_quality,
         op10_simhash,
     )
 }

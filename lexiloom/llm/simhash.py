@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut, text_bytes
+from .common import connected_components, cut, stored, text_bytes
 
 #: Words are taken this many at a time from a text, so memory does not follow its length.
 BLOCK_WORDS = 1 << 18
@@ -271,7 +271,16 @@ def similar_groups(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group, with all their columns."""
-    groups = similar_groups(docs, **options)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs of which each is the first of its group, with all their columns.
+
+    First: the smallest doc_id. Where ids repeat or are null, rows are numbered in a stored copy and
+    the smallest number stays.
+    """
+    odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if odd.limit(1).count():
+        rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    else:
+        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
