@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import stored, text_bytes
 
 # fixed values: the masks (weight 6)
@@ -103,6 +104,7 @@ def find_leaks(
     key: a column to report in place of doc_id.
     """
     spark = docs.sparkSession
+    ship_package(spark)
 
     def seeds_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -298,5 +300,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             columns += [pa.array(c, pa.int64()) for c in ([len(x[0]) for x in found], [x[1] for x in found], [x[2] for x in found])]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"])
 
+    ship_package(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInArrow(work, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")

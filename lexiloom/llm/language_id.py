@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import text_bytes
 
 UNDETERMINED = "und"
@@ -320,6 +321,7 @@ def identify(docs: DataFrame, model: Crf | None = None, **options) -> DataFrame:
     ignored, an empty table gives an empty result.
     """
     model = model or train(docs, **options)
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats a language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +340,7 @@ def identify(docs: DataFrame, model: Crf | None = None, **options) -> DataFrame:
 
 def label_words(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id and runs (lang, n_words, first word) of equal labels, for text that switches language."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int64()), ("first", pa.string())]))
 
@@ -368,6 +371,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4, **options) -> Dat
     The decision is made row by row while the rows pass through; nothing is joined.
     """
     model = train(docs, **options)
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship_package
 from .common import cut, text_bytes
 from .encoding import encoder
 
@@ -39,6 +40,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
 
     Null text counts as empty (one piece with the end id alone). Other columns are ignored.
     """
+    ship_package(docs.sparkSession)
     tail = int(end_id).to_bytes(4, "little")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

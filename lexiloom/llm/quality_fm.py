@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import text_bytes
 
 WORD_BITS = 16
@@ -157,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, seed: int
 
     Rows that are held out or whose label is null are not drawn. Without any, scores are 0.5.
     """
+    ship_package(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~is_held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     share = sample_rows / max(sample_rows, known.count())
@@ -197,6 +199,7 @@ def score(
     an empty table gives an empty result.
     """
     model = model or train(docs, labels, **options)
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS * (rank + 1) floats
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

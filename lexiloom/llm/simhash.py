@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship_package
 from .common import connected_components, cut, stored, text_bytes
 
 #: Words are taken this many at a time from a text, so memory does not follow its length.
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             bits = np.array(fps, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], names=["doc_id", "fp"])
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).mapInArrow(work, "doc_id long, fp long")
 
 
@@ -203,6 +205,7 @@ def similar_groups(
                 names=["doc_id", "wide"],
             )
 
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"))
     wide = cut(texts.mapInArrow(sketch, "doc_id long, wide binary"))
     by_wide = cut(wide.groupBy("wide").agg(F.min("doc_id").alias("rep")))

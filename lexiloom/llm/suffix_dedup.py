@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import stored, text_bytes
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -188,6 +189,7 @@ def repeated_spans(
 ) -> DataFrame:
     """row, start, end of bytes covered by windows that start anywhere else too (spans may overlap)."""
     spark = keyed.sparkSession
+    ship_package(spark)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Segmenter(window, kgram)

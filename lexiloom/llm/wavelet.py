@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship_package
 from .common import scratch_path, text_bytes
 from .encoding import encoder
 
@@ -171,6 +172,7 @@ def write_shards(
     Spark's own writer commits the files, so tasks may be lost and repeated. Null text counts as empty;
     null doc_ids come first; rows with the same doc_id follow each other in any order.
     """
+    ship_package(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +241,7 @@ def shard_documents(shards: DataFrame) -> DataFrame:
                     names=["part", "shard", "doc_id", "_start", "n_tokens", "ids_crc32"],
                 )
 
+    ship_package(shards.sparkSession)
     sizes = shards.select("part", "shard", "n_tokens")
     by_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
