@@ -1,4 +1,6 @@
-"""Queries over the driver's tables, one for each operator, with their SQL."""
+"""Queries over the driver's tables, one for each operator or family, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import corpus, intervals, language, relational, vectors  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
