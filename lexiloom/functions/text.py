@@ -85,12 +85,16 @@ def human_list(items: Column) -> Column:
     )
 
 
-def escape_scp(value: Column) -> Column:
-    return F.replace(value, F.lit(" "), F.lit("_MFASPACE_"))
+#: What stands for a space inside a field of a table file.
+ESCAPED_SPACE = "_SPACE_"
 
 
-def unescape_scp(value: Column) -> Column:
-    return F.replace(value, F.lit("_MFASPACE_"), F.lit(" "))
+def escape_scp(value: Column, mark: str = ESCAPED_SPACE) -> Column:
+    return F.replace(value, F.lit(" "), F.lit(mark))
+
+
+def unescape_scp(value: Column, mark: str = ESCAPED_SPACE) -> Column:
+    return F.replace(value, F.lit(mark), F.lit(" "))
 
 
 def simple_words(text: str, vocabulary: frozenset[str] = frozenset()) -> list[str]:
