@@ -18,6 +18,24 @@ _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_WIDE = re.compile("[\x85\xa0  -     　]")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
+# fixed values: what the two pre-tokenizers do to ASCII and Latin-1 letters
+_LATIN = "a-zß-öø-ÿ"
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_SIMPLE = re.compile("[\n -~À-ÿ]*")
+_WORD_TOKENS = re.compile(rf"{_CONTRACTIONS}|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+_BOTH = f"{_LATIN}A-ZÀ-ÖØ-Þ"
+_BYTE_TOKENS = re.compile(rf"{_CONTRACTIONS}| ?[{_BOTH}]+| ?[0-9]+| ?[^\s{_BOTH}0-9]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(same)]
+    return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 
 class WordwiseEncoder:
     """Ids of whole texts as little-endian uint32 bytes.
@@ -45,20 +63,51 @@ class WordwiseEncoder:
             self.mode = "keep_space"
         elif steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
             self.mode = "drop_space"
+        self.model = self.tokenizer.model
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
+        """Ids by the whole tokenizer."""
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _token(self, token: str) -> bytes:
+        """Ids of one pre-token by the tokenizer's model."""
+        letters = token.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([x.id for x in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that no cache holds.
+
+        For ASCII and Latin-1 letters, which neither normalizer changes but for case, the pre-tokens
+        are cut here and only those not met before reach the model; other pieces take the whole way.
+        """
+        if not all(map(_SIMPLE.fullmatch, pieces)):
+            hard = [x for x in pieces if not _SIMPLE.fullmatch(x)]
+            known = dict(zip(hard, self._raw(hard), strict=True))
+        else:
+            known = {}
+        if self.mode == "drop_space":
+            cut = lambda x: _WORD_TOKENS.findall(x.lower())
+        else:
+            cut = _BYTE_TOKENS.findall
+        fresh = {x: cut(x) for x in pieces if x not in known}
+        if len(self.tokens) > self.cache_entries:
+            self.tokens.clear()
+        for token in set().union(*fresh.values()).difference(self.tokens):
+            self.tokens[token] = self._token(token)
+        ids = self.tokens.__getitem__
+        return [known[x] if x in known else b"".join(map(ids, fresh[x])) for x in pieces]
+
     def _look_up(self, pieces: list[str], cache: dict[str, bytes], prefix: str) -> bytes:
         missing = list(set(pieces).difference(cache))
         if missing:
             if len(cache) + len(missing) > self.cache_entries:
                 cache.clear()
                 missing = list(set(pieces))
-            cache.update(zip(missing, self._raw([prefix + x for x in missing]), strict=True))
+            cache.update(zip(missing, self._pieces([prefix + x for x in missing]), strict=True))
         return b"".join(map(cache.__getitem__, pieces))
 
     def _block(self, text: str) -> bytes:
