@@ -185,7 +185,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(
-    keyed: DataFrame, window: int = 200, contents_per_task: int = 20_000, kgram: int = 32
+    keyed: DataFrame, window: int = 200, contents_per_task: int = 4_000, kgram: int = 32
 ) -> DataFrame:
     """row, start, end of bytes covered by windows that start anywhere else too (spans may overlap)."""
     spark = keyed.sparkSession
@@ -319,7 +319,7 @@ def _index_rows(row, start, end, h1=None, h2=None) -> pa.RecordBatch:
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, contents_per_task: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, contents_per_task: int = 4_000) -> DataFrame:
     """doc_id, n_bytes, removed (maximal runs as structs start, end) and kept (remaining bytes).
 
     Every byte covered by a window-byte string that also starts elsewhere, in the same document or
