@@ -155,3 +155,21 @@ def clip(end: Column, limit: Column) -> Column:
 
 def decibel(power: Column) -> Column:
     return 10 * F.log10(F.greatest(power, F.lit(2.220446049250313e-16)))
+
+
+def split_labels(rows: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
+    """Intervals whose label maps to several labels, cut into pieces of equal length; others stay."""
+    table = F.create_map(*(x for k, v in mapping.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    made = F.coalesce(F.try_element_at(table, F.col("label")), F.array("label"))
+    rest = [c for c in rows.columns if c not in ("begin", "end", "label")]
+    cut = rows.select(*rest, "begin", "end", F.size(made).alias("_n"), F.posexplode(made).alias("_j", "label"))
+    at = lambda j: F.col("begin") + F.floor((F.col("end") - F.col("begin")) * j / F.col("_n"))
+    return cut.select(*rest, at(F.col("_j")).alias("begin"), at(F.col("_j") + 1).alias("end"), "label", F.col("_j").alias("piece"))
+
+
+def merge_equal_labels(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Runs of neighbours with one label as one interval: key, label, begin, end, n."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    fresh = F.when(F.col("label").eqNullSafe(F.lag("label").over(w)), 0).otherwise(1)
+    marked = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
+    return marked.groupBy(*key, "_run", "label").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_run")

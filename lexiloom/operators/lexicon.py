@@ -153,3 +153,67 @@ def before_corrections(counts: DataFrame, pairs: DataFrame, silence_after: DataF
         correction((F.col("sil_before") + 2) / (F.col("_s") + 2)).alias("silence_before_correction"),
         correction((F.col("non_before") + 2) / (F.col("_n") + 2)).alias("nonsilence_before_correction"),
     )
+
+
+def matching_rules(pronunciations: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """pronunciations with each rule (number) that matches and what it makes of them: rule, applied.
+
+    Rules are a short list on the driver, so they become columns and no join is needed.
+    """
+    padded = F.concat(F.lit(" "), F.col("pronunciation"), F.lit(" "))
+    found = [
+        F.when(
+            padded.rlike(rule_pattern(segment, before, after)),
+            F.struct(F.lit(k).alias("rule"), apply_rule(F.col("pronunciation"), segment, before, after, replacement).alias("applied")),
+        )
+        for k, (segment, before, after, replacement) in enumerate(rules)
+    ]
+    rows = pronunciations.withColumn("_m", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return rows.select(*pronunciations.columns, "_m.rule", "_m.applied")
+
+
+def rule_statistics(matched: DataFrame, used: DataFrame) -> DataFrame:
+    """rule, n_matched, n_used, probability: how often what a rule makes (word, pronunciation) is in use."""
+    hit = used.select("word", F.col("pronunciation").alias("applied"), F.lit(1).alias("_hit")).distinct()
+    rows = matched.join(hit, ["word", "applied"], "left")
+    counts = rows.groupBy("rule").agg(F.count("*").alias("n_matched"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("n_used"))
+    return counts.withColumn("probability", probability(F.col("n_used") / F.col("n_matched")))
+
+
+def cutoff_entries(lexicon: DataFrame, counts: DataFrame, threshold: int = 1, unknown: str = "spn") -> DataFrame:
+    """Entries of cut-off words: the unknown phone at 0.01 and every prefix at 0.99, included if frequent."""
+    name = F.concat(F.lit("<cutoff-"), F.col("word"), F.lit(">"))
+    seen = lexicon.join(counts.select("word", F.col("n").alias("_n")), "word", "left")
+    included = F.coalesce(F.col("_n") > threshold, F.lit(False))
+    made = seen.select(
+        name.alias("word"), included.alias("included"),
+        F.explode(F.concat(
+            F.array(F.struct(F.lit(unknown).alias("pronunciation"), F.lit(0.01).alias("probability"))),
+            F.transform(prefixes(F.col("phones")), lambda p: F.struct(F.array_join(p, " ").alias("pronunciation"), F.lit(0.99).alias("probability"))),
+        )).alias("_e"),
+    )
+    return made.select("word", "_e.pronunciation", "_e.probability", "included").distinct()
+
+
+def first_pronunciations(lexicon: DataFrame, *order: str) -> DataFrame:
+    """One entry a word, the first in order: the dictionary of speakers of no single dialect."""
+    rest = [c for c in lexicon.columns if c != "word"]
+    first = lexicon.groupBy("word").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
+    return first.select("word", *(F.col(f"_f.{c}").alias(c) for c in rest))
+
+
+def hold_out(words: DataFrame, letters: Column, share: Column) -> DataFrame:
+    """words with ``held_out``: those that ``share`` picks, unless a letter of theirs is in no other word."""
+    rows = words.withColumns({"_letters": letters, "_picked": share})
+    known = rows.where("NOT _picked").select(F.explode("_letters").alias("_l")).distinct()
+    unseen = rows.where("_picked").select("word", F.explode("_letters").alias("_l")).join(known, "_l", "left_anti")
+    back = unseen.select("word").distinct().withColumn("_back", F.lit(True))
+    return rows.join(back, "word", "left").select(*words.columns, (F.col("_picked") & F.col("_back").isNull()).alias("held_out"))
+
+
+def collect_alignments(rows: DataFrame, words: str, *key: str) -> tuple[DataFrame, DataFrame]:
+    """(word rows, phone rows) of nested alignments: words is an array of (word, phones)."""
+    w = rows.select(*key, F.posexplode(words).alias("word_index", "_w"))
+    word_rows = w.select(*key, "word_index", F.col("_w.word").alias("word"))
+    phones = w.select(*key, "word_index", F.posexplode("_w.phones").alias("phone_index", "phone"))
+    return word_rows, phones

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine_distance, scale_to_length
+from ..session import checkpoint_folder
 
 
 def mean_vector(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -206,3 +207,68 @@ def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 1) -> DataFrame:
     data = rows.withColumn("_v", array_to_vector(scale_to_length(F.col(vector))))
     model = KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed).fit(data)
     return model.transform(data).drop("_v")
+
+
+def second_moment(rows: DataFrame, vector: str, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sum of x x^T, sum of x, sum of weights) over all rows: tasks send d * d partial sums, added by Spark."""
+
+    def partial(batches):
+        total = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array(pdf[vector].tolist(), np.float64)
+            w = pdf[weight].to_numpy(np.float64) if weight else np.ones(len(x))
+            one = np.concatenate([(x.T @ (x * w[:, None])).ravel(), (x * w[:, None]).sum(axis=0), [w.sum()]])
+            total = one if total is None else total + one
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    columns = [vector, weight] if weight else [vector]
+    sums = rows.select(*columns).mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    flat = sums.sort_values("i")["v"].to_numpy()
+    d = int(round((np.sqrt(1 + 4 * (len(flat) - 1)) - 1) / 2))
+    return flat[: d * d].reshape(d, d), flat[d * d : -1], float(flat[-1])
+
+
+def discriminant_projection(rows: DataFrame, vector: str, key: str, dimensions: int) -> np.ndarray:
+    """Projection that spreads speakers and narrows each: within scatter whitened, between scatter's axes.
+
+    Scatter comes from two passes of partial sums (rows, then centroids weighted by their size).
+    """
+    unit = rows.withColumn("_u", scale_to_length(F.col(vector)))
+    square, total, n = second_moment(unit, "_u")
+    sizes = unit.groupBy(key).agg(F.count("*").cast("double").alias("_n"))
+    means = mean_vector(unit, "_u", key).join(sizes, key)
+    between, _, _ = second_moment(means, "mean", "_n")
+    mean = total / n
+    within = (square - between) / n
+    between = between / n - np.outer(mean, mean)
+    values, axes = np.linalg.eigh(within + 1e-6 * np.trace(within) / len(within) * np.eye(len(within)))
+    whiten = axes / np.sqrt(values)
+    _, axes = np.linalg.eigh(whiten.T @ between @ whiten)
+    return (whiten @ axes[:, ::-1])[:, :dimensions].T
+
+
+def project(rows: DataFrame, vector: str, matrix: np.ndarray) -> DataFrame:
+    """rows with ``projected``: the matrix times each vector at length 1 (Arrow batches)."""
+
+    @F.pandas_udf("array<double>")
+    def times(s: pd.Series) -> pd.Series:
+        x = np.array(s.tolist(), np.float64)
+        return pd.Series(list(x @ matrix.T)) if len(x) else pd.Series([], dtype=object)
+
+    return rows.withColumn("projected", times(scale_to_length(F.col(vector))))
+
+
+def iterative_clusters(rows: DataFrame, vector: str, id: str, key: str, rounds: int = 3, smallest: int = 5, threshold: float = 0.0) -> DataFrame:
+    """id, cluster after rounds of classification, dropping clusters that are too small each time."""
+    checkpoint_folder(rows.sparkSession)
+    now = rows.select(id, vector, F.col(key).cast("long").alias("cluster"))
+    for _ in range(rounds):
+        centres = centroids(now.where("cluster IS NOT NULL"), vector, "cluster")
+        found = nearest_centroid(now.select(id, vector), vector, centres, "cluster", threshold)
+        sizes = found.groupBy("predicted").agg(F.count("*").alias("_n"))
+        kept = F.when(F.col("_n") >= smallest, F.col("predicted"))
+        now = found.join(sizes, "predicted", "left").select(id, vector, kept.alias("cluster")).checkpoint()
+    return now.select(id, "cluster")

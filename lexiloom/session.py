@@ -30,3 +30,13 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        named = named or tempfile.mkdtemp(prefix="lexiloom-")
+        sc.setCheckpointDir(named)
+    return named
