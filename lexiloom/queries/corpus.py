@@ -52,7 +52,8 @@ def oov_top_words(t):
     """The most frequent unknown words of each dictionary: a top-k report."""
     missing = corpus.out_of_vocabulary(corpus.word_counts(t.documents, _text(), "lang"), _vocabulary(t))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return missing.withColumn("rank", rank).where("rank <= 100").select("lang", "word", "n", "rank")
+    top = missing.withColumn("rank", rank).where("rank <= 100")
+    return top.select("lang", "word", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -193,7 +194,8 @@ def subset_shortest(t):
     """Training subset: by hand first, then the shortest, a quota for each dictionary."""
     rows = t.documents.join(t.labels, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(0)))
     order = [F.desc("quality"), F.col("n_chars"), F.col("doc_id")]
-    return sampling.first_of_each(rows, ["lang"], order, 50).select("doc_id", "lang", "rank")
+    first = sampling.first_of_each(rows, ["lang"], order, 50)
+    return first.select("doc_id", "lang", F.col("rank").cast("long").alias("rank"))
 
 
 @query(

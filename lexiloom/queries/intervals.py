@@ -200,4 +200,4 @@ def frame_lookup(t):
 )
 def disambiguation_numbers(t):
     w = Window.partitionBy("user_id", "label").orderBy("begin", "event_id")
-    return _spans(t).select("user_id", "label", F.row_number().over(w).alias("disambiguation"), "event_id")
+    return _spans(t).select("user_id", "label", F.row_number().over(w).cast("long").alias("disambiguation"), "event_id")

@@ -91,7 +91,7 @@ def pricing_summary(t):
 def top_speakers_per_group(t):
     w = Window.partitionBy("n_name").orderBy(F.desc("s_acctbal"), "s_suppkey")
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("s_suppkey", "s_name", "n_name", "rank")
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("s_suppkey", "s_name", "n_name", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
