@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import checkpoint_folder, ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -30,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     tests) a temporary folder takes its place.
     """
     ship_package(spark)
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        named = named or tempfile.mkdtemp(prefix="lexiloom-")
-        sc.setCheckpointDir(named)
-    return named
+    return checkpoint_folder(spark)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

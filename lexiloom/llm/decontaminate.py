@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import stored, text_bytes
+from .common import stored, text_bytes, unused
 
 # fixed values: the masks (weight 6)
 MASKS = ("111111", "1101101011", "11011000111", "1010110010101", "1110010011001")
@@ -234,6 +234,6 @@ def find_leaks(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without a leak, with all their columns; ids may repeat or be null."""
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text_bytes()))
-    leaks = find_leaks(docs, benchmark, key=key, **options).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(leaks, "_key", "left_anti").select(*docs.columns)
+    key, name = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text_bytes())), unused(docs, "_key")
+    leaks = find_leaks(docs, benchmark, key=key, **options).select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, key).join(leaks, name, "left_anti").select(*docs.columns)

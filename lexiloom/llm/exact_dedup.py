@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, unused
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -63,12 +63,13 @@ def groups(docs: DataFrame, heavy_rows: int = 64, summary_items: int = 4096, win
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     # a row is known by its id and text; of rows that share both, the window leaves one
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), "text_sha256")
-    keep = groups(docs, **options).where("kept").select(key.alias("_key"))
-    tagged = docs.withColumn("text_sha256", F.sha2(normalised().cast("binary"), 256)).withColumn("_key", key)
-    kept = tagged.drop("text_sha256").join(keep, "_key", "left_semi")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return kept.withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    key, one = unused(docs, "_key"), unused(docs, "_one")
+    name = lambda digest: F.concat_ws(":", F.col("doc_id").cast("string"), digest).alias(key)
+    keep = groups(docs, **options).where("kept").select(name(F.col("text_sha256")))
+    tagged = docs.select("*", name(F.sha2(normalised().cast("binary"), 256)))
+    kept = tagged.join(keep, key, "left_semi")
+    kept = kept.withColumn(one, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return kept.where(F.col(one) == 1).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

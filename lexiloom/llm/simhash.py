@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import connected_components, cut, stored, text_bytes
+from .common import connected_components, cut, stored, text_bytes, unused
 
 #: Words are taken this many at a time from a text, so memory does not follow its length.
 BLOCK_WORDS = 1 << 18
@@ -280,10 +280,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     the smallest number stays.
     """
     odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    row = unused(docs, "_row")
     if odd.limit(1).count():
-        rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     else:
-        rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+        rows = docs.withColumn(row, F.col("doc_id").cast("long"))
+    groups = similar_groups(rows.select(F.col(row).alias("doc_id"), "text"), **options)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lexiloom.llm import exact_dedup
+from lexiloom.llm import decontaminate, exact_dedup, simhash
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -16,3 +16,13 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert docs.select(exact_dedup.normalised()).distinct().count() == sizes[-1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_clashing_columns_and_nulls_pass_through(spark):
+    rows = [(1, "the of and the is", "k", "r", "d", "o"), (1, "the of and the is", "k", "r", "d", "o"), (None, None, None, None, None, None), (2, "of the and in to", "x", "y", "z", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _row string, text_sha256 string, _one string")
+    bench = spark.createDataFrame([(1, "nothing of this is in there at all today")], "item_id long, text string")
+    for out, n in ((exact_dedup.deduplicate(docs), 3), (simhash.drop_near_duplicates(docs), 3), (decontaminate.drop_contaminated(docs, bench), 4)):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == n
+        assert {tuple(r) for r in got} == set(rows)
