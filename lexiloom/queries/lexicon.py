@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import corpus, intervals, lexicon, vectors
+from ..operators import corpus, g2p, intervals, lexicon, vectors
 from ..operators import language_model as lm
 from .base import query, tokens_sql
 from .intervals import _SPANS, _spans
@@ -162,3 +162,21 @@ def discriminant_vectors(t):
 @query()
 def iterative_speaker_clusters(t):
     return vectors.iterative_clusters(t.embeddings, "embedding", "vec_id", "label")
+
+
+def _aligned_lexicon(t):
+    made = lexicon.apply_rule(F.col("pronunciation"), "t h", "", "", "θ")
+    return _lexicon(t).select("word", F.col("phones").alias("letters"), F.split(made, " ").alias("phones"))
+
+
+@query()
+def m2m_alignment(t):
+    """Chunk weights of a many-to-many alignment between spellings and pronunciations."""
+    return g2p.train_alignment(_aligned_lexicon(t), rounds=4, most=(2, 1))
+
+
+@query()
+def g2p_generation(t):
+    """Pronunciations of the lexicon's own words, three at most a word."""
+    weights = g2p.train_alignment(_aligned_lexicon(t), rounds=4, most=(2, 1))
+    return g2p.generate(_aligned_lexicon(t), F.col("letters"), weights)
