@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import checkpoint_folder
 
 
 def explode_words(rows: DataFrame, words: Column, *keep: str) -> DataFrame:
@@ -91,3 +94,30 @@ def summary(rows: DataFrame, group: Column, words: Column) -> DataFrame:
         F.sum(F.size(words)).cast("long").alias("n_words"),
         F.sum("n_chars").alias("n_chars"),
     )
+
+
+def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ``id`` 0, 1, ... in order, numbered in range partitions and shifted by those before.
+
+    The sorted rows are checkpointed first, so that counts and numbers come from one arrangement.
+    """
+    checkpoint_folder(rows.sparkSession)
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = sorted_.select("*", F.spark_partition_id().alias("_p"), place.alias("_k")).checkpoint()
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    return placed.join(starts, "_p").withColumn("id", F.col("_start") + F.col("_k")).select(*rows.columns, "id")
+
+
+def job_ranges(ids: DataFrame, jobs: int) -> DataFrame:
+    """rows (with dense id) dealt to jobs in contiguous ranges, sizes differing by one at most."""
+    total = ids.agg(F.count("*").alias("_n"))
+    return ids.crossJoin(total).withColumn("job", F.floor(F.col("id") * jobs / F.col("_n"))).drop("_n")  # one row
+
+
+def in_subset(lexicon: DataFrame, words: DataFrame) -> DataFrame:
+    """lexicon with ``included``: whether the subset's words (column word) hold the entry."""
+    seen = words.select("word").distinct().withColumn("_seen", F.lit(True))
+    return lexicon.join(seen, "word", "left").withColumn("included", F.col("_seen").isNotNull()).drop("_seen")

@@ -230,3 +230,38 @@ def speaker_ladder(t):
 def long_words(t):
     words = corpus.explode_words(t.documents, _text()).distinct()
     return words.select("word", F.length(fold_case(F.col("word"))).cast("long").alias("letters")).where("letters > 12")
+
+
+_LETTERS = f"SELECT DISTINCT unnest(string_split(word, '')) AS grapheme FROM (SELECT DISTINCT word FROM ({_WORDS}))"
+
+
+@query(f"SELECT grapheme, row_number() OVER (ORDER BY encode(grapheme)) - 1 AS id FROM ({_LETTERS})")
+def symbol_table(t):
+    """Graphemes with dense ids in code-point order."""
+    letters = corpus.explode_words(t.documents, _text()).distinct().select(F.explode(graphemes(F.col("word"))).alias("grapheme"))
+    return corpus.dense_ids(letters.distinct(), "grapheme")
+
+
+@query(
+    "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) * 7 / count(*) OVER ()) AS BIGINT) AS job FROM documents"
+)
+def contiguous_jobs(t):
+    """Utterances dealt to 7 jobs in ranges of ids."""
+    return corpus.job_ranges(corpus.dense_ids(t.documents.select("doc_id"), "doc_id"), 7).select("doc_id", "job")
+
+
+@query(
+    f"WITH c AS (SELECT word, count(*) AS n FROM ({_WORDS}) GROUP BY word) SELECT word, n, word IN (SELECT word FROM ({_WORDS}) WHERE lang = 'en') AS included FROM c"
+)
+def lexicon_subset(t):
+    english = corpus.explode_words(t.documents.where("lang = 'en'"), _text())
+    return corpus.in_subset(corpus.word_counts(t.documents, _text()), english)
+
+
+@query(
+    f"SELECT word, round(avg(n), 6) AS mean_count, count(*) AS n_dictionaries FROM (SELECT lang, word, count(*) AS n FROM ({_WORDS}) GROUP BY ALL) GROUP BY word"
+)
+def merged_dictionary(t):
+    """One dictionary from all, values averaged."""
+    counts = corpus.word_counts(t.documents, _text(), "lang")
+    return counts.groupBy("word").agg(F.round(F.avg("n"), 6).alias("mean_count"), F.count("*").alias("n_dictionaries"))
