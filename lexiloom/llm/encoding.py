@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: White space that makes the short way unsure; such texts are cut with a regular expression.
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_ODD_WIDE = re.compile("[\x85\xa0  -     　]")
+_ODD_WIDE = re.compile("[%s]" % "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 # fixed values: what the two pre-tokenizers do to ASCII and Latin-1 letters
@@ -76,7 +77,7 @@ class WordwiseEncoder:
     def _token(self, token: str) -> bytes:
         """Ids of one pre-token by the tokenizer's model."""
         letters = token.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array([x.id for x in self.model.tokenize(letters)], "<u4").tobytes()
+        return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that no cache holds.
@@ -84,11 +85,8 @@ class WordwiseEncoder:
         For ASCII and Latin-1 letters, which neither normalizer changes but for case, the pre-tokens
         are cut here and only those not met before reach the model; other pieces take the whole way.
         """
-        if not all(map(_SIMPLE.fullmatch, pieces)):
-            hard = [x for x in pieces if not _SIMPLE.fullmatch(x)]
-            known = dict(zip(hard, self._raw(hard), strict=True))
-        else:
-            known = {}
+        hard = [x for x in pieces if not _SIMPLE.fullmatch(x)]
+        known = dict(zip(hard, self._raw(hard), strict=True)) if hard else {}
         if self.mode == "drop_space":
             cut = lambda x: _WORD_TOKENS.findall(x.lower())
         else:

@@ -42,12 +42,14 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for level in range(width - 1, -1, -1):
-            bit = (now >> level) & 1 == 1
+            bit = (now & (1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             ranks.append(cls._directory(planes[-1]))
-            low = now[~bit]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            zeros.append(len(now) - int(ranks[-1][-1]))
+            after = np.empty_like(now)  # zeros first, then ones, each in order
+            np.compress(~bit, now, out=after[: zeros[-1]])
+            np.compress(bit, now, out=after[zeros[-1] :])
+            now = after
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
