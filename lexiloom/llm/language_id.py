@@ -112,7 +112,7 @@ class Crf:
     weights: np.ndarray
     transition: np.ndarray
     lexicons: dict[str, int]
-    cache_words: int = 400_000
+    cache_words: int = 300_000
     chain: int = 64
     _rows: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
@@ -144,6 +144,10 @@ class Crf:
             self._used += len(pairs)
         return np.fromiter(map(self._rows.__getitem__, tokens), np.int64, len(tokens))
 
+    def forget(self) -> None:
+        """Drops the kept words, so that a worker holds them no longer than its task."""
+        self._rows, self._table, self._used = {}, None, 1
+
     def label(self, text: str) -> tuple[list[str], np.ndarray]:
         """Words with letters and their label probabilities [word, label]."""
         tokens = text.split()
@@ -333,6 +337,8 @@ def identify(docs: DataFrame, model: Crf | None = None, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score"]
             )
+        if tool:
+            tool.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), is_held_out().alias("held_out"), text_bytes().alias("raw"))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -380,5 +386,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4, **options) -> Dat
             texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             found = tool.predict(texts) if tool else [(UNDETERMINED, 0.0)] * len(texts)
             yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least_score for x in found], pa.bool_()))
+        if tool:
+            tool.forget()
 
     return docs.mapInArrow(work, docs.schema)
