@@ -183,7 +183,7 @@ def similar_groups(
     key_bytes: int = 3,
     key_count: int = 28,
     least_shared: int = 9,
-    light: int = 48,
+    light: int = 24,
     leaders: int = 4,
 ) -> DataFrame:
     """doc_id and component_id: groups of documents linked by a Jaccard similarity of word shingles.

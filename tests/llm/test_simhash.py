@@ -77,7 +77,7 @@ def test_long_text_in_blocks(monkeypatch):
     assert simhash.fingerprint64(text) == whole == brute_fp(text.decode())
 
 
-@pytest.mark.parametrize("light", [48, 1])
+@pytest.mark.parametrize("light", [24, 1])
 def test_similar_groups_against_all_pairs(spark, light):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
