@@ -9,6 +9,7 @@ stretch that agrees in enough words, substitutions allowed, is a leak.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import chain
 
 import numpy as np
@@ -66,20 +67,31 @@ class Sieve:
         return near[self.hashes[k] == h[near]]
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, identity: float = 0.8) -> tuple[int, int, int]:
     """(first item word, words, agreeing words) of the best stretch with doc[k + shift] over item[k].
 
-    Best: the largest sum of 1 for an agreeing word and -2 for a substitution.
+    Best: the most agreeing words of all stretches at the identity or more, then the fewest words,
+    then the first. Without an agreeing word, no words.
     """
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     if a >= b:
         return a, 0, 0
     same = doc[a + shift : b + shift] == item[a:b]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    ends = np.flatnonzero(same) + 1
+    if not len(ends):
+        return a, 0, 0
+    # whole numbers, so that an identity met exactly counts; a stretch counts if its sum isn't negative
+    part = Fraction(identity).limit_denominator(10**6)
+    gain = np.where(same, part.denominator - part.numerator, -part.numerator)
+    total = np.concatenate([[0], np.cumsum(gain)])
+    agreed = np.concatenate([[0], np.cumsum(same)])
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return a + start, end - start, int(same[start:end].sum())
+    # the first place from which the sum up to an end isn't negative; the stretch begins at the next agreeing word
+    first = np.searchsorted(-low, -total[ends])
+    start = ends[agreed[first]] - 1
+    agree = agreed[ends] - agreed[first]
+    k = int(np.lexsort((start, ends - start, -agree))[0])
+    return a + int(start[k]), int(ends[k] - start[k]), int(agree[k])
 
 
 def find_leaks(
@@ -211,8 +223,8 @@ def find_leaks(
                 doc = batch.column(4)[k].values.to_numpy(zero_copy_only=False)
                 item = batch.column(5)[k].values.to_numpy(zero_copy_only=False)
                 shift = batch.column(3)[k].as_py()
-                a, n, same = best_overlap(doc, item, shift)
-                if n and same >= min(least_words, least_share * len(item)) and same >= least_identity * n:
+                a, n, same = best_overlap(doc, item, shift, least_identity)
+                if n and same >= min(least_words, least_share * len(item)):
                     row = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py() + shift + a, n, same, len(item))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)

@@ -156,3 +156,23 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == q for r, q in held) >= 0.93 * len(held)
     assert rows[5000].score == rows[5001].score and all(0 <= r.score <= 1 for r in rows.values())
     assert quality_fm.score(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_leak_beside_changed_words(spark):
+    item = [f"w{k}" for k in range(42)]
+    copy = item[:12] + [w if k % 10 > 2 else "changed" for k, w in enumerate(item[12:])]
+    d = spark.createDataFrame([(1, " ".join(copy)), (2, " ".join(item[:11] + ["changed"] * 9))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.find_leaks(d, b).collect()
+    assert [(r.doc_id, r.doc_start) for r in got] == [(1, 0)] and got[0].n_agree >= max(12, 0.8 * got[0].n_words)
+
+
+def test_best_overlap_against_all_stretches():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        item = np.arange(rng.integers(1, 50))
+        doc = np.where(rng.random(len(item)) < rng.choice([0.1, 0.2, 0.3, 1]), 99, item)
+        same = doc == item
+        every = [(int(same[i:j].sum()), i - j, -i) for j in range(len(item) + 1) for i in range(j) if 5 * same[i:j].sum() >= 4 * (j - i)]
+        agree, length, first = max(every, default=(0, 0, 0))
+        assert decontaminate.best_overlap(doc, item, 0) == (-first, -length, agree)
