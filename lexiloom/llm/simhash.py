@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 from itertools import combinations, repeat
 from operator import add
@@ -142,10 +143,11 @@ def components(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFram
     )
 
 
-# --- near duplicates at a similarity, over wide fingerprints -----------------------------------
+# --- near duplicates at a similarity, over ordered shingles -------------------------------------
 
-WIDE_BYTES = 32
 _PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
+#: Bits of a set's print: every shingle turns one of them over.
+PRINT_BITS = 1024
 
 
 def _folded_words(raw: bytes) -> list[bytes]:
@@ -153,22 +155,6 @@ def _folded_words(raw: bytes) -> list[bytes]:
     return _PUNCTUATION.sub(b"", raw.lower()).split()
 
 
-def _wide(raw: bytes) -> bytes:
-    """256-bit SimHash of a text's distinct words, longer words weighing more."""
-    words = sorted(set(_folded_words(raw)))
-    if not words:
-        return bytes(WIDE_BYTES)
-    ones, weight = np.zeros(8 * WIDE_BYTES), 0.0
-    for at in range(0, len(words), 1 << 16):
-        block = words[at : at + (1 << 16)]
-        w = np.minimum(np.fromiter(map(len, block), np.float64, len(block)), 8.0)
-        h = b"".join(x for word in block for x in (xxhash.xxh3_128_digest(word, 1), xxhash.xxh3_128_digest(word, 2)))
-        bits = np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, WIDE_BYTES), axis=1)
-        ones += w @ bits
-        weight += w.sum()
-    return np.packbits(2 * ones > weight).tobytes()
-
-
 def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
     """Distinct 64-bit hashes of the folded word shingles (fewer words: the whole sequence)."""
     words = _folded_words(raw)
@@ -176,84 +162,118 @@ def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def set_head(hashes: np.ndarray, common: np.ndarray, part: Fraction) -> np.ndarray:
+    """The first shingles of a sorted set, common ones last: as many as a similar set can't all lack.
+
+    A set at the similarity holds at least ceil(part * n) of the n, so of the first n - ceil(part * n) + 1
+    in any one order it holds one, and the first that both hold is in the heads of both.
+    """
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = common[at] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    n = len(hashes)
+    return hashes[: n + 1 + (-part.numerator * n) // part.denominator]
+
+
+def set_print(hashes: np.ndarray) -> np.ndarray:
+    """PRINT_BITS bits as longs; the prints of two sets differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PRINT_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """One list of longs an array."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
+
+
+def common_shingles(texts: DataFrame, shingle: int, sample: int = 20_000, least: int = 4, most: int = 50_000) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, sorted. They serve for the order alone, which may be any."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, size = [], 0
+            for k, x in enumerate(batch.column(1), 1):
+                sets.append(shingle_set(x.as_py(), shingle))
+                size += len(sets[-1])
+                if size > BLOCK_WORDS or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([_lists(sets)], names=["hashes"])
+                    sets, size = [], 0
+
+    share = min(1.0, sample / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = some.mapInArrow(listed, "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
+    top = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h")
+    return np.sort(top.toPandas()["h"].to_numpy(np.int64, copy=True).view(np.uint64))
+
+
 def similar_groups(
-    docs: DataFrame,
-    shingle: int = 5,
-    similarity: float = 0.8,
-    key_bytes: int = 3,
-    key_count: int = 28,
-    least_shared: int = 9,
-    light: int = 24,
-    leaders: int = 4,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, light: int = 24, leaders: int = 4
 ) -> DataFrame:
     """doc_id and component_id: groups of documents linked by a Jaccard similarity of word shingles.
 
-    Wide fingerprints (32 bytes) of the distinct words are indexed under ``key_count`` compound terms of
-    ``key_bytes`` places. A short posting gives all its pairs; in a longer one, every
-    fingerprint is paired with its ``leaders`` most central members (largest sum of the posting sizes of
-    all its terms: the text that the others were made from shares more bytes with each than
-    they share with each other). Pairs with at least ``least_shared`` positional bytes are
-    verified on the whole texts. Texts without words are linked to nothing. doc_id must be unique.
+    Exact, by prefix filtering: texts with equal shingle sets form a class, and the first of a class is posted
+    under the shingles of its set's head (``set_head``); two sets at the similarity meet under the
+    first shingle that both hold, where their sizes and places allow it. A posting of up to ``light``
+    sets gives all its pairs. In a longer one the most central set (largest sum of posting sizes) is paired with
+    the others first, then that of those outside the largest component, up to ``leaders`` times; in the end every
+    pair that is still in different components is made, so only pairs already linked are left out. Pairs that
+    their prints don't rule out are verified on the whole texts. Texts without words are linked to nothing.
+    doc_id must be unique.
     """
+    spark = docs.sparkSession
+    ship_package(spark)
+    part = Fraction(similarity).limit_denominator(10**6)
+    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"))
+    common = spark.sparkContext.broadcast(common_shingles(texts, shingle))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, _wide(x.as_py())) for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            rows = [x for x in rows if any(x[1]) and x[0] is not None]
+            ids, sizes, digests, prints, heads = [], [], [], [], []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = shingle_set(x.as_py(), shingle)
+                if i is None or not len(hashes):
+                    continue
+                ids.append(i)
+                sizes.append(len(hashes))
+                digests.append(xxhash.xxh3_128_digest(hashes))
+                prints.append(set_print(hashes))
+                heads.append(set_head(hashes, common.value, part))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())],
-                names=["doc_id", "wide"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prints), _lists(heads)],
+                names=["doc_id", "size", "digest", "print", "head"],
             )
 
-    ship_package(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"))
-    wide = cut(texts.mapInArrow(sketch, "doc_id long, wide binary"))
-    by_wide = cut(wide.groupBy("wide").agg(F.min("doc_id").alias("rep")))
+    kinds = "doc_id long, size long, digest binary, print array<long>, head array<long>"
+    sketches = stored(texts.mapInArrow(sketch, kinds), "sketches")
+    classes = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    same = sketches.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep")
+    same = cut(same.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
+    index = sketches.join(same.select(F.col("v").alias("doc_id")), "doc_id", "left_anti")
+    prints = index.select("doc_id", "size", "print")
+    index = index.select(F.col("doc_id").alias("rep"), "size", F.posexplode("head").alias("pos", "key"))
+    sizes = cut(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    posted = cut(index.join(sizes, "key"))
 
-    def term(k: int) -> Column:
-        # places walk over the fingerprint at two strides, so that terms overlap in few places
-        at = [(k * 8 // 7 + j * (1 + k % 5)) % WIDE_BYTES + 1 for j in range(key_bytes)]
-        return F.concat(F.lit(bytes([k])), *(F.substring("wide", p, 1) for p in at))
+    def possible(most: Column, both: Column) -> Column:
+        """Whether sets of ``both`` shingles together may be similar with at most ``most`` in common."""
+        return most * (part.numerator + part.denominator) >= both * part.numerator
 
-    index = cut(by_wide.select("wide", "rep", F.explode(F.array(*map(term, range(key_count)))).alias("key")))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posted = cut(index.join(sizes, "key"))
-    short = posted.where(F.col("n") <= light).select("key", "rep", "wide")
-    pairs = short.alias("a").join(short.alias("b"), "key").where("a.rep < b.rep")
-    pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.wide").alias("x"), F.col("b.wide").alias("y"))
-    long_ = posted.where(F.col("n") > light)
-    central = posted.groupBy("rep").agg(F.sum("n").alias("score"))
-    scored = cut(long_.join(central, "rep"))
-    best = scored.groupBy("key").agg(
-        F.max_by(F.struct("rep", "wide"), F.struct("score", -F.col("rep"))).alias("top0"),
-        *(
-            F.max_by(F.struct("rep", "wide"), F.struct(F.xxhash64("rep", F.lit(j)))).alias(f"top{j}")
-            for j in range(1, leaders)
-        ),
-    )
-    best = cut(best.select("key", F.explode(F.array_distinct(F.array(*(f"top{j}" for j in range(leaders))))).alias("top")))
-    led = scored.join(best, "key").where("rep <> top.rep")
-    led = led.select(
-        F.least("rep", "top.rep").alias("a"), F.greatest("rep", "top.rep").alias("b"),
-        F.when(F.col("rep") < F.col("top.rep"), F.col("wide")).otherwise(F.col("top.wide")).alias("x"),
-        F.when(F.col("rep") < F.col("top.rep"), F.col("top.wide")).otherwise(F.col("wide")).alias("y"),
-    )
-    shared = reduce(add, [(F.substring("x", p + 1, 1) == F.substring("y", p + 1, 1)).cast("int") for p in range(WIDE_BYTES)])
-    pairs = pairs.unionByName(led).where(shared >= least_shared).select("a", "b").distinct()
-    # a fingerprint shared by different texts: each is verified against its representative
-    same = wide.join(by_wide, "wide").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    pairs = cut(pairs.unionByName(same))
+    def meeting(a: str, b: str) -> Column:
+        left = F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos"))
+        return possible(left, F.col(f"{a}.size") + F.col(f"{b}.size"))
+
+    def ordered(a: str, b: str) -> list[Column]:
+        x, y = F.col(f"{a}.rep"), F.col(f"{b}.rep")
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, hashes binary"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -267,8 +287,59 @@ def similar_groups(
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
-    roots = connected_components(links)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """u, v: the pairs a, b at the similarity."""
+        x = prints.select(F.col("doc_id").alias("a"), F.col("print").alias("x"), F.col("size").alias("m"))
+        y = prints.select(F.col("doc_id").alias("b"), F.col("print").alias("y"), F.col("size").alias("n"))
+        apart = reduce(add, [F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(PRINT_BITS // 64)])
+        # n shingles together of which at least d are in one set only leave (n - d) / 2 in common
+        near = pairs.join(x, "a").join(y, "b").where(possible(F.col("m") + F.col("n") - apart, 2 * (F.col("m") + F.col("n"))))
+        near = cut(near.select("a", "b"))
+        wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+        sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, hashes binary"))
+        left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
+        right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+        return cut(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+
+    def unsettled(links: DataFrame) -> DataFrame:
+        """The long postings whose sets are not all in one component; comp, and main: the one most of them are in."""
+        roots = connected_components(links).select(F.col("node").alias("rep"), "root")
+        named = cut(long_.join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"))
+        kinds = named.groupBy("key", "comp").count().groupBy("key")
+        kinds = kinds.agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds"))
+        return cut(named.join(kinds.where("kinds > 1").select("key", "main"), "key"))
+
+    def led(rows: DataFrame) -> DataFrame:
+        """Pairs of the most central set of every posting with the others."""
+        top = F.max_by(F.struct("rep", "size", "pos", "comp"), F.struct("score", -F.col("rep"))).alias("t")
+        best = rows.groupBy("key").agg(top)
+        found = rows.alias("m").join(best, "key").select("m.*", "t").where(F.col("comp") != F.col("t.comp"))
+        return found.alias("m").where(meeting("m", "t")).select(*ordered("m", "t"))
+
+    short = posted.where(F.col("n") <= light)
+    pairs = short.alias("a").join(short.alias("b"), "key").where("a.rep < b.rep").where(meeting("a", "b"))
+    central = posted.groupBy("rep").agg(F.sum("n").alias("score"))
+    long_ = cut(posted.where(F.col("n") > light).join(central, "rep"))
+    tested = cut(pairs.select(*ordered("a", "b")).unionByName(led(long_.withColumn("comp", F.col("rep")))).distinct())
+    links = verified(tested)
+    turn = 1 if not long_.isEmpty() else None
+    while turn is not None:
+        rows = unsettled(links)
+        if rows.isEmpty():
+            break
+        rest = rows.where("comp <> main")
+        if turn < leaders:
+            new = led(rest)
+        else:
+            new = rest.alias("a").join(rows.alias("b"), "key").where("a.comp <> b.comp AND (b.comp = b.main OR a.rep < b.rep)")
+            new = new.where(meeting("a", "b")).select(*ordered("a", "b"))
+        new = cut(new.distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(new)
+        more = verified(new)
+        links = links.unionByName(more)
+        # leaders that link nothing more leave all that is left to the last turn
+        turn = None if turn >= leaders else leaders if more.isEmpty() else turn + 1
+    roots = connected_components(links.unionByName(same))
     out = docs.select(F.col("doc_id").cast("long")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -111,3 +111,30 @@ def test_repeated_ids_and_empty_table(spark):
     assert simhash.drop_near_duplicates(df).count() == 2
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
     assert simhash.components(df.limit(0)).count() == 0
+
+
+def check_groups(spark, texts, **options):
+    """Against all pairs; returns how many documents are in the group of another."""
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, **options).collect()}
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for a, b in combinations(sorted(texts), 2):
+        if want[a] != want[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            old, new = max(want[a], want[b]), min(want[a], want[b])
+            want = {i: new if r == old else r for i, r in want.items()}
+    assert got == want
+    return sum(i != r for i, r in want.items())
+
+
+def test_smaller_family_in_long_postings(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    other = base[:130] + [f"x{k}" for k in range(70)]  # shares postings with the base, under 0.8 to it
+    texts = {}
+    for k in range(60):
+        copy = list(base if k % 3 else other)
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = f"y{rng.random()}"
+        texts[k] = " ".join(copy)
+    assert check_groups(spark, texts, light=4, leaders=1) > 20
