@@ -127,6 +127,20 @@ def check_groups(spark, texts, **options):
     return sum(i != r for i, r in want.items())
 
 
+def test_appended_and_truncated_copies(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    texts = {}
+    for g in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        n = len(base)
+        longer = base + [word() for _ in range(int(n * rng.uniform(0.15, 0.24)))]
+        shorter = base[: int(n * rng.uniform(0.82, 0.9))]
+        for k, copy in enumerate((base, longer if g % 2 else shorter)):
+            texts[2 * g + k] = " ".join(copy)
+    assert check_groups(spark, texts) == 40
+
+
 def test_smaller_family_in_long_postings(spark):
     rng = random.Random(5)
     base = [f"w{k}" for k in range(200)]
