@@ -152,3 +152,10 @@ def test_smaller_family_in_long_postings(spark):
             copy[rng.randrange(len(copy))] = f"y{rng.random()}"
         texts[k] = " ".join(copy)
     assert check_groups(spark, texts, light=4, leaders=1) > 20
+
+
+def test_same_lines_in_another_order(spark):
+    lines = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(12)]
+    turned = random.Random(1).sample(lines, len(lines))
+    texts = {0: " ".join(lines), 1: " ".join(turned), 2: " ".join([*turned, turned[-1]]), 3: " ".join([*turned, "tail of other words"])}
+    assert check_groups(spark, texts) == 2
