@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import stored, text_bytes, unused
+from .common import stored, text_bytes, tidy, unused
 
 # fixed values: the masks (weight 6)
 MASKS = ("111111", "1101101011", "11011000111", "1010110010101", "1110010011001")
@@ -142,7 +142,7 @@ def find_leaks(
             )
 
     items = benchmark.select(F.col("item_id").cast("long"), text_bytes().alias("raw")).distinct()
-    items = items.mapInArrow(seeds_of_items, "item_id long, item array<long>, seeds array<struct<hash:long,at:int>>")
+    items = items.mapInArrow(tidy(seeds_of_items), "item_id long, item array<long>, seeds array<struct<hash:long,at:int>>")
     items = stored(items.select(F.xxhash64("item_id", "item").alias("item_key"), "*"), "items")
     seeds = items.select("item_key", F.explode("seeds").alias("s")).select("item_key", "s.hash", "s.at")
     sieve = None
@@ -203,7 +203,7 @@ def find_leaks(
     name = F.col("doc_id").cast("long") if key is None else key
     name_kind, name_type = (pa.int64(), "long") if key is None else (pa.string(), "string")
     scanned = docs.select(name.alias("name"), text_bytes().alias("raw")).mapInArrow(
-        scan, f"name {name_type}, first long, words array<long>, hits array<struct<hash:long,at:int>>"
+        tidy(scan), f"name {name_type}, first long, words array<long>, hits array<struct<hash:long,at:int>>"
     )
     places = stored(scanned.select(F.monotonically_increasing_id().alias("region"), "*"), "regions")
     hits = places.select("region", F.explode("hits").alias("h")).select("region", "h.hash", F.col("h.at").alias("doc_at"))
@@ -235,7 +235,7 @@ def find_leaks(
             )
 
     leaks = laid.mapInArrow(
-        verify, f"name {name_type}, item_id long, doc_start long, n_words long, n_agree long, item_words long"
+        tidy(verify), f"name {name_type}, item_id long, doc_start long, n_words long, n_agree long, item_words long"
     )
     best = F.max_by(
         F.struct("doc_start", "n_words", "n_agree", "item_words"), F.struct("n_agree", -F.col("n_words"), -F.col("doc_start"))

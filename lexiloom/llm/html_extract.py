@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -302,4 +303,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     ship_package(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(work, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
+    return rows.mapInArrow(tidy(work), "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")

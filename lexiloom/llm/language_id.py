@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import text_bytes
+from .common import text_bytes, tidy
 
 UNDETERMINED = "und"
 #: Features are hashed to this many weights a language.
@@ -341,7 +341,7 @@ def identify(docs: DataFrame, model: Crf | None = None, **options) -> DataFrame:
             tool.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), is_held_out().alias("held_out"), text_bytes().alias("raw"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(work), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, model: Crf) -> DataFrame:
@@ -368,7 +368,7 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "runs"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"))
-    return rows.mapInArrow(work, "doc_id long, runs array<struct<lang:string,n_words:long,first:string>>")
+    return rows.mapInArrow(tidy(work), "doc_id long, runs array<struct<lang:string,n_words:long,first:string>>")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.4, **options) -> DataFrame:
@@ -389,4 +389,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4, **options) -> Dat
         if tool:
             tool.forget()
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import cut, text_bytes
+from .common import cut, text_bytes, tidy
 from .encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,8 +58,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
                 [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        enc.forget()
 
-    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tokenise, PIECES)
+    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tidy(tokenise), PIECES)
 
 
 def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

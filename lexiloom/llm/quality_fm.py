@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import text_bytes
+from .common import text_bytes, tidy
 
 WORD_BITS = 16
 BINS = 12
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, seed: int
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).join(picked, "doc_id")
     rows = rows.select("doc_id", F.col("quality").cast("int"), "raw").mapInArrow(
-        vectors, "doc_id long, quality int, slots binary, amounts binary"
+        tidy(vectors), "doc_id long, quality int, slots binary, amounts binary"
     )
     table = rows.toPandas().sort_values(["doc_id", "slots"], kind="stable")
     samples = [
@@ -212,4 +212,4 @@ def score(
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), is_held_out().alias("held_out"), text_bytes().alias("raw"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(work), "doc_id long, held_out boolean, score double, predicted int")

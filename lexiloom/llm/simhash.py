@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import connected_components, cut, stored, text_bytes, unused
+from .common import connected_components, cut, stored, text_bytes, tidy, unused
 
 #: Words are taken this many at a time from a text, so memory does not follow its length.
 BLOCK_WORDS = 1 << 18
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], names=["doc_id", "fp"])
 
     ship_package(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).mapInArrow(tidy(work), "doc_id long, fp long")
 
 
 def covering_blocks(places: int = 8, missing: int = 2, keep: int = 5) -> list[tuple[int, ...]]:
@@ -204,7 +204,7 @@ def common_shingles(texts: DataFrame, shingle: int, sample: int = 20_000, least:
 
     share = min(1.0, sample / max(1, texts.count()))
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = some.mapInArrow(listed, "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
+    counts = some.mapInArrow(tidy(listed), "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
     top = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h")
     return np.sort(top.toPandas()["h"].to_numpy(np.int64, copy=True).view(np.uint64))
 
@@ -247,7 +247,7 @@ def similar_groups(
             )
 
     kinds = "doc_id long, size long, digest binary, print array<long>, head array<long>"
-    sketches = stored(texts.mapInArrow(sketch, kinds), "sketches")
+    sketches = stored(texts.mapInArrow(tidy(sketch), kinds), "sketches")
     classes = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = sketches.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep")
     same = cut(same.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
@@ -271,21 +271,13 @@ def similar_groups(
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["doc_id", "hashes"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, big = sorted((len(x), len(y)))
-                if not small or small < similarity * big:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def similar(x: Column, y: Column) -> Column:
+        """Whether two sets of shingles have the similarity; whole numbers, so that a similarity met exactly counts."""
+        both = F.size(F.array_intersect(x, y)).cast("long")
+        return both * (part.numerator + part.denominator) >= (F.size(x) + F.size(y)) * part.numerator
 
     def verified(pairs: DataFrame) -> DataFrame:
         """u, v: the pairs a, b at the similarity."""
@@ -296,10 +288,11 @@ def similar_groups(
         near = pairs.join(x, "a").join(y, "b").where(possible(F.col("m") + F.col("n") - apart, 2 * (F.col("m") + F.col("n"))))
         near = cut(near.select("a", "b"))
         wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, hashes binary"))
+        sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(shingled), "doc_id long, hashes array<long>"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-        return cut(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+        found = near.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y")))
+        return cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def unsettled(links: DataFrame) -> DataFrame:
         """The long postings whose sets are not all in one component; comp, and main: the one most of them are in."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import stored, text_bytes
+from .common import stored, text_bytes, tidy
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -211,7 +211,7 @@ def repeated_spans(
                 )
 
     segments = stored(
-        keyed.select("row", "raw").mapInArrow(sample, "anchor long, content long, row long, place long"), "segments"
+        keyed.select("row", "raw").mapInArrow(tidy(sample), "anchor long, content long, row long, place long"), "segments"
     )
     often = stored(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = stored(segments.join(often, "anchor"), "shared")
@@ -254,7 +254,7 @@ def repeated_spans(
     fetched = (
         keyed.select("row", "raw")
         .join(by_row, "row")
-        .mapInArrow(fetch, "anchor long, salt long, dealt boolean, row long, place long, bytes binary")
+        .mapInArrow(tidy(fetch), "anchor long, salt long, dealt boolean, row long, place long, bytes binary")
     )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def repeated_spans(
     indexed = stored(
         fetched.repartition(tasks, "anchor", "salt")
         .select("row", "place", "dealt", "bytes")
-        .mapInArrow(index, "row long, start long, end long, h1 long, h2 long"),
+        .mapInArrow(tidy(index), "row long, start long, end long, h1 long, h2 long"),
         "indexed",
     )
     left = indexed.where("h1 IS NOT NULL")
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, contents_per_task: int =
     return (
         keyed.join(by_row, "row", "left")
         .select("doc_id", "raw", "spans")
-        .mapInArrow(apply, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+        .mapInArrow(tidy(apply), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     )
 
 

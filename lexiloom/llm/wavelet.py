@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import scratch_path, text_bytes
+from .common import scratch_path, text_bytes, tidy
 from .encoding import encoder
 
 _HEAD = struct.Struct("<4sBQ")
@@ -172,7 +172,7 @@ def write_shards(
     about shard_tokens ids (a document stays whole). A shard is one row of a zstd-compressed
     Parquet file: its place (part, shard), its documents with their number of ids, and the matrix.
     Spark's own writer commits the files, so tasks may be lost and repeated. Null text counts as empty;
-    null doc_ids come first; rows with the same doc_id follow each other in any order.
+    null doc_ids come first; rows with the same doc_id follow each other by the bytes of their texts.
     """
     ship_package(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
@@ -203,11 +203,12 @@ def write_shards(
                     yield flush()
                     shard, total = shard + 1, 0
                     ids, names, sizes = [], [], []
+        enc.forget()
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", text_bytes().alias("raw")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(build, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered = docs.select("doc_id", text_bytes().alias("raw")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
+    ordered.mapInArrow(tidy(build), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -253,7 +254,7 @@ def shard_documents(shards: DataFrame) -> DataFrame:
         "part", "shard", (F.col("_part_start") + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).alias("_base")
     )
     rows = shards.select("part", "shard", "doc_ids", "doc_tokens", "matrix").mapInArrow(
-        decode, "part int, shard int, doc_id long, _start long, n_tokens long, ids_crc32 long"
+        tidy(decode), "part int, shard int, doc_id long, _start long, n_tokens long, ids_crc32 long"
     )
     return rows.join(starts, ["part", "shard"]).select(
         "doc_id", (F.col("_base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32"

@@ -1,9 +1,11 @@
 import bisect
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from lexiloom.llm import packing, wavelet
 from lexiloom.llm.encoding import WordwiseEncoder
@@ -12,6 +14,7 @@ from lexiloom.llm.queries import vocabulary
 ODD = [
     "it's  we'll I'M don't 12 345²½ x y z 　q  \n\n a\tb\x1cc İSTANBUL ΣΑΣ ß ﬁ éa <|endoftext|> hi\n",
     "  lead", "trail ", "a\n b", " \n ", "\n", "日本語 テキスト 한국어", "ÀÉ×÷ éàßç's", "chßbe", "", "x" * 3000,
+    "hello <|endoftext|> world", "<|startoftext|>a <|ENDOFTEXT|> <|endoftext|><|endoftext|>x  <|endoftext|>", "DB it's It'S x 's  'll", " 're y ,.; É's",
 ]
 
 
@@ -23,11 +26,31 @@ def texts():
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 @pytest.mark.parametrize("limits", [(500_000, 1_000_000), (50, 64)])
 def test_encoding_is_that_of_the_library(name, limits):
-    enc = WordwiseEncoder(vocabulary(name), *limits)
+    enc, library = WordwiseEncoder(vocabulary(name), *limits), Tokenizer.from_file(vocabulary(name))
     assert enc.mode != "whole"
     for t in texts():
-        want = enc.tokenizer.encode(t, add_special_tokens=False).ids
+        want = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == want, t
+    plain = WordwiseEncoder(vocabulary(name), *limits, special_as_text=True)
+    library.encode_special_tokens = True
+    for t in texts()[:20]:
+        assert np.frombuffer(plain.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_caches_are_bounded_and_other_tokenizers_go_whole(tmp_path):
+    enc = WordwiseEncoder(vocabulary("byte_bpe_50k.json"), 100)
+    enc.encode(" ".join(f"w{k}" for k in range(5000)) + " " + "x" * 100_000 + "  ")
+    for cache in (enc.first, enc.rest):
+        assert len(cache) + len(cache.old) <= 100 and all(len(x) <= cache.LONGEST for x in (*cache, *cache.old))
+    enc.forget()
+    assert not enc.first and not enc.rest.old
+    spec = json.load(open(vocabulary("word_bpe_49k.json"), encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    other, library = WordwiseEncoder(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    assert other.mode == "whole"
+    for t in texts()[:10]:
+        assert np.frombuffer(other.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_wavelet_matrix_operations():
@@ -56,7 +79,7 @@ def test_shards_round_trip(spark, tmp_path):
     wavelet.write_shards(df, str(tmp_path / "w"), vocabulary("word_bpe_49k.json"), shard_tokens=500)
     got = wavelet.shard_documents(wavelet.read_shards(spark, str(tmp_path / "w"))).collect()
     start, want = 0, []
-    for i, t, _ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+    for i, t, _ in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], (r[1] or "").encode())):
         raw = enc.encode(t or "") + (1).to_bytes(4, "little")
         want.append((i, start, len(raw) // 4, zlib.crc32(raw)))
         start += len(raw) // 4
