@@ -75,10 +75,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: stored in the shared folder, so it survives lost executors."""
+#: Rows of a small intermediate table that go to one file.
+ROWS_PER_FILE = 200_000
+
+
+def few(df: DataFrame, rows: int | None) -> DataFrame:
+    """The frame in as many partitions as ``rows``, a bound on its rows, need; a small table gets no swarm of files."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint: stored in the shared folder, so it survives lost executors. rows: see few."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return few(df, rows).checkpoint()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -90,11 +99,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: lineage ends there and
-    later readers prune columns."""
+    later readers prune columns. rows: see few."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    few(df, rows).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,21 +113,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges: columns u, v (long, self loops and repeats allowed, nulls dropped). Returns node,
     root (smallest node of the component) for every node that has an edge to another node.
     Each round is a few joins of plain shuffles, so AQE can split the rows of a hub; the
-    frames are checkpointed and nothing is collected but two numbers.
+    frames are checkpointed, in as many files as the edges need, and nothing is collected but two numbers.
     """
     pairs = edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     pairs = cut(pairs.distinct())
-    mark = None
+    mark, n = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 2 * n)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large.distinct(), n)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        pairs = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

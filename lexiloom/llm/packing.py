@@ -1,18 +1,16 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity (operator 6).
 
-Method: bulk-synchronous best fit. Documents and gaps are kept sorted by size, as runs of equal
-size. A round takes the next run of documents (longest first), sweeps the gaps upwards from its
-size (the successor of each document), gives the r-th document the r-th gap (conflicts resolved by
-rank), and puts the shrunken gaps back; what found no gap opens sequences. Runs, not documents,
-pass through the rounds: there are at most ``capacity`` sizes, so a round costs the same for
-any number of documents, and its state is bounded by the capacity. Ranking the documents within
-their size and placing each by its rank are the distributed parts.
+Method: bulk-synchronous best fit. Pieces are range-sorted by length, longest first, and taken in classes of
+like length. A round range-sorts the gaps by size, sweeps both orders for successors (each piece
+takes the smallest gap left that holds it, longest piece first), resolves conflicts by rank (the r-th piece of a
+run takes the r-th gap of the run), places the pieces by a join on ranks, and updates the gaps;
+rounds repeat until the class is placed. What finds no gap opens sequences. Ranks, joins and gaps are
+distributed tables; a sweep passes over runs of equal size, of which there are at most ``capacity`` on each side.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import cut, text_bytes, tidy
+from .common import few, scratch_path, stored, text_bytes, tidy, unused
 from .encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,98 +61,161 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
     return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tidy(tokenise), PIECES)
 
 
-def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, rank_from, rank_to, first sequence, offset) that place every rank.
+def length_classes(capacity: int, exact: int = 6) -> list[tuple[int, int]]:
+    """(low, high] classes of lengths, longest first: capacity / k for k up to ``exact``, then halves."""
+    bounds = [capacity // k for k in range(1, exact + 1)]
+    while bounds[-1] > 0:
+        bounds.append(bounds[-1] // 2)
+    bounds = sorted(set(bounds), reverse=True)
+    return [(low, high) for high, low in zip(bounds, bounds[1:], strict=False)]
 
-    The r-th document of a length, rank_from <= r < rank_to, goes to sequence
-    first + r - rank_from at the offset.
+
+def sweep(
+    docs: list[tuple[int, int, int]], gaps: list[tuple[int, int]], capacity: int
+) -> list[tuple[int, int, int, int | None, int, int]]:
+    """One successor sweep over runs of one class: (length, from, to, size, slot, each) for the ranks that are placed.
+
+    docs: (length, first rank, count); gaps: (size, count). A gap of some size has ``each`` slots, as many of the
+    longest documents as fit for sure, one at least if it holds the document. The document of rank
+    r, from <= r < to, takes slot + r - from of the slots of that size; size None means new sequences. Sizes go
+    down and gaps wait on a stack, so a document takes the smallest gap that holds it. Where no gap is
+    left, sequences are opened: all that are needed if no further document of the class fits
+    into a full one, else as many as the rest surely needs, and the rest waits for the next round.
     """
-    gaps: list[deque] = [deque() for _ in range(capacity + 1)]  # by size: runs (first, count)
-    out, used = [], 0
-    for length in sorted((x for x in counts if counts[x] > 0), reverse=True):
-        count, rank = counts[length], 0
-        for size in range(length, capacity + 1):
-            runs = gaps[size]
-            while runs and rank < count:
-                first, n = runs.popleft()
-                take = min(n, count - rank)
-                out.append((length, rank, rank + take, first, capacity - size))
-                gaps[size - length].append((first, take))
-                if take < n:
-                    runs.appendleft((first + take, n - take))
-                rank += take
-            if rank == count:
-                break
-        # gaps made in this round that still fit the length are taken before any sequence is opened
-        while rank < count:
-            size = next((s for s in range(length, capacity + 1) if gaps[s]), None)
-            if size is None:
-                break
-            first, n = gaps[size].popleft()
-            take = min(n, count - rank)
-            out.append((length, rank, rank + take, first, capacity - size))
-            gaps[size - length].append((first, take))
-            if take < n:
-                gaps[size].appendleft((first + take, n - take))
-            rank += take
-        if rank < count:
-            each = capacity // length
-            full, rest = divmod(count - rank, each)
-            for k in range(each if full else 0):
-                out.append((length, rank, rank + full, used, k * length))
-                rank += full
-            if full:
-                gaps[capacity - each * length].append((used, full))
-                used += full
-            for k in range(rest):
-                out.append((length, rank, rank + 1, used, k * length))
-                rank += 1
-            if rest:
-                gaps[capacity - rest * length].append((used, 1))
-                used += 1
+    longest, shortest = max(x[0] for x in docs), min(x[0] for x in docs)
+    waiting: list[list[int]] = []  # size, next slot, free slots
+    ahead = sorted(gaps)
+    out, rest = [], []
+    for length, first, count in sorted(docs, reverse=True):
+        while ahead and ahead[-1][0] >= length:
+            size, n = ahead.pop()
+            waiting.append([size, 0, n * max(1, size // longest)])
+        while count and waiting:
+            size, slot, free = waiting[-1]
+            take = min(free, count)
+            out.append((length, first, first + take, size, slot, max(1, size // longest)))
+            first, count = first + take, count - take
+            if take == free:
+                waiting.pop()
+            else:
+                waiting[-1][1:] = [slot + take, free - take]
+        if count:
+            rest.append((length, first, count))
+    if rest:
+        each = capacity // longest
+        if shortest * (each + 1) > capacity:
+            opened = -(-sum(n for _, _, n in rest) // each)
+        else:
+            opened = max(1, sum(length * n for length, _, n in rest) // capacity)
+        slot = 0
+        for length, first, count in rest:
+            if take := min(count, opened * each - slot):
+                out.append((length, first, first + take, None, slot, each))
+                slot += take
     return out
 
 
-def pack(piece_rows: DataFrame, capacity: int = 2048, rows_per_group: int = 100_000) -> DataFrame:
+def range_ranked(df: DataFrame, order: list, label: str, rank: str, n: int | None = None) -> DataFrame:
+    """The rows (n at most) range-sorted and stored, with their place in the whole order. Ties get places of their own."""
+    spot = unused(df, "_spot")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(spot, F.monotonically_increasing_id())
+    rows = stored(rows, label, n)
+    part, inner = F.shiftright(spot, 33), F.col(spot).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_shift"))
+    return rows.join(F.broadcast(shifts), part == F.col("_part")).select(*df.columns, (F.col("_shift") + inner).alias(rank))
+
+
+PLAN = "length long, rank_from long, rank_to long, size long, slot long, each long, first long"
+
+
+def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length and more), gapless from 0.
 
-    Lengths must lie in 1..capacity. Ties and repeated rows are placed in any order. An empty
-    table gives an empty result. The driver gets one count a length (capacity rows at most).
+    Lengths must lie in 1..capacity. Ties and repeated rows are placed in any order, nulls in other columns don't
+    matter, columns named sequence_id or offset are replaced, an empty table gives an empty result. The driver gets the runs that a round places and one count a length
+    (capacity rows at most).
     """
     spark = piece_rows.sparkSession
-    rows = cut(piece_rows)
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    if any(not 1 <= x <= capacity for x in counts):
+    # the row travels as one column, so that its names can't clash with those used here
+    rows = piece_rows.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"))
+    order = [F.desc("length"), F.col("row.doc_id"), F.col("row.piece")]
+    docs = range_ranked(rows, order, "pieces", "_rank")
+    counts = {r["length"]: (r["first"], r["n"]) for r in docs.groupBy("length").agg(F.min("_rank").alias("first"), F.count("*").alias("n")).collect()}
+    if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError("a piece is empty or longer than the capacity")
-    plan = spark.createDataFrame(
-        plan_rounds(counts, capacity), "length long, rank_from long, rank_to long, first_sequence long, offset long"
-    )
-    # rank within a length: a length may hold any share of the rows, so its rows are split
-    # into groups, ranked within the group, and shifted by the rows of the groups before it
-    groups = max(64, -(-sum(counts.values()) // rows_per_group))
-    rows = rows.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    before = rows.groupBy("length", "_g").agg(F.count("*").alias("_n"))
-    before = cut(
-        before.withColumn(
-            "_before",
-            F.sum("_n").over(Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)),
-        ).select("length", "_g", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
-    within = Window.partitionBy("length", "_g").orderBy("doc_id", "piece")
-    ranked = (
-        rows.withColumn("_k", F.row_number().over(within))
-        .join(before, ["length", "_g"])
-        .withColumn("_rank", F.col("_before") + F.col("_k") - 1)
+    gaps, opened, files = None, 0, []
+    for low, high in length_classes(capacity):
+        left = {x: counts.pop(x) for x in list(counts) if low < x <= high}
+        while left:
+            todo = [(length, first, n) for length, (first, n) in left.items()]
+            ranked = None
+            if gaps is not None:
+                ranked = range_ranked(gaps.where(F.col("size") >= min([*left, *counts])), ["size", "sequence_id"], "gaps", "_gap", opened)
+            plan = _swept(ranked, todo, capacity)
+            files.append(scratch_path(spark, "packed"))
+            fresh = _placed(docs, ranked, plan, opened, capacity, min(left), max(left))
+            few(fresh, sum(b - a for _, a, b, *_ in plan)).write.parquet(files[-1])
+            new = max((-(-(slot + b - a) // each) for _, a, b, size, slot, each, _ in plan if size is None), default=0)
+            for length, _, to, *_ in plan:
+                first, n = left[length]
+                left[length] = (max(first, to), n - max(0, to - first))
+            left = {x: v for x, v in left.items() if v[1]}
+            if left or counts:  # the shrunken gaps
+                used = spark.read.schema(fresh.schema).parquet(files[-1])
+                used = used.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
+                open_ = spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("size"))
+                if ranked is not None:
+                    open_ = ranked.select("sequence_id", "size").unionByName(open_)
+                gaps = open_.join(used, "sequence_id", "left").select(
+                    "sequence_id", (F.col("size") - F.coalesce("_used", F.lit(0))).alias("size")
+                )
+            opened += new
+    kept = [F.col(f"row.`{c}`") for c in piece_rows.columns if c.lower() not in ("sequence_id", "offset")]
+    if not files:
+        return rows.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
+    return spark.read.schema(fresh.schema).parquet(*files).select(*kept, "sequence_id", "offset")
+
+
+def _swept(ranked: DataFrame | None, todo: list[tuple[int, int, int]], capacity: int) -> list[tuple]:
+    """The plan of a round: the sweep over the runs of the range-sorted gaps, with each run's first rank."""
+    if ranked is None:
+        return [(*x, 0) for x in sweep(todo, [], capacity)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = [x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+        first = {size: at for size, _, at in runs}
+        plan = [(*x, first.get(x[3], 0)) for x in sweep(todo, [(size, n) for size, n, _ in runs], capacity)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()) for x in zip(*plan, strict=True)], names=[x.split()[0] for x in PLAN.split(", ")]
+        )
+
+    runs = ranked.where(F.col("size") >= min(x[0] for x in todo))
+    runs = runs.groupBy("size").agg(F.count("*").alias("n"), F.min("_gap").alias("at"))  # capacity rows at most
+    return [tuple(r) for r in runs.repartition(1).mapInArrow(work, PLAN).collect()] or [(*x, 0) for x in sweep(todo, [], capacity)]
+
+
+def _placed(docs: DataFrame, ranked: DataFrame | None, plan: list[tuple], opened: int, capacity: int, low: int, high: int) -> DataFrame:
+    """The pieces that a plan places, with sequence_id and offset."""
+    runs = F.broadcast(docs.sparkSession.createDataFrame(plan, PLAN).withColumnRenamed("length", "_length"))  # a run of pieces or gaps a row
+    mine = docs.where(F.col("length").between(low, high)).join(
+        runs, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to"))
     )
-    placed = ranked.join(
-        F.broadcast(plan),  # at most capacity * ln(capacity) openings and a few splits a length
-        (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")),
-    ).drop(plan["length"])
-    return placed.select(
-        *piece_rows.columns,
-        (F.col("first_sequence") + F.col("_rank") - F.col("rank_from")).alias("sequence_id"),
-        "offset",
+    mine = mine.withColumn("_slot", F.col("slot") + F.col("_rank") - F.col("rank_from"))
+    mine = mine.withColumn("_turn", F.col("_slot") % F.col("each")).withColumn("_gap", F.col("first") + F.floor(F.col("_slot") / F.col("each")))
+    mine = mine.select("row", "length", "size", "_turn", "_gap")
+    new = mine.where("size IS NULL").drop("size").select(
+        "row", "length", "_turn", F.lit(capacity).cast("long").alias("_size"), (F.col("_gap") + opened).alias("_sequence")
     )
+    if any(size is not None for _, _, _, size, *_ in plan):
+        taken = ranked.select("_gap", F.col("size").alias("_size"), F.col("sequence_id").alias("_sequence"))
+        new = new.unionByName(mine.where("size IS NOT NULL").drop("size").join(taken, "_gap").select("row", "length", "_turn", "_size", "_sequence"))
+    shift = F.lit(0).cast("long")
+    if any(each > 1 for *_, each, _ in plan):  # at most ``each`` pieces a sequence and round
+        upto = Window.partitionBy("_sequence").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+        shift = F.coalesce(F.sum("length").over(upto), shift)
+    return new.select("row", "length", F.col("_sequence").alias("sequence_id"), (F.lit(capacity) - F.col("_size") + shift).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:

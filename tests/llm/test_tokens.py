@@ -87,28 +87,41 @@ def test_shards_round_trip(spark, tmp_path):
     assert wavelet.token_file_digest(df.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
-def test_plan_places_each_rank_once_without_overlap():
-    rng = random.Random(5)
-    for capacity, most in ((16, 40), (64, 5), (2048, 3)):
-        counts = {k: rng.randint(0, most) for k in range(1, capacity + 1)}
-        bins, placed = {}, {k: 0 for k in counts}
-        for length, a, b, first, offset in packing.plan_rounds(counts, capacity):
-            for r in range(a, b):
-                bins.setdefault(first + r - a, []).append((offset, length))
-                placed[length] += 1
-        assert placed == counts
-        for parts in bins.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= capacity
-        gaps = []  # one document after the other, longest first, each into the smallest gap that holds it
-        for length in sorted((k for k in counts for _ in range(counts[k])), reverse=True):
-            k = bisect.bisect_left(gaps, length)
-            left = (gaps.pop(k) if k < len(gaps) else capacity) - length
-            bisect.insort(gaps, left)
-        assert len(bins) <= len(gaps)
+def best_fit_decreasing(lengths, capacity):
+    gaps = []  # one document after the other, longest first, each into the smallest gap that holds it
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, length)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else capacity) - length)
+    return len(gaps)
+
+
+def test_sweep_takes_the_smallest_gap_that_holds():
+    assert packing.sweep([(5, 0, 1), (3, 1, 1)], [(5, 1), (6, 1)], 8) == [(5, 0, 1, 5, 0, 1), (3, 1, 2, 6, 0, 1)]
+    assert packing.sweep([(4, 0, 5)], [(9, 1), (4, 1)], 9) == [(4, 0, 1, 4, 0, 1), (4, 1, 3, 9, 0, 2), (4, 3, 5, None, 0, 2)]
+
+
+@pytest.mark.parametrize("capacity,lengths", [
+    (16, [1, 16, 8, 8, 9, 7, 3, 3, 3, 3, 3, 5, 11]),
+    (64, [random.Random(k).randint(1, 64) for k in range(400)]),
+    (100, [20] * 300 + [34] * 50 + [51, 49, 1]),
+    (64, [random.Random(k).choice((1, 2, 3, 30)) for k in range(300)]),
+    (7, [7, 7, 1]),
+])
+def test_rounds_pack_like_best_fit_decreasing(spark, capacity, lengths):
+    rows = [(k // 3, k % 3, n, "x", "y") for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length int, slot string, _rank_ string").repartition(3)
+    got = packing.pack(df, capacity).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == sorted(x[:3] for x in rows)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(sequences) <= best_fit_decreasing(lengths, capacity) + 1
 
 
 def test_packing_documents(spark):
