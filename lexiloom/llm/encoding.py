@@ -60,37 +60,6 @@ def _mode(spec: dict) -> str:
     return "whole"
 
 
-class _Pieces(dict):
-    """Ids of short pieces, found by ``encode`` when first met.
-
-    Two generations of half the bound each: when the young one is full it becomes the old one, and
-    pieces met again come back from there, so that frequent pieces stay and rare ones go.
-    """
-
-    #: Longer pieces are encoded each time, so that an entry's size is bounded too.
-    LONGEST = 64
-
-    def __init__(self, encode, entries: int):
-        super().__init__()
-        self.encode, self.half, self.old = encode, max(1, entries // 2), {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-            if len(piece) > self.LONGEST:
-                return ids
-        if len(self) >= self.half:
-            self.old = dict(self)
-            super().clear()
-        self[piece] = ids
-        return ids
-
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
-
-
 class WordwiseEncoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
@@ -99,11 +68,11 @@ class WordwiseEncoder:
     removed): no pre-token spans white space, so cutting at plain spaces and newlines is
     exact. Any other tokenizer, or one whose normalizer or pattern isn't one of the two known ones, encodes the text
     whole. Strings of special tokens in a text become those tokens, as the library has it by default;
-    special_as_text makes them ordinary text. The caches hold at most ``cache_entries`` pieces of
-    up to 64 characters each, about 200 bytes an entry; ``forget`` drops them at the end of a task.
+    special_as_text makes them ordinary text. Each of three caches keeps at most ``cache_entries``
+    pieces of up to LONGEST characters, about 200 bytes each; ``forget`` drops them at the end of a task.
     """
 
-    def __init__(self, path: str, cache_entries: int = 300_000, block_chars: int = 1_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, cache_entries: int = 500_000, block_chars: int = 1_000_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,73 +80,90 @@ class WordwiseEncoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.tokenizer.encode_special_tokens = special_as_text
-        self.block_chars = block_chars
+        self.cache_entries, self.block_chars = cache_entries, block_chars
         self.mode = _mode(spec)
         added = [] if special_as_text else [x["content"] for x in spec.get("added_tokens") or [] if x.get("content")]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = self.tokenizer.model
-        self.first = _Pieces(self._first, cache_entries)
-        self.rest = _Pieces(self._rest, cache_entries)
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+        self.marked = False  # whether the block at hand has strings of special tokens
+
+    #: Characters of the pieces that are kept.
+    LONGEST = 64
 
     def forget(self) -> None:
         """Drops the caches, so that a worker holds them no longer than its task."""
-        self.first.forget()
-        self.rest.forget()
+        self.first, self.rest, self.tokens = {}, {}, {}
 
-    def _raw(self, piece: str) -> bytes:
+    def _raw(self, pieces: list[str]) -> list[bytes]:
         """Ids by the whole tokenizer."""
-        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _token(self, token: str) -> bytes:
         """Ids of one pre-token by the tokenizer's model."""
         letters = token.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
-    def _simple(self, piece: str) -> bool:
-        """Whether the piece has only ASCII and Latin-1 letters, which neither normalizer changes but for case."""
-        return _SIMPLE.fullmatch(piece) is not None and not (self.special and self.special.search(piece))
-
-    def _first(self, piece: str) -> bytes:
-        """Ids of a piece at the start of a text or block."""
-        drop = self.mode == "drop_space"
-        if piece.isascii() and piece.isalpha() and (piece.islower() or not drop):
-            return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()  # one pre-token, letters as they are
-        if not self._simple(piece):
-            return self._raw(piece)
-        tokens = _WORD_TOKENS.findall(piece.lower()) if drop else _BYTE_TOKENS.findall(piece)
-        if len(tokens) == 1 and tokens[0] == piece:
-            return self._token(piece)
-        if drop:
-            return b"".join(map(self.first.__getitem__, tokens))
-        return b"".join(map(self._of, tokens))
-
-    def _of(self, token: str) -> bytes:
-        """Ids of a pre-token with its space."""
-        if token[0] != " ":
-            return self.first[token]
-        return self.rest[token[1:]] if token[1:] and not token.isspace() else self._token(token)
-
-    def _rest(self, piece: str) -> bytes:
-        """Ids of a piece that follows a space, which its first pre-token takes."""
-        if piece.isascii() and piece.isalpha():
-            return array("I", [x.id for x in self.model.tokenize("\u0120" + piece)]).tobytes()
-        whole = " " + piece
-        if not self._simple(whole):
-            return self._raw(whole)
-        head, *tail = _BYTE_TOKENS.findall(whole)
-        return b"".join(map(self._of, (head, *tail))) if tail else self._token(head)
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that no cache holds.
+
+        For ASCII and Latin-1 letters, which neither normalizer changes but for case, the pre-tokens
+        are cut here and only those not met before reach the model; other pieces take the whole way.
+        """
+        simple, special = _SIMPLE.fullmatch, self.special
+        hard = [x for x in pieces if not simple(x)]
+        if self.marked:
+            hard += [x for x in pieces if simple(x) and special.search(x)]
+        known = dict(zip(hard, self._raw(hard), strict=True)) if hard else {}
+        if self.mode == "drop_space":
+            cut = lambda x: _WORD_TOKENS.findall(x.lower())
+        else:
+            cut = _BYTE_TOKENS.findall
+        fresh = {x: cut(x) for x in pieces if x not in known}
+        if len(self.tokens) > self.cache_entries:
+            self.tokens.clear()
+        long = []
+        for token in set().union(*fresh.values()).difference(self.tokens):
+            self.tokens[token] = self._token(token)
+            if len(token) > self.LONGEST:
+                long.append(token)
+        ids = self.tokens.__getitem__
+        out = [known[x] if x in known else b"".join(map(ids, fresh[x])) for x in pieces]
+        for token in long:
+            del self.tokens[token]
+        return out
+
+    def _look_up(self, pieces: list[str], cache: dict[str, bytes], prefix: str) -> bytes:
+        missing = list(set(pieces).difference(cache))
+        if not missing:
+            return b"".join(map(cache.__getitem__, pieces))
+        if len(cache) + len(missing) > self.cache_entries:
+            cache.clear()
+            missing = list(set(pieces))
+        cache.update(zip(missing, self._pieces([prefix + x for x in missing]), strict=True))
+        out = b"".join(map(cache.__getitem__, pieces))
+        if max(map(len, missing)) > self.LONGEST or len(cache) > self.cache_entries:
+            for x in missing:
+                if len(x) > self.LONGEST or len(cache) > self.cache_entries:
+                    del cache[x]
+        return out
 
     def _block(self, text: str) -> bytes:
-        odd = any(c in text for c in _ODD_ASCII) or not text.isascii() and _ODD_WIDE.search(text)
+        self.marked = self.special is not None and self.special.search(text) is not None
         if self.mode == "drop_space":
-            pieces = [x for x in re.split("[ \n]+", text) if x] if odd else text.split()
-            return b"".join(map(self.first.__getitem__, pieces))
-        if odd or "  " in text or " \n" in text or "\n " in text:
-            return b"".join(map(self.first.__getitem__, _LONE_SPACE.split(text)))
+            if any(c in text for c in _ODD_ASCII) or not text.isascii() and _ODD_WIDE.search(text):
+                return self._look_up([x for x in re.split("[ \n]+", text) if x], self.first, "")
+            return self._look_up(text.split(), self.first, "")
+        odd = "  " in text or " \n" in text or "\n " in text or any(c in text for c in _ODD_ASCII)
+        if odd or not text.isascii() and _ODD_WIDE.search(text):
+            return self._look_up(_LONE_SPACE.split(text), self.first, "")
         head, *tail = text.split(" ")
         if tail and not tail[-1]:
-            return self.first[text]
-        return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, tail))
+            return self._look_up([text], self.first, "")
+        return (self._look_up([head], self.first, "") if head else b"") + self._look_up(tail, self.rest, " ")
 
     def _blocks(self, text: str):
         """The text in blocks, cut at lone spaces only."""
@@ -200,7 +186,7 @@ class WordwiseEncoder:
         if not text:
             return b""
         if self.mode == "whole":
-            return self._raw(text)
+            return self._raw([text])[0]
         return b"".join(map(self._block, self._blocks(text)))
 
 

@@ -140,6 +140,7 @@ def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = piece_rows.sparkSession
     # the row travels as one column, so that its names can't clash with those used here
     rows = piece_rows.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"))
+    rows = stored(rows, "unsorted")  # range-sorting reads its rows twice
     order = [F.desc("length"), F.col("row.doc_id"), F.col("row.piece")]
     docs = range_ranked(rows, order, "pieces", "_rank")
     counts = {r["length"]: (r["first"], r["n"]) for r in docs.groupBy("length").agg(F.min("_rank").alias("first"), F.count("*").alias("n")).collect()}

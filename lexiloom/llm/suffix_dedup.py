@@ -1,18 +1,18 @@
 """Removal of repeated long byte strings by a logarithmic family of suffix arrays (operator 1).
 
-A suffix here is the ``window`` (200) bytes from a place on, and a suffix array holds suffixes in the
-order of a 128-bit hash of those bytes: any order that puts equal suffixes side by side finds all
-matches of at least the window, and a hash sorts faster than the bytes.
+A suffix here is the ``window`` (200) bytes from a place on; two places match over at least the window
+if their suffixes are equal, and equal suffixes lie side by side in a suffix array.
 
 1. Sampling. Each window has an anchor, the k-gram of the smallest hash inside it. Anchors depend on
    the bytes alone, so equal windows have equal anchors. Windows in a row with one anchor form
    a segment; a segment whose anchor occurs once in the corpus has no repeated window.
 2. Segments with equal bytes repeat as a whole, however many there are; no further look is needed.
 3. One segment of each distinct content, under an anchor with more than one content, goes to the
-   suffix index, dealt by anchor. There every incoming batch gets its suffix array, is merge-scanned
-   against the existing levels for matches, and levels of like size merge geometrically.
+   suffix index, dealt by anchor. There every incoming batch gets its suffix array (by rank doubling, in the order of
+   the bytes), is merge-scanned against the existing levels for matches, and levels of like size merge
+   geometrically, by the places that the scan found. Matches there are decided on the bytes.
    An anchor with very many contents is dealt over several tasks; the last levels of those are
-   compared with each other by an ordinary aggregate over suffix hashes.
+   compared with each other by an ordinary aggregate over 128-bit suffix hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import stored, text_bytes, tidy
+from .common import small_batches, stored, text_bytes, tidy
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -116,46 +116,108 @@ class Segmenter:
         return grams[low[starts]], content, starts + at, counts
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    ranks = np.empty(len(keys), np.uint64)
+    ranks[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.uint64)
+    return ranks
+
+
+def suffix_order(block: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the places' windows in the order of their bytes, and whether each differs from the one before it.
+
+    Ranks of 8 bytes at every place of the block give those of 24 bytes, and so on by threes; the last step lays
+    its three parts over the window. Ranks are exact, so windows are told equal if and only if their bytes are.
+    """
+    if len(block) >= 1 << 21:
+        raise ValueError("a block holds at most 2**21 bytes, so that three ranks fit a word")
+    width = min(8, window)
+    padded = np.concatenate([block, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(block),), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+    ranks = _ranks(words >> np.uint64(64 - 8 * width))
+
+    def joined(at: np.ndarray, first: int, second: int) -> np.ndarray:
+        end = len(block) - 1  # places past the end belong to no window
+        return (ranks[at] << np.uint64(42)) | (ranks[np.minimum(at + first, end)] << np.uint64(21)) | ranks[np.minimum(at + second, end)]
+
+    while 3 * width < window:
+        ranks = _ranks(joined(np.arange(len(block)), width, 2 * width))
+        width *= 3
+    keys = joined(places, (window - width) // 2, window - width)
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
+
+
 class SuffixLevels:
-    """Logarithmic family of suffix arrays over distinct suffixes.
+    """Logarithmic family of suffix arrays over the distinct windows of a growing text.
 
-    add() gives a batch its array, marks what repeats inside it or in a level, and keeps one entry
-    of each distinct suffix. Levels at least half as large as the one below merge, so a suffix
+    add() gives a batch its suffix array, marks what repeats inside it or in a level, and keeps one entry
+    of each distinct window. Levels at least half as large as the one below merge, so a window
     takes part in a logarithmic number of merges.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    #: Entries whose bytes are laid out at once.
+    CHUNK = 1 << 14
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+        self.text = np.zeros(0, np.uint8)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # place in the text and number of each entry, in suffix order
         self.repeated = np.zeros(0, bool)
 
-    def add(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Suffixes of the next places, as hashes of two kinds."""
-        base = len(self.repeated)
-        self.repeated = np.concatenate([self.repeated, np.zeros(len(h1), bool)])
-        order = np.lexsort((h2, h1))
-        h1, h2, place = h1[order], h2[order], order + base
-        if not len(h1):
+    def _windows(self, places: np.ndarray) -> np.ndarray:
+        """The windows at these places as strings, which compare by their bytes."""
+        view = np.lib.stride_tricks.sliding_window_view(self.text, self.window)
+        return view[places].view(f"S{self.window}")[:, 0]
+
+    def _scan(self, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A merge scan of two arrays in suffix order: where each new entry goes among the old, and if it is there already."""
+        spots, equal = np.zeros(len(new), np.int64), np.zeros(len(new), bool)
+        at = 0  # old entries before it are smaller than all that is left
+        for begin in range(0, len(new), self.CHUNK):
+            wanted = self._windows(new[begin : begin + self.CHUNK])
+            done = 0
+            while done < len(wanted):
+                have = self._windows(old[at : at + self.CHUNK])
+                last = at + self.CHUNK >= len(old)
+                stop = len(wanted) if last else done + int(np.searchsorted(wanted[done:], have[-1], side="right"))
+                k = np.searchsorted(have, wanted[done:stop])
+                inside = k < len(have)
+                spots[begin + done : begin + stop] = at + k
+                equal[begin + done : begin + stop][inside] = have[k[inside]] == wanted[done:stop][inside]
+                done = stop
+                if done < len(wanted):
+                    at += self.CHUNK
+        return spots, equal
+
+    def add(self, block: np.ndarray, places: np.ndarray) -> None:
+        """The windows at the places of a block of text; they get the next numbers."""
+        first = len(self.repeated)
+        self.repeated = np.concatenate([self.repeated, np.zeros(len(places), bool)])
+        if not len(places):
             return
-        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        order, new = suffix_order(block, places, self.window)
         run = np.cumsum(new) - 1
-        self.repeated[place] = np.bincount(run)[run] > 1
-        h1, h2, place = h1[new], h2[new], place[new]
-        for a1, a2, at in self.levels:
-            k = np.minimum(np.searchsorted(a1, h1), len(a1) - 1)
-            hit = (a1[k] == h1) & (a2[k] == h2)
-            if hit.any():
-                self.repeated[place[hit]] = True
-                self.repeated[at[k[hit]]] = True
-                # the batch's repeats of that suffix were marked above; the level keeps its entry
-                h1, h2, place = h1[~hit], h2[~hit], place[~hit]
-        if not len(h1):
+        self.repeated[first + order] = np.bincount(run)[run] > 1
+        number, place = first + order[new], places[order[new]] + len(self.text)
+        self.text = np.concatenate([self.text, block])
+        for old_place, old_number in self.levels:
+            spots, equal = self._scan(old_place, place)
+            if equal.any():
+                self.repeated[number[equal]] = True
+                self.repeated[old_number[spots[equal]]] = True
+                # the batch's repeats of that window were marked above; the level keeps its entry
+                number, place = number[~equal], place[~equal]
+        if not len(place):
             return
-        self.levels.append((h1, h2, place))
+        self.levels.append((place, number))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            b, a = self.levels.pop(), self.levels.pop()
-            h1, h2, place = (np.concatenate(x) for x in zip(a, b, strict=True))
-            order = np.argsort(h1, kind="stable")
-            self.levels.append((h1[order], h2[order], place[order]))
+            (place, number), (old_place, old_number) = self.levels.pop(), self.levels.pop()
+            spots, _ = self._scan(old_place, place)  # no window is in two levels
+            self.levels.append((np.insert(old_place, spots, place), np.insert(old_number, spots, number)))
 
 
 def _spans_of(mask: np.ndarray, first: int, window: int) -> list[tuple[int, int]]:
@@ -188,6 +250,8 @@ def repeated_spans(
     keyed: DataFrame, window: int = 200, contents_per_task: int = 4_000, kgram: int = 32
 ) -> DataFrame:
     """row, start, end of bytes covered by windows that start anywhere else too (spans may overlap)."""
+    if not kgram <= window < kgram + 255:
+        raise ValueError("a segment has at most window - kgram + 1 windows, and their number must fit a byte")
     spark = keyed.sparkSession
     ship_package(spark)
 
@@ -258,11 +322,10 @@ def repeated_spans(
     )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, hashes = SuffixLevels(), (RollingHash(0), RollingHash(1))
+        levels, hashes = SuffixLevels(window), (RollingHash(0), RollingHash(1))
         rows, places, dealt = [], [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for part in small_batches([batch], 1 << 20):  # a segment is shorter than two windows
                 rows += part.column(0).to_pylist()
                 places += (mine := part.column(1).to_pylist())
                 dealt += part.column(2).to_pylist()
@@ -270,9 +333,7 @@ def repeated_spans(
                 starts = np.cumsum([0, *map(len, texts)])[:-1]
                 counts = np.array([p & 255 for p in mine])
                 inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                begin = np.repeat(starts, counts) + inner
-                block = np.frombuffer(b"".join(texts), np.uint8)
-                levels.add(*(h.at(h.prefix(block), window, begin) for h in hashes))
+                levels.add(np.frombuffer(b"".join(texts), np.uint8), np.repeat(starts, counts) + inner)
         base = 0
         found: list[tuple[int, int, int]] = []
         owner: list[np.ndarray] = []
@@ -287,10 +348,12 @@ def repeated_spans(
         # dealt anchors: one entry of each distinct suffix goes on, to meet those of other tasks
         if owner:
             table = np.array(owner)
-            for h1, h2, at in levels.levels:
+            sums = [h.prefix(levels.text) for h in hashes]
+            for place, at in levels.levels:
                 k = np.searchsorted(table[:, 0], at, side="right") - 1
                 mine = (k >= 0) & (at < table[np.maximum(k, 0), 1])
-                h1, h2, at, k = h1[mine], h2[mine], at[mine], k[mine]
+                h1, h2 = (h.at(x, window, place[mine]) for h, x in zip(hashes, sums, strict=True))
+                at, k = at[mine], k[mine]
                 start = table[k, 3] + at - table[k, 0]
                 yield _index_rows(table[k, 2], start, start + window, h1, h2)
 

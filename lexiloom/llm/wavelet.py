@@ -132,8 +132,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             zeros, above = self.zeros[level], np.empty_like(now)
-            above[~bit] = now[:zeros]
-            above[bit] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - level))
+            above[np.flatnonzero(~bit)] = now[:zeros]
+            above[np.flatnonzero(bit)] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - level))
             now = above
         return now.astype(np.uint32)
 

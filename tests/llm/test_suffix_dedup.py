@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexiloom.llm.suffix_dedup import Segmenter, SuffixLevels, digest, merge_spans, remove_repeats, sliding_min
+from lexiloom.llm.suffix_dedup import Segmenter, SuffixLevels, digest, merge_spans, remove_repeats, sliding_min, suffix_order
 
 SCHEMA = "doc_id long, text string, start string, spans int"
 
@@ -65,18 +65,34 @@ def test_long_text_in_blocks():
     assert parts[3].sum() == len(raw) - 199 and (np.diff(parts[2]) == parts[3][:-1]).all()
 
 
-def test_levels_against_counts():
-    rng = np.random.default_rng(0)
-    levels, all_ = SuffixLevels(), []
+@pytest.mark.parametrize("window", [3, 8, 20, 24, 200])
+def test_suffix_order_is_that_of_the_bytes(window):
+    rng = random.Random(window)
+    raw = bytes(rng.choice(b"ab\x00") for _ in range(500)) + b"ab" * 200 + bytes(300) + bytes(rng.randbytes(300))
+    places = np.array([k for k in range(len(raw) - window + 1) if k % 7])
+    order, new = suffix_order(np.frombuffer(raw, np.uint8), places, window)
+    windows = [raw[k : k + window] for k in places[order]]
+    assert windows == sorted(windows)
+    assert new.tolist() == [True] + [x != y for x, y in zip(windows, windows[1:])]
+
+
+@pytest.mark.parametrize("chunk", [4, 1 << 14])
+def test_levels_against_counts(chunk):
+    rng = random.Random(0)
+    levels, seen = SuffixLevels(9), []
+    levels.CHUNK = chunk
     for n in (1, 50, 3, 200, 0, 70, 400):
-        h = rng.integers(0, 500, n, np.uint64)
-        all_.append(h)
-        levels.add(h, h)
-    h = np.concatenate(all_)
-    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    assert (levels.repeated == (count[back] > 1)).all()
+        raw = bytes(rng.choice(b"ab\x00") for _ in range(n + 8))
+        places = np.arange(n)
+        seen += [raw[k : k + 9] for k in places]
+        levels.add(np.frombuffer(raw, np.uint8), places)
+    count = Counter(seen)
+    assert levels.repeated.tolist() == [count[x] > 1 for x in seen]
     sizes = [len(x[0]) for x in levels.levels]
     assert all(2 * b < a for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(count)
+    for place, number in levels.levels:
+        entries = [levels.text[k : k + 9].tobytes() for k in place]
+        assert entries == sorted(entries) and entries == [seen[k] for k in number]
 
 
 def test_small_parts():

@@ -24,6 +24,7 @@ def test_page_text(spark):
     )
     assert [r.text for r in got if r.page_id == 1] == [want, want] and got[0].n_chars == len(want)
     assert {r.page_id: r.text for r in got if r.page_id in (None, 3, 5)} == {None: "", 3: "", 5: ""}
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_minimum_cut_is_least():

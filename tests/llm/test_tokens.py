@@ -41,9 +41,10 @@ def test_caches_are_bounded_and_other_tokenizers_go_whole(tmp_path):
     enc = WordwiseEncoder(vocabulary("byte_bpe_50k.json"), 100)
     enc.encode(" ".join(f"w{k}" for k in range(5000)) + " " + "x" * 100_000 + "  ")
     for cache in (enc.first, enc.rest):
-        assert len(cache) + len(cache.old) <= 100 and all(len(x) <= cache.LONGEST for x in (*cache, *cache.old))
+        assert len(cache) <= 100 and all(len(x) <= enc.LONGEST for x in cache)
+    assert all(len(x) <= enc.LONGEST + 1 for x in enc.tokens)
     enc.forget()
-    assert not enc.first and not enc.rest.old
+    assert not enc.first and not enc.rest and not enc.tokens
     spec = json.load(open(vocabulary("word_bpe_49k.json"), encoding="utf-8"))
     spec["normalizer"]["normalizers"].pop()
     (tmp_path / "cased.json").write_text(json.dumps(spec))
