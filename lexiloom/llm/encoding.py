@@ -125,9 +125,10 @@ class WordwiseEncoder:
         fresh = {x: cut(x) for x in pieces if x not in known}
         if len(self.tokens) > self.cache_entries:
             self.tokens.clear()
-        long = []
+        long, first, rest = [], self.first.get, self.rest.get
         for token in set().union(*fresh.values()).difference(self.tokens):
-            self.tokens[token] = self._token(token)
+            met = rest(token[1:]) if token[0] == " " else first(token)  # a word that is a piece of its own is known there
+            self.tokens[token] = met or self._token(token)
             if len(token) > self.LONGEST:
                 long.append(token)
         ids = self.tokens.__getitem__
@@ -143,7 +144,13 @@ class WordwiseEncoder:
         if len(cache) + len(missing) > self.cache_entries:
             cache.clear()
             missing = list(set(pieces))
-        cache.update(zip(missing, self._pieces([prefix + x for x in missing]), strict=True))
+        drop, tokenize, space = self.mode == "drop_space", self.model.tokenize, _BYTE_LETTERS[32] if prefix else ""
+        # ASCII letters alone are one pre-token and stand for themselves
+        plain = [x for x in missing if x.isascii() and x.isalpha() and (x.islower() or not drop)]
+        cache.update([(x, array("I", [t.id for t in tokenize(space + x)]).tobytes()) for x in plain])
+        if len(plain) < len(missing):
+            other = set(missing).difference(plain)
+            cache.update(zip(other, self._pieces([prefix + x for x in other]), strict=True))
         out = b"".join(map(cache.__getitem__, pieces))
         if max(map(len, missing)) > self.LONGEST or len(cache) > self.cache_entries:
             for x in missing:
