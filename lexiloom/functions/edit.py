@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def edits(a: list, b: list) -> int:
-    """Insertions, deletions and substitutions between two lists."""
+    """Insertions, deletions and substitutions between two lists; a row of the table at a time."""
     if len(a) < len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    if not b:
+        return len(a)
+    number: dict = {}
+    x = [number.setdefault(v, len(number)) for v in a]
+    y = np.array([number.setdefault(v, len(number)) for v in b])
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i, v in enumerate(x, 1):
+        now = np.empty_like(row)
+        now[0] = i
+        now[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != v))
+        row = np.minimum.accumulate(now - steps) + steps  # insertions run along the row
+    return int(row[-1])
 
 
 def token_edits(a: Column, b: Column) -> Column:

@@ -53,12 +53,22 @@ def hysteresis(rows: DataFrame, key: Sequence[str], order: Sequence[str], value:
     return runs(rows.withColumn("_state", state), key, order, F.col("_state"))
 
 
-def fill_gaps(rows: DataFrame, key: Sequence[str], label: str = "sil") -> DataFrame:
-    """key, begin, end, label: a row for every stretch between intervals that none covers."""
+def fill_gaps(rows: DataFrame, key: Sequence[str], label: str = "sil", edges: DataFrame | None = None) -> DataFrame:
+    """key, begin, end, label: a row for every stretch between intervals that none covers.
+
+    edges (key, first, last): bounds of each key, up to which its start and end are filled too; a key without an interval is
+    filled as a whole.
+    """
     w = Window.partitionBy(*key).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.max("end").over(w)
     gaps = rows.withColumn("_covered", covered).where("_covered < begin")
-    return gaps.select(*key, F.col("_covered").alias("begin"), F.col("begin").alias("end"), F.lit(label).alias("label"))
+    out = gaps.select(*key, F.col("_covered").alias("begin"), F.col("begin").alias("end"))
+    if edges is not None:
+        ends = edges.join(rows.groupBy(*key).agg(F.min("begin").alias("_b"), F.max("end").alias("_e")), list(key), "left")
+        before = ends.select(*key, F.col("first").alias("begin"), F.coalesce("_b", "last").alias("end"))
+        after = ends.where("_e IS NOT NULL").select(*key, F.col("_e").alias("begin"), F.col("last").alias("end"))
+        out = out.unionByName(before.unionByName(after).where("begin < end"))
+    return out.withColumn("label", F.lit(label))
 
 
 def merge_close(rows: DataFrame, key: Sequence[str], gap: int) -> DataFrame:
@@ -79,9 +89,12 @@ def _islands(rows: DataFrame, key: Sequence[str], gap: int) -> DataFrame:
     return rows.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(w)).drop("_fresh")
 
 
-def merge_segments(rows: DataFrame, key: Sequence[str], pause: int, longest: int) -> DataFrame:
+def merge_segments(rows: DataFrame, key: Sequence[str], pause: int, longest: int, shortest: int = 0, snap: int = 0) -> DataFrame:
     """Segments of intervals: a new one starts after a pause or where it would get too long.
 
+    Segments shorter than ``shortest`` are dropped, then each is made ``snap`` longer at both ends, as far as half the way to
+    its neighbour and not below zero.
+
     A long pause always starts one, so stretches between pauses are independent; only inside a stretch
     the cut depends on what came before and runs in order (Arrow batches of whole stretches).
     """
@@ -102,7 +115,77 @@ def merge_segments(rows: DataFrame, key: Sequence[str], pause: int, longest: int
         return made
 
     stretches = _islands(rows.select(*key, "begin", "end"), key, pause)
-    return stretches.groupBy(*key, "_island").applyInPandas(cut, f"{schema}, begin long, end long, n long")
+    made = stretches.groupBy(*key, "_island").applyInPandas(cut, f"{schema}, begin long, end long, n long")
+    made = made.where(F.col("end") - F.col("begin") >= shortest)
+    if not snap:
+        return made
+    w = Window.partitionBy(*key).orderBy("begin", "end")
+    half = lambda gap: F.least(F.lit(snap), F.floor(F.greatest(gap, F.lit(0)) / 2))
+    before = F.coalesce(half(F.col("begin") - F.lag("end").over(w)), F.least(F.lit(snap), F.col("begin")))
+    after = F.coalesce(half(F.lead("begin").over(w) - F.col("end")), F.lit(snap))
+    moved = made.withColumns({"_before": before.cast("long"), "_after": after.cast("long")})
+    return moved.select(*key, (F.col("begin") - F.col("_before")).alias("begin"), (F.col("end") + F.col("_after")).alias("end"), "n")
+
+
+def inside(rows: DataFrame, outer: DataFrame, key: Sequence[str], bucket: int, outer_id: str) -> DataFrame:
+    """rows with the id of every interval of ``outer`` (key, begin, end, id) that holds them as a whole."""
+    spread = outer.select(
+        *key, F.col(outer_id), F.col("begin").alias("_b"), F.col("end").alias("_e"),
+        F.explode(F.sequence(F.floor(F.col("begin") / bucket), F.floor(F.col("end") / bucket))).alias("_bucket"),
+    )
+    located = rows.withColumn("_bucket", F.floor(F.col("begin") / bucket))
+    return located.join(spread, [*key, "_bucket"]).where("begin >= _b AND end <= _e").drop("_bucket", "_b", "_e")
+
+
+def mask_cutoffs(phones: DataFrame, cutoffs: DataFrame, key: Sequence[str], bucket: int, unknown: str = "spn") -> DataFrame:
+    """Phones without those that a cut-off word intersects, and one unknown phone over each such word (key, begin, end, label)."""
+    kept = without_overlap(phones, cutoffs, key, bucket)
+    masks = cutoffs.where("end > begin").select(*key, "begin", "end", F.lit(unknown).alias("label"))
+    return kept.select(*key, "begin", "end", "label").unionByName(masks)
+
+
+def attached(intervals: DataFrame, utterances: DataFrame, key: Sequence[str], bucket: int, label: str = "sil") -> DataFrame:
+    """utterance, begin, end, label: reference intervals by the utterance that holds their middle, gaps and edges filled.
+
+    utterances: key, begin, end, utterance. Intervals that no utterance holds are left out, and ends are cut to the utterance's.
+    """
+    middle = intervals.withColumn("_mid", F.floor((F.col("begin") + F.col("end")) / 2))
+    middle = middle.select(*key, "_mid", F.col("begin").alias("_from"), F.col("end").alias("_to"), "label")
+    found = contained(middle, utterances, key, "_mid", bucket).select(
+        "utterance", F.greatest("_from", "begin").alias("begin"), F.least("_to", "end").alias("end"), "label"
+    )
+    edges = utterances.select("utterance", F.col("begin").alias("first"), F.col("end").alias("last"))
+    return found.unionByName(fill_gaps(found, ["utterance"], label, edges))
+
+
+def equal_alignment(utterances: DataFrame, frames: str, labels: str) -> DataFrame:
+    """rows, place, label, first, last: an utterance's frames dealt evenly over its labels, as a first alignment is made."""
+    n = F.size(labels)
+    rest = [c for c in utterances.columns if c not in (frames, labels)]
+    rows = utterances.select(*rest, F.col(frames).alias("_f"), n.alias("_n"), F.posexplode(labels).alias("place", "label"))
+    at = lambda k: F.floor(F.col("_f") * k / F.col("_n"))
+    return rows.select(*rest, "place", "label", at(F.col("place")).alias("first"), (at(F.col("place") + 1) - 1).alias("last"))
+
+
+def mean_variance_normalized(frames: DataFrame, key: str, vector: str) -> DataFrame:
+    """frames with ``normalized``: each dimension less its mean, by its spread, over all frames of the key (speaker)."""
+    flat = frames.select(key, F.posexplode(vector).alias("_i", "_x"))
+    stats = flat.groupBy(key, "_i").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
+    listed = stats.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "m", "s"))).alias("_stats"))
+    out = F.zip_with(vector, "_stats", lambda x, st: F.when(st["s"] > 0, (x - st["m"]) / st["s"]).otherwise(F.lit(0.0)))
+    return frames.join(listed, key).withColumn("normalized", out).drop("_stats")
+
+
+def confirmed_by_energy(segments: DataFrame, frames: DataFrame, key: Sequence[str], bucket: int, least: Column) -> DataFrame:
+    """Segments (key, begin, end) whose frames (key, at, energy) are loud enough on average, with that average."""
+    held = contained(frames, segments, key, "at", bucket)
+    means = held.groupBy(*key, "begin", "end").agg(F.avg("energy").alias("energy"), F.count("*").alias("n_frames"))
+    return means.where(F.col("energy") >= least)
+
+
+def spans_of(children: DataFrame, parent: str) -> DataFrame:
+    """parent, begin, end: from the first begin to the last end of its children, as after boundaries were moved."""
+    return children.groupBy(parent).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
 def contained(points: DataFrame, intervals: DataFrame, key: Sequence[str], at: str, bucket: int) -> DataFrame:

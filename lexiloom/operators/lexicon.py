@@ -35,9 +35,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+#: What is written for an unknown number that stands before a known one.
+UNKNOWN = dict(zip(FIELDS, (0.99, 0.5, 1.0, 1.0), strict=True))
+
+
 def lexicon_lines(lexicon: DataFrame) -> Column:
-    """A line for each entry: word, the numbers that are known, phones."""
-    return F.concat_ws("\t", "word", *(F.col(f).cast("string") for f in FIELDS), F.array_join("phones", " "))
+    """A line for each entry: word, its numbers up to the last that is known, phones.
+
+    A field's place tells what it is, so an unknown number before a known one is written as UNKNOWN has it.
+    """
+    numbers = []
+    for k, name in enumerate(FIELDS):
+        later = F.coalesce(*(F.col(x) for x in FIELDS[k:])).isNotNull()
+        numbers.append(F.when(later, F.coalesce(F.col(name), F.lit(UNKNOWN[name]))).cast("string"))
+    return F.concat_ws("\t", "word", *numbers, F.array_join("phones", " "))
 
 
 def rule_pattern(segment: str, before: str, after: str) -> str:
@@ -55,11 +66,13 @@ def apply_rule(pronunciation: Column, segment: str, before: str, after: str, rep
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def rule_closure(pronunciation: str, rules: list[tuple[str, str, str, str]], inventory: set[str] | None = None, limit: int = 256) -> list[str]:
+def rule_closure(pronunciation: str, rules: list[tuple[str, str, str, str]], inventory: set[str] | None = None) -> list[str]:
     """All variants that rules make from a pronunciation, breadth first, itself first.
 
-    Variants with phones outside the inventory are left out; a rule that feeds itself without end raises.
+    Variants with phones outside the inventory are left out; rules that make a pronunciation four times as long
+    (and over 16 phones) feed themselves without end, and raise.
     """
+    longest = max(16, 4 * len(pronunciation.split()))
     seen, queue = {pronunciation: None}, [pronunciation]
     for now in queue:
         for segment, before, after, replacement in rules:
@@ -68,8 +81,8 @@ def rule_closure(pronunciation: str, rules: list[tuple[str, str, str, str]], inv
             made = " ".join(made.split())
             if not made or made in seen or inventory is not None and not set(made.split()) <= inventory:
                 continue
-            if len(seen) >= limit:
-                raise ValueError(f"rules make over {limit} variants of {pronunciation!r}")
+            if len(made.split()) > longest:
+                raise ValueError(f"rules make {pronunciation!r} longer and longer")
             seen[made] = None
             queue.append(made)
     return list(seen)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.edit import token_edits, without_bracketed
 
@@ -55,29 +57,31 @@ def confusions(pairs: DataFrame) -> DataFrame:
 def align(reference: list[tuple], hypothesis: list[tuple], gap: float = 5.0) -> list[tuple[int | None, int | None]]:
     """Least-cost alignment of two interval lists (begin, end, label), as index pairs.
 
-    A match costs the boundary differences and two for different labels; a gap costs ``gap``.
+    A match costs the boundary differences and two for different labels; a gap costs ``gap``. The table is
+    filled a row at a time.
     """
     n, m = len(reference), len(hypothesis)
-    cost = [[0.0] * (m + 1) for _ in range(n + 1)]
+    steps = gap * np.arange(m + 1)
+    cost = np.empty((n + 1, m + 1))
+    cost[0] = steps
+    match = np.zeros((n, m))
+    if n and m:
+        times = lambda side, k: np.array([float(x[k]) for x in side])
+        labels = [np.array([hash(x[2]) for x in side]) for side in (reference, hypothesis)]
+        match = 2.0 * (labels[0][:, None] != labels[1][None, :])
+        for k in (0, 1):
+            match += np.abs(times(reference, k)[:, None] - times(hypothesis, k)[None, :])
     for i in range(1, n + 1):
-        cost[i][0] = i * gap
-    for j in range(1, m + 1):
-        cost[0][j] = j * gap
-
-    def match(a: tuple, b: tuple) -> float:
-        return abs(a[0] - b[0]) + abs(a[1] - b[1]) + 2 * (a[2] != b[2])
-
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(
-                cost[i - 1][j - 1] + match(reference[i - 1], hypothesis[j - 1]), cost[i - 1][j] + gap, cost[i][j - 1] + gap
-            )
+        now = cost[i - 1] + gap
+        now[1:] = np.minimum(now[1:], cost[i - 1, :-1] + match[i - 1])
+        cost[i] = np.minimum.accumulate(now - steps) + steps  # gaps run along the row
     out, i, j = [], n, m
+    tiny = 1e-9 * (1.0 + abs(cost[n, m]))
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + match(reference[i - 1], hypothesis[j - 1]):
+        if i and j and abs(cost[i, j] - cost[i - 1, j - 1] - match[i - 1, j - 1]) <= tiny:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and cost[i][j] == cost[i - 1][j] + gap:
+        elif i and abs(cost[i, j] - cost[i - 1, j] - gap) <= tiny:
             i -= 1
             out.append((i, None))
         else:
@@ -86,6 +90,82 @@ def align(reference: list[tuple], hypothesis: list[tuple], gap: float = 5.0) ->
     return out[::-1]
 
 
+def aligned_pairs(reference: DataFrame, hypothesis: DataFrame, key: str, silence: tuple[str, ...] = ("sil", "")) -> DataFrame:
+    """key, reference, hypothesis, overlap: aligned labels of each utterance, ``-`` for a gap, and the boundary error of pairs.
+
+    Both sides: key, begin, end, label. One utterance is aligned at a time; what comes out feeds plain aggregates.
+    """
+    sides = [
+        x.where(~F.col("label").isin(*silence)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "label"))).alias(name))
+        for x, name in ((reference, "_ref"), (hypothesis, "_hyp"))
+    ]
+
+    @F.pandas_udf("array<struct<reference:string,hypothesis:string,overlap:double>>")
+    def pairs(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(ref, hyp, strict=True):
+            a = [(x["begin"], x["end"], x["label"]) for x in (a if a is not None else [])]
+            b = [(x["begin"], x["end"], x["label"]) for x in (b if b is not None else [])]
+            out.append([
+                {
+                    "reference": "-" if i is None else a[i][2],
+                    "hypothesis": "-" if j is None else b[j][2],
+                    "overlap": None if i is None or j is None else float(abs(a[i][0] - b[j][0]) + abs(a[i][1] - b[j][1])) / 2,
+                }
+                for i, j in align(a, b)
+            ])
+        return pd.Series(out, dtype=object)
+
+    joined = sides[0].join(sides[1], key, "left")
+    return joined.select(key, F.explode(pairs("_ref", "_hyp")).alias("_p")).select(key, "_p.*")
+
+
+def alignment_totals(pairs: DataFrame) -> DataFrame:
+    """n_reference, n_insertions, n_deletions, n_substitutions, error_rate, mean_overlap over a whole corpus of aligned_pairs."""
+    gap_r, gap_h = F.col("reference") == "-", F.col("hypothesis") == "-"
+    same = F.col("reference") == F.col("hypothesis")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    totals = pairs.agg(
+        count(~gap_r).alias("n_reference"), count(gap_r).alias("n_insertions"), count(gap_h).alias("n_deletions"),
+        count(~same & ~gap_r & ~gap_h).alias("n_substitutions"), F.avg(F.when(same, F.col("overlap"))).alias("mean_overlap"),
+    )
+    wrong = F.col("n_insertions") + F.col("n_deletions") + 2 * F.col("n_substitutions")
+    return totals.withColumn("error_rate", F.try_divide(wrong, "n_reference"))
+
+
+def confusion_examples(pairs: DataFrame, key: str, examples: int = 5) -> DataFrame:
+    """reference, hypothesis, n and the first ``examples`` utterances of each confusion. Examples are ranked, so none gathers a whole group."""
+    rows = pairs.where("reference <> hypothesis").groupBy("reference", "hypothesis", key).agg(F.count("*").alias("_n"))
+    totals = rows.groupBy("reference", "hypothesis").agg(F.sum("_n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("reference", "hypothesis").orderBy(key))
+    first = rows.withColumn("_k", rank).where(F.col("_k") <= examples).groupBy("reference", "hypothesis").agg(F.sort_array(F.collect_list(key)).alias("examples"))
+    return totals.join(first, ["reference", "hypothesis"])
+
+
+def boundary_report(reference: DataFrame, hypothesis: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """key, precision, recall, f1 of the ends of intervals (key, end), by boundary_scores."""
+
+    @F.pandas_udf("precision double, recall double, f1 double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        none: list = []
+        found = [boundary_scores(list(x) if x is not None else none, list(y) if y is not None else none, tolerance) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(found, columns=["precision", "recall", "f1"], dtype="float64")
+
+    ends = lambda x, name: x.groupBy(key).agg(F.collect_list(F.col("end").cast("double")).alias(name))
+    joined = ends(reference, "_a").join(ends(hypothesis, "_b"), key, "outer")
+    return joined.withColumn("_s", compare("_a", "_b")).select(key, "_s.*")
+
+
+def verified(words: DataFrame, texts: DataFrame, key: str, shortest: float, silence: tuple[str, ...] = ("<eps>", "sil", "")) -> DataFrame:
+    """key, aligned, text, edits, changed: words of intervals that are long enough, in order, against the transcript (an array ``words``)."""
+    rows = words.where((F.col("end") - F.col("begin") > shortest) & ~F.col("label").isin(*silence))
+    said = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("begin", "end", "label"))), lambda x: x["label"]).alias("aligned"))
+    both = texts.select(key, F.col("words").alias("text")).join(said, key, "left")
+    both = both.withColumn("aligned", F.coalesce("aligned", F.array().cast("array<string>")))
+    edits = token_edits(F.col("text"), F.col("aligned"))
+    return both.withColumn("edits", edits).withColumn("changed", F.col("edits") > 0)
+
+
 def evaluate_alignments(reference: DataFrame, hypothesis: DataFrame, key: str, silence: tuple[str, ...] = ("sil", "")) -> DataFrame:
     """key, score (mean boundary error of matched labels / 2), error_rate ((ins + del + 2 sub) / reference).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine_distance, scale_to_length
 from ..session import checkpoint_folder
+from .corpus import dense_ids
+from .selection import linear_steps
 
 
 def mean_vector(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -41,24 +45,36 @@ def centroids(rows: DataFrame, vector: str, key: str) -> DataFrame:
 def nearest_centroid(rows: DataFrame, vector: str, centres: DataFrame, key: str, threshold: float | None = None, most: int = 4096) -> DataFrame:
     """rows with ``predicted`` and ``score``: the centroid of the largest cosine, the smallest key on ties.
 
-    Centroids go to every task as one array while there are at most ``most``; beyond that they are dealt
-    in blocks whose winners are compared. Below the threshold predicted is null (unknown speaker).
+    One pass over the rows: centroids go to the tasks in blocks of at most ``most``, and each batch keeps the
+    best of all blocks (a matrix product a block). Rows may repeat. Below the threshold, and without a centroid, predicted
+    is null (unknown speaker).
     """
+    spark = rows.sparkSession
     n = centres.count()
-    blocks = max(1, -(-n // most))
-    dealt = centres.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        block = dealt.where(F.col("_block") == b).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c"))).alias("_all"))
-        score = lambda x: 1 - cosine_distance(F.col(vector), x["c"])
-        best = F.array_max(F.transform("_all", lambda x: F.struct(score(x).alias("s"), (-x["k"]).alias("k"))))
-        made = rows.crossJoin(F.broadcast(block)).withColumn("_best", best).drop("_all")
-        out = made if out is None else out.unionByName(made)
-    if blocks > 1:
-        rest = [c for c in rows.columns]
-        out = out.groupBy(*rest).agg(F.max("_best").alias("_best"))
-    keep = F.lit(True) if threshold is None else F.col("_best.s") >= threshold
-    return out.withColumns({"predicted": F.when(keep, -F.col("_best.k")), "score": F.col("_best.s")}).drop("_best")
+    blocks = []
+    dealt = centres.select(F.col(key).alias("k"), scale_to_length(F.col("centroid")).alias("c")).withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-n // most)))))
+    for b in range(max(1, -(-n // most)) if n else 0):
+        part = dealt.where(F.col("_b") == b).toPandas().sort_values("k")
+        if len(part):
+            blocks.append(spark.sparkContext.broadcast((part["k"].to_numpy(), np.array(part["c"].tolist(), np.float64))))
+
+    @F.pandas_udf("k long, s double")
+    def best(s: pd.Series) -> pd.DataFrame:
+        x = np.array(s.tolist(), np.float64)
+        keys, scores = np.zeros(len(s), np.int64), np.full(len(s), -np.inf)
+        for block in blocks if len(s) else ():
+            names, matrix = block.value
+            cosine = np.round(x @ matrix.T, 12)  # equal scores must stay equal whatever the block
+            at = cosine.argmax(axis=1)  # the first of equals has the smallest key
+            found, key_ = cosine[np.arange(len(x)), at], names[at]
+            better = (found > scores) | (found == scores) & (key_ < keys)
+            keys, scores = np.where(better, key_, keys), np.where(better, found, scores)
+        return pd.DataFrame({"k": keys, "s": np.where(np.isfinite(scores), scores, np.nan)})
+
+    out = rows.withColumn("_best", best(scale_to_length(F.col(vector))))
+    known = ~F.isnan("_best.s") if threshold is None else ~F.isnan("_best.s") & (F.col("_best.s") >= threshold)
+    kind = centres.schema[key].dataType
+    return out.withColumns({"predicted": F.when(known, F.col("_best.k").cast(kind)), "score": F.nanvl("_best.s", F.lit(None).cast("double"))}).drop("_best")
 
 
 def contingency(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
@@ -143,24 +159,69 @@ def drawn_pairs(rows: DataFrame, vector: str, key: str, id: str, partners: int =
     return asked.join(right, [key, "rank"]).select("a", "b", "matched", (1 - cosine_distance(F.col("_x"), F.col("_y"))).alias("score")).distinct()
 
 
-def equal_error_rate(pairs: DataFrame, steps: int = 1000) -> DataFrame:
-    """eer, threshold from pairs (matched, score in -1..1), over ``steps`` score bins.
+def equal_error_rate(pairs: DataFrame, parts: int = 1024) -> DataFrame:
+    """eer, threshold from pairs (matched, score): where the rates of false rejects and false accepts are nearest.
 
-    Rates at each bin edge come from cumulative counts, so the table that is ordered has ``steps`` rows.
+    Exact: every score that occurs is tried. Counts by score are summed up within ranges of scores and shifted by the ranges
+    before, of which there are at most ``parts``.
     """
-    bins = pairs.withColumn("_bin", F.least(F.floor((F.col("score") + 1) / 2 * steps), F.lit(steps - 1)))
-    counts = bins.groupBy("_bin").agg(F.sum(F.col("matched").cast("long")).alias("m"), F.sum((~F.col("matched")).cast("long")).alias("u"))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    rates = counts.select(
-        (F.col("_bin") / steps * 2 - 1).alias("threshold"),
-        F.try_divide(F.coalesce(F.sum("m").over(before), F.lit(0)), F.sum("m").over(every)).alias("frr"),
-        (1 - F.try_divide(F.coalesce(F.sum("u").over(before), F.lit(0)), F.sum("u").over(every))).alias("far"),
+    counts = pairs.where("score IS NOT NULL").groupBy("score").agg(
+        F.sum(F.col("matched").cast("long")).alias("m"), F.sum((~F.col("matched")).cast("long")).alias("u")
+    )
+    ends = counts.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("m").alias("_m"), F.sum("u").alias("_u"))
+    dealt = counts.crossJoin(F.broadcast(ends))  # one row
+    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    dealt = dealt.withColumn("_part", F.least(F.floor((F.col("score") - F.col("_lo")) / width * parts), F.lit(parts - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.sum("m").alias("a"), F.sum("u").alias("b"))
+    shifts = sums.select("_part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("_a"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_b"))
+    inner = Window.partitionBy("_part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    rates = dealt.join(F.broadcast(shifts), "_part").select(
+        F.col("score").alias("threshold"),
+        F.try_divide(F.col("_a") + F.coalesce(F.sum("m").over(inner), F.lit(0)), F.col("_m")).alias("frr"),
+        (1 - F.try_divide(F.col("_b") + F.coalesce(F.sum("u").over(inner), F.lit(0)), F.col("_u"))).alias("far"),
     )
     best = F.min_by(F.struct("threshold", ((F.col("frr") + F.col("far")) / 2).alias("eer")), F.struct(F.abs(F.col("frr") - F.col("far")), "threshold"))
     return rates.agg(best.alias("b")).select(F.col("b.eer").alias("eer"), F.col("b.threshold").alias("threshold"))
 
 
+def knee(distances: DataFrame, distance: str, id: str) -> DataFrame:
+    """rank, distance of the sorted curve's knee: the point furthest below the chord from its first to its last point."""
+    curve = dense_ids(distances.select(distance, id), distance, id)
+    ends = curve.agg(F.min(distance).alias("_lo"), F.max(distance).alias("_hi"), F.max("id").alias("_n"))
+    rows = curve.crossJoin(F.broadcast(ends))  # one row
+    below = F.col("id") / F.nullif(F.col("_n"), F.lit(0)) - (F.col(distance) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    best = F.max_by(F.struct(F.col("id").alias("rank"), distance), F.struct(below, -F.col("id"))).alias("b")
+    return rows.agg(best).select("b.rank", F.col(f"b.{distance}").alias("distance"))
+
+
+def adjusted_mutual_information(table: DataFrame, predicted: str, truth: str) -> DataFrame:
+    """One row, adjusted_mutual_information: the mutual information less what chance gives, by the mean entropy.
+
+    The driver gets the two margins and the table of a clustering: a row a label, and a row a pair of labels that occurs.
+    """
+    a = {r[0]: r[1] for r in table.groupBy(predicted).agg(F.sum("n")).collect()}
+    b = {r[0]: r[1] for r in table.groupBy(truth).agg(F.sum("n")).collect()}
+    n = sum(a.values())
+    if not n:
+        return table.sparkSession.createDataFrame([], "adjusted_mutual_information double")
+    entropy = lambda x: -sum(v / n * math.log(v / n) for v in x.values() if v)
+    mutual = sum(r["n"] / n * math.log(n * r["n"] / (a[r[predicted]] * b[r[truth]])) for r in table.collect() if r["n"])
+    log = math.lgamma
+    expected, sizes_b = 0.0, Counter(b.values())
+    for x, times_a in Counter(a.values()).items():  # equal sizes give equal sums
+        for y, times_b in sizes_b.items():
+            fixed = log(x + 1) + log(y + 1) + log(n - x + 1) + log(n - y + 1) - log(n + 1)
+            one = sum(
+                k / n * math.log(n * k / (x * y)) * math.exp(fixed - log(k + 1) - log(x - k + 1) - log(y - k + 1) - log(n - x - y + k + 1))
+                for k in range(max(1, x + y - n), min(x, y) + 1)
+            )
+            expected += times_a * times_b * one
+    mean = (entropy(a) + entropy(b)) / 2
+    value = 1.0 if mean == expected else (mutual - expected) / (mean - expected)
+    return table.sparkSession.createDataFrame([(float(value),)], "adjusted_mutual_information double")
+
+
 def kth_distance(rows: DataFrame, queries: DataFrame, vector: str, id: str, k: int, block: int = 2048) -> DataFrame:
     """id, distance of the k-th nearest other row for every query row, exactly.
 
@@ -261,13 +322,112 @@ def project(rows: DataFrame, vector: str, matrix: np.ndarray) -> DataFrame:
     return rows.withColumn("projected", times(scale_to_length(F.col(vector))))
 
 
-def iterative_clusters(rows: DataFrame, vector: str, id: str, key: str, rounds: int = 3, smallest: int = 5, threshold: float = 0.0) -> DataFrame:
-    """id, cluster after rounds of classification, dropping clusters that are too small each time."""
+def silhouette(rows: DataFrame, vector: str, cluster: str) -> float:
+    """Mean silhouette of a clustering by cosine distance."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select(array_to_vector(scale_to_length(F.col(vector))).alias("_v"), F.col(cluster).cast("int").alias("_c"))
+    return ClusteringEvaluator(featuresCol="_v", predictionCol="_c", distanceMeasure="cosine").evaluate(data)
+
+
+def _linkage(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Cluster numbers of points merged pair by pair, the least mean distance first, until k clusters are left."""
+    n = len(points)
+    d = np.linalg.norm(points[:, None] - points[None, :], axis=2)
+    np.fill_diagonal(d, np.inf)
+    w, owner = weights.astype(float).copy(), np.arange(n)
+    for _ in range(max(0, n - k)):
+        i, j = divmod(int(d.argmin()), n)
+        i, j = min(i, j), max(i, j)
+        d[i] = d[:, i] = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        w[i] += w[j]
+        owner[owner == j] = i
+    return np.unique(owner, return_inverse=True)[1]
+
+
+def _density(points: np.ndarray, weights: np.ndarray, eps: float, least: float) -> np.ndarray:
+    """Cluster numbers by density: points with enough weight within eps, linked where within eps; -1 is noise."""
+    near = np.linalg.norm(points[:, None] - points[None, :], axis=2) <= eps
+    core = near @ weights >= least
+    label = np.full(len(points), -1)
+    number = 0
+    for start in np.flatnonzero(core):
+        if label[start] >= 0:
+            continue
+        reached = [start]
+        while reached:
+            k = reached.pop()
+            if label[k] < 0:
+                label[k] = number
+                if core[k]:
+                    reached += np.flatnonzero(near[k] & (label < 0)).tolist()
+        number += 1
+    return label
+
+
+def cluster(rows: DataFrame, vector: str, method: str = "kmeans", k: int = 10, micro: int = 500, eps: float = 0.5, least: float = 5.0, seed: int = 1) -> DataFrame:
+    """rows with ``cluster`` by kmeans, bisecting, gaussian, agglomerative or dbscan on vectors at length 1.
+
+    The last two work on ``micro`` k-means centres weighted by their members, so their square is bounded for any
+    number of rows; each row takes its centre's cluster (-1: noise of dbscan).
+    """
+    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    if method == "kmeans":
+        return kmeans(rows, vector, k, seed)
+    if method in ("bisecting", "gaussian"):
+        data = rows.withColumn("_v", array_to_vector(scale_to_length(F.col(vector))))
+        kind = BisectingKMeans if method == "bisecting" else GaussianMixture
+        made = kind(featuresCol="_v", predictionCol="cluster", k=k, seed=seed).fit(data).transform(data)
+        return made.select(*rows.columns, "cluster")
+    if method not in ("agglomerative", "dbscan"):
+        raise ValueError(f"no clustering is called {method}")
+    fine = kmeans(rows, vector, micro, seed).withColumnRenamed("cluster", "_micro")
+    fine = fine.withColumn("_u", scale_to_length(F.col(vector)))
+    sizes = fine.groupBy("_micro").agg(F.count("*").alias("n"))
+    centres = mean_vector(fine, "_u", "_micro").join(sizes, "_micro").orderBy("_micro").toPandas()  # ``micro`` rows at most
+    points, weights = np.array(centres["mean"].tolist()), centres["n"].to_numpy()
+    found = _linkage(points, weights, k) if method == "agglomerative" else _density(points, weights, eps, least)
+    table = rows.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(centres["_micro"], found, strict=True)], "_micro int, cluster int")
+    return fine.join(F.broadcast(table), "_micro").select(*rows.columns, "cluster")
+
+
+def split_large(rows: DataFrame, vector: str, key: str, most: int = 500) -> DataFrame:
+    """rows with clusters of more than ``most`` rows cut in two, at their mean along the axis of their largest spread.
+
+    Few clusters are that large; each is one pass of partial sums. The new halves get numbers after the largest.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).where(F.col(key).isNotNull())
+    top = rows.agg(F.max(key)).first()[0] or 0
+    side = F.col(key)
+    for at, r in enumerate(sorted(sizes.collect()), 1):
+        part = rows.where(F.col(key) == r[0]).withColumn("_u", scale_to_length(F.col(vector)))
+        square, total, n = second_moment(part, "_u")
+        mean = total / n
+        _, axes = np.linalg.eigh(square / n - np.outer(mean, mean))
+        axis = F.array(*(F.lit(float(x)) for x in axes[:, -1]))
+        along = F.aggregate(F.zip_with(scale_to_length(F.col(vector)), axis, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        side = F.when((F.col(key) == r[0]) & (along > float(mean @ axes[:, -1])), F.lit(top + at)).otherwise(side)
+    return rows.withColumn(key, side.cast(rows.schema[key].dataType))
+
+
+def iterative_clusters(
+    rows: DataFrame, vector: str, id: str, key: str, rounds: int = 3, smallest: int = 5, threshold: float = 0.0, last_threshold: float | None = None, largest: int = 500
+) -> DataFrame:
+    """id, cluster after rounds of breaking up large clusters, classification, and dropping small clusters.
+
+    The threshold moves in even steps to ``last_threshold`` over the rounds.
+    """
+    steps = linear_steps(threshold, threshold if last_threshold is None else last_threshold, rounds)
     checkpoint_folder(rows.sparkSession)
     now = rows.select(id, vector, F.col(key).cast("long").alias("cluster"))
-    for _ in range(rounds):
-        centres = centroids(now.where("cluster IS NOT NULL"), vector, "cluster")
-        found = nearest_centroid(now.select(id, vector), vector, centres, "cluster", threshold)
+    for step in steps:
+        centres = centroids(split_large(now.where("cluster IS NOT NULL"), vector, "cluster", largest), vector, "cluster")
+        found = nearest_centroid(now.select(id, vector), vector, centres, "cluster", step)
         sizes = found.groupBy("predicted").agg(F.count("*").alias("_n"))
         kept = F.when(F.col("_n") >= smallest, F.col("predicted"))
         now = found.join(sizes, "predicted", "left").select(id, vector, kept.alias("cluster")).checkpoint()

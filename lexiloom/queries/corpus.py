@@ -209,7 +209,12 @@ def quota_allocation(t):
     return sampling.allocate_quota(counts, "lang", 400)
 
 
-@query()
+@query(
+    "WITH RECURSIVE c AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, encode(source)) AS i FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)), "
+    "a AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS source, CAST(0 AS BIGINT) AS n, 0 AS job, CAST([0, 0, 0, 0] AS BIGINT[]) AS loads UNION ALL "
+    "SELECT c.i, c.source, c.n, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER), list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + c.n ELSE x END) FROM a JOIN c ON c.i = a.i + 1) "
+    "SELECT source, n, job FROM a WHERE i > 0"
+)
 def balanced_jobs(t):
     """Sources dealt to 4 jobs, the largest first to the least loaded."""
     counts = t.documents.groupBy("source").agg(F.count("*").alias("n"))

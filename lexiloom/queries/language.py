@@ -161,12 +161,14 @@ def word_error_rate(t):
 
 
 @query(
-    "SELECT conv_id, turn, levenshtein(role, nxt) AS edits FROM (SELECT *, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS nxt FROM conversations)"
+    f"WITH w AS (SELECT conv_id, turn, array_to_string({_T}, '') AS g, coalesce(lead(array_to_string({_T}, '')) OVER (PARTITION BY conv_id ORDER BY turn), '') AS h FROM conversations) "
+    "SELECT conv_id, turn, levenshtein(g, h) AS char_edits, length(g) AS n_chars FROM w WHERE strlen(g) = length(g) AND strlen(h) = length(h)"
 )
 def char_error_rate(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.withColumn("nxt", F.coalesce(F.lead("role").over(w), F.lit("")))
-    return rows.select("conv_id", "turn", F.levenshtein("role", "nxt").cast("long").alias("edits"))
+    """Character edits of each turn against the next as its hypothesis; turns of ASCII letters, which SQL compares by characters."""
+    rows = metrics.error_counts(_turn_pairs(t), "gold", "hyp")
+    plain = lambda c: ~F.array_join(c, "").rlike("[^\\x00-\\x7f]")
+    return rows.where(plain("gold") & plain("hyp")).select("conv_id", "turn", "char_edits", "n_chars")
 
 
 @query()
@@ -175,15 +177,6 @@ def error_rate_report(t):
     return metrics.error_report(metrics.error_counts(_turn_pairs(t), "gold", "hyp"))
 
 
-@query(
-    f"SELECT a AS reference, b AS hypothesis, count(*) AS n FROM (SELECT word AS a, lead(word) OVER (PARTITION BY conv_id ORDER BY turn, place) AS b FROM ({_TURNS})) WHERE b IS NOT NULL AND a <> b GROUP BY a, b"
-)
-def phone_confusions(t):
-    w = Window.partitionBy("conv_id").orderBy("at")
-    pairs = _words_of_turns(t).select(F.col("word").alias("reference"), F.lead("word").over(w).alias("hypothesis"))
-    return metrics.confusions(pairs.where("hypothesis IS NOT NULL"))
-
-
 @query()
 def token_edit_distance(t):
     rows = _turn_pairs(t)

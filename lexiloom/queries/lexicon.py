@@ -52,13 +52,22 @@ def rule_matches(t):
     return lexicon.matching_rules(_lexicon(t).select("word", "pronunciation"), _RULES).select("word", "rule")
 
 
-@query()
+_ENDS = f"SELECT DISTINCT word FROM ({_COUNTS})"
+
+
+@query(
+    f"WITH l AS (SELECT word, pronunciation, ' ' || pronunciation || ' ' AS p FROM ({_LEXICON})), m AS (SELECT word, 1 AS rule, left(word, length(word) - 1) AS made FROM l WHERE p LIKE '% e ' "
+    "UNION ALL SELECT word, 2, 'z' || substr(word, 2) FROM l WHERE p LIKE ' s %' UNION ALL SELECT word, 3, replace(word, 'nd', 'md') FROM l WHERE p LIKE '% n d %' UNION ALL SELECT word, 0, replace(word, 'th', 'θ') FROM l WHERE p LIKE '% t h %') "
+    f"SELECT rule, count(*) AS n_matched, count(*) FILTER (made IN ({_ENDS})) AS n_used FROM m GROUP BY rule"
+)
 def rule_statistics(t):
-    """Rules by how often what they make is a pronunciation in use."""
+    """Rules by how often what they make is in use: here, whether the corpus has a word of that spelling."""
     base = _lexicon(t).select("word", "pronunciation")
     matched = lexicon.matching_rules(base, _RULES)
-    used = matched.where(F.length("word") % 2 == 0).select("word", F.col("applied").alias("pronunciation"))
-    return lexicon.rule_statistics(matched, used)
+    spoken = corpus.word_counts(t.documents, _text()).select(F.col("word").alias("_s"))
+    spelled = matched.withColumn("_s", F.replace("applied", F.lit(" "), F.lit("")))
+    used = spelled.join(spoken, "_s", "left_semi").select("word", F.col("applied").alias("pronunciation"))
+    return lexicon.rule_statistics(matched, used).select("rule", "n_matched", "n_used")
 
 
 @query(
@@ -143,13 +152,36 @@ def merged_label_runs(t):
 
 
 @query(
-    f"SELECT word, levenshtein(word, replace(word, 'th', 'z')) AS edits, length(word) AS letters FROM ({_COUNTS})"
+    f"WITH w AS (SELECT word, replace(word, 'th', 'z') AS h1, regexp_replace(word, 'e$', '') AS h2 FROM ({_COUNTS}) WHERE strlen(word) = length(word)), "
+    "s AS (SELECT least(levenshtein(word, h1), levenshtein(word, h2)) AS e, length(word) AS n FROM w) "
+    "SELECT count(*) AS n_words, round(count(*) FILTER (e > 0) / count(*), 9) AS wer, round(sum(e) / sum(n), 9) AS ler FROM s"
 )
 def g2p_letter_errors(t):
-    """Letter errors of generated against given pronunciations."""
-    words = corpus.word_counts(t.documents, _text())
-    made = F.replace("word", F.lit("th"), F.lit("z"))
-    return words.select("word", F.levenshtein("word", made).cast("long").alias("edits"), F.length("word").cast("long").alias("letters"))
+    """Word and letter error rates of two generated pronunciations a word against the given one (ASCII words, letters as phones)."""
+    words = corpus.word_counts(t.documents, _text()).where(~F.col("word").rlike("[^\\x00-\\x7f]"))
+    spaced = lambda w: F.array_join(F.filter(F.split(w, ""), lambda x: x != ""), " ")
+    made = F.array(spaced(F.replace("word", F.lit("th"), F.lit("z"))), spaced(F.regexp_replace("word", "e$", "")))
+    out = g2p.evaluation(words.select("word", made.alias("hypotheses"), F.array(spaced(F.col("word"))).alias("gold")))
+    return out.select("n_words", F.round("wer", 9).alias("wer"), F.round("ler", 9).alias("ler"))
+
+
+@query(
+    f"WITH l AS (SELECT word, list_filter(string_split(word, ''), lambda x: x <> '') AS a FROM (SELECT DISTINCT word FROM ({_COUNTS}))), g AS (SELECT unnest(a) AS ngram FROM l UNION ALL SELECT x[1] || ' ' || x[2] FROM (SELECT unnest(list_zip(a, a[2:])) AS x FROM l) WHERE x[2] IS NOT NULL) "
+    "SELECT side, ngram, count(*) AS n FROM g, (SELECT unnest(['letters', 'phones']) AS side) GROUP BY ALL"
+)
+def valid_chunks(t):
+    """N-grams of letters and phones (here: letters too) from which chunks are made."""
+    letters = F.filter(F.split("word", ""), lambda x: x != "")
+    return g2p.valid_chunks(corpus.word_counts(t.documents, _text()).select(letters.alias("letters"), letters.alias("phones")))
+
+
+@query(
+    f"WITH l AS (SELECT word, min(pronunciation) AS p FROM ({_LEXICON}) GROUP BY word), w AS (SELECT conv_id, turn, {_T} AS a FROM conversations), x AS (SELECT conv_id, turn, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM w) "
+    "SELECT w.conv_id, w.turn, coalesce(s, '') AS pronunciation FROM w LEFT JOIN (SELECT conv_id, turn, string_agg(coalesce(p, 'spn'), ' ' ORDER BY i) AS s FROM x LEFT JOIN l ON x.word = l.word GROUP BY ALL) USING (conv_id, turn)"
+)
+def utterance_pronunciations(t):
+    """Each turn as the pronunciations of its words."""
+    return g2p.spoken(t.conversations, ["conv_id", "turn"], _text(), _lexicon(t).select("word", "pronunciation"))
 
 
 @query()

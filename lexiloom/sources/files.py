@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import unescape_scp
+from ..functions.text import nfkc, unescape_scp
 from ..operators.language_model import parse_arpa
 from ..operators.lexicon import parse_lines
 
 AUDIO = ("wav", "flac", "ogg", "aiff", "mp3", "opus")
-INTERVALS = "path string, tier string, begin double, end double, label string"
+INTERVALS = "path string, tier string, begin double, end double, label string, error string"
 
 
 def scan(spark: SparkSession, root: str, speaker_characters: int = 0) -> DataFrame:
@@ -47,8 +47,9 @@ def utterance_files(files: DataFrame) -> DataFrame:
 
 
 def transcripts(files: DataFrame) -> DataFrame:
-    """path, speaker, text of the .lab and .txt files."""
-    return files.where(F.col("extension").isin("lab", "txt")).select("path", "speaker", F.regexp_replace(F.decode("content", "UTF-8"), r"^\s+|\s+$", "").alias("text"))
+    """path, speaker, text (NFKC) of the .lab and .txt files."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\s+|\s+$", "")
+    return files.where(F.col("extension").isin("lab", "txt")).select("path", "speaker", nfkc(text).alias("text"))
 
 
 def parse_textgrid(text: str) -> list[tuple[str, float, float, str]]:
@@ -73,17 +74,19 @@ def parse_textgrid(text: str) -> list[tuple[str, float, float, str]]:
 
 
 def textgrid_intervals(files: DataFrame) -> DataFrame:
-    """path, tier, begin, end, label of all TextGrids; a file that can't be read gives one row of nulls."""
+    """path, tier, begin, end, label, error of all TextGrids; a file that can't be read gives one row with the error's kind."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(path, *x) for x in parse_textgrid(bytes(content).decode("utf-8-sig"))]
+                    rows += [(path, *x, None) for x in parse_textgrid(bytes(content).decode("utf-8-sig"))]
+                except UnicodeDecodeError:
+                    rows.append((path, None, None, None, None, "not UTF-8"))
                 except (ValueError, IndexError, TypeError, AttributeError):
-                    rows.append((path, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["path", "tier", "begin", "end", "label"])
+                    rows.append((path, None, None, None, None, "not a TextGrid"))
+            yield pd.DataFrame(rows, columns=["path", "tier", "begin", "end", "label", "error"])
 
     return files.where("extension = 'textgrid'").select("path", "content").mapInPandas(read, INTERVALS)
 
@@ -99,12 +102,41 @@ def aligned_intervals(intervals: DataFrame, shortest: float = 0.01) -> DataFrame
     )
 
 
-def utterances(intervals: DataFrame, duration: float | None = None) -> DataFrame:
-    """Speaker tiers as utterances: non-empty, cut to the duration, to four places."""
-    rows = intervals.where("label <> '' AND tier IS NOT NULL")
-    end = F.col("end") if duration is None else F.least("end", F.lit(duration))
-    rows = rows.withColumn("end", end).where("begin < end")
-    return rows.select("path", F.col("tier").alias("speaker"), F.round("begin", 4).alias("begin"), F.round("end", 4).alias("end"), F.col("label").alias("text"))
+ALIGNED_TIER = r"(?i)(^| ?- ?)(phone|word)s?$"
+
+
+def utterances(intervals: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """Speaker tiers as utterances: non-empty, cut to the file's duration (path, duration), to four places, text in NFKC.
+
+    Tiers of words and phones hold alignments, not utterances (``aligned_intervals``).
+    """
+    rows = intervals.where(F.col("tier").isNotNull() & (F.col("label") != "") & ~F.col("tier").rlike(ALIGNED_TIER))
+    if durations is not None:
+        rows = rows.join(durations.select("path", "duration"), "path", "left").withColumn("end", F.least("end", F.coalesce("duration", "end")))
+    rows = rows.where("begin < end")
+    return rows.select("path", F.col("tier").alias("speaker"), F.round("begin", 4).alias("begin"), F.round("end", 4).alias("end"), nfkc(F.col("label")).alias("text"))
+
+
+def corpus_utterances(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(utterances, errors) of a scanned corpus: sound headers, texts and TextGrids joined by folder and name.
+
+    utterances: path (of the text), speaker, begin, end, text, audio, duration. A .lab or .txt file is one utterance over the whole sound;
+    a TextGrid has one for each interval of a speaker's tier. errors: path, problem.
+    """
+    joined = utterance_files(files)
+    heads = wave_headers(files).select(F.col("path").alias("audio"), "duration")
+    joined = joined.join(heads, "audio", "left")
+    texts = transcripts(files).select(F.col("path").alias("text"), F.col("text").alias("_said"))
+    whole = joined.where("textgrid IS NULL AND text IS NOT NULL").join(texts, "text")
+    whole = whole.select(F.col("text").alias("path"), "speaker", F.lit(0.0).alias("begin"), F.col("duration").alias("end"), F.col("_said").alias("text"), "audio", "duration")
+    grids = textgrid_intervals(files)
+    owned = joined.where("textgrid IS NOT NULL").select(F.col("textgrid").alias("path"), "audio", "duration")
+    spoken = utterances(grids, owned).join(owned, "path")
+    broken = grids.where("error IS NOT NULL").select("path", F.col("error").alias("problem"))
+    unheard = joined.where("audio IS NULL").select(F.coalesce("text", "textgrid").alias("path"), F.lit("no sound").alias("problem"))
+    unsaid = joined.where("text IS NULL AND textgrid IS NULL").select(F.col("audio").alias("path"), F.lit("no text").alias("problem"))
+    unread = joined.where("audio LIKE '%.wav' AND duration IS NULL").select(F.col("audio").alias("path"), F.lit("broken sound").alias("problem"))
+    return whole.unionByName(spoken), broken.unionByName(unheard).unionByName(unsaid).unionByName(unread)
 
 
 def read_ctm(spark: SparkSession, path: str) -> DataFrame:
