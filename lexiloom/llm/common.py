@@ -42,13 +42,25 @@ def release_memory() -> None:
         pass  # another C library: memory stays with the worker
 
 
-def tidy(work: Callable, most_bytes: int = 4 << 20) -> Callable:
-    """A function for mapInArrow whose memory follows neither the batch size of the session nor earlier tasks.
+#: Bounded caches of this worker by name, each with what drops it.
+_caches: dict[str, Callable[[], None]] = {}
 
-    ``work`` gets slices of bounded size; workers outlive their tasks, so what a task leaves is given back.
+
+def keep_cache(name: str, drop: Callable[[], None]) -> None:
+    """Lets a cache live on from task to task until a task of another operator comes to this worker."""
+    _caches[name] = drop
+
+
+def tidy(work: Callable, most_bytes: int = 4 << 20, cache: str | None = None) -> Callable:
+    """A function for mapInArrow whose memory follows neither the batch size of the session nor earlier operators.
+
+    ``work`` gets slices of bounded size. Workers outlive their tasks: caches but the one named are dropped first, and what
+    is free in the end is given back to the system.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [x for x in _caches if x != cache]:
+            _caches.pop(name)()
         try:
             yield from work(small_batches(batches, most_bytes))
         finally:

@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from .common import keep_cache
+
 #: White space that makes the short way unsure; such texts are cut with a regular expression.
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_WIDE = re.compile("[%s]" % "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
@@ -69,7 +71,7 @@ class WordwiseEncoder:
     exact. Any other tokenizer, or one whose normalizer or pattern isn't one of the two known ones, encodes the text
     whole. Strings of special tokens in a text become those tokens, as the library has it by default;
     special_as_text makes them ordinary text. Each of three caches keeps at most ``cache_entries``
-    pieces of up to LONGEST characters, about 200 bytes each; ``forget`` drops them at the end of a task.
+    pieces of up to LONGEST characters, about 200 bytes each; ``forget`` drops them.
     """
 
     def __init__(self, path: str, cache_entries: int = 500_000, block_chars: int = 1_000_000, special_as_text: bool = False):
@@ -94,7 +96,7 @@ class WordwiseEncoder:
     LONGEST = 64
 
     def forget(self) -> None:
-        """Drops the caches, so that a worker holds them no longer than its task."""
+        """Drops the caches."""
         self.first, self.rest, self.tokens = {}, {}, {}
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
@@ -201,7 +203,8 @@ _encoders: dict[str, WordwiseEncoder] = {}
 
 
 def encoder(path: str) -> WordwiseEncoder:
-    """One encoder a vocabulary file and Python worker."""
+    """One encoder a vocabulary file and Python worker; its caches stay as long as tasks name the path (``tidy``)."""
     if path not in _encoders:
         _encoders[path] = WordwiseEncoder(path)
+    keep_cache(path, _encoders[path].forget)
     return _encoders[path]

@@ -56,9 +56,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
                 [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        enc.forget()
 
-    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tidy(tokenise), PIECES)
+    return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tidy(tokenise, cache=tokenizer_path), PIECES)
 
 
 def length_classes(capacity: int, exact: int = 6) -> list[tuple[int, int]]:

@@ -203,12 +203,11 @@ def write_shards(
                     yield flush()
                     shard, total = shard + 1, 0
                     ids, names, sizes = [], [], []
-        enc.forget()
         if names:
             yield flush()
 
     ordered = docs.select("doc_id", text_bytes().alias("raw")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "raw")
-    ordered.mapInArrow(tidy(build), SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(tidy(build, cache=tokenizer_path), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
