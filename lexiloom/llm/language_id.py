@@ -8,13 +8,13 @@ label at every word; a document gets the language with the largest mean.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import text_bytes, tidy
 UNDETERMINED = "und"
 #: Features are hashed to this many weights a language.
 DIMENSIONS = 1 << 18
-#: Letters of a word that count: longer words keep their first and last half of these.
+#: Letters of a word; longer ones, as in scripts without spaces, are cut into pieces that take a place each.
 LETTERS = 24
 #: Features of a word at most: itself, its lexicons, 4 prefixes, 4 suffixes and its trigrams.
 SLOTS = 10 + LETTERS
@@ -36,6 +36,14 @@ def is_held_out(remainder: int = 2, modulus: int = 4):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def cut_words(text: str) -> list[str]:
+    """The text cut at white space, and words of more than LETTERS letters into pieces of as many."""
+    tokens = text.split()
+    if not tokens or max(map(len, tokens)) <= LETTERS:
+        return tokens
+    return [x[k : k + LETTERS] for x in tokens for k in range(0, len(x), LETTERS)]
+
+
 def fold(token: str) -> str:
     """Lower-cased token from its first to its last letter; empty if it has none."""
     low = token.lower()
@@ -54,8 +62,7 @@ def _slot(h: np.ndarray, kind: int) -> np.ndarray:
 
 def word_features(words: list[str], lexicons: dict[str, int]) -> np.ndarray:
     """Hashed features [word, SLOTS] of folded words; unused slots hold DIMENSIONS."""
-    half = LETTERS // 2
-    clipped = [w if len(w) <= LETTERS else w[:half] + w[-half:] for w in words]
+    clipped = [w[:LETTERS] for w in words]  # a letter may become two in lower case
     n = np.fromiter(map(len, clipped), np.int64, len(clipped))
     marked = np.array([f"\x02{w}\x03" for w in clipped], dtype=f"U{LETTERS + 2}")
     codes = marked.view(np.uint32).reshape(len(clipped), LETTERS + 2).astype(np.uint64)
@@ -150,7 +157,7 @@ class Crf:
 
     def label(self, text: str) -> tuple[list[str], np.ndarray]:
         """Words with letters and their label probabilities [word, label]."""
-        tokens = text.split()
+        tokens = cut_words(text)
         rows = self._emissions(tokens)
         kept = np.flatnonzero(rows)
         return [tokens[k] for k in kept], self._marginals([rows[kept]])
@@ -186,7 +193,7 @@ class Crf:
             docs, size = [], 0
             while at + len(docs) < len(texts) and (not docs or size < 200_000):
                 text = texts[at + len(docs)]
-                rows = self._emissions(text.split()) if len(text) < 2_000_000 else None
+                rows = self._emissions(cut_words(text)) if len(text) < 2_000_000 else None
                 if rows is None:
                     break
                 docs.append(rows[rows > 0])
@@ -207,7 +214,7 @@ class Crf:
         while at < len(text):
             end = text.find(" ", at + slice_chars)
             end = len(text) if end < 0 else end
-            rows = self._emissions(text[at:end].split())
+            rows = self._emissions(cut_words(text[at:end]))
             rows = rows[rows > 0]
             total += self._marginals([rows]).sum(axis=0, dtype=np.float64)
             n, at = n + len(rows), end
@@ -231,8 +238,10 @@ def fit(
 ) -> Crf:
     """A CRF from (text, language) pairs.
 
-    Training chains are put together from stretches of 6 to 40 words of random texts, so they
-    switch language; labels are those of the texts. Adagrad on the log-likelihood.
+    A bounded sample: of each text a stretch of at most ``words_a_text`` words from a random place is learned from. Training
+    chains are put together from stretches of 6 to 40 words of random texts, so they switch language; labels are
+    those of the texts. Every language has a lexicon of its ``lexicon_words`` most frequent words. Adagrad on the
+    log-likelihood.
     """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in samples})
@@ -240,16 +249,18 @@ def fit(
     number = {x: k for k, x in enumerate(languages)}
     texts: list[tuple[list[str], int]] = []
     for text, lang in samples:
-        words = [w for w in map(fold, text.split()) if w]
+        words = [w for w in map(fold, cut_words(text)) if w]
         start = int(rng.integers(0, max(1, len(words) - words_a_text + 1)))
         if words := words[start : start + words_a_text]:
             texts.append((words, number[lang]))
     counts = [Counter(w for words, k in texts if k == label for w in words) for label in range(labels)]
     lexicons: dict[str, int] = {}
-    for label, count in enumerate(counts[:62]):
+    for label, count in enumerate(counts):
         for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]:
             lexicons[word] = lexicons.get(word, 0) | 1 << label
 
+    # a set of languages as a number; sets that don't fit a word go by their hash
+    lexicons = {w: m if m >> 62 == 0 else xxhash.xxh3_64_intdigest(m.to_bytes(labels // 8 + 1, "little")) for w, m in lexicons.items()}
     weights = np.zeros((DIMENSIONS + 1, labels), np.float32)  # the last row pads
     squares = np.full_like(weights, 1e-2)
     transition = np.zeros((labels, labels), np.float32)
@@ -301,10 +312,11 @@ def fit(
     return Crf(languages, weights, transition, lexicons, chain=chain)
 
 
-def train(docs: DataFrame, sample_per_language: int = 400, seed: int = 11) -> Crf | None:
-    """A model from at most about ``sample_per_language`` labelled texts a language.
+def train(docs: DataFrame, sample_per_language: int = 400, stretch: int = 4000, seed: int = 11) -> Crf | None:
+    """A model from at most about ``sample_per_language`` labelled texts a language, ``stretch`` characters of each.
 
-    Texts are drawn by a hash of doc_id among rows that are not held out. None without any.
+    Texts are drawn by a hash of doc_id among rows that are not held out, and so is the place of the stretch; only
+    stretches reach the driver. None without any.
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -312,7 +324,9 @@ def train(docs: DataFrame, sample_per_language: int = 400, seed: int = 11) -> Cr
         return None
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_per_language / n)))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    picked = labelled.where(draw < share[F.col("lang")]).select("doc_id", "text", "lang").toPandas()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.length("text") - stretch, F.lit(0)) + 1) + 1
+    text = F.substring("text", place.cast("int"), F.lit(stretch)).alias("text")
+    picked = labelled.where(draw < share[F.col("lang")]).select("doc_id", text, "lang").toPandas()
     picked = picked.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
     return fit(list(zip(picked["text"], picked["lang"], strict=True)))
 
@@ -345,7 +359,10 @@ def identify(docs: DataFrame, model: Crf | None = None, **options) -> DataFrame:
 
 
 def label_words(docs: DataFrame, model: Crf) -> DataFrame:
-    """doc_id and runs (lang, n_words, first word) of equal labels, for text that switches language."""
+    """doc_id and runs (lang, n_words, first word) of equal labels, for text that switches language.
+
+    Null and empty texts, and those without a letter, have no runs. Rows may repeat, other columns are ignored.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int64()), ("first", pa.string())]))
@@ -374,7 +391,9 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.4, **options) -> DataFrame:
     """The rows of docs whose language is determined with at least least_score, with all columns.
 
-    The decision is made row by row while the rows pass through; nothing is joined.
+    The decision is made row by row while the rows pass through; nothing is joined. Null texts and texts without a letter go;
+    repeated rows are decided alike, columns of any name pass through, an empty table stays empty. Without a label to learn from,
+    nothing is determined and every row goes.
     """
     model = train(docs, **options)
     ship_package(docs.sparkSession)

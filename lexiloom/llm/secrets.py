@@ -41,8 +41,8 @@ BASE = (
 )
 _SECRETS = ("assign", "hex", "weak_secret")
 WEAK = (
-    Kind("weak_id", r"(?i:\b(user|username|login|account|client_?id|access_?key|key_?id))" + _TO_VALUE + r"([A-Za-z0-9@_.+-]+)", 2, 3, needs=_SECRETS),
-    Kind("weak_secret", r"(?i:\b(pwd|pass|passphrase|credential|private_?key|password|passwd|secret|token|api_?key))" + _TO_VALUE + r"([A-Za-z0-9+/_.=-]+)", 2, 4, 11, needs=("access", "weak_id", "endpoint")),
+    Kind("weak_id", r"(?i:((?:\b|_)(?:user|login|account)|username|client_?id|\baccess_?key|access_?key_?id|\bkey_?id))" + _TO_VALUE + r"([A-Za-z0-9@_.+-]+)", 2, 3, needs=_SECRETS),
+    Kind("weak_secret", r"(?i:((?:\b|_)(?:pwd|pass)|passphrase|credential|private_?key|secret_?access_?key|password|passwd|secret|token|api_?key))" + _TO_VALUE + r"([A-Za-z0-9+/_.=-]+)", 2, 4, needs=("access", "weak_id", "endpoint")),
     Kind("endpoint", r"(?i:\b(https?|ftp|sftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp))://[A-Za-z0-9._~:/?#@%&=+-]+", 0, 10, needs=_SECRETS),
 )
 KINDS = BASE + WEAK
@@ -97,36 +97,33 @@ def find_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link_parts(parts: DataFrame, scope: int = 256) -> DataFrame:
-    """Strong parts, and weak ones with a complementary part whose start is at most ``scope`` away.
+    """Strong parts, and weak ones with a complementary part that begins or ends at most ``scope`` characters away.
 
-    The join is on the document and the scope-sized stretch of text; a stretch holds few parts, as
-    matches of a kind don't overlap, so the rows of a long document or one full of credentials
-    spread over many keys.
+    A weak part that a strong one covers in part says nothing new and is left out. The join is on the document and
+    scope-sized stretches of text: a part stands in every stretch that it covers, a weak one looks a scope further on both
+    sides. A stretch holds few parts, as matches of a kind don't overlap, so the rows of a long document or one full of
+    credentials spread over many keys.
     """
     number = {kind.name: k for k, kind in enumerate(KINDS)}
     strong = parts.where(F.col("kind") < len(BASE))
     weak = parts.where(F.col("kind") >= len(BASE))
-    # a weak match inside a strong one says nothing new
-    stretch = F.floor(F.col("start") / scope)
-    near = parts.select(
-        F.col("row").alias("r"),
-        F.col("kind").alias("other"),
-        F.col("start").alias("from"),
-        F.col("end").alias("to"),
-        F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("s"),
+    stretches = lambda margin: F.explode(
+        F.sequence(F.floor((F.col("start") - margin) / scope), F.floor((F.col("end") - 1 + margin) / scope))
     )
-    keyed = weak.withColumn("stretch", stretch)
-    here = (F.col("row") == F.col("r")) & (F.col("stretch") == F.col("s"))
+    others = parts.select(
+        F.col("row").alias("r"), F.col("kind").alias("other"), F.col("start").alias("from"), F.col("end").alias("to"), stretches(0).alias("s")
+    )
+    bases = others.where(F.col("other") < len(BASE))
+    covered = (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
+    on_stretch = (F.col("row") == F.col("r")) & (F.col("stretch") == F.col("s"))
+    hidden = weak.withColumn("stretch", stretches(0)).join(bases, on_stretch & covered, "left_semi").select("row", "kind", "start").distinct()
+    open_ = weak.join(hidden, ["row", "kind", "start"], "left_anti")
     fits = F.lit(False)
     for kind in WEAK:
-        others = [number[x] for x in kind.needs]
-        fits = fits | ((F.col("kind") == number[kind.name]) & F.col("other").isin(others))
-    close = F.abs(F.col("start") - F.col("from")) <= scope
-    apart = (F.col("end") <= F.col("from")) | (F.col("to") <= F.col("start"))
-    linked = keyed.join(near, here & fits & close & apart, "left_semi")
-    covered = (F.col("other") < len(BASE)) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
-    linked = linked.join(near, here & covered, "left_anti").drop("stretch")
-    return strong.unionByName(linked)
+        fits = fits | ((F.col("kind") == number[kind.name]) & F.col("other").isin([number[x] for x in kind.needs]))
+    gap = F.greatest(F.col("from") - F.col("end"), F.col("start") - F.col("to"))  # negative where they overlap
+    linked = open_.withColumn("stretch", stretches(scope)).join(others, on_stretch & fits & gap.between(0, scope), "left_semi")
+    return strong.unionByName(linked.drop("stretch").distinct())
 
 
 def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
@@ -193,10 +190,8 @@ found AS (
   SELECT * FROM parts WHERE kind < {len(BASE)}
   UNION ALL
   SELECT * FROM parts w WHERE kind >= {len(BASE)}
-    AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND ({fits}) AND abs(w.s - o.s) <= {scope}
-                AND (w.e <= o.s OR o.e <= w.s))
-    AND NOT EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND o.kind < {len(BASE)} AND w.s < o.e AND o.s < w.e
-                    AND abs(w.s // {scope} - o.s // {scope}) <= 1)),
+    AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND ({fits}) AND greatest(o.s - w.e, w.s - o.e) BETWEEN 0 AND {scope})
+    AND NOT EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND o.kind < {len(BASE)} AND w.s < o.e AND o.s < w.e)),
 listed AS (
   SELECT doc_id, {counts}, {line.replace(" ORDER", " ORDER")} AS spans,
          {line} FILTER (kind < {len(BASE)}) AS base FROM found GROUP BY doc_id)
