@@ -88,7 +88,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 #: Rows of a small intermediate table that go to one file.
-ROWS_PER_FILE = 200_000
+ROWS_PER_FILE = 1_000_000
 
 
 def few(df: DataFrame, rows: int | None) -> DataFrame:

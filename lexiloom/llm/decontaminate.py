@@ -154,7 +154,7 @@ def find_leaks(
 
     items = benchmark.select(F.col("item_id").cast("long"), text_bytes().alias("raw")).distinct()
     items = items.mapInArrow(tidy(seeds_of_items), "item_id long, item array<long>, seeds array<struct<hash:long,at:int>>")
-    items = stored(items.select(F.xxhash64("item_id", "item").alias("item_key"), "*"), "items")
+    items = stored(items.select(F.xxhash64("item_id", "item").alias("item_key"), "*"), "items", benchmark.count())
     seeds = items.select("item_key", F.explode("seeds").alias("s")).select("item_key", "s.hash", "s.at")
     sieve = None
     if seeds.count() <= broadcast_seeds:

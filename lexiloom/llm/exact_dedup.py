@@ -36,7 +36,8 @@ def groups(docs: DataFrame, heavy_rows: int = 64, summary_items: int = 4096, win
         rows.join(F.broadcast(frequent), "text_sha256", "left_semi")
         .groupBy("text_sha256")
         .agg(F.min("doc_id").alias("_keep"), F.count("*").alias("_size"))
-        .where(F.col("_size") >= heavy_rows)
+        .where(F.col("_size") >= heavy_rows),
+        winners,
     )
     marked = rows.join(F.broadcast(verified), "text_sha256", "left")
 

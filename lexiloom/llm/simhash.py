@@ -189,7 +189,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
 
 
-def common_shingles(texts: DataFrame, shingle: int, sample: int = 20_000, least: int = 4, most: int = 50_000) -> np.ndarray:
+def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, least: int = 3, most: int = 50_000) -> np.ndarray:
     """Shingles that are frequent in a sample of the texts, sorted. They serve for the order alone, which may be any."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,8 @@ def similar_groups(
     the others first, then that of those outside the largest component, up to ``leaders`` times; in the end every
     pair that is still in different components is made, so only pairs already linked are left out. Pairs that
     their prints don't rule out are verified on the whole texts. Texts without words are linked to nothing.
-    doc_id must be unique.
+    doc_id must be unique; null ids and null, empty or wordless texts are linked to nothing and are groups of their own (a null
+    id has a null component), other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -248,14 +249,16 @@ def similar_groups(
 
     kinds = "doc_id long, size long, digest binary, print array<long>, head array<long>"
     sketches = stored(texts.mapInArrow(tidy(sketch), kinds), "sketches")
+    n_sets, n_heads = sketches.agg(F.count("*"), F.coalesce(F.sum(F.size("head")), F.lit(0))).first()
     classes = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = sketches.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep")
-    same = cut(same.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
+    same = cut(same.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")), n_sets)
     index = sketches.join(same.select(F.col("v").alias("doc_id")), "doc_id", "left_anti")
     prints = index.select("doc_id", "size", "print")
     index = index.select(F.col("doc_id").alias("rep"), "size", F.posexplode("head").alias("pos", "key"))
-    sizes = cut(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    posted = cut(index.join(sizes, "key"))
+    sizes = cut(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), n_heads)
+    posted = cut(index.join(sizes, "key"), n_heads)
+    n_posted = posted.count()
 
     def possible(most: Column, both: Column) -> Column:
         """Whether sets of ``both`` shingles together may be similar with at most ``most`` in common."""
@@ -281,26 +284,27 @@ def similar_groups(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """u, v: the pairs a, b at the similarity."""
+        n = pairs.count()
         x = prints.select(F.col("doc_id").alias("a"), F.col("print").alias("x"), F.col("size").alias("m"))
         y = prints.select(F.col("doc_id").alias("b"), F.col("print").alias("y"), F.col("size").alias("n"))
         apart = reduce(add, [F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(PRINT_BITS // 64)])
         # n shingles together of which at least d are in one set only leave (n - d) / 2 in common
         near = pairs.join(x, "a").join(y, "b").where(possible(F.col("m") + F.col("n") - apart, 2 * (F.col("m") + F.col("n"))))
-        near = cut(near.select("a", "b"))
+        near = cut(near.select("a", "b"), n)
         wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(shingled), "doc_id long, hashes array<long>"))
+        sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(shingled), "doc_id long, hashes array<long>"), "sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
         found = near.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y")))
-        return cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")), n)
 
     def unsettled(links: DataFrame) -> DataFrame:
         """The long postings whose sets are not all in one component; comp, and main: the one most of them are in."""
         roots = connected_components(links).select(F.col("node").alias("rep"), "root")
-        named = cut(long_.join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"))
+        named = cut(long_.join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"), n_posted)
         kinds = named.groupBy("key", "comp").count().groupBy("key")
         kinds = kinds.agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds"))
-        return cut(named.join(kinds.where("kinds > 1").select("key", "main"), "key"))
+        return cut(named.join(kinds.where("kinds > 1").select("key", "main"), "key"), n_posted)
 
     def led(rows: DataFrame) -> DataFrame:
         """Pairs of the most central set of every posting with the others."""
@@ -312,15 +316,19 @@ def similar_groups(
     short = posted.where(F.col("n") <= light)
     pairs = short.alias("a").join(short.alias("b"), "key").where("a.rep < b.rep").where(meeting("a", "b"))
     central = posted.groupBy("rep").agg(F.sum("n").alias("score"))
-    long_ = cut(posted.where(F.col("n") > light).join(central, "rep"))
+    long_ = cut(posted.where(F.col("n") > light).join(central, "rep"), n_posted)
     tested = cut(pairs.select(*ordered("a", "b")).unionByName(led(long_.withColumn("comp", F.col("rep")))).distinct())
     links = verified(tested)
     turn = 1 if not long_.isEmpty() else None
     while turn is not None:
         rows = unsettled(links)
-        if rows.isEmpty():
+        spread = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("comp") != F.col("main")).cast("long")).alias("out"))
+        all_pairs = spread.agg(F.sum(F.col("n") * F.col("out"))).first()[0]
+        if all_pairs is None:
             break
         rest = rows.where("comp <> main")
+        if all_pairs <= n_posted:
+            turn = leaders  # few enough to make them all at once
         if turn < leaders:
             new = led(rest)
         else:
