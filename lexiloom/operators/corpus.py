@@ -86,6 +86,20 @@ def lookup(rows: DataFrame, **wanted) -> DataFrame:
     return rows
 
 
+def lookup_joined(utterances: DataFrame, files: DataFrame, speakers: DataFrame, **wanted) -> DataFrame:
+    """Utterances that equal every given value; tables of files and speakers are joined only where a wanted column is theirs.
+
+    file_name and speaker_name are columns of those tables (file_id, file_name; speaker_id, speaker_name).
+    """
+    asked = {k: v for k, v in wanted.items() if v is not None}
+    rows = utterances
+    for table, key in ((files, "file_id"), (speakers, "speaker_id")):
+        if mine := {k: v for k, v in asked.items() if k in table.columns and k not in utterances.columns}:
+            rows = rows.join(lookup(table, **mine).select(key), key, "left_semi")
+            asked = {k: v for k, v in asked.items() if k not in mine}
+    return lookup(rows, **asked)
+
+
 def summary(rows: DataFrame, group: Column, words: Column) -> DataFrame:
     """Utterances, speakers, words and characters of each group."""
     return rows.groupBy(group.alias("grp")).agg(

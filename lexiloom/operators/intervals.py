@@ -121,8 +121,9 @@ def merge_segments(rows: DataFrame, key: Sequence[str], pause: int, longest: int
         return made
     w = Window.partitionBy(*key).orderBy("begin", "end")
     half = lambda gap: F.least(F.lit(snap), F.floor(F.greatest(gap, F.lit(0)) / 2))
-    before = F.coalesce(half(F.col("begin") - F.lag("end").over(w)), F.least(F.lit(snap), F.col("begin")))
-    after = F.coalesce(half(F.lead("begin").over(w) - F.col("end")), F.lit(snap))
+    last, following = F.lag("end").over(w), F.lead("begin").over(w)
+    before = F.when(last.isNotNull(), half(F.col("begin") - last)).otherwise(F.least(F.lit(snap), F.col("begin")))
+    after = F.when(following.isNotNull(), half(following - F.col("end"))).otherwise(F.lit(snap))
     moved = made.withColumns({"_before": before.cast("long"), "_after": after.cast("long")})
     return moved.select(*key, (F.col("begin") - F.col("_before")).alias("begin"), (F.col("end") + F.col("_after")).alias("end"), "n")
 

@@ -142,6 +142,15 @@ def pronunciation_counts(rows: DataFrame, key: list[str], order: str, silence: C
     )
 
 
+def pronunciation_pairs(rows: DataFrame, key: list[str], order: str, silence: Column) -> DataFrame:
+    """previous, word, silence, n: pairs of words that follow each other, by whether silence lies between them."""
+    w = Window.partitionBy(*key).orderBy(order)
+    marked = rows.withColumn("_sil", silence)
+    marked = marked.withColumn("silence", F.coalesce(F.lag("_sil").over(w), F.lit(True)))
+    words = marked.where("NOT _sil").withColumn("previous", F.lag("word").over(w))
+    return words.where("previous IS NOT NULL").groupBy("previous", "word", "silence").agg(F.count("*").alias("n"))
+
+
 def pronunciation_probabilities(counts: DataFrame, group: str) -> DataFrame:
     """Written probabilities from counts, one added to each and scaled by the largest of the group."""
     share = F.col("_sb") / (F.col("_sb") + F.col("_nb"))

@@ -72,7 +72,8 @@ def nearest_centroid(rows: DataFrame, vector: str, centres: DataFrame, key: str,
         return pd.DataFrame({"k": keys, "s": np.where(np.isfinite(scores), scores, np.nan)})
 
     out = rows.withColumn("_best", best(scale_to_length(F.col(vector))))
-    known = ~F.isnan("_best.s") if threshold is None else ~F.isnan("_best.s") & (F.col("_best.s") >= threshold)
+    known = F.col("_best.s").isNotNull() & ~F.isnan("_best.s")
+    known = known if threshold is None else known & (F.col("_best.s") >= threshold)
     kind = centres.schema[key].dataType
     return out.withColumns({"predicted": F.when(known, F.col("_best.k").cast(kind)), "score": F.nanvl("_best.s", F.lit(None).cast("double"))}).drop("_best")
 

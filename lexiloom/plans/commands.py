@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import corpus, intervals, language_model, lexicon, metrics, vectors
+from ..operators import corpus, dictionary, g2p, intervals, language_model, lexicon, metrics, selection, vectors
+from ..sinks import files as sinks
 
 
 def find_oovs(utterances: DataFrame, words: DataFrame, group: str = "dictionary") -> DataFrame:
@@ -68,3 +69,80 @@ def train_dictionary(rows: DataFrame, silence: tuple[str, ...]) -> DataFrame:
     """word, probabilities from word intervals in order (utterance, begin, word)."""
     counts = lexicon.pronunciation_counts(rows, ["utterance"], "begin", F.col("word").isin(*silence))
     return lexicon.pronunciation_probabilities(counts.withColumn("entry", F.col("word")), "entry")
+
+
+def train_dictionary_with_corrections(rows: DataFrame, silence: tuple[str, ...]) -> DataFrame:
+    """word, probability, silence_after and both corrections of the silence before: all that a lexicon's fields hold."""
+    counts = lexicon.pronunciation_counts(rows, ["utterance"], "begin", F.col("word").isin(*silence))
+    known = lexicon.pronunciation_probabilities(counts.withColumn("entry", F.col("word")), "entry")
+    pairs = lexicon.pronunciation_pairs(rows, ["utterance"], "begin", F.col("word").isin(*silence))
+    before = lexicon.before_corrections(counts, pairs.groupBy("previous", "word").agg(F.sum("n").alias("n")), known)
+    return known.select("word", "probability", "silence_after").join(before, "word")
+
+
+def train_g2p(entries: DataFrame, rounds: int = 6, most: tuple[int, int] = (2, 2)) -> DataFrame:
+    """Chunk weights from a dictionary (word, phones)."""
+    letters = F.filter(F.split("word", ""), lambda x: x != "")
+    return g2p.train_alignment(entries.select("word", letters.alias("letters"), "phones"), rounds, most)
+
+
+def generate_pronunciations(words: DataFrame, weights: DataFrame, best: int = 3, strict: bool = True) -> DataFrame:
+    """word, rank, pronunciation, score; strict leaves out words with letters that the model doesn't know."""
+    letters = F.filter(F.split("word", ""), lambda x: x != "")
+    if strict:
+        known = weights.where(F.col("letters") != g2p.EMPTY).select(F.explode(F.split("letters", " ")).alias("l"))
+        known = known.agg(F.sort_array(F.collect_set("l")).alias("_known"))  # an alphabet
+        words = g2p.strict_words(words.crossJoin(F.broadcast(known)), F.col("_known")).drop("_known")
+    return g2p.generate(words, letters, weights, best)
+
+
+def validate_dictionary(entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """word, pronunciation, generated, edits: entries beside what a model makes of their spelling, the worst first."""
+    made = generate_pronunciations(entries.select("word").distinct(), weights, 1, strict=False)
+    given = entries.select("word", F.array_join("phones", " ").alias("pronunciation"))
+    return dictionary.validated(given, made).orderBy(F.desc("edits"), "word", "pronunciation")
+
+
+def remap_dictionary(entries: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
+    return lexicon.remap_alternatives(entries, mapping)
+
+
+def remap_alignments(rows: DataFrame, mapping: dict[str, list[str]], key: str = "utterance") -> DataFrame:
+    """Intervals with other labels: split where one becomes several, merged where neighbours become one."""
+    cut = intervals.split_labels(rows, mapping)
+    return intervals.merge_equal_labels(cut, [key], ["begin", "end"])
+
+
+def compare_alignments(reference: DataFrame, hypothesis: DataFrame, key: str = "utterance") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, each utterance, confusions with examples) of two sets of aligned intervals."""
+    pairs = metrics.aligned_pairs(reference, hypothesis, key)
+    return metrics.alignment_totals(pairs), metrics.evaluate_alignments(reference, hypothesis, key), metrics.confusion_examples(pairs, key)
+
+
+def cluster_speakers(rows: DataFrame, vector: str = "embedding", method: str = "kmeans", truth: str | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with cluster, scores against the true speakers if they are known)."""
+    made = vectors.cluster(rows, vector, method, **options)
+    if truth is None:
+        return made, None
+    return made, vectors.cluster_scores(vectors.contingency(made, "cluster", truth), "cluster", truth)
+
+
+def validation_report(files: DataFrame, utterances: DataFrame, words: DataFrame, readable: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, words out of vocabulary by dictionary, files with a problem) of a corpus; utterances: dictionary, speaker, text."""
+    missing = find_oovs(utterances, words)
+    return validate_corpus(utterances, words), sinks.oov_report(missing), sinks.error_lists(files, readable)
+
+
+def corpus_hours(utterances: DataFrame, path: str) -> DataFrame:
+    """part, n_utterances, n_files, n_speakers, hours of each first folder of the path (utterances: begin, end in seconds, speaker)."""
+    part = F.get(F.split(F.ltrim(F.col(path), F.lit("/")), "/"), 0)
+    return utterances.groupBy(part.alias("part")).agg(
+        F.count("*").alias("n_utterances"), F.countDistinct(path).alias("n_files"), F.countDistinct("speaker").alias("n_speakers"),
+        (F.sum(F.col("end") - F.col("begin")) / 3600).alias("hours"),
+    )
+
+
+def training_stages(utterances: DataFrame, **columns) -> list[tuple[int, DataFrame]]:
+    """(size, utterances) of each stage of a training curriculum; columns as selection.training_subset names them."""
+    total = utterances.count()
+    return [(n, utterances if n >= total else selection.training_subset(utterances, n, **columns)) for n in selection.stage_sizes(total)]

@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def new_utterances(spark: SparkSession, root: str, files_at_once: int = 1000) -> DataFrame:
+    """path, speaker (the folder), text of transcripts as they arrive below a folder; each file is read once."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_at_once)
+    rows = lines.option("pathGlobFilter", "*.{lab,txt}").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return rows.select("path", F.element_at(F.split("path", "/"), -2).alias("speaker"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
+
+
 def window_counts(events: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """start, label, n, total of each tumbling window; rows later than ``late`` are left out."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "label")
