@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lexiloom.llm import decontaminate, exact_dedup, simhash
+from lexiloom.llm import decontaminate, exact_dedup, language_id, simhash
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -26,3 +28,17 @@ def test_clashing_columns_and_nulls_pass_through(spark):
         got = out.collect()
         assert out.columns == docs.columns and len(got) == n
         assert {tuple(r) for r in got} == set(rows)
+
+
+def test_clashing_columns_of_the_outer_stages(spark):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    names = "score held_out raw row sequence_id length _rank _gap slot size part _spot".split()
+    docs = base.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    nulls = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    nulls = nulls.unionByName(nulls.withColumns({"doc_id": F.lit(7000).cast("long"), "text": F.lit("")}))
+    kept = language_id.keep_identified(docs.unionByName(nulls))
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL OR doc_id = 7000").count() == 0
+    some = docs.limit(20).unionByName(nulls)
+    packed = corpus_pipeline.pack_sequences(spark, some, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in some.collect()}
+    assert all(r.sequence_id is not None and r.offset + r.length <= 2048 for r in packed)
