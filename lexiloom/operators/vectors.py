@@ -223,42 +223,47 @@ def adjusted_mutual_information(table: DataFrame, predicted: str, truth: str) ->
     return table.sparkSession.createDataFrame([(float(value),)], "adjusted_mutual_information double")
 
 
-def kth_distance(rows: DataFrame, queries: DataFrame, vector: str, id: str, k: int, block: int = 2048) -> DataFrame:
+def kth_distance(rows: DataFrame, queries: DataFrame, vector: str, id: str, k: int, block: int = 16_384) -> DataFrame:
     """id, distance of the k-th nearest other row for every query row, exactly.
 
-    Queries are sent in blocks of bounded size; every task keeps the k nearest of its rows for each, and
-    the parts are merged by query.
+    Queries are sent in blocks of bounded size, one pass over the rows a block; every task keeps the k nearest of its rows
+    for each, the parts are merged by query and stored, and the block is freed before the next one.
     """
     spark = rows.sparkSession
-    asked = queries.select(id, vector).withColumn("_block", F.pmod(F.xxhash64(id), F.lit(max(1, -(-queries.count() // block)))))
+    checkpoint_folder(spark)
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(id, vector).withColumn("_block", F.pmod(F.xxhash64(id), F.lit(blocks)))
     parts = []
-    for (b,) in asked.select("_block").distinct().collect():
+    for b in range(blocks):
         mine = asked.where(F.col("_block") == b).toPandas().sort_values(id)
+        if not len(mine):
+            continue
         names = mine[id].to_numpy()
         matrix = np.array(mine[vector].tolist(), np.float64)
         shared = spark.sparkContext.broadcast((names, matrix))
 
         def nearest(batches, shared=shared):
             names, matrix = shared.value
-            best = np.full((len(names), 0), np.inf)
+            best = np.full((len(names), k), np.inf)
             for pdf in batches:
                 if not len(pdf):
                     continue
                 for at in range(0, len(pdf), 256):
                     part = pdf.iloc[at : at + 256]
                     other = np.array(part[vector].tolist(), np.float64)
-                    square = (matrix**2).sum(axis=1)[:, None] + (other**2).sum(axis=1)[None, :]
-                    d = np.sqrt(np.maximum(0, square - 2 * matrix @ other.T))
-                    d[names[:, None] == part[id].to_numpy()[None, :]] = np.inf
-                    best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
-            if best.shape[1]:
-                yield pd.DataFrame({id: np.repeat(names, best.shape[1]), "distance": best.ravel()})
-
-        parts.append(rows.select(id, vector).mapInPandas(nearest, f"{id} long, distance double"))
-    if not parts:
-        return spark.createDataFrame([], f"{id} long, distance double")
-    merged = reduce(DataFrame.unionByName, parts).where("distance < double('infinity')")
-    return merged.groupBy(id).agg(F.get(F.sort_array(F.collect_list("distance")), k - 1).alias("distance"))
+                    for low in range(0, len(names), 2048):  # so many queries against so many rows at once
+                        some, ids = matrix[low : low + 2048], names[low : low + 2048]
+                        square = (some**2).sum(axis=1)[:, None] + (other**2).sum(axis=1)[None, :]
+                        d = np.sqrt(np.maximum(0, square - 2 * some @ other.T))
+                        d[ids[:, None] == part[id].to_numpy()[None, :]] = np.inf
+                        both = np.concatenate([best[low : low + 2048], d], axis=1)
+                        best[low : low + 2048] = np.partition(both, k - 1, axis=1)[:, :k]
+            yield pd.DataFrame({id: np.repeat(names, k), "distance": best.ravel()})
+
+        found = rows.select(id, vector).mapInPandas(nearest, f"{id} long, distance double").where("distance < double('infinity')")
+        parts.append(found.groupBy(id).agg(F.get(F.sort_array(F.collect_list("distance")), k - 1).alias("distance")).checkpoint())
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{id} long, distance double")
 
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 1) -> DataFrame:

@@ -33,10 +33,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The shared folder that spark.checkpoint.dir names; a temporary one only where it is unset and all runs in this process.
+
+    On a cluster without the setting there is no folder that all machines see, so that raises.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="lexiloom-")
         sc.setCheckpointDir(named)
     return named

@@ -158,9 +158,8 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:
-    """N-grams of an ARPA file. Its sections need the order of lines, so the file is read as one text."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    return parse_arpa(lines)
+    """N-grams of an ARPA file, read in splits."""
+    return parse_arpa(spark.read.text(path))
 
 
 def read_scp(spark: SparkSession, path: str) -> DataFrame:
