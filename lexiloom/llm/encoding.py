@@ -14,9 +14,6 @@ from array import array
 
 from .common import keep_cache
 
-#: White space that makes the short way unsure; such texts are cut with a regular expression.
-_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_ODD_WIDE = re.compile("[%s]" % "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 # fixed values: what the two pre-tokenizers do to ASCII and Latin-1 letters
@@ -25,6 +22,8 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SIMPLE = re.compile("[\n -~À-ÿ]*")
 _WORD_TOKENS = re.compile(rf"{_CONTRACTIONS}|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 _BOTH = f"{_LATIN}A-ZÀ-ÖØ-Þ"
+#: Marks that are a pre-token of their own after a word and before white space.
+_MARKS = ".,;:!?"
 _BYTE_TOKENS = re.compile(rf"{_CONTRACTIONS}| ?[{_BOTH}]+| ?[0-9]+| ?[^\s{_BOTH}0-9]+|\s+(?!\S)|\s+")
 
 
@@ -86,10 +85,12 @@ class WordwiseEncoder:
         self.mode = _mode(spec)
         added = [] if special_as_text else [x["content"] for x in spec.get("added_tokens") or [] if x.get("content")]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.mark = os.path.commonprefix(added)
         self.model = self.tokenizer.model
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
+        self.marks = {x: self._token(x) for x in _MARKS} if self.mode != "whole" else {}
         self.marked = False  # whether the block at hand has strings of special tokens
 
     #: Characters of the pieces that are kept.
@@ -139,40 +140,55 @@ class WordwiseEncoder:
             del self.tokens[token]
         return out
 
-    def _look_up(self, pieces: list[str], cache: dict[str, bytes], prefix: str) -> bytes:
+    def _look_up(self, pieces: list[str], cache: dict[str, bytes], prefix: str, edges: bool = True) -> bytes | None:
+        """Ids of the pieces; without edges, None if a piece is empty or has white space at an end (such are never kept)."""
         missing = list(set(pieces).difference(cache))
         if not missing:
             return b"".join(map(cache.__getitem__, pieces))
+        if not edges and any(not x or x != x.strip() for x in missing):
+            return None
         if len(cache) + len(missing) > self.cache_entries:
             cache.clear()
             missing = list(set(pieces))
-        drop, tokenize, space = self.mode == "drop_space", self.model.tokenize, _BYTE_LETTERS[32] if prefix else ""
-        # ASCII letters alone are one pre-token and stand for themselves
-        plain = [x for x in missing if x.isascii() and x.isalpha() and (x.islower() or not drop)]
-        cache.update([(x, array("I", [t.id for t in tokenize(space + x)]).tobytes()) for x in plain])
-        if len(plain) < len(missing):
-            other = set(missing).difference(plain)
+        drop, tokenize, space, marks = self.mode == "drop_space", self.model.tokenize, _BYTE_LETTERS[32] if prefix else "", self.marks
+        other = []
+        for x in missing:
+            # ASCII letters are one pre-token and stand for themselves; a mark at their end is another one
+            word, end = (x, b"") if x.isalpha() else (x[:-1], marks.get(x[-1:], b""))
+            if word.isascii() and word.isalpha() and (end or word is x):
+                low = word.lower() if drop else word
+                ids = cache.get(low)
+                if ids is None:
+                    ids = array("I", [t.id for t in tokenize(space + low)]).tobytes()
+                    cache[low] = ids
+                cache[x] = ids + end
+            else:
+                other.append(x)
+        if other:
             cache.update(zip(other, self._pieces([prefix + x for x in other]), strict=True))
         out = b"".join(map(cache.__getitem__, pieces))
-        if max(map(len, missing)) > self.LONGEST or len(cache) > self.cache_entries:
-            for x in missing:
-                if len(x) > self.LONGEST or len(cache) > self.cache_entries:
-                    del cache[x]
+        if max(map(len, missing)) >= self.LONGEST or len(cache) > self.cache_entries:
+            for x in [x for x in missing for x in (x, x[:-1], x.lower(), x[:-1].lower())]:
+                if len(x) >= self.LONGEST or len(cache) > self.cache_entries:
+                    cache.pop(x, None)
         return out
 
     def _block(self, text: str) -> bytes:
-        self.marked = self.special is not None and self.special.search(text) is not None
+        self.marked = self.special is not None and self.mark in text and self.special.search(text) is not None
         if self.mode == "drop_space":
-            if any(c in text for c in _ODD_ASCII) or not text.isascii() and _ODD_WIDE.search(text):
-                return self._look_up([x for x in re.split("[ \n]+", text) if x], self.first, "")
-            return self._look_up(text.split(), self.first, "")
-        odd = "  " in text or " \n" in text or "\n " in text or any(c in text for c in _ODD_ASCII)
-        if odd or not text.isascii() and _ODD_WIDE.search(text):
-            return self._look_up(_LONE_SPACE.split(text), self.first, "")
+            return self._look_up(text.replace("\n", " ").split(" "), self.first, "")
         head, *tail = text.split(" ")
-        if tail and not tail[-1]:
-            return self._look_up([text], self.first, "")
-        return (self._look_up([head], self.first, "") if head else b"") + self._look_up(tail, self.rest, " ")
+        if not tail:
+            return self._raw([text])[0]
+        last = tail.pop()
+        # a space beside other white space belongs to it: then only lone spaces are cut at
+        if not head[-1:].isspace() and last and not last[0].isspace():
+            found = self._look_up(tail, self.rest, " ", edges=False)
+            if found is not None:
+                end = self._raw([" " + last])[0] if last[-1].isspace() else self._look_up([last], self.rest, " ")
+                start = (self._raw([head])[0] if head[0].isspace() else self._look_up([head], self.first, "")) if head else b""
+                return start + found + end
+        return self._look_up(_LONE_SPACE.split(text), self.first, "")
 
     def _blocks(self, text: str):
         """The text in blocks, cut at lone spaces only."""

@@ -61,10 +61,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
 
 
 def length_classes(capacity: int, exact: int = 6) -> list[tuple[int, int]]:
-    """(low, high] classes of lengths, longest first: capacity / k for k up to ``exact``, then halves."""
+    """(low, high] classes of lengths, longest first: capacity / k for k up to ``exact``, two halves more, then eighths.
+
+    Lengths over capacity / (k + 1) fill a new sequence with k exactly; short ones fit almost everywhere.
+    """
     bounds = [capacity // k for k in range(1, exact + 1)]
     while bounds[-1] > 0:
-        bounds.append(bounds[-1] // 2)
+        bounds.append(bounds[-1] // (2 if len(bounds) < exact + 2 else 8))
     bounds = sorted(set(bounds), reverse=True)
     return [(low, high) for high, low in zip(bounds, bounds[1:], strict=False)]
 
