@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: marks on a phone and patterns of phone sets
@@ -46,6 +46,11 @@ def phone_set(label: Column) -> Column:
     return F.when(label.rlike(ARPA), "ARPA").when(label.rlike(IPA_ONLY), "IPA").when(label.rlike(PINYIN), "PINYIN").otherwise("UNKNOWN")
 
 
+def phone_set_votes(labels: DataFrame) -> DataFrame:
+    """phone_set, n over distinct labels (column phone); the set with the most votes is a dictionary's."""
+    return labels.select("phone").distinct().groupBy(phone_set(F.col("phone")).alias("phone_set")).agg(F.count("*").alias("n"))
+
+
 def voiceless_variants(base: str) -> set[str]:
     return {base + mark for mark in ("̥", "̊")}
 

@@ -18,6 +18,33 @@ COMPOUNDS = "-"
 BRACKETS = (("[", "]"), ("{", "}"), ("<", ">"), ("(", ")"), ("＜", "＞"))
 
 
+def character_class(marks: str, negated: bool = False) -> str:
+    """A regular expression class of these characters; a hyphen stands first, where it is no range."""
+    rest = "".join(re.escape(x) for x in dict.fromkeys(marks) if x != "-")
+    return "[" + ("^" if negated else "") + ("-" if "-" in marks else "") + rest + "]"
+
+
+def marker_patterns(punctuation: str = PUNCTUATION, clitics: str = CLITICS, compounds: str = COMPOUNDS, quotes: str = QUOTES) -> dict[str, str]:
+    """Patterns made from marker lists: edges to strip, breaks inside a word, clitic and compound marks."""
+    edge = character_class(punctuation + quotes + compounds)
+    return {
+        "edges": f"^{edge}+|{edge}+$",
+        "breaks": character_class(punctuation + quotes) + "+",
+        "clitics": character_class(clitics),
+        "compounds": character_class(compounds),
+    }
+
+
+def nested_text(lists: Column, inner: str = " ", outer: str = ", ") -> Column:
+    """A list of lists as one text."""
+    return F.array_join(F.transform(lists, lambda x: F.array_join(x, inner)), outer)
+
+
+def loaded_at() -> Column:
+    """The time of the query, one for all its rows."""
+    return F.current_timestamp()
+
+
 def fold_case(text: Column) -> Column:
     """Lower case; a dotted capital I leaves no combining dot behind."""
     return F.regexp_replace(F.lower(text), "i̇", "i")
@@ -143,3 +170,18 @@ def simple_tokens(text: Column, vocabulary: frozenset[str] = frozenset()) -> Col
         return s.map(lambda x: simple_words(x or "", vocabulary))
 
     return cut(text)
+
+
+#: Tokenizers by name; others, as for scripts without spaces, are registered here by their users.
+TOKENIZERS = {"words": tokens, "simple": simple_tokens, "letters": graphemes}
+
+
+def register_tokenizer(name: str, function) -> None:
+    """Makes a function from a text column to a column of word arrays known under a name."""
+    TOKENIZERS[name] = function
+
+
+def tokenized(text: Column, name: str = "words", **options) -> Column:
+    if name not in TOKENIZERS:
+        raise ValueError(f"no tokenizer is called {name}: {sorted(TOKENIZERS)}")
+    return TOKENIZERS[name](text, **options)

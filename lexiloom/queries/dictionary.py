@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.phones import ARPA, IPA_ONLY, PINYIN, phone_set_votes
+from ..functions.text import nested_text, tokens
 from ..operators import corpus, dictionary
 from .base import query, tokens_sql
 
@@ -118,3 +119,31 @@ def word_type_totals(t):
     known = _lexicon(t).select("word", F.lit(True).alias("known"))
     rows = corpus.word_counts(t.documents, _text()).join(known, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     return dictionary.bracketed_types(rows)
+
+
+@query(
+    f"SELECT CASE WHEN regexp_matches(phone, '{ARPA}') THEN 'ARPA' WHEN regexp_matches(phone, '{IPA_ONLY}') THEN 'IPA' WHEN regexp_matches(phone, '{PINYIN}') THEN 'PINYIN' ELSE 'UNKNOWN' END AS phone_set, count(*) AS n FROM "
+    f"(SELECT DISTINCT unnest({_LETTERS}) AS phone FROM (SELECT DISTINCT word FROM ({_COUNTS}))) GROUP BY ALL"
+)
+def phone_set_vote(t):
+    """Which phone set the letters of all words look like, by votes."""
+    words = corpus.word_counts(t.documents, _text()).select(F.explode(F.filter(F.split("word", ""), lambda x: x != "")).alias("phone"))
+    return phone_set_votes(words)
+
+
+@query(
+    f"WITH u AS (SELECT phone, count(*) AS n FROM (SELECT unnest({_LETTERS}) AS phone FROM ({_WORDS})) GROUP BY phone), p AS (SELECT phone FROM u), c AS (SELECT DISTINCT * FROM ({_CLASSES})) "
+    "SELECT class, count(*) AS n_phones, CAST(sum(n) AS BIGINT) AS n_uses FROM c JOIN u USING (phone) GROUP BY class"
+)
+def dictionary_analysis(t):
+    """Phones and their uses by class, as a model's card tells them."""
+    uses = _lexicon(t).select(F.explode("phones").alias("phone")).groupBy("phone").agg(F.count("*").alias("n"))
+    classes = dictionary.phone_classes(uses.select("phone"))
+    return classes.join(uses, "phone").groupBy("class").agg(F.count("*").alias("n_phones"), F.sum("n").alias("n_uses"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(array_to_string(list_transform({_T}, lambda w: array_to_string(list_filter(string_split(w, ''), lambda x: x <> ''), ' ')), ', '), '') AS spelled FROM conversations")
+def spelled_turns(t):
+    """Nested lists as one text: the letters of each word of a turn."""
+    letters = F.transform(_text(), lambda w: F.filter(F.split(w, ""), lambda x: x != ""))
+    return t.conversations.select("conv_id", "turn", nested_text(letters).alias("spelled"))

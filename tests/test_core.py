@@ -31,6 +31,14 @@ def test_text_functions(spark):
     assert column(spark, text.is_bracketed, "(the)", "<c>", "[a]", "{cold}", "uh", "", None) == [True] * 4 + [False] * 3
     assert column(spark, text.tokens, "Hello, WORLD!! it's a-b", None) == [["hello", "world", "it's", "a-b"], []]
     assert column(spark, text.word_class, "[x]", "<s>", "ab") == ["[bracketed]", "<unk>", "ab"]
+    assert text.character_class("a-b]^") == r"[-ab\]\^]" and text.character_class("x", True) == "[^x]"
+    patterns = text.marker_patterns()
+    assert column(spark, lambda x: F.regexp_replace(x, patterns["edges"], ""), "«well-known», ", "-x-", "a.b") == ["well-known», ", "x", "a.b"]
+    assert column(spark, lambda x: text.tokenized(x, "simple"), "A b") == [["a", "b"]]
+    text.register_tokenizer("pairs", lambda x: F.array(F.substring(x, 1, 2), F.substring(x, 3, 2)))
+    assert column(spark, lambda x: text.tokenized(x, "pairs"), "abcd") == [["ab", "cd"]]
+    with pytest.raises(ValueError):
+        text.tokenized(F.col("x"), "none")
     assert column(spark, text.strip_cutoff, "<cutoff-ab>", "ab") == ["ab", "ab"]
     assert column(spark, text.nfkc, "ﬁ", None) == ["fi", None]
     assert column(spark, text.attach_cutoffs, ["<cutoff>", "ab", "<cutoff>"], kind="array<string>") == [["<cutoff-ab>", "ab", "<cutoff>"]]
