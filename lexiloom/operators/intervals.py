@@ -1,7 +1,8 @@
 """Operators over intervals (begin, end in integer microseconds) within a key.
 
 Order-dependent steps are windows or islands of windows; joins on time go through time buckets, so a hot key
-spreads over its buckets and a join never pairs a whole key with itself.
+spreads over its buckets and a join never pairs a whole key with itself. A window sorts a key in one task, by disk where it is
+long: keys are utterances, files or conversations, whose rows are bounded by their duration.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .corpus import dense_ids
+
 
 def first_of_each(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group in a total order, with their rank.
@@ -32,17 +34,27 @@ def allocate_quota(counts: DataFrame, key: str, total: int) -> DataFrame:
     return counts.sparkSession.createDataFrame(out, f"{key} string, quota long")
 
 
-def balance(counts: DataFrame, key: str, jobs: int) -> DataFrame:
+def balance(counts: DataFrame, key: str, jobs: int, most: int = 100_000) -> DataFrame:
     """key, n, job: the largest group first, each to the job with the least load, the first on ties.
 
-    counts (key, n) is one row a speaker.
+    counts (key, n) is one row a speaker. The driver walks the ``most`` largest; where there are more, the small
+    ones after them are dealt to the jobs in turn, there and back, in the order of their size.
     """
+    order = [F.desc("n"), F.col(key)]
     loads, out = [0] * jobs, []
-    for n, name in sorted(((r["n"], r[key]) for r in counts.collect()), key=lambda x: (-x[0], x[1])):
+    for r in counts.orderBy(*order).limit(most).collect():
         job = loads.index(min(loads))
-        loads[job] += n
-        out.append((name, n, job))
-    return counts.sparkSession.createDataFrame(out, f"{key} string, n long, job int")
+        loads[job] += r["n"]
+        out.append((r[key], r["n"], job))
+    made = counts.sparkSession.createDataFrame(out, f"{key} string, n long, job int")
+    if len(out) < most:
+        return made
+    rest = counts.join(F.broadcast(made.select(key)), key, "left_anti")  # ``most`` names
+    ids = dense_ids(rest.withColumn("_down", -F.col("n")), "_down", key)
+    turn = F.col("id") % (2 * jobs)
+    seats = F.array(*(F.lit(k) for k in sorted(range(jobs), key=loads.__getitem__)))  # the least loaded comes first
+    job = F.get(seats, F.when(turn < jobs, turn).otherwise(2 * jobs - 1 - turn).cast("int"))
+    return made.unionByName(ids.select(key, F.col("n").cast("long").alias("n"), job.alias("job")))
 
 
 def ladder(counts: DataFrame, needed: int, steps: Sequence[int]) -> DataFrame:

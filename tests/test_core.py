@@ -153,6 +153,10 @@ def test_quota_and_jobs(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 50), ("c", 60)], "lang string, n long")
     assert {r.lang: r.quota for r in sampling.allocate_quota(counts, "lang", 60).collect()} == {"a": 5, "b": 27, "c": 28}
     assert {r.lang: r.job for r in sampling.balance(counts, "lang", 2).collect()} == {"c": 0, "b": 1, "a": 1}
+    many = spark.createDataFrame([(f"s{k:03}", 200 - k) for k in range(100)], "source string, n long")
+    dealt = sampling.balance(many, "source", 3, most=10).collect()
+    loads = [sum(r.n for r in dealt if r.job == j) for j in range(3)]
+    assert len(dealt) == 100 and max(loads) - min(loads) < 200
 
 
 def test_vectors(spark):
