@@ -59,8 +59,10 @@ def tidy(work: Callable, most_bytes: int = 4 << 20, cache: str | None = None) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [x for x in _caches if x != cache]:
-            _caches.pop(name)()
+        if others := [x for x in _caches if x != cache]:
+            for name in others:
+                _caches.pop(name)()
+            release_memory()
         try:
             yield from work(small_batches(batches, most_bytes))
         finally:
@@ -69,6 +71,15 @@ def tidy(work: Callable, most_bytes: int = 4 << 20, cache: str | None = None) ->
     return run
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the broadcasts, shuffles and checkpoints that nothing refers to any longer.
+
+    The cleaner learns of them when the driver collects its garbage, which it does on its own only every half an hour
+    or when its heap is full; jobs of many rounds call this in between.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -142,6 +153,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
+            clean_up(pairs.sparkSession)
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import text_bytes, tidy
+from .common import release_memory, text_bytes, tidy
 
 UNDETERMINED = "und"
 #: Features are hashed to this many weights a language.
@@ -328,7 +328,10 @@ def train(docs: DataFrame, sample_per_language: int = 400, stretch: int = 4000,
     text = F.substring("text", place.cast("int"), F.lit(stretch)).alias("text")
     picked = labelled.where(draw < share[F.col("lang")]).select("doc_id", text, "lang").toPandas()
     picked = picked.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
-    return fit(list(zip(picked["text"], picked["lang"], strict=True)))
+    model = fit(list(zip(picked["text"], picked["lang"], strict=True)))
+    del picked
+    release_memory()  # what training used on the driver
+    return model
 
 
 def identify(docs: DataFrame, model: Crf | None = None, **options) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import few, scratch_path, stored, text_bytes, tidy, unused
+from .common import clean_up, few, scratch_path, stored, text_bytes, tidy, unused
 from .encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -175,6 +175,9 @@ def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
                     "sequence_id", (F.col("size") - F.coalesce("_used", F.lit(0))).alias("size")
                 )
             opened += new
+            if len(files) % 4 == 0:
+                clean_up(spark)
+    clean_up(spark)
     kept = [F.col(f"row.`{c}`") for c in piece_rows.columns if c.lower() not in ("sequence_id", "offset")]
     if not files:
         return rows.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import text_bytes, tidy
+from .common import release_memory, text_bytes, tidy
 
 WORD_BITS = 16
 BINS = 12
@@ -187,7 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, seed: int
         (np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<f4"))
         for a, b in zip(table["slots"], table["amounts"], strict=True)
     ]
-    return fit(samples, [int(x > 0) for x in table["quality"]])
+    model = fit(samples, [int(x > 0) for x in table["quality"]])
+    del table, samples
+    release_memory()  # what training used on the driver
+    return model
 
 
 def score(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import connected_components, cut, stored, text_bytes, tidy, unused
+from .common import clean_up, connected_components, cut, stored, text_bytes, tidy, unused
 
 #: Words are taken this many at a time from a text, so memory does not follow its length.
 BLOCK_WORDS = 1 << 18
@@ -148,6 +148,8 @@ def components(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFram
 _PUNCTUATION = re.compile(rb"[!-/:-@\[-`{-~]+")
 #: Bits of a set's print: every shingle turns one of them over.
 PRINT_BITS = 1024
+#: Ids of texts to be looked at again that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _folded_words(raw: bytes) -> list[bytes]:
@@ -292,6 +294,8 @@ def similar_groups(
         near = pairs.join(x, "a").join(y, "b").where(possible(F.col("m") + F.col("n") - apart, 2 * (F.col("m") + F.col("n"))))
         near = cut(near.select("a", "b"), n)
         wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+        if 2 * near.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)  # then the texts stay where they are
         sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(shingled), "doc_id long, hashes array<long>"), "sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
@@ -319,6 +323,7 @@ def similar_groups(
     long_ = cut(posted.where(F.col("n") > light).join(central, "rep"), n_posted)
     tested = cut(pairs.select(*ordered("a", "b")).unionByName(led(long_.withColumn("comp", F.col("rep")))).distinct())
     links = verified(tested)
+    clean_up(spark)
     turn = 1 if not long_.isEmpty() else None
     while turn is not None:
         rows = unsettled(links)
@@ -338,6 +343,7 @@ def similar_groups(
         tested = tested.unionByName(new)
         more = verified(new)
         links = links.unionByName(more)
+        clean_up(spark)
         # leaders that link nothing more leave all that is left to the last turn
         turn = None if turn >= leaders else leaders if more.isEmpty() else turn + 1
     roots = connected_components(links.unionByName(same))
