@@ -8,6 +8,8 @@ a weak candidate is reported only where the part that completes it stands in its
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ _TO_VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 class Kind:
     """A pattern whose matches count if group ``group`` has least..most characters.
 
-    role: strong kinds are always reported; the others need one of ``needs`` in their scope.
+    Strong kinds are always reported; the others need one of ``needs`` in their scope. Every match holds one
+    of ``signs`` (if there are any), so a text without them needs no scan.
     """
 
     name: str
@@ -31,19 +34,20 @@ class Kind:
     least: int = 1
     most: int = 1 << 30
     needs: tuple[str, ...] = ()
+    signs: tuple[str, ...] = ()
 
 
 # fixed values: the base patterns, in their order
 BASE = (
-    Kind("assign", r"(?i:(password|passwd|secret|token|api_?key))" + _TO_VALUE + r"([A-Za-z0-9+/_.=-]+)", 2, 12),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 18),
+    Kind("assign", r"(?i:(password|passwd|secret|token|api_?key))" + _TO_VALUE + r"([A-Za-z0-9+/_.=-]+)", 2, 12, signs=(":", "=")),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 18, signs=("AKIA",)),
     Kind("hex", r"[0-9a-f]+", 0, 16),
 )
 _SECRETS = ("assign", "hex", "weak_secret")
 WEAK = (
-    Kind("weak_id", r"(?i:((?:\b|_)(?:user|login|account)|username|client_?id|\baccess_?key|access_?key_?id|\bkey_?id))" + _TO_VALUE + r"([A-Za-z0-9@_.+-]+)", 2, 3, needs=_SECRETS),
-    Kind("weak_secret", r"(?i:((?:\b|_)(?:pwd|pass)|passphrase|credential|private_?key|secret_?access_?key|password|passwd|secret|token|api_?key))" + _TO_VALUE + r"([A-Za-z0-9+/_.=-]+)", 2, 4, needs=("access", "weak_id", "endpoint")),
-    Kind("endpoint", r"(?i:\b(https?|ftp|sftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp))://[A-Za-z0-9._~:/?#@%&=+-]+", 0, 10, needs=_SECRETS),
+    Kind("weak_id", r"(?i:((?:\b|_)(?:user|login|account)|username|client_?id|\baccess_?key|access_?key_?id|\bkey_?id))" + _TO_VALUE + r"([A-Za-z0-9@_.+-]+)", 2, 3, needs=_SECRETS, signs=(":", "=")),
+    Kind("weak_secret", r"(?i:((?:\b|_)(?:pwd|pass)|passphrase|credential|private_?key|secret_?access_?key|password|passwd|secret|token|api_?key))" + _TO_VALUE + r"([A-Za-z0-9+/_.=-]+)", 2, 4, needs=("access", "weak_id", "endpoint"), signs=(":", "=")),
+    Kind("endpoint", r"(?i:\b(https?|ftp|sftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp))://[A-Za-z0-9._~:/?#@%&=+-]+", 0, 10, needs=_SECRETS, signs=("://",)),
 )
 KINDS = BASE + WEAK
 
@@ -68,7 +72,10 @@ def _lengths(kind: Kind) -> Column:
         ),
     )
     none = F.array().cast("array<struct<gap:int,size:int,value:int>>")
-    return F.when(F.rlike(text, pattern), sizes).otherwise(none)
+    found = F.rlike(text, pattern)
+    if kind.signs:
+        found = reduce(or_, (F.contains(text, F.lit(x)) for x in kind.signs)) & found
+    return F.when(found, sizes).otherwise(none)
 
 
 def find_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
