@@ -25,6 +25,8 @@ from .common import stored, text_bytes, tidy, unused
 MASKS = ("111111", "1101101011", "11011000111", "1010110010101", "1110010011001")
 #: Items of fewer words than a mask has ones are looked for as a whole, from this many words on.
 SHORTEST, WEIGHT = 3, 6
+#: Items that a region is laid over in one row.
+ITEMS = 256
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 #: Words handled at once.
 SLICE_WORDS = 1 << 20
@@ -223,38 +225,64 @@ def find_leaks(
     diagonals = (
         hits.join(seeds, "hash").select("region", "item_key", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
     )
-    laid = (
-        diagonals.join(places.select("region", "name", "first", "words"), "region")
-        .join(items.select("item_key", "item_id", "item"), "item_key")
-        .select("name", "item_id", "first", "shift", "words", "item")
-    )
+    found = f"name {name_type}, item_id long, doc_start long, n_words long, n_agree long, item_words long"
+
+    def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+        """The best stretch on a diagonal if it is a leak."""
+        need = least_share * len(item) if len(item) >= WEIGHT else len(item)
+        low, high = max(0, -shift), min(len(item), len(doc) - shift)
+        # most diagonals of a common seed agree in little else
+        if high <= low or np.count_nonzero(doc[low + shift : high + shift] == item[low:high]) < min(least_words, need):
+            return None
+        a, n, same = best_overlap(doc, item, shift, least_identity)
+        return (a, n, same) if n and same >= min(least_words, need) else None
+
+    def leak_rows(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip(columns, (name_kind, *[pa.int64()] * 5), strict=True)],
+            names=["name", "item_id", "doc_start", "n_words", "n_agree", "item_words"],
+        )
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for k in range(batch.num_rows):
-                doc = batch.column(4)[k].values.to_numpy(zero_copy_only=False)
-                item = batch.column(5)[k].values.to_numpy(zero_copy_only=False)
-                shift = batch.column(3)[k].as_py()
-                need = least_share * len(item) if len(item) >= WEIGHT else len(item)
-                low, high = max(0, -shift), min(len(item), len(doc) - shift)
-                # most diagonals of a common seed agree in little else
-                if high <= low or np.count_nonzero(doc[low + shift : high + shift] == item[low:high]) < min(least_words, need):
-                    continue
-                a, n, same = best_overlap(doc, item, shift, least_identity)
-                if n and same >= min(least_words, need):
-                    row = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py() + shift + a, n, same, len(item))
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-            kinds = (name_kind, *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
-                names=["name", "item_id", "doc_start", "n_words", "n_agree", "item_words"],
-            )
+    if sieve is not None:
+        # the items' words are no more than their seeds: they go to all tasks, and a region's words meet ITEMS items at once
+        table = {r["item_key"]: (r["item_id"], np.array(r["item"], np.int64)) for r in items.select("item_key", "item_id", "item").collect()}
+        known_items = spark.sparkContext.broadcast(table)
+        block = F.pmod("item_key", F.lit(max(1, -(-len(table) // ITEMS))))
+        asked = diagonals.groupBy("region", block.alias("_b")).agg(F.collect_list(F.struct("item_key", "shift")).alias("asked"))
+        laid = asked.join(places.select("region", "name", "first", "words"), "region").select("name", "first", "words", "asked")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for k in range(batch.num_rows):
+                    doc = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+                    name, first = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                    pairs = batch.column(3)[k].values
+                    for key, shift in zip(pairs.field(0).to_pylist(), pairs.field(1).to_pylist(), strict=True):
+                        item_id, item = known_items.value[key]
+                        if leak := overlap(doc, item, shift):
+                            out.append((name, item_id, first + shift + leak[0], leak[1], leak[2], len(item)))
+                yield leak_rows(out)
+    else:
+        laid = (
+            diagonals.join(places.select("region", "name", "first", "words"), "region")
+            .join(items.select("item_key", "item_id", "item"), "item_key")
+            .select("name", "item_id", "first", "shift", "words", "item")
+        )
 
-    leaks = laid.mapInArrow(
-        tidy(verify), f"name {name_type}, item_id long, doc_start long, n_words long, n_agree long, item_words long"
-    )
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for k in range(batch.num_rows):
+                    doc = batch.column(4)[k].values.to_numpy(zero_copy_only=False)
+                    item = batch.column(5)[k].values.to_numpy(zero_copy_only=False)
+                    name, item_id, first, shift = (batch.column(c)[k].as_py() for c in range(4))
+                    if leak := overlap(doc, item, shift):
+                        out.append((name, item_id, first + shift + leak[0], leak[1], leak[2], len(item)))
+                yield leak_rows(out)
+
+    leaks = laid.mapInArrow(tidy(verify), found)
     best = F.max_by(
         F.struct("doc_start", "n_words", "n_agree", "item_words"), F.struct("n_agree", -F.col("n_words"), -F.col("doc_start"))
     )
