@@ -73,7 +73,7 @@ class WordwiseEncoder:
     pieces of up to LONGEST characters, about 200 bytes each; ``forget`` drops them.
     """
 
-    def __init__(self, path: str, cache_entries: int = 400_000, block_chars: int = 1_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, cache_entries: int = 800_000, block_chars: int = 1_000_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
