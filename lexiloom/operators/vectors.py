@@ -82,6 +82,11 @@ def contingency(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
     return rows.groupBy(predicted, truth).agg(F.count("*").alias("n"))
 
 
+def _kept(table: DataFrame) -> DataFrame:
+    checkpoint_folder(table.sparkSession)
+    return table.checkpoint()
+
+
 def majority(table: DataFrame, predicted: str, truth: str) -> DataFrame:
     """The most frequent truth of each predicted label, the smallest on ties."""
     best = F.max_by(truth, F.struct("n", (-F.col(truth)).alias("t")))
@@ -89,7 +94,11 @@ def majority(table: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 
 def cluster_scores(table: DataFrame, predicted: str, truth: str) -> DataFrame:
-    """Adjusted Rand, mutual information, homogeneity, completeness, V measure, Fowlkes-Mallows."""
+    """Adjusted Rand, mutual information, homogeneity, completeness, V measure, Fowlkes-Mallows.
+
+    The table, a row a pair of labels, is read several times and so stored first.
+    """
+    table = _kept(table)
     pairs = lambda c: F.sum(c * (c - 1) / 2)
     a = table.groupBy(predicted).agg(F.sum("n").alias("n"))
     b = table.groupBy(truth).agg(F.sum("n").alias("n"))
@@ -117,6 +126,7 @@ def cluster_scores(table: DataFrame, predicted: str, truth: str) -> DataFrame:
 
 def classification_scores(table: DataFrame, predicted: str, truth: str) -> DataFrame:
     """Precision, recall and F1 weighted by the truth's sizes."""
+    table = _kept(table)
     t = table.groupBy(truth).agg(F.sum("n").alias("nt"), F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
     p = table.groupBy(F.col(predicted).alias(truth)).agg(F.sum("n").alias("np"))
     rows = t.join(p, truth, "left")
