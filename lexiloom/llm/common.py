@@ -130,9 +130,32 @@ def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of the edges u, v of one task, by joining sets under their smallest node."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 1 << 16):
+        some = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = 400_000) -> DataFrame:
     """Roots of an undirected graph by alternating large-star and small-star rounds.
 
+    Up to ``one_task`` distinct edges, which one task holds in less than 100 MB, are settled there instead; the
+    result is the same.
+
     edges: columns u, v (long, self loops and repeats allowed, nulls dropped). Returns node,
     root (smallest node of the component) for every node that has an edge to another node.
     Each round is a few joins of plain shuffles, so AQE can split the rows of a hub; the
@@ -143,6 +166,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     pairs = cut(pairs.distinct())
     mark, n = None, pairs.count()
+    if n <= one_task:
+        return pairs.coalesce(1).mapInArrow(tidy(_settle), "node long, root long")
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), 2 * n)

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from lexiloom.llm import simhash
+from lexiloom.llm import common, simhash
 from lexiloom.llm.common import connected_components
 
 
@@ -159,3 +159,17 @@ def test_same_lines_in_another_order(spark):
     turned = random.Random(1).sample(lines, len(lines))
     texts = {0: " ".join(lines), 1: " ".join(turned), 2: " ".join([*turned, turned[-1]]), 3: " ".join([*turned, "tail of other words"])}
     assert check_groups(spark, texts) == 2
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_graph(spark, one_task):
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 420)] + [(500, 500), (501, 500), (500, 501)]
+    edges += [(600, k) for k in range(601, 640)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(500):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    rows = common.connected_components(spark.createDataFrame([*edges, (None, 3)], "u long, v long"), one_task=one_task).collect()
+    assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
