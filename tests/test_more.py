@@ -292,3 +292,41 @@ def test_corrections_of_a_whole_dictionary(spark):
     # before a: b twice; before b: a once
     assert got["a"].silence_before_correction == pytest.approx(round((1 + 2) / (2 * after["b"] + 2), 2), abs=0.011)
     assert got["b"].silence_before_correction == pytest.approx(round((2 + 2) / (1 * after["a"] + 2), 2), abs=0.011)
+
+
+def test_merged_segments_against_a_loop(spark):
+    sides = {}
+    for user, begin, end, *_ in events(spark):
+        sides.setdefault(user, []).append((begin, end))
+    for pause, longest in ((0, 3_600_000_000), (6 * 3_600_000_000, 24 * 3_600_000_000), (3_600_000_000, 10**18)):
+        want = []
+        for user, rows in sides.items():
+            out, reach = [], None
+            for begin, end in sorted(rows):
+                if reach is None or begin - reach > pause or end - out[-1][0] > longest:
+                    out.append([begin, end, 1])
+                else:
+                    out[-1][1:] = [max(out[-1][1], end), out[-1][2] + 1]
+                reach = end if reach is None else max(reach, end)
+            want += [(user, *x) for x in out]
+        df = spark.createDataFrame([(u, b, e) for u, rows in sides.items() for b, e in rows], "user_id long, begin long, end long")
+        assert tuples(intervals.merge_segments(df, ["user_id"], pause, longest)) == sorted(want, key=str)
+
+
+def test_trained_queries_make_sense(spark):
+    """Invariants of queries whose results come from training or drawing."""
+    rows = QUERIES["kmeans_clusters"](spark, SF).collect()
+    assert len({r.cluster for r in rows}) <= 10 and len(rows) == 500
+    ranks = QUERIES["g2p_generation"](spark, SF).collect()
+    assert all(r.score <= 0 for r in ranks) and {r.rank for r in ranks} <= {1, 2, 3}
+    weights = QUERIES["m2m_alignment"](spark, SF).collect()
+    assert sum(r.weight for r in weights) == pytest.approx(1.0)
+    eer = QUERIES["pair_scores_eer"](spark, SF).first()
+    assert 0 <= eer.eer <= 1 and -1 <= eer.threshold <= 1
+    assert all(len(r.projected) == 4 for r in QUERIES["discriminant_vectors"](spark, SF).collect())
+    sizes = {}
+    for r in QUERIES["iterative_speaker_clusters"](spark, SF).collect():
+        sizes[r.cluster] = sizes.get(r.cluster, 0) + 1
+    assert all(n >= 5 for k, n in sizes.items() if k is not None)
+    for r in QUERIES["rule_closure"](spark, SF).collect()[:5]:
+        assert r.word
