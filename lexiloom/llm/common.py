@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return few(df, rows).checkpoint()
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A frame that is read several times, kept on the executors' disks. Its lineage stays, so what a lost executor held is
+    made again; for frames that come straight from a stored table. Kept until unpersist or the end of the session."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the session ends."""
     path = f"{shared_dir(spark).rstrip('/')}/lexiloom/{label}-{uuid.uuid4().hex}"

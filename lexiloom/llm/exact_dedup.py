@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, unused
+from .common import cut, held, unused
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,7 +29,7 @@ def groups(docs: DataFrame, heavy_rows: int = 64, summary_items: int = 4096, win
     the same id one stays). Other columns are ignored; an empty table gives an empty result.
     ``winners`` bounds the broadcast rows, ``summary_items`` the summary.
     """
-    rows = cut(docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("text_sha256")))
+    rows = held(docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("text_sha256")))
     frequent = rows.agg(F.expr(f"approx_top_k(text_sha256, {winners}, {summary_items})").alias("top"))
     frequent = frequent.select(F.explode("top.item").alias("text_sha256"))
     verified = cut(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import clean_up, few, scratch_path, stored, text_bytes, tidy, unused
+from .common import clean_up, few, held, scratch_path, stored, text_bytes, tidy, unused
 from .encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -142,9 +142,10 @@ def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = piece_rows.sparkSession
     # the row travels as one column, so that its names can't clash with those used here
     rows = piece_rows.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"))
-    rows = stored(rows, "unsorted")  # range-sorting reads its rows twice
+    rows = held(rows)  # range-sorting reads its rows twice
     order = [F.desc("length"), F.col("row.doc_id"), F.col("row.piece")]
     docs = range_ranked(rows, order, "pieces", "_rank")
+    rows.unpersist()
     counts = {r["length"]: (r["first"], r["n"]) for r in docs.groupBy("length").agg(F.min("_rank").alias("first"), F.count("*").alias("n")).collect()}
     if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError("a piece is empty or longer than the capacity")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import clean_up, connected_components, cut, stored, text_bytes, tidy, unused
+from .common import clean_up, connected_components, cut, held, stored, text_bytes, tidy, unused
 
 #: Words are taken this many at a time from a text, so memory does not follow its length.
 BLOCK_WORDS = 1 << 18
@@ -250,7 +250,7 @@ def similar_groups(
             )
 
     kinds = "doc_id long, size long, digest binary, print array<long>, head array<long>"
-    sketches = stored(texts.mapInArrow(tidy(sketch), kinds), "sketches")
+    sketches = held(texts.mapInArrow(tidy(sketch), kinds))
     n_sets, n_heads = sketches.agg(F.count("*"), F.coalesce(F.sum(F.size("head")), F.lit(0))).first()
     classes = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = sketches.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep")
@@ -296,11 +296,13 @@ def similar_groups(
         wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
         if 2 * near.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)  # then the texts stay where they are
-        sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(shingled), "doc_id long, hashes array<long>"), "sets")
+        sets = held(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(shingled), "doc_id long, hashes array<long>"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
         found = near.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y")))
-        return cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")), n)
+        links = cut(found.select(F.col("a").alias("u"), F.col("b").alias("v")), n)
+        sets.unpersist()
+        return links
 
     def unsettled(links: DataFrame) -> DataFrame:
         """The long postings whose sets are not all in one component; comp, and main: the one most of them are in."""
@@ -346,6 +348,7 @@ def similar_groups(
         clean_up(spark)
         # leaders that link nothing more leave all that is left to the last turn
         turn = None if turn >= leaders else leaders if more.isEmpty() else turn + 1
+    sketches.unpersist()
     roots = connected_components(links.unionByName(same))
     out = docs.select(F.col("doc_id").cast("long")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
