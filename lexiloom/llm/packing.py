@@ -33,10 +33,11 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, keep_words: bool = True) -> DataFrame:
     """The token pieces of every document: doc_id, piece, start, length, ids_crc32.
 
-    Null text counts as empty (one piece with the end id alone). Other columns are ignored.
+    Null text counts as empty (one piece with the end id alone). Other columns are ignored. keep_words: whether a worker
+    keeps encoded words for its next task, which is faster, or gives their memory back after each.
     """
     ship_package(docs.sparkSession)
     tail = int(end_id).to_bytes(4, "little")
@@ -56,6 +57,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
                 [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        if not keep_words:
+            enc.forget()
 
     return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tidy(tokenise, cache=tokenizer_path), PIECES)
 
@@ -225,6 +228,6 @@ def _placed(docs: DataFrame, ranked: DataFrame | None, plan: list[tuple], opened
     return new.select("row", "length", F.col("_sequence").alias("sequence_id"), (F.lit(capacity) - F.col("_size") + shift).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, keep_words: bool = True) -> DataFrame:
     """Pieces of all documents with their place: the operator as the query and the pipeline use it."""
-    return pack(pieces(docs, tokenizer_path, end_id, capacity), capacity)
+    return pack(pieces(docs, tokenizer_path, end_id, capacity, keep_words), capacity)
