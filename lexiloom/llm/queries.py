@@ -1,4 +1,4 @@
-"""The queries op1..op10 and their SQL, where SQL can say them."""
+"""The queries op1..op13 and their SQL, where SQL can say them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, language_id, packing, quality_fm, secrets, simhash, suffix_dedup, wavelet
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    language_id,
+    packing,
+    quality_fm,
+    quality_rules,
+    resampling,
+    secrets,
+    simhash,
+    suffix_dedup,
+    wavelet,
+    whitening,
+)
 from .common import read_table
 
 
@@ -62,6 +76,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return resampling.resample(docs, read_table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return judged.drop("lang", "source", "n_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,10 +103,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality,
         op10_simhash,
+        op11_importance_resampling,
+        op12_whitening,
+        op13_quality_rules,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secrets.oracle_sql(),
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_importance_resampling": resampling.ORACLE_SQL,
+    "op13_quality_rules": quality_rules.ORACLE_SQL,
 }
