@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .corpus import dense_ids
+
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -242,16 +244,70 @@ def decibel(power: Column) -> Column:
     return 10 * F.log10(F.greatest(power, F.lit(2.220446049250313e-16)))
 
 
-def split_labels(rows: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
-    """Intervals whose label maps to several labels, cut into pieces of equal length; others stay."""
-    table = F.create_map(*(x for k, v in mapping.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    made = F.coalesce(F.try_element_at(table, F.col("label")), F.array("label"))
+def _pieces(rows: DataFrame, made: Column, share: float) -> DataFrame:
+    """rows cut into a piece for each label of ``made``: of equal length, or at ``share`` of it where there are two."""
     rest = [c for c in rows.columns if c not in ("begin", "end", "label")]
-    cut = rows.select(*rest, "begin", "end", F.size(made).alias("_n"), F.posexplode(made).alias("_j", "label"))
-    at = lambda j: F.col("begin") + F.floor((F.col("end") - F.col("begin")) * j / F.col("_n"))
+    cut = rows.withColumn("_made", made).select(*rest, "begin", "end", F.size("_made").alias("_n"), F.posexplode("_made").alias("_j", "label"))
+    length = F.col("end") - F.col("begin")
+    at = lambda j: F.when((F.col("_n") == 2) & (j == 1), F.col("begin") + F.floor(length * share)).otherwise(
+        F.col("begin") + F.floor(length * j / F.col("_n"))
+    )
     return cut.select(*rest, at(F.col("_j")).alias("begin"), at(F.col("_j") + 1).alias("end"), "label", F.col("_j").alias("piece"))
 
 
+def split_labels(rows: DataFrame, mapping: dict[str, list[str]], share: float = 0.5) -> DataFrame:
+    """Intervals whose label maps to several labels, cut into pieces (two of them at ``share``); others stay."""
+    table = F.create_map(*(x for k, v in mapping.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return _pieces(rows, F.coalesce(F.try_element_at(table, F.col("label")), F.array("label")), share)
+
+
+def remap_labels(rows: DataFrame, key: Sequence[str], order: Sequence[str], mapping: dict[str, list[str]], share: float = 0.5) -> DataFrame:
+    """Intervals of each key in order with other labels; a key of ``mapping`` is a label or several in a row, parted by spaces.
+
+    From the left, the longest sequence of labels that the mapping has becomes one interval from the first one's begin to the last
+    one's end, and that is cut into a piece for each new label (see split_labels). Other columns are those of the first interval.
+    Labels without an entry stay, null labels match nothing, and sequences don't go over the end of a key. ``piece`` numbers the pieces.
+
+    The rows are numbered in range partitions, so a hot key spreads. Each row meets the few after it by number, and
+    where matches overlap, those that a walk from the left would take are found by doubling jumps: as many rounds as the logarithm of the
+    longest chain of overlapping matches, over the overlapping rows alone.
+    """
+    join = lambda labels: "\x1f".join(labels)
+    longest = max((len(k.split()) for k in mapping), default=1)
+    table = F.create_map(*(x for k, v in mapping.items() for x in (F.lit(join(k.split())), F.array(*map(F.lit, v))))) if mapping else None
+    if table is None or longest == 1:
+        return split_labels(rows, mapping, share) if mapping else rows.withColumn("piece", F.lit(0))
+    ids = dense_ids(rows, *key, *order)
+    near = ids.select(F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("_k"), "id", F.struct(*key).alias("_key"), "label", "end")
+    near = near.groupBy((F.col("id") - F.col("_k")).alias("id")).agg(F.sort_array(F.collect_list(F.struct("_k", "_key", "label", "end"))).alias("_s"))
+    found = []
+    for k in range(longest, 0, -1):
+        last = F.get("_s", k - 1)
+        whole = (F.size("_s") >= k) & last["_key"].eqNullSafe(F.get("_s", 0)["_key"])
+        known = F.forall(F.slice("_s", 1, k), lambda x: x["label"].isNotNull())
+        made = F.try_element_at(table, F.array_join(F.transform(F.slice("_s", 1, k), lambda x: x["label"]), "\x1f"))
+        found.append(F.when(whole & known & made.isNotNull(), F.struct(F.lit(k).alias("length"), made.alias("made"), last["end"].alias("until"))))
+    match = near.where(F.col("id") >= 0).select("id", F.coalesce(*found).alias("_m")).where("_m IS NOT NULL").checkpoint()
+
+    long = match.where("_m.length > 1").select("id", F.col("_m.length").alias("length"))
+    covered = long.select(F.explode(F.sequence(F.col("id") + 1, F.col("id") + F.col("length") - 1)).alias("id")).distinct().checkpoint()
+    lengths = covered.join(long, "id", "left").select("id", F.coalesce("length", F.lit(1)).alias("length"))
+    inside = covered.withColumnRenamed("id", "to")
+    jumps = lambda x: x.select("id", (F.col("id") + F.col("length")).alias("to")).join(inside, "to", "left_semi").select("id", "to")
+    taken = jumps(long.join(covered, "id", "left_anti")).select(F.col("to").alias("id")).distinct().checkpoint()
+    jump = jumps(lengths).checkpoint()
+    while not jump.isEmpty():
+        taken = taken.unionByName(jump.join(taken, "id", "left_semi").select(F.col("to").alias("id"))).distinct().checkpoint()
+        second = jump.select(F.col("id").alias("to"), F.col("to").alias("_to"))
+        jump = jump.join(second, "to").select("id", F.col("_to").alias("to")).checkpoint()
+
+    passed = covered.join(taken, "id", "left_anti")
+    kept = ids.join(passed, "id", "left_anti").join(match, "id", "left")
+    kept = kept.withColumn("end", F.coalesce("_m.until", "end"))
+    made = F.coalesce("_m.made", F.array("label"))
+    return _pieces(kept, made, share).select(*rows.columns, "piece")
+
+
 def merge_equal_labels(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Runs of neighbours with one label as one interval: key, label, begin, end, n."""
     w = Window.partitionBy(*key).orderBy(*order)

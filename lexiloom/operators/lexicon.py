@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import correction, probability
+from ..session import checkpoint_folder
 
 FIELDS = ("probability", "silence_after", "silence_before_correction", "nonsilence_before_correction")
 
@@ -66,38 +66,49 @@ def apply_rule(pronunciation: Column, segment: str, before: str, after: str, rep
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def rule_closure(pronunciation: str, rules: list[tuple[str, str, str, str]], inventory: set[str] | None = None) -> list[str]:
-    """All variants that rules make from a pronunciation, breadth first, itself first.
+def expand_rules(
+    lexicon: DataFrame, rules: Sequence[tuple[str, str, str, str]], inventory: Sequence[str] | None = None, growth: int = 4, least_limit: int = 16
+) -> DataFrame:
+    """Closure of a lexicon (word, pronunciation) under rules (segment, before, after, replacement), with where each variant comes from.
 
-    Variants with phones outside the inventory are left out; rules that make a pronunciation four times as long
-    (and over 16 phones) feed themselves without end, and raise.
+    Returns word, pronunciation, generated, rules (the numbers of all rules on the path to it, rising), depth (length of the path, 0 for
+    given entries) and endless. Of several paths to a variant the shortest counts, of those the one of the smallest rule numbers in
+    order. Variants that are empty or have phones outside the inventory are left out, as are those of more than ``growth`` times
+    the phones of the entry that they come from (and over ``least_limit``): rules that feed themselves stop there, and all rows of that word are marked endless;
+    other words aren't touched. Null pronunciations are dropped, repeated entries count once.
+
+    Each round applies every rule to the variants that the round before found and keeps what the word doesn't have yet
+    (semi-naive), so there are as many rounds as the longest path has rules. Rounds are checkpointed; only their row counts reach the driver.
     """
-    longest = max(16, 4 * len(pronunciation.split()))
-    seen, queue = {pronunciation: None}, [pronunciation]
-    for now in queue:
-        for segment, before, after, replacement in rules:
-            front = " " if before == "^" else ""
-            made = re.sub(rule_pattern(segment, before, after), front + replacement, f" {now} ")
-            made = " ".join(made.split())
-            if not made or made in seen or inventory is not None and not set(made.split()) <= inventory:
-                continue
-            if len(made.split()) > longest:
-                raise ValueError(f"rules make {pronunciation!r} longer and longer")
-            seen[made] = None
-            queue.append(made)
-    return list(seen)
-
-
-def expand_rules(lexicon: DataFrame, rules: list[tuple[str, str, str, str]], inventory: set[str] | None = None) -> DataFrame:
-    """lexicon (word, pronunciation) with variants: word, pronunciation, generated."""
-
-    @F.pandas_udf("array<string>")
-    def closure(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: rule_closure(x, rules, inventory))
-
-    made = lexicon.select("word", "pronunciation", F.posexplode(closure("pronunciation")).alias("_k", "_variant"))
-    out = made.groupBy("word", "_variant").agg(F.min(F.col("_k") > 0).alias("generated"))
-    return out.select("word", F.col("_variant").alias("pronunciation"), "generated")
+    checkpoint_folder(lexicon.sparkSession)
+    phones = lambda c: F.size(F.split(c, " "))
+    limit = F.greatest(growth * phones(F.col("pronunciation")), F.lit(least_limit))
+    given = lexicon.where("pronunciation IS NOT NULL").select("word", "pronunciation").distinct()
+    fresh = given.select("word", "pronunciation", F.array().cast("array<int>").alias("path"), limit.alias("_most")).checkpoint()
+    found, endless = fresh, given.select("word").limit(0)
+    made = [F.struct(F.lit(k).alias("k"), apply_rule(F.col("pronunciation"), *rule).alias("p")) for k, rule in enumerate(rules)]
+    while rules and not fresh.isEmpty():
+        steps = fresh.select("word", "pronunciation", "path", "_most", F.inline(F.array(*made)))
+        steps = steps.where((F.col("p") != F.col("pronunciation")) & (F.col("p") != ""))
+        if inventory is not None:
+            steps = steps.where(F.size(F.array_except(F.split("p", " "), F.array(*map(F.lit, inventory)))) == 0)
+        steps = steps.select("word", F.col("p").alias("pronunciation"), F.array_append("path", F.col("k")).alias("path"), "_most")
+        steps = steps.join(found.select("word", "pronunciation"), ["word", "pronunciation"], "left_anti")
+        steps = steps.groupBy("word", "pronunciation").agg(F.min("path").alias("path"), F.min_by("_most", "path").alias("_most")).checkpoint()
+        short = phones(F.col("pronunciation")) <= F.col("_most")
+        endless = endless.unionByName(steps.where(~short).select("word"))
+        fresh = steps.where(short)
+        found = found.unionByName(fresh)
+    marks = endless.distinct().withColumn("endless", F.lit(True))
+    return found.join(marks, "word", "left").select(
+        "word", "pronunciation", (F.size("path") > 0).alias("generated"), F.array_sort(F.array_distinct("path")).alias("rules"),
+        F.size("path").alias("depth"), F.coalesce("endless", F.lit(False)).alias("endless"),
+    )
+
+
+def rule_applications(expanded: DataFrame) -> DataFrame:
+    """rule, word, pronunciation: one row for each rule on the path to each generated variant of expand_rules()."""
+    return expanded.where("generated").select(F.explode("rules").alias("rule"), "word", "pronunciation")
 
 
 def prefixes(phones: Column) -> Column:
@@ -107,19 +118,24 @@ def prefixes(phones: Column) -> Column:
     )
 
 
-def remap_alternatives(lexicon: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
-    """lexicon (word, phones, probability) with each phone replaced by each of its alternatives.
+def remap_alternatives(lexicon: DataFrame, mapping: dict[str, list[str]], phones: Sequence[str] | None = None) -> DataFrame:
+    """lexicon (word, phones, numbers of FIELDS that it has) with each phone replaced by each of its alternatives.
 
-    Entries that become equal are merged: the largest probability stays, ``n`` counts them.
+    Entries of a word that become equal are merged: the largest probability stays, of the other numbers the mean of those that are known, and
+    ``n`` counts them. With ``phones`` given, entries that hold a phone neither mapped nor among them are left out.
     """
     table = F.create_map(*(x for k, v in mapping.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    if phones is not None:
+        lexicon = lexicon.where(F.forall("phones", lambda p: p.isin(*mapping, *phones)))
     choices = F.transform("phones", lambda p: F.coalesce(F.try_element_at(table, p), F.array(p)))
     start = F.array(F.array().cast("array<string>"))
     product = F.aggregate(
         choices, start, lambda done, options: F.flatten(F.transform(done, lambda d: F.transform(options, lambda o: F.array_append(d, o))))
     )
-    rows = lexicon.select("word", "probability", F.explode(product).alias("phones"))
-    return rows.groupBy("word", "phones").agg(F.max("probability").alias("probability"), F.count("*").alias("n"))
+    numbers = [c for c in FIELDS if c in lexicon.columns]
+    rows = lexicon.select("word", *numbers, F.explode(product).alias("phones"))
+    merged = [(F.max if c == "probability" else F.avg)(c).alias(c) for c in numbers]
+    return rows.groupBy("word", "phones").agg(*merged, F.count("*").alias("n"))
 
 
 def pronunciation_counts(rows: DataFrame, key: list[str], order: str, silence: Column) -> DataFrame:

@@ -103,14 +103,14 @@ def validate_dictionary(entries: DataFrame, weights: DataFrame) -> DataFrame:
     return dictionary.validated(given, made).orderBy(F.desc("edits"), "word", "pronunciation")
 
 
-def remap_dictionary(entries: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
-    return lexicon.remap_alternatives(entries, mapping)
+def remap_dictionary(entries: DataFrame, mapping: dict[str, list[str]], phones: tuple[str, ...] | None = None) -> DataFrame:
+    """Entries with other phones, those with unknown phones left out (see lexicon.remap_alternatives)."""
+    return lexicon.remap_alternatives(entries, mapping, phones)
 
 
-def remap_alignments(rows: DataFrame, mapping: dict[str, list[str]], key: str = "utterance") -> DataFrame:
-    """Intervals with other labels: split where one becomes several, merged where neighbours become one."""
-    cut = intervals.split_labels(rows, mapping)
-    return intervals.merge_equal_labels(cut, [key], ["begin", "end"])
+def remap_alignments(rows: DataFrame, mapping: dict[str, list[str]], key: str = "utterance", share: float = 0.5) -> DataFrame:
+    """Intervals with other labels: one label or several in a row become one or several (see intervals.remap_labels)."""
+    return intervals.remap_labels(rows, [key], ["begin", "end"], mapping, share)
 
 
 def compare_alignments(reference: DataFrame, hypothesis: DataFrame, key: str = "utterance") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -112,10 +112,28 @@ def rule_expansion(t):
     return _lexicon(t).select("word", "pronunciation", lexicon.apply_rule(F.col("pronunciation"), "t h", "", "", "θ").alias("applied"))
 
 
-@query()
+_RULES = [("t h", "", "", "θ"), ("θ", "^", "", "t"), ("e", "", "$", ""), ("n d", "", "$", "n"), ("n", "a", "", "m"), ("t", "s", "h", "")]
+#: The same rules over phones that each have a space of their own on both sides, so that matches don't share spaces.
+_RULES_SQL = ", ".join(
+    f"{{'k': {k}, 'q': regexp_replace(p, '{pattern}', '{made}', 'g')}}"
+    for k, (pattern, made) in enumerate(
+        [(" t  h ", " θ "), ("^ θ ", " t "), (" e $", ""), (" n  d $", " n "), (" a  n ", " a  m "), (" s  t  h ", " s  h ")]
+    )
+)
+
+
+@query(
+    f"WITH RECURSIVE l AS ({_LEXICON}), r AS (SELECT word, ' ' || replace(pronunciation, ' ', '  ') || ' ' AS p, [' ' || replace(pronunciation, ' ', '  ') || ' '] AS visited, []::INTEGER[] AS path FROM l "
+    "UNION ALL SELECT word, s.q, list_append(visited, s.q), list_append(path, s.k) FROM "
+    f"(SELECT word, visited, path, unnest([{_RULES_SQL}]) AS s FROM r) WHERE s.q <> '' AND NOT list_contains(visited, s.q)), "
+    "k AS (SELECT word, p, path, row_number() OVER (PARTITION BY word, p ORDER BY len(path), path) AS k FROM r) "
+    "SELECT word, replace(trim(p), '  ', ' ') AS pronunciation, len(path) > 0 AS generated, array_to_string(list_sort(list_distinct(path)), ' ') AS rules, "
+    "CAST(len(path) AS INTEGER) AS depth FROM k WHERE k = 1"
+)
 def rule_closure(t):
-    rules = [("t h", "", "", "θ"), ("θ", "^", "", "t"), ("e", "", "$", ""), ("n d", "", "$", "n")]
-    return lexicon.expand_rules(_lexicon(t).select("word", "pronunciation"), rules)
+    """All variants of every word under rules that feed each other, each with the rules on the way to it."""
+    made = lexicon.expand_rules(_lexicon(t).select("word", "pronunciation"), _RULES)
+    return made.select("word", "pronunciation", "generated", F.array_join("rules", " ").alias("rules"), "depth")
 
 
 @query(

@@ -143,6 +143,29 @@ def remapped_intervals(t):
     return made.select("event_id", "piece", "begin", "end", "label")
 
 
+_SEQUENCES = {"view click": ["vc"], "view click view": ["v", "cv"], "click view": ["cv"], "error": ["er", "ror"], "purchase": ["p", "ur", "chase"], "signup signup": ["two"]}
+#: Length of the longest entry that begins at place i of the list ls.
+_LENGTH_SQL = (
+    "CASE WHEN ls[i:i + 2] = ['view', 'click', 'view'] THEN 3 WHEN ls[i:i + 1] IN (['view', 'click'], ['click', 'view'], ['signup', 'signup']) THEN 2 ELSE 1 END"
+)
+
+
+@query(
+    f"WITH RECURSIVE s AS (SELECT user_id, list(label ORDER BY begin, event_id) AS ls, list(begin ORDER BY begin, event_id) AS bs, list(\"end\" ORDER BY begin, event_id) AS es, list(event_id ORDER BY begin, event_id) AS ids FROM ({_SPANS}) GROUP BY user_id), "
+    f"r AS (SELECT user_id, 1 AS i FROM s UNION ALL SELECT user_id, i + n FROM (SELECT user_id, i, {_LENGTH_SQL} AS n, len(ls) AS size FROM r JOIN s USING (user_id)) WHERE i + n <= size), "
+    f"m AS (SELECT user_id, ids[i] AS event_id, bs[i] AS b, es[i + {_LENGTH_SQL} - 1] AS e, CASE array_to_string(ls[i:i + {_LENGTH_SQL} - 1], ' ') "
+    + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in _SEQUENCES.items())
+    + " ELSE [ls[i]] END AS made FROM r JOIN s USING (user_id)), "
+    "p AS (SELECT *, len(made) AS n, CAST(unnest(range(len(made))) AS INTEGER) AS piece FROM m) "
+    "SELECT user_id, event_id, piece, made[piece + 1] AS label, CASE WHEN n = 2 AND piece = 1 THEN b + CAST(floor((e - b) * 0.75::DOUBLE) AS BIGINT) ELSE b + CAST(floor((e - b) * piece / n) AS BIGINT) END AS begin, "
+    "CASE WHEN n = 2 AND piece = 0 THEN b + CAST(floor((e - b) * 0.75::DOUBLE) AS BIGINT) ELSE b + CAST(floor((e - b) * (piece + 1) / n) AS BIGINT) END AS \"end\" FROM p"
+)
+def remapped_sequences(t):
+    """Labels of each user's intervals remapped by the longest sequence from the left, with splits at three quarters."""
+    rows = _spans(t).select("user_id", "event_id", "begin", "end", "label")
+    return intervals.remap_labels(rows, ["user_id"], ["begin", "event_id"], _SEQUENCES, 0.75)
+
+
 @query(
     f"SELECT user_id, label, min(begin) AS begin, max(\"end\") AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY begin, event_id) AS run FROM (SELECT *, CASE WHEN label IS NOT DISTINCT FROM lag(label) OVER "
     f"(PARTITION BY user_id ORDER BY begin, event_id) THEN 0 ELSE 1 END AS fresh FROM ({_SPANS}))) GROUP BY user_id, run, label"

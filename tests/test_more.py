@@ -266,23 +266,97 @@ def test_evaluation_queries_against_recursion(spark):
         assert (r.precision, r.recall, r.f1) == pytest.approx(metrics.boundary_scores(*ends[r.user_id], 0.025))
 
 
+def rewritten(phones, rule):
+    """A rule of whole phones applied everywhere, by a walk."""
+    segment, before, after, replacement = rule
+    seg, k, out = segment.split(), 0, []
+    while k < len(phones):
+        fits = phones[k : k + len(seg)] == seg
+        fits &= before != "^" or k == 0
+        fits &= before in ("", "^") or k > 0 and phones[k - 1] == before
+        fits &= after != "$" or k + len(seg) == len(phones)
+        fits &= after in ("", "$") or k + len(seg) < len(phones) and phones[k + len(seg)] == after
+        out += replacement.split() if fits else [phones[k]]
+        k += len(seg) if fits else 1
+    return out
+
+
 def test_rule_closure_against_all_paths(spark):
-    rules = [("a b", "", "", "c"), ("c", "", "$", "d e"), ("e", "", "", ""), ("x", "^", "", "y")]
-    for start in ("a b", "x a b c", "a b a b", "e", "x", "q"):
-        seen, open_ = {start}, [start]
-        while open_:
-            now = open_.pop()
-            for segment, before, after, replacement in rules:
-                words, seg, k, out = now.split(), segment.split(), 0, []
-                while k < len(words):
-                    fits = words[k : k + len(seg)] == seg and (before != "^" or k == 0) and (after != "$" or k + len(seg) == len(words))
-                    out += replacement.split() if fits else [words[k]]
-                    k += len(seg) if fits else 1
-                made = " ".join(out)
-                if made and made not in seen:
-                    seen.add(made)
-                    open_.append(made)
-        assert set(lexicon.rule_closure(start, rules)) == seen
+    rules = [("a b", "", "", "c"), ("c", "", "$", "d e"), ("e", "", "", ""), ("x", "^", "", "y"), ("y", "", "a", "x"), ("d", "b", "", "a")]
+    starts = ["a b", "x a b c", "a b a b", "e", "x", "q", "y a", "b d c a b", None]
+    df = spark.createDataFrame([(f"w{i}", p) for i, p in enumerate(starts)] + [("w0", "a b"), ("w0", "c")], "word string, pronunciation string")
+    want = {}
+    for word, given in [*((f"w{i}", [p]) for i, p in enumerate(starts[1:-1], 1)), ("w0", ["a b", "c"])]:
+        best, level = {p: () for p in given}, {p: () for p in given}
+        while level:
+            fresh = {}
+            for p, path in level.items():
+                for k, rule in enumerate(rules):
+                    made = " ".join(rewritten(p.split(), rule))
+                    if made and made not in best:
+                        fresh[made] = min(fresh.get(made, (99,)), (*path, k))
+            best |= fresh
+            level = fresh
+        want |= {(word, p): (len(path), sorted(set(path))) for p, path in best.items()}
+    made = lexicon.expand_rules(df, rules)
+    got = {(r.word, r.pronunciation): (r.depth, r.rules) for r in made.collect()}
+    assert got == want and made.count() == len(want)
+    assert not made.where("endless OR generated <> (depth > 0)").count()
+    assert lexicon.rule_applications(made).count() == sum(len(r) for _, r in want.values())
+    assert lexicon.expand_rules(df, []).count() == 9 and lexicon.expand_rules(df.limit(0), rules).count() == 0
+
+
+def test_growing_words_stop_alone(spark):
+    df = spark.createDataFrame([("grows", "a"), ("stays", "b c"), ("cycle", "u")], "word string, pronunciation string")
+    rules = [("a", "", "", "a a"), ("b", "", "", "v"), ("u", "", "", "o"), ("o", "", "", "u")]
+    rows = lexicon.expand_rules(df, rules, inventory=["a", "b", "c", "v", "u", "o"]).collect()
+    assert {r.word for r in rows if r.endless} == {"grows"}
+    assert {r.pronunciation for r in rows if r.word == "grows"} == {" ".join("a" * 2**k) for k in range(5)}
+    assert {(r.pronunciation, tuple(r.rules)) for r in rows if r.word != "grows"} == {("b c", ()), ("v c", (1,)), ("u", ()), ("o", (2,))}
+    assert lexicon.expand_rules(df, rules, inventory=["b", "c", "u", "a"]).where("word <> 'grows'").count() == 2
+
+
+def walked(labels, mapping, longest):
+    """(start, length, new labels) from the left, the longest match first."""
+    out, i = [], 0
+    while i < len(labels):
+        for n in range(min(longest, len(labels) - i), 0, -1):
+            part = labels[i : i + n]
+            if None not in part and " ".join(part) in mapping:
+                out.append((i, n, mapping[" ".join(part)]))
+                break
+        else:
+            n = 1
+            out.append((i, 1, [labels[i]]))
+        i += n
+    return out
+
+
+def test_remapped_sequences_against_a_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    mapping = {"a": ["A"], "a b": ["ab"], "b a a": ["x", "y", "z"], "b b": ["B"], "c": ["k", "s"], "d d d": ["D"]}
+    sides = {k: [rng.choice("aabbcde") for _ in range(rng.randrange(1, 40))] for k in range(25)}
+    sides[30], sides[31], sides[32] = ["d"] * 700, ["b"] * 601, ["d", "d", None, "d", "d", "d", "b"]  # long chains of overlapping matches
+    rows = [(k, 10 * i, 10 * i + 8, x, f"{k}-{i}") for k, labels in sides.items() for i, x in enumerate(labels)]
+    df = spark.createDataFrame(rows, "key int, begin long, end long, label string, name string").repartition(7)
+    want = []
+    for key, labels in sides.items():
+        for i, n, made in walked(labels, mapping, 3):
+            b, e = 10 * i, 10 * (i + n - 1) + 8
+            cuts = [b, b + (e - b) * 3 // 10, e] if len(made) == 2 else [b + (e - b) * j // len(made) for j in range(len(made) + 1)]
+            want += [(key, cuts[j], cuts[j + 1], x, f"{key}-{i}", j) for j, x in enumerate(made)]
+    assert tuples(intervals.remap_labels(df, ["key"], ["begin"], mapping, 0.3)) == sorted(want, key=str)
+    assert intervals.remap_labels(df.limit(0), ["key"], ["begin"], mapping).count() == 0
+    assert intervals.remap_labels(df, ["key"], ["begin"], {}).count() == len(rows)
+
+
+def test_remapped_entries_mean_corrections(spark):
+    entries = [("w", ["a"], 0.4, 0.2, None), ("w", ["b"], 0.9, 0.4, 1.5), ("w", ["q"], 0.1, 0.1, 1.0), ("v", ["a", "s"], None, None, None)]
+    df = spark.createDataFrame(entries, "word string, phones array<string>, probability double, silence_after double, silence_before_correction double")
+    got = {(r.word, *r.phones): (r.probability, r.silence_after, r.silence_before_correction, r.n) for r in lexicon.remap_alternatives(df, {"a": ["x"], "b": ["x", "y"]}, ["s"]).collect()}
+    assert got == {("w", "x"): (0.9, pytest.approx(0.3), 1.5, 2), ("w", "y"): (0.9, 0.4, 1.5, 1), ("v", "x", "s"): (None, None, None, 1)}
 
 
 def test_corrections_of_a_whole_dictionary(spark):
@@ -328,5 +402,3 @@ def test_trained_queries_make_sense(spark):
     for r in QUERIES["iterative_speaker_clusters"](spark, SF).collect():
         sizes[r.cluster] = sizes.get(r.cluster, 0) + 1
     assert all(n >= 5 for k, n in sizes.items() if k is not None)
-    for r in QUERIES["rule_closure"](spark, SF).collect()[:5]:
-        assert r.word
