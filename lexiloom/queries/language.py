@@ -10,6 +10,7 @@ from ..functions.phones import strip_position, with_positions
 from ..functions.text import tokens
 from ..operators import language_model as lm
 from ..operators import lexicon, metrics
+from ..operators import ngram_model as ngm
 from .base import query, tokens_sql
 
 _T = tokens_sql()
@@ -67,6 +68,90 @@ def perplexity_by_lang(t):
     return lm.perplexity(_scored(t), "lang").select("lang", F.round("perplexity", 4).alias("perplexity"), "n_oov")
 
 
+def _kneser_ney_sql(order: int) -> str:
+    """Tables t1, t2, .. of adjusted counts and p1, p2, .. of probabilities, with discounts of 0.75."""
+    w = [f"w{k}" for k in range(order)]
+    lists = ", ".join(["a"] + [f"a[{k + 1}:]" for k in range(1, order)])
+    out = f"WITH w AS (SELECT lang, list_concat(['<s>'], {_T}, ['</s>']) AS a FROM documents WHERE lang IS NOT NULL), "
+    out += f"t{order} AS (SELECT lang, {', '.join(f'x[{k + 1}] AS w{k}' for k in range(order))}, count(*) AS n FROM (SELECT lang, unnest(list_zip({lists})) AS x FROM w) WHERE x[{order}] IS NOT NULL GROUP BY ALL), "
+    for k in range(order - 1, 0, -1):
+        out += (
+            f"t{k} AS (SELECT lang, {', '.join(f'w{i + 1} AS w{i}' for i in range(k))}, count(*) AS n FROM t{k + 1} GROUP BY ALL UNION ALL "
+            f"SELECT lang, {', '.join(f'a[{i + 1}] AS w{i}' for i in range(k))}, count(*) AS n FROM w WHERE len(a) >= {k} GROUP BY ALL), "
+        )
+    out += (
+        "z AS (SELECT lang, sum(n) AS n, count(*) AS k FROM t1 WHERE w0 <> '<s>' GROUP BY lang), "
+        "p1 AS (SELECT lang, w0, t1.n, CASE WHEN w0 <> '<s>' THEN (t1.n - 0.75::DOUBLE) / z.n + 0.75::DOUBLE * k / z.n / (k + 1) END AS p FROM t1 JOIN z USING (lang) "
+        "UNION ALL SELECT lang, '<unk>', 0, 0.75::DOUBLE * k / n / (k + 1) FROM z)"
+    )
+    for k in range(2, order + 1):
+        h, tail = ", ".join(w[: k - 1]), " AND ".join(f"l.w{i} = s.w{i + 1}" for i in range(k - 1))
+        out += (
+            f", h{k} AS (SELECT lang, {h}, sum(n) AS total, 0.75::DOUBLE * count(*) / sum(n) AS weight FROM t{k} GROUP BY ALL), "
+            f"p{k} AS (SELECT s.lang, {', '.join(f's.w{i}' for i in range(k))}, s.n, (s.n - 0.75::DOUBLE) / total + weight * l.p AS p FROM t{k} s JOIN h{k} USING (lang, {h}) JOIN p{k - 1} l ON l.lang = s.lang AND {tail})"
+        )
+    parts = []
+    for k in range(1, order + 1):
+        history = f"concat_ws(' ', {', '.join(w[: k - 1])})" if k > 1 else "''"
+        weight = f"weight FROM p{k} LEFT JOIN h{k + 1} USING (lang, {', '.join(w[:k])})" if k < order else f"NULL::DOUBLE FROM p{k}"
+        parts.append(f'SELECT lang, {k} AS "order", {history} AS history, w{k - 1} AS word, n, p AS prob, {weight}'.replace("weight FROM", "weight AS backoff FROM", 1))
+    return out + ", model AS (" + " UNION ALL ".join(parts) + ") "
+
+
+_MODEL_ROWS = 'SELECT lang, CAST("order" AS INTEGER) AS "order", history, word, CAST(n AS BIGINT) AS n, round(prob, 8) AS prob, round(backoff, 8) AS backoff FROM model'
+
+
+def _rounded(model):
+    return model.select("lang", "order", "history", "word", "n", F.round("prob", 8).alias("prob"), F.round("backoff", 8).alias("backoff"))
+
+
+@query(_kneser_ney_sql(2) + _MODEL_ROWS)
+def kneser_ney_order_2(t):
+    return _rounded(ngm.kneser_ney(t.documents, _text(), "lang", 2))
+
+
+@query(_kneser_ney_sql(3) + _MODEL_ROWS)
+def kneser_ney_order_3(t):
+    """Back-off trigram model of each language."""
+    return _rounded(ngm.kneser_ney(t.documents, _text(), "lang", 3))
+
+
+@query(
+    _kneser_ney_sql(2)
+    + ", u AS (SELECT lang, word, prob FROM model WHERE \"order\" = 1), s AS (SELECT b.lang, b.history, b.word, b.n, b.prob AS p, u.prob AS q, coalesce(hu.prob, e.prob) AS ph, hb.weight AS a, "
+    "1 - sum(b.prob) OVER g AS num, 1 - sum(u.prob) OVER g AS den FROM model b JOIN u ON b.lang = u.lang AND b.word = u.word JOIN u hu ON b.lang = hu.lang AND b.history = hu.word JOIN u e ON e.lang = b.lang AND e.word = '</s>' "
+    "JOIN h2 hb ON hb.lang = b.lang AND hb.w0 = b.history WHERE b.\"order\" = 2 WINDOW g AS (PARTITION BY b.lang, b.history)), "
+    "k AS (SELECT *, -ph * (p * (ln(q) + ln((num + p) / (den + q)) - ln(p)) + num * (ln((num + p) / (den + q)) - ln(a))) AS loss FROM s), "
+    "kept AS (SELECT * FROM k WHERE exp(loss) - 1 >= 2e-6), bo AS (SELECT lang, history AS word, (1 - sum(p)) / nullif(1 - sum(q), 0) AS backoff FROM kept GROUP BY ALL) "
+    "SELECT lang, CAST(1 AS INTEGER) AS \"order\", '' AS history, word, CAST(n AS BIGINT) AS n, round(prob, 8) AS prob, round(bo.backoff, 8) AS backoff FROM model m LEFT JOIN bo USING (lang, word) WHERE \"order\" = 1 "
+    "UNION ALL SELECT lang, 2, history, word, n, round(p, 8), NULL FROM kept"
+)
+def pruned_bigram_model(t):
+    """Bigram model without what changes its perplexity by less than two millionths."""
+    return _rounded(ngm.pruned(ngm.kneser_ney(t.documents, _text(), "lang", 2), "lang", 2, 2e-6))
+
+
+@query(
+    _kneser_ney_sql(3)
+    + f", b AS (SELECT list_concat(['<s>'], {_T}, ['</s>']) AS a FROM benchmark), l AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), "
+    "v AS (SELECT lang, word FROM model WHERE \"order\" = 1), "
+    "g AS (SELECT lang, i, CASE WHEN i > 2 THEN a[i - 2] END AS h0, a[i - 1] AS h1, a[i] AS x FROM (SELECT a, unnest(range(2, len(a) + 1)) AS i FROM b), l), "
+    "o AS (SELECT g.lang, CASE WHEN h0 IS NOT NULL THEN CASE WHEN v0.word IS NULL THEN '<unk>' ELSE h0 END END AS h0, CASE WHEN v1.word IS NULL THEN '<unk>' ELSE h1 END AS h1, CASE WHEN v2.word IS NULL THEN '<unk>' ELSE x END AS x, v2.word IS NULL AS oov "
+    "FROM g LEFT JOIN v v0 ON v0.lang = g.lang AND v0.word = h0 LEFT JOIN v v1 ON v1.lang = g.lang AND v1.word = h1 LEFT JOIN v v2 ON v2.lang = g.lang AND v2.word = x), "
+    "s AS (SELECT o.lang, oov, coalesce(m3.prob, coalesce(b3.weight, 1) * coalesce(m2.prob, coalesce(b2.weight, 1) * m1.prob)) AS p FROM o "
+    "LEFT JOIN model m3 ON m3.\"order\" = 3 AND m3.lang = o.lang AND m3.history = h0 || ' ' || h1 AND m3.word = x LEFT JOIN h3 b3 ON b3.lang = o.lang AND b3.w0 = h0 AND b3.w1 = h1 "
+    "LEFT JOIN model m2 ON m2.\"order\" = 2 AND m2.lang = o.lang AND m2.history = h1 AND m2.word = x LEFT JOIN h2 b2 ON b2.lang = o.lang AND b2.w0 = h1 "
+    "LEFT JOIN model m1 ON m1.\"order\" = 1 AND m1.lang = o.lang AND m1.word = x) "
+    "SELECT lang, count(*) AS n, count(*) FILTER (oov) AS n_oov, round(exp(-avg(ln(p))), 4) AS perplexity, round(exp(-avg(ln(p)) FILTER (NOT oov)), 4) AS perplexity_known FROM s GROUP BY lang"
+)
+def trigram_perplexity(t):
+    """Perplexity of the benchmark's texts under each language's trigram model, unknown words with the mass of <unk>."""
+    model = ngm.kneser_ney(t.documents, _text(), "lang", 3)
+    texts = t.benchmark.select("text").crossJoin(t.documents.where("lang IS NOT NULL").select("lang").distinct())  # a row a language
+    out = ngm.perplexity(texts, _text(), model, "lang", 3)
+    return out.select("lang", "n", "n_oov", F.round("perplexity", 4).alias("perplexity"), F.round("perplexity_known", 4).alias("perplexity_known"))
+
+
 _TURNS = (
     f"SELECT conv_id, unnest({_T}) AS word, turn, generate_subscripts({_T}, 1) AS place FROM conversations"
 )
