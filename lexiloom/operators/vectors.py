@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +20,50 @@ from .corpus import dense_ids
 from .selection import linear_steps
 
 
+def vector_sums(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
+    """keys, _i, _s, _c: sum and number of the entries at each place of the vectors of each key (null vectors and entries count nowhere).
+
+    Every Arrow batch is summed by key first, so what is shuffled doesn't grow with the rows of a key.
+    """
+    schema = rows.select(*keys).schema if keys else None
+
+    def partial(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.filter(table.column(len(keys)).is_valid())
+            if not table.num_rows:
+                continue
+            if keys:
+                frame = table.select(range(len(keys))).to_pandas()
+                group = frame.groupby(list(frame.columns), dropna=False, sort=False).ngroup().to_numpy()
+            else:
+                group = np.zeros(table.num_rows, np.int64)
+            lists = table.column(len(keys)).combine_chunks()
+            lengths = lists.value_lengths().to_numpy()
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            valid = lists.flatten().is_valid().to_numpy(zero_copy_only=False)
+            widest = int(lengths.max())
+            place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = np.repeat(group, lengths) * widest + place
+            size = (int(group.max()) + 1) * widest
+            sums = np.bincount(at[valid], values[valid], size).reshape(-1, widest)
+            counts = np.bincount(at[valid], minlength=size).reshape(-1, widest)
+            own = np.zeros(len(sums), np.int64)  # the longest vector of each key
+            np.maximum.at(own, group, lengths)
+            sums, counts = ([list(row[:n]) for row, n in zip(x, own, strict=True)] for x in (sums, counts))
+            first = np.unique(group, return_index=True)[1]
+            columns = [c.combine_chunks() for c in table.select(range(len(keys))).take(pa.array(first)).columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))], names=[*keys, "_sums", "_counts"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) if keys else ""
+    parts = rows.select(*keys, vector).mapInArrow(partial, fields + "_sums array<double>, _counts array<long>")
+    flat = parts.select(*keys, F.posexplode(F.arrays_zip("_sums", "_counts")).alias("_i", "_v"))
+    return flat.groupBy(*keys, "_i").agg(F.sum("_v._sums").alias("_s"), F.sum("_v._counts").alias("_c"))
+
+
 def mean_vector(rows: DataFrame, vector: str, *keys: str) -> DataFrame:
-    """keys, mean: the element-wise mean (sums by place before the shuffle)."""
-    flat = rows.select(*keys, F.posexplode(vector).alias("_i", "_x"))
-    means = flat.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    """keys, mean: the element-wise mean of the vectors of each key."""
+    means = vector_sums(rows, vector, *keys).select(*keys, "_i", F.try_divide("_s", "_c").alias("_m"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"])
     return means.groupBy(*keys).agg(ordered.alias("mean")) if keys else means.agg(ordered.alias("mean"))
 
@@ -42,40 +84,62 @@ def centroids(rows: DataFrame, vector: str, key: str) -> DataFrame:
     return means.select(key, scale_to_length(F.col("mean")).alias("centroid"))
 
 
-def nearest_centroid(rows: DataFrame, vector: str, centres: DataFrame, key: str, threshold: float | None = None, most: int = 4096) -> DataFrame:
-    """rows with ``predicted`` and ``score``: the centroid of the largest cosine, the smallest key on ties.
+def _better(block: Broadcast, low: int, score: Callable[[np.ndarray, pd.DataFrame], np.ndarray]):
+    """A function of (vector, best so far) for the better of that and a block's entries, which are numbered from ``low``."""
 
-    One pass over the rows: centroids go to the tasks in blocks of at most ``most``, and each batch keeps the
-    best of all blocks (a matrix product a block). Rows may repeat. Below the threshold, and without a centroid, predicted
-    is null (unknown speaker).
+    @F.pandas_udf("k long, s double")
+    def best(v: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        keys = before["k"].to_numpy(np.float64, na_value=np.nan)
+        scores = before["s"].to_numpy(np.float64, na_value=np.nan)
+        there = v.notna().to_numpy()
+        if there.any():
+            found = score(np.array(v[there].tolist(), np.float64), block.value)
+            at = found.argmax(axis=1)  # the first of equals has the smallest key
+            found = found[np.arange(len(found)), at]
+            better = ~(found <= scores[there]) & ~np.isnan(found)  # earlier blocks have smaller keys
+            where = np.flatnonzero(there)[better]
+            keys[where], scores[where] = at[better] + low, found[better]
+        return pd.DataFrame({"k": pd.array(keys, "Float64").astype("Int64"), "s": scores})
+
+    return best
+
+
+def best_match(rows: DataFrame, vector: str, entries: DataFrame, key: str, score: Callable[[np.ndarray, pd.DataFrame], np.ndarray], most: int = 4096) -> DataFrame:
+    """rows with ``predicted`` (a key of entries, of any type) and ``score``: the entry of the largest score, the smallest key on ties.
+
+    entries: key and whatever columns ``score(vectors, block)`` reads to give a matrix of rows by entries. Entries are stored and numbered by key; up to ``most`` of
+    them go to the tasks in one broadcast. More are taken block by block: each pass over the rows keeps the best so far, is checkpointed, and frees its block
+    before the next. Null vectors, and all rows where there are no entries, get nulls; rows may repeat.
     """
     spark = rows.sparkSession
-    n = centres.count()
-    blocks = []
-    dealt = centres.select(F.col(key).alias("k"), scale_to_length(F.col("centroid")).alias("c")).withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-n // most)))))
-    for b in range(max(1, -(-n // most)) if n else 0):
-        part = dealt.where(F.col("_b") == b).toPandas().sort_values("k")
-        if len(part):
-            blocks.append(spark.sparkContext.broadcast((part["k"].to_numpy(), np.array(part["c"].tolist(), np.float64))))
+    checkpoint_folder(spark)
+    table = dense_ids(entries.where(F.col(key).isNotNull()), key)
+    n = table.count()
+    out = rows.withColumn("_best", F.lit(None).cast("struct<k: bigint, s: double>"))
+    for low in range(0, n, most):
+        block = table.where((F.col("id") >= low) & (F.col("id") < low + most)).toPandas().sort_values("id").reset_index(drop=True)
+        shared = spark.sparkContext.broadcast(block)
+        out = out.withColumn("_best", _better(shared, low, score)(F.col(vector), F.col("_best")))
+        if n > most:
+            out = out.checkpoint()
+            shared.unpersist()
+    names = table.select(F.col("id").alias("_id"), F.col(key).alias("predicted"))
+    out = out.withColumns({"_id": F.col("_best.k"), "score": F.nanvl("_best.s", F.lit(None).cast("double"))}).drop("_best")
+    return out.join(F.broadcast(names) if n <= most else names, "_id", "left").select(*rows.columns, "predicted", "score")
 
-    @F.pandas_udf("k long, s double")
-    def best(s: pd.Series) -> pd.DataFrame:
-        x = np.array(s.tolist(), np.float64)
-        keys, scores = np.zeros(len(s), np.int64), np.full(len(s), -np.inf)
-        for block in blocks if len(s) else ():
-            names, matrix = block.value
-            cosine = np.round(x @ matrix.T, 12)  # equal scores must stay equal whatever the block
-            at = cosine.argmax(axis=1)  # the first of equals has the smallest key
-            found, key_ = cosine[np.arange(len(x)), at], names[at]
-            better = (found > scores) | (found == scores) & (key_ < keys)
-            keys, scores = np.where(better, key_, keys), np.where(better, found, scores)
-        return pd.DataFrame({"k": keys, "s": np.where(np.isfinite(scores), scores, np.nan)})
-
-    out = rows.withColumn("_best", best(scale_to_length(F.col(vector))))
-    known = F.col("_best.s").isNotNull() & ~F.isnan("_best.s")
-    known = known if threshold is None else known & (F.col("_best.s") >= threshold)
-    kind = centres.schema[key].dataType
-    return out.withColumns({"predicted": F.when(known, F.col("_best.k").cast(kind)), "score": F.nanvl("_best.s", F.lit(None).cast("double"))}).drop("_best")
+
+def nearest_centroid(rows: DataFrame, vector: str, centres: DataFrame, key: str, threshold: float | None = None, most: int = 4096) -> DataFrame:
+    """rows with ``predicted`` and ``score``: the centroid of the largest cosine, the smallest key on ties (see best_match).
+
+    Below the threshold predicted is null (unknown speaker).
+    """
+
+    def cosine(x: np.ndarray, block: pd.DataFrame) -> np.ndarray:
+        return np.round(x @ np.array(block["centroid"].tolist(), np.float64).T, 12)  # equal scores must stay equal whatever the block
+
+    entries = centres.where("centroid IS NOT NULL").select(key, scale_to_length(F.col("centroid")).alias("centroid"))
+    out = best_match(rows.withColumn("_unit", scale_to_length(F.col(vector))), "_unit", entries, key, cosine, most).drop("_unit")
+    return out if threshold is None else out.withColumn("predicted", F.when(F.col("score") >= threshold, F.col("predicted")))
 
 
 def contingency(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
@@ -148,26 +212,33 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], groups: int = 64
     return out.withColumn("rank", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
 
 
-def drawn_pairs(rows: DataFrame, vector: str, key: str, id: str, partners: int = 5) -> DataFrame:
-    """Scored pairs a, b, matched, score: each row with ``partners`` of its own label and of the next label.
+def drawn_vectors(rows: DataFrame, vector: str, key: str, id: str, partners: int = 5) -> DataFrame:
+    """Pairs a, b, matched, x, y (their vectors): each row with ``partners`` of its own label and of the next label.
 
     Partners are a few ranks on in hash order, so every row draws the same number and no pair of a
-    whole label with itself or another is made.
+    whole label with itself or another is made. Rows without a label or a vector take no part.
     """
-    own = ranked(rows.select(key, id, vector), [key], [id])
-    sizes = own.groupBy(key).agg(F.count("*").alias("_size"))
-    w = Window.orderBy(key)
-    sizes = sizes.withColumn("_next", F.coalesce(F.lead(key).over(w), F.first(key).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    other = sizes.select(F.col(key).alias("_next"), F.col("_size").alias("_other"))
-    asked = own.join(sizes, key).join(other, "_next").withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(partners))))
+    own = ranked(rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, id, vector), [key], [id])
+    sizes = dense_ids(own.groupBy(key).agg(F.count("*").alias("_size")), key)
+    labels = sizes.agg(F.count("*").alias("_labels"))
+    following = sizes.crossJoin(F.broadcast(labels)).withColumn("_after", F.pmod(F.col("id") + 1, F.col("_labels")))  # one row
+    other = sizes.select(F.col("id").alias("_after"), F.col(key).alias("_next"), F.col("_size").alias("_other"))
+    sizes = following.join(other, "_after").select(key, "_size", "_next", "_other")
+    asked = own.join(sizes, key).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(partners))))
     asked = asked.withColumn("_m", F.explode(F.array(F.lit(True), F.lit(False)))).where(F.when(F.col("_m"), F.col("_j") < F.col("_size")).otherwise(F.col("_next") != F.col(key)))
     asked = asked.select(
-        F.col(id).alias("a"), F.col(vector).alias("_x"), F.col("_m").alias("matched"),
+        F.col(id).alias("a"), F.col(vector).alias("x"), F.col("_m").alias("matched"),
         F.when(F.col("_m"), F.col(key)).otherwise(F.col("_next")).alias(key),
         F.when(F.col("_m"), F.pmod(F.col("rank") + F.col("_j"), F.col("_size"))).otherwise(F.pmod(F.col("rank") + F.col("_j"), F.col("_other"))).alias("rank"),
     )
-    right = own.select(key, "rank", F.col(id).alias("b"), F.col(vector).alias("_y"))
-    return asked.join(right, [key, "rank"]).select("a", "b", "matched", (1 - cosine_distance(F.col("_x"), F.col("_y"))).alias("score")).distinct()
+    right = own.select(key, "rank", F.col(id).alias("b"), F.col(vector).alias("y"))
+    return asked.join(right, [key, "rank"]).select("a", "b", "matched", "x", "y").dropDuplicates(["a", "b", "matched"])
+
+
+def drawn_pairs(rows: DataFrame, vector: str, key: str, id: str, partners: int = 5) -> DataFrame:
+    """Scored pairs a, b, matched, score (cosine) of drawn_vectors()."""
+    pairs = drawn_vectors(rows, vector, key, id, partners)
+    return pairs.select("a", "b", "matched", (1 - cosine_distance(F.col("x"), F.col("y"))).alias("score"))
 
 
 def equal_error_rate(pairs: DataFrame, parts: int = 1024) -> DataFrame:
@@ -206,31 +277,49 @@ def knee(distances: DataFrame, distance: str, id: str) -> DataFrame:
     return rows.agg(best).select("b.rank", F.col(f"b.{distance}").alias("distance"))
 
 
+def _chance_information(x: int, y: int, n: int) -> float:
+    """Expected mutual information (in shares of n rows) of clusters of x and y rows that meet by chance.
+
+    The overlap is hypergeometric. Its probabilities are summed from the likeliest overlap outwards by their ratios, as far as they are more than 1e-30 of it.
+    """
+    mode = min(max((x + 1) * (y + 1) // (n + 2), max(0, x + y - n)), min(x, y))
+    spread = math.sqrt(x * y / n * (1 - x / n) * (1 - y / n)) if n > 1 else 0.0
+    low, high = max(0, x + y - n, mode - int(12 * spread) - 60), min(x, y, mode + int(12 * spread) + 60)
+    k = np.arange(low, high + 1, dtype=np.float64)
+    steps = (x - k[:-1]) * (y - k[:-1]) / ((k[:-1] + 1) * (n - x - y + k[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(steps))])
+    weights = np.exp(logs - logs.max())
+    seen = k > 0
+    return float((weights[seen] * k[seen] / n * np.log(n * k[seen] / (x * y))).sum() / weights.sum())
+
+
 def adjusted_mutual_information(table: DataFrame, predicted: str, truth: str) -> DataFrame:
-    """One row, adjusted_mutual_information: the mutual information less what chance gives, by the mean entropy.
+    """One row, adjusted_mutual_information: the mutual information less what chance gives, by the mean entropy; no row for an empty table.
 
-    The driver gets the two margins and the table of a clustering: a row a label, and a row a pair of labels that occurs.
+    Chance depends on the sizes of two clusters alone, so each pair of different sizes is worked out once, in Spark. There are at most twice as many
+    of them as rows were clustered, since k different sizes need k * (k + 1) / 2 rows. The table is stored first, as it is read several times.
     """
-    a = {r[0]: r[1] for r in table.groupBy(predicted).agg(F.sum("n")).collect()}
-    b = {r[0]: r[1] for r in table.groupBy(truth).agg(F.sum("n")).collect()}
-    n = sum(a.values())
-    if not n:
-        return table.sparkSession.createDataFrame([], "adjusted_mutual_information double")
-    entropy = lambda x: -sum(v / n * math.log(v / n) for v in x.values() if v)
-    mutual = sum(r["n"] / n * math.log(n * r["n"] / (a[r[predicted]] * b[r[truth]])) for r in table.collect() if r["n"])
-    log = math.lgamma
-    expected, sizes_b = 0.0, Counter(b.values())
-    for x, times_a in Counter(a.values()).items():  # equal sizes give equal sums
-        for y, times_b in sizes_b.items():
-            fixed = log(x + 1) + log(y + 1) + log(n - x + 1) + log(n - y + 1) - log(n + 1)
-            one = sum(
-                k / n * math.log(n * k / (x * y)) * math.exp(fixed - log(k + 1) - log(x - k + 1) - log(y - k + 1) - log(n - x - y + k + 1))
-                for k in range(max(1, x + y - n), min(x, y) + 1)
-            )
-            expected += times_a * times_b * one
-    mean = (entropy(a) + entropy(b)) / 2
-    value = 1.0 if mean == expected else (mutual - expected) / (mean - expected)
-    return table.sparkSession.createDataFrame([(float(value),)], "adjusted_mutual_information double")
+    table = _kept(table.where("n > 0"))
+    total = table.agg(F.sum("n").alias("_n"))
+    a = table.groupBy(predicted).agg(F.sum("n").alias("_a"))
+    b = table.groupBy(truth).agg(F.sum("n").alias("_b"))
+    entropy = lambda side, c: side.crossJoin(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("_n") * F.ln(F.col(c) / F.col("_n")))).alias("h" + c))
+    rows = table.join(a.withColumnRenamed(predicted, "_p"), F.col(predicted).eqNullSafe(F.col("_p"))).join(b.withColumnRenamed(truth, "_t"), F.col(truth).eqNullSafe(F.col("_t")))
+    rows = rows.crossJoin(F.broadcast(total))  # one row
+    mutual = rows.agg(F.sum(F.col("n") / F.col("_n") * F.ln(F.col("n") * F.col("_n") / (F.col("_a") * F.col("_b")))).alias("mi"))
+
+    @F.pandas_udf("double")
+    def chance(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_chance_information(int(p), int(q), int(m)) for p, q, m in zip(x, y, n, strict=True)], dtype=float)
+
+    times = lambda side, c: side.groupBy(c).agg(F.count("*").alias("times" + c))
+    sizes = times(a, "_a").crossJoin(times(b, "_b")).crossJoin(F.broadcast(total))
+    sizes = sizes.repartition("_a", "_b")
+    expected = sizes.agg(F.sum(F.col("times_a") * F.col("times_b") * chance("_a", "_b", "_n")).alias("emi"))
+    one = mutual.crossJoin(expected).crossJoin(entropy(a, "_a")).crossJoin(entropy(b, "_b")).where("mi IS NOT NULL")  # a row each
+    mean = (F.col("h_a") + F.col("h_b")) / 2
+    value = F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), mean - F.col("emi")), F.lit(1.0))
+    return one.select(value.alias("adjusted_mutual_information"))
 
 
 def kth_distance(rows: DataFrame, queries: DataFrame, vector: str, id: str, k: int, block: int = 16_384) -> DataFrame:
@@ -412,23 +501,42 @@ def cluster(rows: DataFrame, vector: str, method: str = "kmeans", k: int = 10, m
     return fine.join(F.broadcast(table), "_micro").select(*rows.columns, "cluster")
 
 
-def split_large(rows: DataFrame, vector: str, key: str, most: int = 500) -> DataFrame:
+def split_large(rows: DataFrame, vector: str, key: str, most: int = 500, chunk: int = 4096) -> DataFrame:
     """rows with clusters of more than ``most`` rows cut in two, at their mean along the axis of their largest spread.
 
-    Few clusters are that large; each is one pass of partial sums. The new halves get numbers after the largest.
+    All large clusters at once: rows of a cluster are dealt to chunks of about ``chunk``, each chunk gives its sums of products, these are added by cluster,
+    and a cluster's axis comes from its sums. The new halves get numbers after the largest, in the order of the clusters. Null vectors stay where they are.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).where(F.col(key).isNotNull())
-    top = rows.agg(F.max(key)).first()[0] or 0
-    side = F.col(key)
-    for at, r in enumerate(sorted(sizes.collect()), 1):
-        part = rows.where(F.col(key) == r[0]).withColumn("_u", scale_to_length(F.col(vector)))
-        square, total, n = second_moment(part, "_u")
-        mean = total / n
-        _, axes = np.linalg.eigh(square / n - np.outer(mean, mean))
-        axis = F.array(*(F.lit(float(x)) for x in axes[:, -1]))
-        along = F.aggregate(F.zip_with(scale_to_length(F.col(vector)), axis, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        side = F.when((F.col(key) == r[0]) & (along > float(mean @ axes[:, -1])), F.lit(top + at)).otherwise(side)
-    return rows.withColumn(key, side.cast(rows.schema[key].dataType))
+    checkpoint_folder(rows.sparkSession)
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    large = dense_ids(sizes.where(F.col("_n") > most), key)
+    top = sizes.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
+    kind = rows.schema[key].dataType.simpleString()
+    unit = rows.withColumn("_u", scale_to_length(F.col(vector)))
+    dealt = unit.where(F.col(vector).isNotNull()).join(large.select(key, "_n"), key).select(key, F.pmod(F.xxhash64("_u"), F.ceil(F.col("_n") / chunk)).alias("_c"), "_u")
+
+    def sums(table: pa.Table) -> pa.Table:
+        x = np.array(table["_u"].to_pylist(), np.float64)
+        flat = np.concatenate([(x.T @ x).ravel(), x.sum(axis=0), [len(x)]])
+        return pa.table({key: pa.array([table[key][0].as_py()] * len(flat), table[key].type), "i": pa.array(range(len(flat)), pa.int32()), "v": flat})
+
+    def axis(table: pa.Table) -> pa.Table:
+        flat = np.zeros(table.num_rows)
+        flat[table["i"].to_numpy()] = table["v"].to_numpy()
+        d = int(round(((1 + 4 * (len(flat) - 1)) ** 0.5 - 1) / 2))
+        mean = flat[d * d : -1] / flat[-1]
+        _, axes = np.linalg.eigh(flat[: d * d].reshape(d, d) / flat[-1] - np.outer(mean, mean))
+        best = axes[:, -1] * (np.sign(axes[np.abs(axes[:, -1]).argmax(), -1]) or 1.0)
+        return pa.table({key: table[key][:1], "_axis": pa.array([best.tolist()]), "_at": [float(mean @ best)]})
+
+    parts = dealt.groupBy(key, "_c").applyInArrow(sums, f"`{key}` {kind}, i int, v double")
+    whole = parts.groupBy(key, "i").agg(F.sum("v").alias("v"))
+    cuts = whole.groupBy(key).applyInArrow(axis, f"`{key}` {kind}, _axis array<double>, _at double")
+    cuts = cuts.join(large.select(key, "id"), key).crossJoin(F.broadcast(top))  # one row
+    cuts = cuts.select(key, "_axis", "_at", (F.col("_top") + F.col("id") + 1).alias("_new")).checkpoint()
+    along = F.aggregate(F.zip_with("_u", "_axis", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    split = unit.join(cuts, key, "left").withColumn(key, F.when(along > F.col("_at"), F.col("_new").cast(kind)).otherwise(F.col(key)))
+    return split.select(*rows.columns)
 
 
 def iterative_clusters(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import plda
 from ..operators import vectors as v
 from .base import query
 
@@ -94,3 +95,26 @@ def kdistance_curve(t):
 @query()
 def kmeans_clusters(t):
     return v.kmeans(t.embeddings, "embedding", 10).select("vec_id", "label", "cluster")
+
+
+def _plda(t):
+    rows = plda.prepared(t.embeddings, "embedding", 64)
+    return rows, plda.train(rows, "embedding", "label", rounds=6)
+
+
+@query()
+def plda_classification(t):
+    """The speaker of the largest likelihood ratio for every vector."""
+    rows, model = _plda(t)
+    speakers = plda.speaker_statistics(rows, "embedding", "label")
+    made = plda.classify(rows.select("vec_id", "embedding"), "embedding", speakers, "label", model)
+    return made.select("vec_id", "predicted", "score")
+
+
+@query()
+def plda_error_rates(t):
+    """Equal error rates of drawn pairs by likelihood ratio and by cosine."""
+    rows, model = _plda(t)
+    by = {"plda": plda.scored_pairs(rows, "embedding", "label", "vec_id", model), "cosine": v.drawn_pairs(rows, "embedding", "label", "vec_id")}
+    rates = [v.equal_error_rate(pairs).select(F.lit(name).alias("scoring"), "eer", "threshold") for name, pairs in by.items()]
+    return rates[0].unionByName(rates[1])
