@@ -1,16 +1,17 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity (operator 6).
 
-Method: bulk-synchronous best fit. Pieces are range-sorted by length, longest first, and taken in classes of
-like length. A round range-sorts the gaps by size, sweeps both orders for successors (each piece
-takes the smallest gap left that holds it, longest piece first), resolves conflicts by rank (the r-th piece of a
-run takes the r-th gap of the run), places the pieces by a join on ranks, and updates the gaps;
-rounds repeat until the class is placed. What finds no gap opens sequences. Ranks, joins and gaps are
-distributed tables; a sweep passes over runs of equal size, of which there are at most ``capacity`` on each side.
+Method: bulk-synchronous best fit. Pieces are range-sorted by length, longest first, which gives each its rank. A round takes the pieces of one length: they
+sweep over the gaps, sorted by size, for their successors (each takes the smallest gap that holds it), conflicts are resolved
+by rank (the r-th piece of a run takes the r-th place of a run of gaps), and the gaps are updated; rounds repeat down to the shortest length.
+Neither sweep nor update needs more than runs: pieces of one length and gaps of one size in consecutive sequences are alike. So the rounds pass over
+runs, whose number is bounded by the capacity and not by the documents, and all pieces take their places in one join of their ranks with the runs' ranks.
+The result is that of best-fit decreasing, piece by piece.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .common import clean_up, few, held, scratch_path, stored, text_bytes, tidy, unused
+from .common import held, stored, text_bytes, tidy, unused
 from .encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,61 +64,61 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
     return docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(tidy(tokenise, cache=tokenizer_path), PIECES)
 
 
-def length_classes(capacity: int, exact: int = 6) -> list[tuple[int, int]]:
-    """(low, high] classes of lengths, longest first: capacity / k for k up to ``exact``, two halves more, then eighths.
+def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit by rounds over runs: (length, rank_from, rank_to, sequence, each, offset) of all pieces, by rank.
 
-    Lengths over capacity / (k + 1) fill a new sequence with k exactly; short ones fit almost everywhere.
+    counts: pieces of each length; ranks go from the longest piece to the shortest. A round takes one length. Gaps of equal size are runs of consecutive sequences,
+    and the pieces sweep up the sizes from the smallest that holds them: a piece takes the smallest gap, which it leaves smaller still, so a gap takes as many as it holds (``each``)
+    before the next one. The r-th piece of a row takes place r % each of sequence ``sequence`` + r // each, from ``offset`` on; two
+    pieces never get one place, as ranks are parted. What finds no gap opens sequences. Then the gaps are updated for the next round.
     """
-    bounds = [capacity // k for k in range(1, exact + 1)]
-    while bounds[-1] > 0:
-        bounds.append(bounds[-1] // (2 if len(bounds) < exact + 2 else 8))
-    bounds = sorted(set(bounds), reverse=True)
-    return [(low, high) for high, low in zip(bounds, bounds[1:], strict=False)]
-
-
-def sweep(
-    docs: list[tuple[int, int, int]], gaps: list[tuple[int, int]], capacity: int
-) -> list[tuple[int, int, int, int | None, int, int]]:
-    """One successor sweep over runs of one class: (length, from, to, size, slot, each) for the ranks that are placed.
-
-    docs: (length, first rank, count); gaps: (size, count). A gap of some size has ``each`` slots, as many of the
-    longest documents as fit for sure, one at least if it holds the document. The document of rank
-    r, from <= r < to, takes slot + r - from of the slots of that size; size None means new sequences. Sizes go
-    down and gaps wait on a stack, so a document takes the smallest gap that holds it. Where no gap is
-    left, sequences are opened: all that are needed if no further document of the class fits
-    into a full one, else as many as the rest surely needs, and the rest waits for the next round.
-    """
-    longest, shortest = max(x[0] for x in docs), min(x[0] for x in docs)
-    waiting: list[list[int]] = []  # size, next slot, free slots
-    ahead = sorted(gaps)
-    out, rest = [], []
-    for length, first, count in sorted(docs, reverse=True):
-        while ahead and ahead[-1][0] >= length:
-            size, n = ahead.pop()
-            waiting.append([size, 0, n * max(1, size // longest)])
-        while count and waiting:
-            size, slot, free = waiting[-1]
-            take = min(free, count)
-            out.append((length, first, first + take, size, slot, max(1, size // longest)))
-            first, count = first + take, count - take
-            if take == free:
-                waiting.pop()
-            else:
-                waiting[-1][1:] = [slot + take, free - take]
-        if count:
-            rest.append((length, first, count))
-    if rest:
-        each = capacity // longest
-        if shortest * (each + 1) > capacity:
-            opened = -(-sum(n for _, _, n in rest) // each)
+    gaps: dict[int, list[list[int]]] = {}  # size: intervals of sequences
+    sizes: list[int] = []  # of the gaps, rising
+    plan: list[tuple[int, int, int, int, int, int]] = []
+    opened = rank = 0
+
+    def give_back(size: int, low: int, high: int) -> None:
+        if size <= 0 or low >= high:
+            return
+        if size not in gaps:
+            gaps[size] = []
+            insort(sizes, size)
+        if gaps[size] and gaps[size][-1][1] == low:
+            gaps[size][-1][1] = high
         else:
-            opened = max(1, sum(length * n for length, _, n in rest) // capacity)
-        slot = 0
-        for length, first, count in rest:
-            if take := min(count, opened * each - slot):
-                out.append((length, first, first + take, None, slot, each))
-                slot += take
-    return out
+            gaps[size].append([low, high])
+
+    def fill(length: int, left: int, size: int, low: int, high: int) -> int:
+        """Pieces that an interval of gaps takes."""
+        each = size // length
+        whole, some = divmod(min(left, each * (high - low)), each)
+        taken = whole * each + some
+        plan.append((length, rank, rank + taken, low, each, capacity - size))
+        give_back(size - each * length, low, low + whole)
+        if some:
+            give_back(size - some * length, low + whole, low + whole + 1)
+        give_back(size, low + whole + bool(some), high)
+        return taken
+
+    for length in sorted(counts, reverse=True):
+        left, at = counts[length], bisect_left(sizes, length)
+        waiting = [(size, gaps[size]) for size in sizes[at:]]
+        for size, intervals in waiting:
+            if not left:
+                break
+            del gaps[size]
+            sizes.remove(size)
+            for low, high in intervals:
+                if left:
+                    taken = fill(length, left, size, low, high)
+                    rank, left = rank + taken, left - taken
+                else:
+                    give_back(size, low, high)
+        if left:
+            fresh = -(-left // (capacity // length))
+            taken = fill(length, left, capacity, opened, opened + fresh)
+            rank, opened = rank + taken, opened + fresh
+    return plan
 
 
 def range_ranked(df: DataFrame, order: list, label: str, rank: str, n: int | None = None) -> DataFrame:
@@ -132,100 +133,33 @@ def range_ranked(df: DataFrame, order: list, label: str, rank: str, n: int | Non
     return rows.join(F.broadcast(shifts), part == F.col("_part")).select(*df.columns, (F.col("_shift") + inner).alias(rank))
 
 
-PLAN = "length long, rank_from long, rank_to long, size long, slot long, each long, first long"
+PLAN = "_length long, rank_from long, rank_to long, sequence long, each long, place long"
 
 
 def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length and more), gapless from 0.
 
     Lengths must lie in 1..capacity. Ties and repeated rows are placed in any order, nulls in other columns don't
-    matter, columns named sequence_id or offset are replaced, an empty table gives an empty result. The driver gets the runs that a round places and one count a length
-    (capacity rows at most).
+    matter, columns named sequence_id or offset are replaced, an empty table gives an empty result. The driver gets one count a length (capacity rows at
+    most) and broadcasts the rows of sweep(), whose number depends on the lengths that occur, not on how often.
     """
-    spark = piece_rows.sparkSession
     # the row travels as one column, so that its names can't clash with those used here
     rows = piece_rows.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"))
     rows = held(rows)  # range-sorting reads its rows twice
-    order = [F.desc("length"), F.col("row.doc_id"), F.col("row.piece")]
-    docs = range_ranked(rows, order, "pieces", "_rank")
+    docs = range_ranked(rows, [F.desc("length"), F.col("row.doc_id"), F.col("row.piece")], "pieces", "_rank")
     rows.unpersist()
-    counts = {r["length"]: (r["first"], r["n"]) for r in docs.groupBy("length").agg(F.min("_rank").alias("first"), F.count("*").alias("n")).collect()}
+    counts = {r["length"]: r["n"] for r in docs.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError("a piece is empty or longer than the capacity")
-    gaps, opened, files = None, 0, []
-    for low, high in length_classes(capacity):
-        left = {x: counts.pop(x) for x in list(counts) if low < x <= high}
-        while left:
-            todo = [(length, first, n) for length, (first, n) in left.items()]
-            ranked = None
-            if gaps is not None:
-                ranked = range_ranked(gaps.where(F.col("size") >= min([*left, *counts])), ["size", "sequence_id"], "gaps", "_gap", opened)
-            plan = _swept(ranked, todo, capacity)
-            files.append(scratch_path(spark, "packed"))
-            fresh = _placed(docs, ranked, plan, opened, capacity, min(left), max(left))
-            few(fresh, sum(b - a for _, a, b, *_ in plan)).write.parquet(files[-1])
-            new = max((-(-(slot + b - a) // each) for _, a, b, size, slot, each, _ in plan if size is None), default=0)
-            for length, _, to, *_ in plan:
-                first, n = left[length]
-                left[length] = (max(first, to), n - max(0, to - first))
-            left = {x: v for x, v in left.items() if v[1]}
-            if left or counts:  # the shrunken gaps
-                used = spark.read.schema(fresh.schema).parquet(files[-1])
-                used = used.groupBy("sequence_id").agg(F.sum("length").alias("_used"))
-                open_ = spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("size"))
-                if ranked is not None:
-                    open_ = ranked.select("sequence_id", "size").unionByName(open_)
-                gaps = open_.join(used, "sequence_id", "left").select(
-                    "sequence_id", (F.col("size") - F.coalesce("_used", F.lit(0))).alias("size")
-                )
-            opened += new
-            if len(files) % 4 == 0:
-                clean_up(spark)
-    clean_up(spark)
+    plan = F.broadcast(docs.sparkSession.createDataFrame(sweep(counts, capacity), PLAN))
+    placed = docs.join(plan, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")))
+    turn = F.col("_rank") - F.col("rank_from")
     kept = [F.col(f"row.`{c}`") for c in piece_rows.columns if c.lower() not in ("sequence_id", "offset")]
-    if not files:
-        return rows.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
-    return spark.read.schema(fresh.schema).parquet(*files).select(*kept, "sequence_id", "offset")
-
-
-def _swept(ranked: DataFrame | None, todo: list[tuple[int, int, int]], capacity: int) -> list[tuple]:
-    """The plan of a round: the sweep over the runs of the range-sorted gaps, with each run's first rank."""
-    if ranked is None:
-        return [(*x, 0) for x in sweep(todo, [], capacity)]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = [x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
-        first = {size: at for size, _, at in runs}
-        plan = [(*x, first.get(x[3], 0)) for x in sweep(todo, [(size, n) for size, n, _ in runs], capacity)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in zip(*plan, strict=True)], names=[x.split()[0] for x in PLAN.split(", ")]
-        )
-
-    runs = ranked.where(F.col("size") >= min(x[0] for x in todo))
-    runs = runs.groupBy("size").agg(F.count("*").alias("n"), F.min("_gap").alias("at"))  # capacity rows at most
-    return [tuple(r) for r in runs.repartition(1).mapInArrow(work, PLAN).collect()] or [(*x, 0) for x in sweep(todo, [], capacity)]
-
-
-def _placed(docs: DataFrame, ranked: DataFrame | None, plan: list[tuple], opened: int, capacity: int, low: int, high: int) -> DataFrame:
-    """The pieces that a plan places, with sequence_id and offset."""
-    runs = F.broadcast(docs.sparkSession.createDataFrame(plan, PLAN).withColumnRenamed("length", "_length"))  # a run of pieces or gaps a row
-    mine = docs.where(F.col("length").between(low, high)).join(
-        runs, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to"))
-    )
-    mine = mine.withColumn("_slot", F.col("slot") + F.col("_rank") - F.col("rank_from"))
-    mine = mine.withColumn("_turn", F.col("_slot") % F.col("each")).withColumn("_gap", F.col("first") + F.floor(F.col("_slot") / F.col("each")))
-    mine = mine.select("row", "length", "size", "_turn", "_gap")
-    new = mine.where("size IS NULL").drop("size").select(
-        "row", "length", "_turn", F.lit(capacity).cast("long").alias("_size"), (F.col("_gap") + opened).alias("_sequence")
+    return placed.select(
+        *kept,
+        (F.col("sequence") + F.floor(turn / F.col("each"))).alias("sequence_id"),
+        (F.col("place") + turn % F.col("each") * F.col("length")).alias("offset"),
     )
-    if any(size is not None for _, _, _, size, *_ in plan):
-        taken = ranked.select("_gap", F.col("size").alias("_size"), F.col("sequence_id").alias("_sequence"))
-        new = new.unionByName(mine.where("size IS NOT NULL").drop("size").join(taken, "_gap").select("row", "length", "_turn", "_size", "_sequence"))
-    shift = F.lit(0).cast("long")
-    if any(each > 1 for *_, each, _ in plan):  # at most ``each`` pieces a sequence and round
-        upto = Window.partitionBy("_sequence").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
-        shift = F.coalesce(F.sum("length").over(upto), shift)
-    return new.select("row", "length", F.col("_sequence").alias("sequence_id"), (F.lit(capacity) - F.col("_size") + shift).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, keep_words: bool = True) -> DataFrame:

@@ -97,8 +97,38 @@ def best_fit_decreasing(lengths, capacity):
 
 
 def test_sweep_takes_the_smallest_gap_that_holds():
-    assert packing.sweep([(5, 0, 1), (3, 1, 1)], [(5, 1), (6, 1)], 8) == [(5, 0, 1, 5, 0, 1), (3, 1, 2, 6, 0, 1)]
-    assert packing.sweep([(4, 0, 5)], [(9, 1), (4, 1)], 9) == [(4, 0, 1, 4, 0, 1), (4, 1, 3, 9, 0, 2), (4, 3, 5, None, 0, 2)]
+    # 9 leaves 7 and 7 of 16; 8 opens a sequence; 6 goes into a 7 (not the 8), then into the other 7; 5 into the 8; 3 beside it
+    assert packing.sweep({9: 2, 8: 1, 6: 2, 5: 1, 3: 1}, 16) == [
+        (9, 0, 2, 0, 1, 0), (8, 2, 3, 2, 2, 0), (6, 3, 5, 0, 1, 9), (5, 5, 6, 2, 1, 8), (3, 6, 7, 2, 1, 13),
+    ]
+    assert packing.sweep({4: 5}, 9) == [(4, 0, 5, 0, 2, 0)]
+    assert packing.sweep({}, 9) == []
+
+
+@pytest.mark.parametrize("draw", [
+    lambda rng: int(rng.expovariate(1 / 300)) + 1,
+    lambda rng: rng.randint(1, 300),
+    lambda rng: int(rng.lognormvariate(5.3, 1)) + 1,
+    lambda rng: rng.choice((1, 2, 3, 700, 1025, 2048)),
+])
+def test_sweep_against_best_fit_decreasing(draw):
+    rng = random.Random(11)
+    lengths = [min(2048, draw(rng)) for _ in range(20_000)]
+    counts = {}
+    for n in lengths:
+        counts[n] = counts.get(n, 0) + 1
+    plan = packing.sweep(counts, 2048)
+    ends = {}
+    at = 0
+    for length, low, high, sequence, each, place in plan:
+        assert low == at and length * each <= 2048 - place
+        at = high
+        for r in range(high - low):
+            spot = sequence + r // each
+            assert ends.get(spot, 0) == place + r % each * length  # gapless
+            ends[spot] = ends.get(spot, 0) + length
+    assert at == len(lengths) and max(ends.values()) <= 2048 and sorted(ends) == list(range(len(ends)))
+    assert len(ends) == best_fit_decreasing(lengths, 2048)
 
 
 @pytest.mark.parametrize("capacity,lengths", [
@@ -122,7 +152,7 @@ def test_rounds_pack_like_best_fit_decreasing(spark, capacity, lengths):
             assert offset == at
             at += length
         assert at <= capacity
-    assert len(sequences) <= best_fit_decreasing(lengths, capacity) + 1
+    assert len(sequences) == best_fit_decreasing(lengths, capacity)
 
 
 def test_packing_documents(spark):
