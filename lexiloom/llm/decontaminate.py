@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import stored, text_bytes, tidy, unused
 
-# fixed values: the masks (weight 6)
+# fixed values: the masks for items of LONG words and more (weight 6), and for shorter ones (weight 4)
 MASKS = ("111111", "1101101011", "11011000111", "1010110010101", "1110010011001")
-#: Items of fewer words than a mask has ones are looked for as a whole, from this many words on.
-SHORTEST, WEIGHT = 3, 6
+LIGHT = ("1111", "11011", "10111", "11101")
+#: Items of SHORTEST to WEIGHT - 1 words are looked for as a whole; those of WEIGHT to LONG - 1 by the light masks.
+SHORTEST, WEIGHT, LONG = 3, 6, 16
 #: Items that a region is laid over in one row.
 ITEMS = 256
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -54,14 +55,38 @@ def seed_hashes(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return h
 
 
+def masks_of(n_words: int) -> list[tuple[int, str]]:
+    """(number, mask) of the masks that an item of so many words is looked for by.
+
+    Of a leak by the default rule (see find_leaks) in an item of 7 to 15 words, every stretch has 1111 or 11011 in its agreeing words: it has at most two changed words, so that
+    four agree in a row, or else runs of two and more stand on both sides of a changed one. In a six-word item four of five may agree as 10111 or 11101 too.
+    """
+    if n_words < SHORTEST:
+        return []
+    if n_words < WEIGHT:
+        return [(len(MASKS) + len(LIGHT) + n_words, "1" * n_words)]
+    if n_words < LONG:
+        return [(len(MASKS) + k, m) for k, m in enumerate(LIGHT[: 4 if n_words == WEIGHT else 2])]
+    return list(enumerate(MASKS))
+
+
 def item_seeds(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, seeds) of an item; a short item has one seed, its words as a whole."""
-    if SHORTEST <= len(tokens) < WEIGHT:
-        yield len(MASKS) + len(tokens), seed_hashes(tokens, "1" * len(tokens), len(MASKS) + len(tokens))
-    for m, mask in enumerate(MASKS):
+    """(mask number, seeds) of an item."""
+    for m, mask in masks_of(len(tokens)):
         yield m, seed_hashes(tokens, mask, m)
 
 
+def agreeing_words(doc: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """For each item (a part of ``flat``) how many of its words agree with the document's at its shift; all items at once."""
+    ends = np.cumsum(lengths)
+    step = np.arange(ends[-1])
+    begin = ends - lengths
+    place = step + np.repeat(shifts - begin, lengths)
+    inside = (place >= 0) & (place < len(doc))
+    same = inside & (doc[np.where(inside, place, 0)] == flat[step + np.repeat(starts - begin, lengths)])
+    return np.add.reduceat(same, begin, dtype=np.int64)
+
+
 class Sieve:
     """Membership in a sorted array of hashes, behind a small bitmap."""
 
@@ -119,9 +144,9 @@ def find_leaks(
 
     A leak is a stretch of at least min(least_words, least_share of the item's words) words that
     agree, with an identity of least_identity or more; of several, the longest is told. Whole
-    texts are scanned. Items of fewer words than the shortest mask (six) leak where they stand as a whole, without a
-    change; items of one or two words tell nothing and don't leak. Only diagonals that share a seed are looked at, so a
-    leak whose agreeing words are scattered past every mask can be missed (the tests measure it). Null texts count as empty; null ids are kept as they are; repeated rows and ids give one row a pair of
+    texts are scanned. Items of three to five words leak where they stand as a whole, without a
+    change; items of one or two words tell nothing and don't leak. Only diagonals that share a seed are looked at. With the default rule that misses nothing in items of
+    up to 15 words (see masks_of); in longer ones, which have heavier masks, a leak whose agreeing words are scattered past every mask can be missed (the tests measure it). Null texts count as empty; null ids are kept as they are; repeated rows and ids give one row a pair of
     ids; other columns are ignored; an empty table on either side gives an empty result.
 
     Seeds of the benchmark are broadcast as a sieve if there are at most ``broadcast_seeds`` (8 bytes
@@ -163,8 +188,8 @@ def find_leaks(
         known = seeds.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64, copy=True)
         sieve = spark.sparkContext.broadcast(np.sort(known.view(np.uint64)))
     reach = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
-    short = {r[0] for r in items.where(F.size("item").between(SHORTEST, WEIGHT - 1)).select(F.size("item")).distinct().collect()}
-    masks = [*enumerate(MASKS), *((len(MASKS) + n, "1" * n) for n in sorted(short))]
+    sizes = items.select(F.least(F.size("item"), F.lit(LONG))).distinct().collect()  # LONG + 1 numbers at most
+    masks = sorted({m for r in sizes for m in masks_of(r[0])})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Sieve(sieve.value) if sieve else None
@@ -181,8 +206,8 @@ def find_leaks(
                 lengths = np.array([len(x) for x in texts])
                 ends = np.cumsum(lengths)
                 tokens = word_hashes(chain.from_iterable(texts))
-                found: list[np.ndarray] = []
-                hashes: list[np.ndarray] = []
+                found: list[np.ndarray] = [np.zeros(0, np.int64)]
+                hashes: list[np.ndarray] = [np.zeros(0, np.uint64)]
                 for m, mask in masks:
                     h = seed_hashes(tokens, mask, m)
                     hit = tool.hits(h) if tool else np.arange(len(h))
@@ -246,23 +271,32 @@ def find_leaks(
 
     if sieve is not None:
         # the items' words are no more than their seeds: they go to all tasks, and a region's words meet ITEMS items at once
-        table = {r["item_key"]: (r["item_id"], np.array(r["item"], np.int64)) for r in items.select("item_key", "item_id", "item").collect()}
+        # (items of one or two words have no seed, and so no place in this bound)
+        rows = items.where(F.size("item") >= SHORTEST).select("item_key", "item_id", "item").collect()
+        words = [np.array(r["item"], np.int64) for r in rows]
+        lengths = np.array([len(w) for w in words], np.int64)
+        needs = np.array([min(least_words, least_share * n if n >= WEIGHT else n) for n in lengths.tolist()])
+        table = ({r["item_key"]: k for k, r in enumerate(rows)}, [r["item_id"] for r in rows], np.concatenate([*words, np.zeros(0, np.int64)]), np.cumsum(lengths) - lengths, lengths, needs)
         known_items = spark.sparkContext.broadcast(table)
-        block = F.pmod("item_key", F.lit(max(1, -(-len(table) // ITEMS))))
+        block = F.pmod("item_key", F.lit(max(1, -(-len(rows) // ITEMS))))
         asked = diagonals.groupBy("region", block.alias("_b")).agg(F.collect_list(F.struct("item_key", "shift")).alias("asked"))
         laid = asked.join(places.select("region", "name", "first", "words"), "region").select("name", "first", "words", "asked")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places_, ids, flat, starts, lengths, needs = known_items.value
             for batch in batches:
                 out = []
                 for k in range(batch.num_rows):
                     doc = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
                     name, first = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                     pairs = batch.column(3)[k].values
-                    for key, shift in zip(pairs.field(0).to_pylist(), pairs.field(1).to_pylist(), strict=True):
-                        item_id, item = known_items.value[key]
-                        if leak := overlap(doc, item, shift):
-                            out.append((name, item_id, first + shift + leak[0], leak[1], leak[2], len(item)))
+                    at = np.array([places_[key] for key in pairs.field(0).to_pylist()])
+                    shifts = pairs.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    # most diagonals of a common seed agree in little else
+                    enough = agreeing_words(doc, flat, starts[at], lengths[at], shifts) >= needs[at]
+                    for i, shift in zip(at[enough].tolist(), shifts[enough].tolist(), strict=True):
+                        if leak := overlap(doc, flat[starts[i] : starts[i] + lengths[i]], shift):
+                            out.append((name, ids[i], first + shift + leak[0], leak[1], leak[2], int(lengths[i])))
                 yield leak_rows(out)
     else:
         laid = (
