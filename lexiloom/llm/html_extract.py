@@ -85,7 +85,7 @@ _SHAPES = {
 }
 _LENGTHS = (20, 60, 150, 400)
 FEATURES = (
-    ["one", "links", "all links", "sentence", "commas", "before title"]
+    ["one", "links", "all links", "sentence", "commas", "before title", "under comments heading"]
     + [f"up to {n}" for n in _LENGTHS]
     + [f"is {x}" for x in sorted({*_SHAPES.values()})]
     + [f"in {x}" for x in _KINDS]
@@ -93,10 +93,15 @@ FEATURES = (
     + [f"around {x}" for x in _KINDS]
 )
 _AT = {x: k for k, x in enumerate(FEATURES)}
-#: Costs are cut off here, so that no block is beyond its neighbours' reach.
-MOST = 4.0
+#: Costs are cut off here. All edges of a block together weigh less, so a block of which the classifier is sure isn't outvoted.
+MOST = 6.0
 #: Strength of an edge between blocks of one parent; it falls with the steps between their parents.
-NEXT, SIBLING, FAR = 4.0, 1.0, 6
+NEXT, SIBLING, FAR = 1.5, 0.75, 6
+#: What is left of an edge where the evidence changes: one block in a region (or a control) that the other isn't in.
+CONTRAST = 0.05
+# fixed values: what headings of reader comments say
+COMMENT_WORDS = frozenset("comment comments reply replies response responses discussion kommentar kommentare antworten commentaire commentaires comentario comentarios respuestas".split())
+_HEADINGS = {f"h{k}": k for k in range(1, 7)}
 _SENTENCE_END = ".!?…。\"”’»"
 
 
@@ -383,13 +388,40 @@ def _regions(nodes: list[_Node]) -> dict[int, tuple[int, int, int]]:
     return out
 
 
+def _is_comments_heading(block: Block) -> bool:
+    """A heading such as "3 Comments": no word but one of COMMENT_WORDS and numbers."""
+    if block.node.name not in _HEADINGS or len(block.text) > 40:
+        return False
+    words = re.findall(r"[^\W\d_]+", block.text.lower())
+    return len(words) == 1 and words[0] in COMMENT_WORDS
+
+
+def under_comments_heading(blocks: list[Block]) -> list[bool]:
+    """Which blocks are a heading of comments or come after one within its parent element, up to another heading of its rank or above."""
+    out, rank, parent = [], 0, None
+    for block in blocks:
+        mine = _HEADINGS.get(block.node.name, 0)
+        if _is_comments_heading(block):
+            rank, parent = mine, block.node.parent
+        elif rank:
+            up = block.node
+            while up is not None and up is not parent and up.depth > parent.depth:
+                up = up.parent
+            if up is not parent or 0 < mine <= rank:
+                rank = 0
+        out.append(rank > 0)
+    return out
+
+
 def block_features(blocks: list[Block], nodes: list[_Node]) -> np.ndarray:
     """Features [block, FEATURES], all from 0 to 1."""
     regions = _regions(nodes)
     out = np.zeros((len(blocks), len(FEATURES)), np.float32)
     title = next((k for k, b in enumerate(blocks) if _SHAPES.get(b.node.name) == "title"), 0)
+    commented = under_comments_heading(blocks)
     for place, (row, block) in enumerate(zip(out, blocks, strict=True)):
         row[_AT["before title"]] = place < title
+        row[_AT["under comments heading"]] = commented[place]
         node, text = block.node, block.text
         tag, named, around = regions[id(node)]
         shape, up = _SHAPES.get(node.name), node
@@ -453,18 +485,30 @@ def _steps(a: _Node, b: _Node) -> int:
     return n
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours in page order and between following blocks of one parent element."""
+#: Columns of block_features whose change between two blocks makes their edge weak.
+_EVIDENCE = [k for k, x in enumerate(FEATURES) if x in ("under comments heading", "is control") or x.startswith(("in ", "by name ")) and not x.endswith(" content")]
+
+
+def smoothness(blocks: list[Block], features: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges between neighbours in page order and between following blocks of one parent element.
+
+    An edge falls with the distance in the DOM, and to CONTRAST of that where the regions that speak against the blocks differ.
+    """
+    marks = [x.tobytes() for x in features[:, _EVIDENCE] > 0]
     edges = []
     last: dict[int, int] = {}
+
+    def join(a: int, b: int, strength: float) -> None:
+        edges.append((a, b, strength if marks[a] == marks[b] else strength * CONTRAST))
+
     for k, block in enumerate(blocks):
         parent = block.node.parent or block.node
         if k:
             other = blocks[k - 1].node.parent or blocks[k - 1].node
             if (far := _steps(other, parent)) < FAR:
-                edges.append((k - 1, k, NEXT / (1 + far) ** 2))
+                join(k - 1, k, NEXT / (1 + far) ** 2)
         if (j := last.get(id(parent))) is not None:
-            edges.append((j, k, SIBLING))
+            join(j, k, SIBLING)
         last[id(parent)] = k
     return edges
 
@@ -474,8 +518,9 @@ def label_blocks(page: str, weights: np.ndarray) -> tuple[list[Block], list[bool
     blocks, nodes = parse_blocks(page)
     if not blocks:
         return blocks, [], []
-    scores = np.clip(block_features(blocks, nodes) @ weights, -MOST, MOST).tolist()
-    return blocks, minimum_cut(scores, smoothness(blocks)), [s > 0 for s in scores]
+    features = block_features(blocks, nodes)
+    scores = np.clip(features @ weights, -MOST, MOST).tolist()
+    return blocks, minimum_cut(scores, smoothness(blocks, features)), [s > 0 for s in scores]
 
 
 def extract(page: str, weights: np.ndarray | None = None) -> tuple[str, int, int, int]:
@@ -489,7 +534,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_kept, n_flipped for every row of pages (page_id, url, html).
 
     Null html counts as empty; a page without content gives an empty text. Nulls in page_id and url pass
-    through, repeated rows give repeated results, other columns are ignored, an empty table gives an empty result.
+    through, repeated rows give repeated results, other columns are ignored, an empty table gives an empty result. Tags may be broken in any way; of those whose
+    quotes don't match, the first PATIENCE are read with their quotes to the end of the page, further ones up to the next ">".
     n_flipped counts the blocks that the cut labels otherwise than the classifier alone.
     """
     ship_package(pages.sparkSession)

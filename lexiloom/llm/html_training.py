@@ -87,10 +87,16 @@ class _Writer:
             inside += self.region("share", self.links(rng.randint(2, 4)), unmarked=0.0)
         if rng.random() < 0.1:
             inside += self.region("advert", f"<p>{self.text(0, 3, 25)}</p>", unmarked=0.05)
+        if rng.random() < 0.15:  # controls and adverts between the paragraphs
+            at = rng.randint(0, len(parts))
+            odd = rng.choice((f"<button>{self.text(0, 1, 2, False)}</button>", f"<label>{self.text(0, 1, 3, False)}</label><input>", self.region("advert", self.text(0, 3, 25), unmarked=0.0)))
+            inside = "".join(parts[:at]) + odd + inside[len("".join(parts[:at])) :]
         return self.region("content", inside, unmarked=0.25)
 
     def page(self) -> str:
         rng = self.rng
+        if rng.random() < 0.03:  # text alone
+            return self.text(1, 3, 90) if rng.random() < 0.5 else f"<html><body>{self.paragraphs(1, rng.randint(1, 4))}</body></html>"
         before = [self.region("menu", self.links(rng.randint(2, 8)))]
         if rng.random() < 0.6:
             name = rng.choice(("p", "p", "div", "h1"))
@@ -106,7 +112,12 @@ class _Writer:
             after.append(self.region("form", f"<p>{self.text(0, 4, 25)}</p><label>{self.text(0, 1, 3, False)}</label><input><button>{self.text(0, 1, 2, False)}</button>", unmarked=0.03))
         if rng.random() < 0.4:
             each = "".join(f"<div><b>{self.text(0, 1, 2, False)}</b>{self.paragraphs(0, rng.randint(1, 2), 2, 60)}</div>" for _ in range(rng.randint(1, 6)))
-            after.append(self.region("comments", f"<h3>{self.text(0, 1, 3, False)}</h3>{each}", "section", unmarked=0.0))
+            if rng.random() < 0.5:
+                title, told = self.text(0, 1, 3, False), 0.0
+            else:  # a heading that says it, whose region may say nothing
+                title, told = rng.choice(("{} Comments", "Comments ({})", "{} replies", "Comments")).format(rng.randint(1, 99)), 0.3
+                self.labels[title] = 0
+            after.append(self.region("comments", f"<{(h := rng.choice(('h2', 'h3', 'h4')))}>{title}</{h}>{each}", "section", unmarked=told))
         if rng.random() < 0.2:
             after.append(self.region("advert", f"<p>{self.text(0, 3, 30)}</p>", unmarked=0.03))
         after.append(self.region("footer", rng.choice(("<p>%s</p>", "%s")) % self.text(0, 3, 25, rng.random() < 0.5) + (self.links(rng.randint(2, 4)) if rng.random() < 0.4 else "")))
