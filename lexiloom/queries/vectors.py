@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import plda
+from ..operators import mixtures, plda
 from ..operators import vectors as v
 from .base import query
 
@@ -118,3 +118,33 @@ def plda_error_rates(t):
     by = {"plda": plda.scored_pairs(rows, "embedding", "label", "vec_id", model), "cosine": v.drawn_pairs(rows, "embedding", "label", "vec_id")}
     rates = [v.equal_error_rate(pairs).select(F.lit(name).alias("scoring"), "eer", "threshold") for name, pairs in by.items()]
     return rates[0].unionByName(rates[1])
+
+
+@query(
+    "WITH e AS (SELECT label, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)) "
+    "SELECT label, i, count(x) AS n, round(sum(x), 6) AS total, round(sum(x * x), 6) AS square FROM e GROUP BY ALL"
+)
+def class_statistics(t):
+    """Zeroth, first and second order statistics of each speaker's vectors."""
+    s = mixtures.class_statistics(t.embeddings, "embedding", "label")
+    return s.select("label", F.col("i").cast("long").alias("i"), "n", F.round("total", 6).alias("total"), F.round("square", 6).alias("square"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id, label, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL), "
+    "w AS (SELECT vec_id, e.i, x - m AS x FROM e JOIN m USING (label, i)), g AS (SELECT i, avg(x) AS g FROM e GROUP BY i), b AS (SELECT label, m.i, m - g AS x, n FROM m JOIN g USING (i)), "
+    "ww AS (SELECT p.i, q.i AS j, avg(p.x * q.x) AS v FROM w p JOIN w q USING (vec_id) GROUP BY ALL), bb AS (SELECT p.i, q.i AS j, sum(p.n * p.x * q.x) / sum(p.n) AS v FROM b p JOIN b q USING (label) GROUP BY ALL) "
+    "SELECT i, j, round(ww.v, 7) AS within, round(bb.v, 7) AS between FROM ww JOIN bb USING (i, j)"
+)
+def class_scatter(t):
+    """Covariance within and between speakers, for every pair of dimensions."""
+    s = mixtures.scatter(t.embeddings, "embedding", "label")
+    return s.select("i", "j", F.round("within", 7).alias("within"), F.round("between", 7).alias("between"))
+
+
+@query()
+def gaussian_statistics(t):
+    """How much of each speaker's vectors each component of a mixture has, and the component's mean moved to them."""
+    model = mixtures.train(t.embeddings, "embedding", 8, rounds=4)
+    stats = mixtures.utterance_statistics(t.embeddings, "embedding", model, "label")
+    return mixtures.adapted_means(stats, model).select("label", "component", "n", "mean")
