@@ -110,8 +110,8 @@ def summary(rows: DataFrame, group: Column, words: Column) -> DataFrame:
     )
 
 
-def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with ``id`` 0, 1, ... in order, numbered in range partitions and shifted by those before.
+def dense_ids(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
+    """rows with ``name`` 0, 1, ... in order, numbered in range partitions and shifted by those before; a column of that name is replaced.
 
     The sorted rows are checkpointed first, so that counts and numbers come from one arrangement.
     """
@@ -122,7 +122,17 @@ def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
     starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
-    return placed.join(starts, "_p").withColumn("id", F.col("_start") + F.col("_k")).select(*rows.columns, "id")
+    kept = [c for c in rows.columns if c != name]
+    return placed.join(starts, "_p").select(*kept, (F.col("_start") + F.col("_k")).alias(name))
+
+
+def ranks_within(rows: DataFrame, group: str, *order: Column, name: str = "rank") -> DataFrame:
+    """rows with their rank (from 0) within the group, in rising order; numbered over all groups in range partitions, so a large group isn't sorted in one task."""
+    keys = {f"_order{k}": c for k, c in enumerate(order)}
+    ids = dense_ids(rows.withColumns(keys), group, *keys, name="_place")
+    first = ids.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+    joined = ids.join(first, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*rows.columns, (F.col("_place") - F.col("_first")).alias(name))
 
 
 def job_ranges(ids: DataFrame, jobs: int) -> DataFrame:
@@ -135,3 +145,11 @@ def in_subset(lexicon: DataFrame, words: DataFrame) -> DataFrame:
     """lexicon with ``included``: whether the subset's words (column word) hold the entry."""
     seen = words.select("word").distinct().withColumn("_seen", F.lit(True))
     return lexicon.join(seen, "word", "left").withColumn("included", F.col("_seen").isNotNull()).drop("_seen")
+
+
+def with_unknown_words(rows: DataFrame, words: Column, vocabulary: DataFrame, id: str, name: str = "oovs") -> DataFrame:
+    """rows with the words that the vocabulary (column word) lacks, in their order and joined by spaces; empty where there are none. Rows of one id must be equal in words."""
+    flat = rows.select(id, F.posexplode(words).alias("_at", "word")).dropDuplicates([id, "_at"])
+    unknown = flat.join(vocabulary.select("word").distinct(), "word", "left_anti")
+    listed = unknown.groupBy(id).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias(name))
+    return rows.join(listed, id, "left").withColumn(name, F.coalesce(name, F.lit("")))

@@ -277,9 +277,9 @@ def remap_labels(rows: DataFrame, key: Sequence[str], order: Sequence[str], mapp
     table = F.create_map(*(x for k, v in mapping.items() for x in (F.lit(join(k.split())), F.array(*map(F.lit, v))))) if mapping else None
     if table is None or longest == 1:
         return split_labels(rows, mapping, share) if mapping else rows.withColumn("piece", F.lit(0))
-    ids = dense_ids(rows, *key, *order)
-    near = ids.select(F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("_k"), "id", F.struct(*key).alias("_key"), "label", "end")
-    near = near.groupBy((F.col("id") - F.col("_k")).alias("id")).agg(F.sort_array(F.collect_list(F.struct("_k", "_key", "label", "end"))).alias("_s"))
+    ids = dense_ids(rows, *key, *order, name="_at")
+    near = ids.select(F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("_k"), "_at", F.struct(*key).alias("_key"), "label", "end")
+    near = near.groupBy((F.col("_at") - F.col("_k")).alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_k", "_key", "label", "end"))).alias("_s"))
     found = []
     for k in range(longest, 0, -1):
         last = F.get("_s", k - 1)
@@ -287,22 +287,22 @@ def remap_labels(rows: DataFrame, key: Sequence[str], order: Sequence[str], mapp
         known = F.forall(F.slice("_s", 1, k), lambda x: x["label"].isNotNull())
         made = F.try_element_at(table, F.array_join(F.transform(F.slice("_s", 1, k), lambda x: x["label"]), "\x1f"))
         found.append(F.when(whole & known & made.isNotNull(), F.struct(F.lit(k).alias("length"), made.alias("made"), last["end"].alias("until"))))
-    match = near.where(F.col("id") >= 0).select("id", F.coalesce(*found).alias("_m")).where("_m IS NOT NULL").checkpoint()
-
-    long = match.where("_m.length > 1").select("id", F.col("_m.length").alias("length"))
-    covered = long.select(F.explode(F.sequence(F.col("id") + 1, F.col("id") + F.col("length") - 1)).alias("id")).distinct().checkpoint()
-    lengths = covered.join(long, "id", "left").select("id", F.coalesce("length", F.lit(1)).alias("length"))
-    inside = covered.withColumnRenamed("id", "to")
-    jumps = lambda x: x.select("id", (F.col("id") + F.col("length")).alias("to")).join(inside, "to", "left_semi").select("id", "to")
-    taken = jumps(long.join(covered, "id", "left_anti")).select(F.col("to").alias("id")).distinct().checkpoint()
+    match = near.where(F.col("_at") >= 0).select("_at", F.coalesce(*found).alias("_m")).where("_m IS NOT NULL").checkpoint()
+
+    long = match.where("_m.length > 1").select("_at", F.col("_m.length").alias("length"))
+    covered = long.select(F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + F.col("length") - 1)).alias("_at")).distinct().checkpoint()
+    lengths = covered.join(long, "_at", "left").select("_at", F.coalesce("length", F.lit(1)).alias("length"))
+    inside = covered.withColumnRenamed("_at", "to")
+    jumps = lambda x: x.select("_at", (F.col("_at") + F.col("length")).alias("to")).join(inside, "to", "left_semi").select("_at", "to")
+    taken = jumps(long.join(covered, "_at", "left_anti")).select(F.col("to").alias("_at")).distinct().checkpoint()
     jump = jumps(lengths).checkpoint()
     while not jump.isEmpty():
-        taken = taken.unionByName(jump.join(taken, "id", "left_semi").select(F.col("to").alias("id"))).distinct().checkpoint()
-        second = jump.select(F.col("id").alias("to"), F.col("to").alias("_to"))
-        jump = jump.join(second, "to").select("id", F.col("_to").alias("to")).checkpoint()
+        taken = taken.unionByName(jump.join(taken, "_at", "left_semi").select(F.col("to").alias("_at"))).distinct().checkpoint()
+        second = jump.select(F.col("_at").alias("to"), F.col("to").alias("_to"))
+        jump = jump.join(second, "to").select("_at", F.col("_to").alias("to")).checkpoint()
 
-    passed = covered.join(taken, "id", "left_anti")
-    kept = ids.join(passed, "id", "left_anti").join(match, "id", "left")
+    passed = covered.join(taken, "_at", "left_anti")
+    kept = ids.join(passed, "_at", "left_anti").join(match, "_at", "left")
     kept = kept.withColumn("end", F.coalesce("_m.until", "end"))
     made = F.coalesce("_m.made", F.array("label"))
     return _pieces(kept, made, share).select(*rows.columns, "piece")

@@ -57,36 +57,50 @@ def confusions(pairs: DataFrame) -> DataFrame:
 def align(reference: list[tuple], hypothesis: list[tuple], gap: float = 5.0) -> list[tuple[int | None, int | None]]:
     """Least-cost alignment of two interval lists (begin, end, label), as index pairs.
 
-    A match costs the boundary differences and two for different labels; a gap costs ``gap``. The table is
-    filled a row at a time.
+    A match costs the boundary differences and two for different labels; a gap costs ``gap``. A match that costs more than two gaps is never
+    taken, so an interval meets only those that begin within two gaps of it: memory and time grow with these pairs, not with the product of the lengths. Both lists
+    are sorted first if they aren't; the pairs hold places in the given lists.
     """
-    n, m = len(reference), len(hypothesis)
-    steps = gap * np.arange(m + 1)
-    cost = np.empty((n + 1, m + 1))
-    cost[0] = steps
-    match = np.zeros((n, m))
-    if n and m:
-        times = lambda side, k: np.array([float(x[k]) for x in side])
-        labels = [np.array([hash(x[2]) for x in side]) for side in (reference, hypothesis)]
-        match = 2.0 * (labels[0][:, None] != labels[1][None, :])
-        for k in (0, 1):
-            match += np.abs(times(reference, k)[:, None] - times(hypothesis, k)[None, :])
-    for i in range(1, n + 1):
-        now = cost[i - 1] + gap
-        now[1:] = np.minimum(now[1:], cost[i - 1, :-1] + match[i - 1])
-        cost[i] = np.minimum.accumulate(now - steps) + steps  # gaps run along the row
-    out, i, j = [], n, m
-    tiny = 1e-9 * (1.0 + abs(cost[n, m]))
+    orders = [sorted(range(len(side)), key=lambda k, side=side: float(side[k][0])) for side in (reference, hypothesis)]
+    a, b = ([side[k] for k in order] for side, order in zip((reference, hypothesis), orders, strict=True))
+    n, m = len(a), len(b)
+    begins, ends = ([np.array([float(x[k]) for x in side]) for side in (a, b)] for k in (0, 1))
+    labels = [np.array([hash(x[2]) for x in side]) for side in (a, b)]
+    low = np.searchsorted(begins[1], begins[0] - 2 * gap, "left")
+    high = np.searchsorted(begins[1], begins[0] + 2 * gap, "right")
+    # best[j]: what matches among the rows so far and the first j columns save over gaps; beyond ``reach`` it is best[reach]
+    best, reach = np.zeros(m + 1), 0
+    steps: list[np.ndarray] = []
+    for i in range(n):
+        lo, hi = int(low[i]), int(high[i])
+        if hi > reach:
+            best[reach + 1 : hi + 1] = best[reach]
+            reach = hi
+        if lo == hi:
+            steps.append(np.zeros(0, np.uint8))
+            continue
+        cost = np.abs(begins[0][i] - begins[1][lo:hi]) + np.abs(ends[0][i] - ends[1][lo:hi]) + 2.0 * (labels[0][i] != labels[1][lo:hi])
+        matched = best[lo:hi] + cost - 2 * gap
+        now = np.minimum(best[lo + 1 : hi + 1], matched)
+        along = np.minimum.accumulate(np.concatenate([[best[lo]], now]))[1:]
+        tiny = 1e-9 * (1.0 + np.abs(along))
+        # 1: this match, 2: as without this row, 3: as without this column
+        steps.append(np.where(np.abs(matched - along) <= tiny, 1, np.where(np.abs(best[lo + 1 : hi + 1] - along) <= tiny, 2, 3)).astype(np.uint8))
+        best[lo + 1 : hi + 1] = along
+    out: list[tuple[int | None, int | None]] = []
+    i, j = n, m
     while i or j:
-        if i and j and abs(cost[i, j] - cost[i - 1, j - 1] - match[i - 1, j - 1]) <= tiny:
+        lo, hi = (int(low[i - 1]), int(high[i - 1])) if i else (0, 0)
+        step = 2 if i and j <= lo else 3 if not i or j > hi else steps[i - 1][j - 1 - lo]
+        if step == 1:
             i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and abs(cost[i, j] - cost[i - 1, j] - gap) <= tiny:
+            out.append((orders[0][i], orders[1][j]))
+        elif step == 2:
             i -= 1
-            out.append((i, None))
+            out.append((orders[0][i], None))
         else:
             j -= 1
-            out.append((None, j))
+            out.append((None, orders[1][j]))
     return out[::-1]
 
 

@@ -50,8 +50,8 @@ def balance(counts: DataFrame, key: str, jobs: int, most: int = 100_000) -> Data
     if len(out) < most:
         return made
     rest = counts.join(F.broadcast(made.select(key)), key, "left_anti")  # ``most`` names
-    ids = dense_ids(rest.withColumn("_down", -F.col("n")), "_down", key)
-    turn = F.col("id") % (2 * jobs)
+    ids = dense_ids(rest.withColumn("_down", -F.col("n")), "_down", key, name="_place")
+    turn = F.col("_place") % (2 * jobs)
     seats = F.array(*(F.lit(k) for k in sorted(range(jobs), key=loads.__getitem__)))  # the least loaded comes first
     job = F.get(seats, F.when(turn < jobs, turn).otherwise(2 * jobs - 1 - turn).cast("int"))
     return made.unionByName(ids.select(key, F.col("n").cast("long").alias("n"), job.alias("job")))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import checkpoint_folder
-from .corpus import dense_ids
+from .corpus import dense_ids, ranks_within
 from .sampling import allocate_quota
 
 # fixed values: sizes of the training stages, the last one without a limit
@@ -49,8 +48,8 @@ def split_ignored(rows: DataFrame, oovs: str) -> tuple[DataFrame, DataFrame]:
 
 def page(rows: DataFrame, size: int, number: int, *order: str) -> DataFrame:
     """The rows of one page (from 0) in order; ranks are made once over range partitions, not by skipping rows."""
-    ids = dense_ids(rows, *order)
-    return ids.where(F.floor(F.col("id") / size) == number).drop("id")
+    ids = dense_ids(rows, *order, name="_place")
+    return ids.where(F.floor(F.col("_place") / size) == number).drop("_place")
 
 
 def shuffled(id: str) -> Column:
@@ -80,10 +79,9 @@ def training_subset(
 ) -> DataFrame:
     """A training subset: quotas by dictionary, two-stage samples within each, small speakers out, filled up again."""
     quota = F.broadcast(allocate_quota(rows.groupBy(dictionary).agg(F.count("*").alias("n")), dictionary, n))  # a row a dictionary
-    first = Window.partitionBy(dictionary).orderBy(F.desc(manual), duration, id)
-    pool = rows.withColumn("_k", F.row_number().over(first)).join(quota, dictionary).where(F.col("_k") <= 10 * F.col("quota"))
-    second = Window.partitionBy(dictionary).orderBy(F.desc(manual), shuffled(id), id)
-    chosen = pool.withColumn("_k", F.row_number().over(second)).where(F.col("_k") <= F.col("quota")).select(*rows.columns)
+    by_hand = -F.coalesce(F.col(manual).cast("int"), F.lit(-1))
+    pool = ranks_within(rows, dictionary, by_hand, F.col(duration), F.col(id), name="_k").join(quota, dictionary).where(F.col("_k") < 10 * F.col("quota"))
+    chosen = ranks_within(pool.drop("_k"), dictionary, by_hand, shuffled(id), F.col(id), name="_k").where(F.col("_k") < F.col("quota")).select(*rows.columns)
     return drop_small_speakers(chosen, rows, speaker, id, [F.desc(manual), F.col(duration), F.col(id)], least)
 
 

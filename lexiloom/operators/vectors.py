@@ -113,17 +113,17 @@ def best_match(rows: DataFrame, vector: str, entries: DataFrame, key: str, score
     """
     spark = rows.sparkSession
     checkpoint_folder(spark)
-    table = dense_ids(entries.where(F.col(key).isNotNull()), key)
+    table = dense_ids(entries.where(F.col(key).isNotNull()), key, name="_place")
     n = table.count()
     out = rows.withColumn("_best", F.lit(None).cast("struct<k: bigint, s: double>"))
     for low in range(0, n, most):
-        block = table.where((F.col("id") >= low) & (F.col("id") < low + most)).toPandas().sort_values("id").reset_index(drop=True)
+        block = table.where((F.col("_place") >= low) & (F.col("_place") < low + most)).toPandas().sort_values("_place").reset_index(drop=True)
         shared = spark.sparkContext.broadcast(block)
         out = out.withColumn("_best", _better(shared, low, score)(F.col(vector), F.col("_best")))
         if n > most:
             out = out.checkpoint()
             shared.unpersist()
-    names = table.select(F.col("id").alias("_id"), F.col(key).alias("predicted"))
+    names = table.select(F.col("_place").alias("_id"), F.col(key).alias("predicted"))
     out = out.withColumns({"_id": F.col("_best.k"), "score": F.nanvl("_best.s", F.lit(None).cast("double"))}).drop("_best")
     return out.join(F.broadcast(names) if n <= most else names, "_id", "left").select(*rows.columns, "predicted", "score")
 
@@ -219,10 +219,10 @@ def drawn_vectors(rows: DataFrame, vector: str, key: str, id: str, partners: int
     whole label with itself or another is made. Rows without a label or a vector take no part.
     """
     own = ranked(rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, id, vector), [key], [id])
-    sizes = dense_ids(own.groupBy(key).agg(F.count("*").alias("_size")), key)
+    sizes = dense_ids(own.groupBy(key).agg(F.count("*").alias("_size")), key, name="_place")
     labels = sizes.agg(F.count("*").alias("_labels"))
-    following = sizes.crossJoin(F.broadcast(labels)).withColumn("_after", F.pmod(F.col("id") + 1, F.col("_labels")))  # one row
-    other = sizes.select(F.col("id").alias("_after"), F.col(key).alias("_next"), F.col("_size").alias("_other"))
+    following = sizes.crossJoin(F.broadcast(labels)).withColumn("_after", F.pmod(F.col("_place") + 1, F.col("_labels")))  # one row
+    other = sizes.select(F.col("_place").alias("_after"), F.col(key).alias("_next"), F.col("_size").alias("_other"))
     sizes = following.join(other, "_after").select(key, "_size", "_next", "_other")
     asked = own.join(sizes, key).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(partners))))
     asked = asked.withColumn("_m", F.explode(F.array(F.lit(True), F.lit(False)))).where(F.when(F.col("_m"), F.col("_j") < F.col("_size")).otherwise(F.col("_next") != F.col(key)))
@@ -269,11 +269,11 @@ def equal_error_rate(pairs: DataFrame, parts: int = 1024) -> DataFrame:
 
 def knee(distances: DataFrame, distance: str, id: str) -> DataFrame:
     """rank, distance of the sorted curve's knee: the point furthest below the chord from its first to its last point."""
-    curve = dense_ids(distances.select(distance, id), distance, id)
-    ends = curve.agg(F.min(distance).alias("_lo"), F.max(distance).alias("_hi"), F.max("id").alias("_n"))
+    curve = dense_ids(distances.select(distance, id), distance, id, name="_place")
+    ends = curve.agg(F.min(distance).alias("_lo"), F.max(distance).alias("_hi"), F.max("_place").alias("_n"))
     rows = curve.crossJoin(F.broadcast(ends))  # one row
-    below = F.col("id") / F.nullif(F.col("_n"), F.lit(0)) - (F.col(distance) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    best = F.max_by(F.struct(F.col("id").alias("rank"), distance), F.struct(below, -F.col("id"))).alias("b")
+    below = F.col("_place") / F.nullif(F.col("_n"), F.lit(0)) - (F.col(distance) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    best = F.max_by(F.struct(F.col("_place").alias("rank"), distance), F.struct(below, -F.col("_place"))).alias("b")
     return rows.agg(best).select("b.rank", F.col(f"b.{distance}").alias("distance"))
 
 
@@ -509,7 +509,7 @@ def split_large(rows: DataFrame, vector: str, key: str, most: int = 500, chunk:
     """
     checkpoint_folder(rows.sparkSession)
     sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    large = dense_ids(sizes.where(F.col("_n") > most), key)
+    large = dense_ids(sizes.where(F.col("_n") > most), key, name="_place")
     top = sizes.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
     kind = rows.schema[key].dataType.simpleString()
     unit = rows.withColumn("_u", scale_to_length(F.col(vector)))
@@ -532,8 +532,8 @@ def split_large(rows: DataFrame, vector: str, key: str, most: int = 500, chunk:
     parts = dealt.groupBy(key, "_c").applyInArrow(sums, f"`{key}` {kind}, i int, v double")
     whole = parts.groupBy(key, "i").agg(F.sum("v").alias("v"))
     cuts = whole.groupBy(key).applyInArrow(axis, f"`{key}` {kind}, _axis array<double>, _at double")
-    cuts = cuts.join(large.select(key, "id"), key).crossJoin(F.broadcast(top))  # one row
-    cuts = cuts.select(key, "_axis", "_at", (F.col("_top") + F.col("id") + 1).alias("_new")).checkpoint()
+    cuts = cuts.join(large.select(key, "_place"), key).crossJoin(F.broadcast(top))  # one row
+    cuts = cuts.select(key, "_axis", "_at", (F.col("_top") + F.col("_place") + 1).alias("_new")).checkpoint()
     along = F.aggregate(F.zip_with("_u", "_axis", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     split = unit.join(cuts, key, "left").withColumn(key, F.when(along > F.col("_at"), F.col("_new").cast(kind)).otherwise(F.col(key)))
     return split.select(*rows.columns)

@@ -46,3 +46,10 @@ _BREAKS_SQL = BREAKS.replace("'", "''")
 def tokens_sql(column: str = "text") -> str:
     """DuckDB: the list that functions.text.tokens gives."""
     return f"list_filter(string_split_regex(lower(coalesce({column}, '')), '{_BREAKS_SQL}'), lambda x: x <> '')"
+
+
+def one_byte_sql(column: str) -> str:
+    """DuckDB: lower-case text with the letters of Latin-1 and oe as bytes that it doesn't have, as levenshtein() compares bytes."""
+    letters = "".join(map(chr, range(0xDF, 0x100))) + "œ"
+    spare = " || ".join(f"chr({k})" for k in [*range(65, 91), *range(1, 9)])
+    return f"translate({column}, '{letters}', {spare})"

@@ -109,9 +109,10 @@ def validated_dictionary(t):
     return dictionary.validated(given, given.select("word", F.array_join(letters, " ").alias("pronunciation")))
 
 
-@query("SELECT count(*) FILTER (event_type[1] = 'f') AS n_female, count(*) FILTER (event_type[1] = 'm') AS n_male, count(*) FILTER (event_type[1] NOT IN ('f', 'm')) AS n_unspecified FROM events")
+@query("SELECT count(*) FILTER (c_mktsegment[1] = 'F') AS n_female, count(*) FILTER (c_mktsegment[1] = 'M') AS n_male, count(*) FILTER (c_mktsegment IS NULL OR c_mktsegment[1] NOT IN ('F', 'M')) AS n_unspecified FROM customer")
 def sex_counts(t):
-    return dictionary.sex_counts(t.events, "event_type")
+    """Speakers by the first letter of a field (here: customers by segment, of which some begin with f and m)."""
+    return dictionary.sex_counts(t.customer, "c_mktsegment")
 
 
 @query(f"WITH c AS (SELECT word, sum(n) AS n FROM ({_COUNTS}) GROUP BY word) SELECT CAST(coalesce(sum(n) FILTER (word IN ({_WORDS})), 0) AS BIGINT) AS n_speech, CAST(coalesce(sum(n) FILTER (word NOT IN ({_WORDS})), 0) AS BIGINT) AS n_oov, CAST(0 AS BIGINT) AS n_bracketed FROM c")

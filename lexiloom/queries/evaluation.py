@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
-from ..operators import intervals, metrics
+from ..operators import corpus, intervals, metrics
 from ..operators import language_model as lm
 from ..operators import vectors as v
 from ..sinks import files as sinks
@@ -81,10 +84,10 @@ def gap_fill_edges(t):
     return intervals.fill_gaps(rows, ["user_id"], edges=edges)
 
 
-@query(f"SELECT doc_id, j - 1 AS place, a[j] AS label, (j - 1) * n_chars // len(a) AS first, j * n_chars // len(a) - 1 AS last FROM (SELECT doc_id, n_chars, a, unnest(range(1, len(a) + 1)) AS j FROM (SELECT doc_id, n_chars, {_T} AS a FROM documents WHERE doc_id % 20 = 0))")
+@query(f"SELECT doc_id, j - 1 AS place, a[j] AS label, (j - 1) * n_chars // len(a) AS first, j * n_chars // len(a) - 1 AS last FROM (SELECT doc_id, n_chars, a, unnest(range(1, len(a) + 1)) AS j FROM (SELECT doc_id, n_chars, {_T} AS a FROM documents))")
 def equal_alignment(t):
-    """Characters as frames dealt evenly over the words: every row whose id is divisible by 20."""
-    rows = t.documents.where("doc_id % 20 = 0").select("doc_id", "n_chars", _text().alias("words"))
+    """Characters as frames dealt evenly over the words."""
+    rows = t.documents.select("doc_id", "n_chars", _text().alias("words"))
     out = intervals.equal_alignment(rows, "n_chars", "words")
     return out.select("doc_id", F.col("place").cast("long").alias("place"), "label", "first", "last")
 
@@ -211,16 +214,16 @@ def export_forms(t):
     return sinks.export_forms(rows).join(sizes, "file").select(F.col("file").alias("conv_id"), "n", "form")
 
 
-@query("SELECT 'spk2utt' AS name, count(DISTINCT source) AS n FROM documents UNION ALL SELECT unnest(['utt2spk', 'text', 'segments']), (SELECT count(*) FROM documents)")
+@query(
+    "SELECT 'utt2spk' AS name, concat_ws(' ', doc_id, source) AS line FROM documents UNION ALL SELECT 'text', concat_ws(' ', doc_id, coalesce(text, '')) FROM documents "
+    "UNION ALL SELECT 'segments', concat_ws(' ', doc_id, lang, '0.0000', printf('%.4f', n_chars::DOUBLE)) FROM documents "
+    "UNION ALL SELECT 'spk2utt', concat_ws(' ', source, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id::VARCHAR)) FROM documents GROUP BY source"
+)
 def job_split_files(t):
-    """Lines of the table files of a job split."""
+    """All lines of the table files of a job split."""
     rows = t.documents.select(F.col("doc_id").alias("utterance"), F.col("source").alias("speaker"), F.col("lang").alias("file"), F.lit(0).alias("begin"), F.col("n_chars").alias("end"), "text")
-    files = sinks.split_lines(rows)
-    out = None
-    for name, lines in files.items():
-        one = lines.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    files = [lines.select(F.lit(name).alias("name"), "line") for name, lines in sinks.split_lines(rows).items()]
+    return reduce(DataFrame.unionByName, files)
 
 
 @query(
@@ -229,14 +232,14 @@ def job_split_files(t):
 )
 def oov_report(t):
     """Words out of vocabulary by dictionary, the most frequent first."""
-    from ..operators import corpus
-
     words = t.benchmark.select(F.explode(_text()).alias("word"))
     counts = corpus.out_of_vocabulary(corpus.word_counts(t.documents, _text(), "lang"), words)
     return sinks.oov_report(counts.withColumnRenamed("lang", "dictionary"))
 
 
-@query("SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS word FROM documents WHERE doc_id % 20 = 0")
+@query(f"SELECT doc_id, word FROM (SELECT doc_id, unnest({_T}) AS word FROM documents) WHERE word NOT IN (SELECT unnest({_T}) FROM benchmark)")
 def oov_utterances(t):
-    """One row a word out of vocabulary of an utterance: every row whose id is divisible by 20."""
-    return sinks.oov_utterances(t.documents.where("doc_id % 20 = 0"), "text", "doc_id")
+    """One row a word out of vocabulary (here: of the benchmark's words) of an utterance."""
+    vocabulary = t.benchmark.select(F.explode(_text()).alias("word"))
+    marked = corpus.with_unknown_words(t.documents.select("doc_id", "text"), _text(), vocabulary, "doc_id")
+    return sinks.oov_utterances(marked, "oovs", "doc_id")

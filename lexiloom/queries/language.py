@@ -11,7 +11,7 @@ from ..functions.text import tokens
 from ..operators import language_model as lm
 from ..operators import lexicon, metrics
 from ..operators import ngram_model as ngm
-from .base import query, tokens_sql
+from .base import one_byte_sql, query, tokens_sql
 
 _T = tokens_sql()
 
@@ -261,17 +261,13 @@ def word_error_rate(t):
     return rows.select("conv_id", "turn", "word_edits", "n_words", "char_edits", "n_chars")
 
 
-
-
 @query(
     f"WITH w AS (SELECT conv_id, turn, array_to_string({_T}, '') AS g, coalesce(lead(array_to_string({_T}, '')) OVER (PARTITION BY conv_id ORDER BY turn), '') AS h FROM conversations) "
-    "SELECT conv_id, turn, levenshtein(g, h) AS char_edits, length(g) AS n_chars FROM w WHERE strlen(g) = length(g) AND strlen(h) = length(h)"
+    f"SELECT conv_id, turn, levenshtein({one_byte_sql('g')}, {one_byte_sql('h')}) AS char_edits, length(g) AS n_chars FROM w"
 )
 def char_error_rate(t):
-    """Character edits of each turn against the next as its hypothesis; turns of ASCII letters, which SQL compares by characters."""
-    rows = metrics.error_counts(_turn_pairs(t), "gold", "hyp")
-    plain = lambda c: ~F.array_join(c, "").rlike("[^\\x00-\\x7f]")
-    return rows.where(plain("gold") & plain("hyp")).select("conv_id", "turn", "char_edits", "n_chars")
+    """Character edits of each turn against the next as its hypothesis."""
+    return metrics.error_counts(_turn_pairs(t), "gold", "hyp").select("conv_id", "turn", "char_edits", "n_chars")
 
 
 @query()

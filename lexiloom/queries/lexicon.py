@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import corpus, g2p, intervals, lexicon, vectors
 from ..operators import language_model as lm
-from .base import query, tokens_sql
+from .base import one_byte_sql, query, tokens_sql
 from .intervals import _SPANS, _spans
 
 _T = tokens_sql()
@@ -175,13 +175,13 @@ def merged_label_runs(t):
 
 
 @query(
-    f"WITH w AS (SELECT word, replace(word, 'th', 'z') AS h1, regexp_replace(word, 'e$', '') AS h2 FROM ({_COUNTS}) WHERE strlen(word) = length(word)), "
-    "s AS (SELECT least(levenshtein(word, h1), levenshtein(word, h2)) AS e, length(word) AS n FROM w) "
+    f"WITH w AS (SELECT word, replace(word, 'th', 'z') AS h1, regexp_replace(word, 'e$', '') AS h2 FROM ({_COUNTS})), "
+    f"s AS (SELECT least(levenshtein({one_byte_sql('word')}, {one_byte_sql('h1')}), levenshtein({one_byte_sql('word')}, {one_byte_sql('h2')})) AS e, length(word) AS n FROM w) "
     "SELECT count(*) AS n_words, round(count(*) FILTER (e > 0) / count(*), 9) AS wer, round(sum(e) / sum(n), 9) AS ler FROM s"
 )
 def g2p_letter_errors(t):
-    """Word and letter error rates of two generated pronunciations a word against the given one (ASCII words, letters as phones)."""
-    words = corpus.word_counts(t.documents, _text()).where(~F.col("word").rlike("[^\\x00-\\x7f]"))
+    """Word and letter error rates of two generated pronunciations a word against the given one (letters as phones)."""
+    words = corpus.word_counts(t.documents, _text())
     spaced = lambda w: F.array_join(F.filter(F.split(w, ""), lambda x: x != ""), " ")
     made = F.array(spaced(F.replace("word", F.lit("th"), F.lit("z"))), spaced(F.regexp_replace("word", "e$", "")))
     out = g2p.evaluation(words.select("word", made.alias("hypotheses"), F.array(spaced(F.col("word"))).alias("gold")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import escape_scp
+from ..operators.corpus import ranks_within
 from ..operators.lexicon import lexicon_lines
 
 
@@ -208,8 +209,8 @@ def load_intervals(rows: DataFrame, path: str) -> None:
 
 def oov_report(counts: DataFrame) -> DataFrame:
     """dictionary, line of words out of vocabulary with their counts (dictionary, word, n), the most frequent first."""
-    rank = F.row_number().over(Window.partitionBy("dictionary").orderBy(F.desc("n"), "word"))
-    return counts.select("dictionary", rank.cast("long").alias("place"), F.concat_ws("\t", "word", F.col("n").cast("string")).alias("line"))
+    ranked = ranks_within(counts, "dictionary", -F.col("n"), F.col("word"))
+    return ranked.select("dictionary", (F.col("rank") + 1).alias("place"), F.concat_ws("\t", "word", F.col("n").cast("string")).alias("line"))
 
 
 def oov_utterances(utterances: DataFrame, oovs: str, *keep: str) -> DataFrame:
