@@ -153,3 +153,25 @@ def with_unknown_words(rows: DataFrame, words: Column, vocabulary: DataFrame, id
     unknown = flat.join(vocabulary.select("word").distinct(), "word", "left_anti")
     listed = unknown.groupBy(id).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias(name))
     return rows.join(listed, id, "left").withColumn(name, F.coalesce(name, F.lit("")))
+
+
+def replace_by_segments(utterances: DataFrame, segments: DataFrame, id: str, order: str) -> DataFrame:
+    """utterances of which those with segments are gone and their segments stand instead, with ids after the largest one.
+
+    segments: id (of the utterance), order and whatever columns of the utterances they change; other columns are the utterance's. New ids rise with id and order.
+    """
+    numbered = dense_ids(segments, id, order, name="_new")
+    top = utterances.agg(F.coalesce(F.max(id), F.lit(-1)).cast("long").alias("_top"))
+    changed = [c for c in segments.columns if c not in (id, order)]
+    old = utterances.drop(*changed)
+    made = numbered.join(old, id).crossJoin(F.broadcast(top)).withColumn(id, F.col("_top") + 1 + F.col("_new"))  # one row
+    kept = utterances.join(segments.select(id).distinct(), id, "left_anti")
+    return kept.unionByName(made.select(*utterances.columns))
+
+
+def rename_speakers(utterances: DataFrame, names: DataFrame, speaker: str, file: str, unknown: Column) -> DataFrame:
+    """utterances with other speakers: those of ``names`` (speaker, new), and where ``unknown`` holds one speaker a file, ``<file>_unknown``. Others stay."""
+    renamed = utterances.join(names.select(F.col("speaker").alias(speaker), "new"), speaker, "left")
+    own = F.concat(F.col(file).cast("string"), F.lit("_unknown"))
+    made = F.when(F.coalesce(unknown, F.lit(False)), own).otherwise(F.coalesce("new", speaker))
+    return renamed.withColumn(speaker, made).select(*utterances.columns)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.edit import token_edits
 from ..functions.text import is_bracketed, simple_words
+from ..session import checkpoint_folder
 from .corpus import dense_ids
 
 # fixed values: words and phones that every dictionary has
@@ -153,24 +154,57 @@ def bracketed_types(counts: DataFrame) -> DataFrame:
 
 
 #: Endings that make a word of another, with what they may have replaced.
-_ENDINGS = (("ability", ("able",)), ("ably", ("able",)), ("ness", ("",)), ("less", ("",)), ("able", ("", "e")), ("ing", ("", "e")), ("ly", ("", "le")), ("ed", ("", "e")), ("es", ("", "e")), ("s", ("",)))
-_BEGINNINGS = ("non", "un", "re", "pre", "anti", "multi", "under", "over", "super", "semi")
-
-
-def split_affixes(word: str, vocabulary: frozenset[str]) -> list[str]:
-    """A word outside the vocabulary as known stem and affixes (``+ing``, ``un+``); itself where no split is known."""
-    if word in vocabulary:
-        return [word]
-    for ending, olds in _ENDINGS:
-        stem = word.removesuffix(ending)
-        if stem != word and len(stem) > 1:
-            doubled = [stem[:-1]] if len(stem) > 2 and stem[-1] == stem[-2] else []
-            undone = [stem[:-1] + "y"] if stem.endswith("i") else []
-            for base in [*(stem + old for old in olds), *doubled, *undone]:
-                if base in vocabulary:
-                    return [base, f"+{ending}"]
-    for beginning in _BEGINNINGS:
-        rest = word.removeprefix(beginning).removeprefix("-")
-        if rest != word and (parts := split_affixes(rest, vocabulary))[0] in vocabulary:
-            return [f"{beginning}+", *parts]
-    return [word]
+ENDINGS = (("ability", ("able",)), ("ably", ("able",)), ("ness", ("",)), ("less", ("",)), ("able", ("", "e")), ("ing", ("", "e")), ("ly", ("", "le")), ("ed", ("", "e")), ("es", ("", "e")), ("s", ("",)))
+BEGINNINGS = ("non", "un", "re", "pre", "anti", "multi", "under", "over", "super", "semi")
+
+
+def _stems(word: Column) -> Column:
+    """Array of (rank, base, parts) of a word: itself, and each stem that one of ENDINGS leaves, in order of preference."""
+    entry = lambda fits, rank, base, parts: F.when(fits, F.struct(F.lit(rank).alias("rank"), base.alias("base"), parts.alias("parts")))
+    found, rank = [entry(F.lit(True), 0, word, F.array(word))], 0
+    for ending, olds in ENDINGS:
+        n = F.length(word) - len(ending)
+        stem = F.substring(word, F.lit(1), n)
+        fits = F.endswith(word, F.lit(ending)) & (n > 1)
+        shorter = F.substring(word, F.lit(1), n - 1)
+        options = [(fits, F.concat(stem, F.lit(old))) for old in olds]
+        options.append((fits & (n > 2) & (F.substring(word, n, F.lit(1)) == F.substring(word, n - 1, F.lit(1))), shorter))  # a doubled letter
+        options.append((fits & F.endswith(stem, F.lit("i")), F.concat(shorter, F.lit("y"))))
+        for condition, base in options:
+            rank += 1
+            found.append(entry(condition, rank, base, F.array(base, F.lit(f"+{ending}"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def _known_stems(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """word, parts of the words of which some stem is in the vocabulary; the first in order of preference."""
+    flat = words.select("word", F.inline(_stems(F.col("word"))))
+    known = flat.join(vocabulary.select(F.col("word").alias("base")).distinct(), "base", "left_semi")
+    return known.groupBy("word").agg(F.min_by("parts", "rank").alias("parts"))
+
+
+def split_affixes(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """word, parts of every different word: known words as they are, others as a known stem and its affixes (``walk +ing``, ``un+ do``).
+
+    Endings come before beginnings, both in the order of their tables; several beginnings may stand before a stem. Where no split is known the word is its own part. Candidates meet
+    the vocabulary (column word) in a join, so it may be of any size. There is one round for each beginning that words stack up.
+    """
+    checkpoint_folder(words.sparkSession)
+    open_ = words.where("word IS NOT NULL").select("word").distinct().withColumns({"_rest": F.col("word"), "_path": F.array().cast("array<int>"), "_front": F.array().cast("array<string>")}).checkpoint()
+    all_words, done = open_.select("word"), None
+    while not open_.isEmpty():
+        stems = _known_stems(open_.select(F.col("_rest").alias("word")).distinct(), vocabulary).withColumnRenamed("word", "_rest")
+        joined = open_.join(stems, "_rest", "left").checkpoint()
+        found = joined.where("parts IS NOT NULL").select("word", "_path", F.concat("_front", "parts").alias("parts"))
+        done = found if done is None else done.unionByName(found)
+        cut = [
+            F.when(F.startswith(F.col("_rest"), F.lit(b)), F.struct(F.lit(k).alias("k"), F.lit(f"{b}+").alias("b"), F.regexp_replace(F.substring("_rest", F.lit(len(b) + 1), F.length("_rest")), "^-", "").alias("r")))
+            for k, b in enumerate(BEGINNINGS)
+        ]
+        fresh = joined.where("parts IS NULL").select("word", "_path", "_front", F.inline(F.filter(F.array(*cut), lambda x: x.isNotNull())))
+        fresh = fresh.where("r <> ''").select("word", F.col("r").alias("_rest"), F.array_append("_path", F.col("k")).alias("_path"), F.array_append("_front", F.col("b")).alias("_front"))
+        open_ = fresh.checkpoint()
+    if done is None:
+        return all_words.select("word", F.array("word").alias("parts"))
+    best = done.groupBy("word").agg(F.min_by("parts", "_path").alias("parts"))
+    return all_words.join(best, "word", "left").select("word", F.coalesce("parts", F.array("word")).alias("parts"))

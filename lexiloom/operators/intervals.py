@@ -49,6 +49,22 @@ def runs(rows: DataFrame, key: Sequence[str], order: Sequence[str], flag: Column
     )
 
 
+def utterance_quality(rows: DataFrame, key: str, label: str, order: Sequence[str], duration: str, power: str, silence: Column, goodness: str, shortest: float) -> DataFrame:
+    """key, n, mean_goodness, duration_deviation, power_deviation, snr, longest_short_run of each utterance's intervals.
+
+    The deviations are the largest distances of an interval's log duration and log power from the means of its label over all rows, in standard deviations. snr: decibels of the
+    mean power outside silence over that of silence (without silence: over the least power). The run is the longest row of intervals shorter than ``shortest``. Intervals without a
+    positive duration (power) count for no deviation.
+    """
+    worst = lambda column, name: zscores(rows, label, F.col(column)).groupBy(key).agg(F.max(F.abs("z")).alias(name))
+    speech = F.avg(F.when(~silence, F.col(power)))
+    noise = F.coalesce(F.avg(F.when(silence, F.col(power))), F.min(power))
+    sums = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(goodness).alias("mean_goodness"), (decibel(speech) - decibel(noise)).alias("snr"))
+    short = runs(rows, [key], order, F.col(duration) < shortest).groupBy(key).agg(F.max("n").alias("longest_short_run"))
+    out = sums.join(worst(duration, "duration_deviation"), key, "left").join(worst(power, "power_deviation"), key, "left").join(short, key, "left")
+    return out.withColumn("longest_short_run", F.coalesce("longest_short_run", F.lit(0).cast("long")))
+
+
 def hysteresis(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, on: float, off: float) -> DataFrame:
     """Runs of rows that are active: a value above ``on`` activates, one below ``off`` ends it."""
     w = Window.partitionBy(*key).orderBy(*order)

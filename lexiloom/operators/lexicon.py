@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import correction, probability
 from ..session import checkpoint_folder
+from .corpus import dense_ids
 
 FIELDS = ("probability", "silence_after", "silence_before_correction", "nonsilence_before_correction")
 
@@ -255,3 +256,21 @@ def collect_alignments(rows: DataFrame, words: str, *key: str) -> tuple[DataFram
     word_rows = w.select(*key, "word_index", F.col("_w.word").alias("word"))
     phones = w.select(*key, "word_index", F.posexplode("_w.phones").alias("phone_index", "phone"))
     return word_rows, phones
+
+
+def numbered_alignments(rows: DataFrame, words: str, vocabulary: DataFrame, *key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word intervals, phone intervals, new words) of nested alignments (see collect_alignments), with ids.
+
+    vocabulary: word, word_id. Words that it lacks are new words with the ids after its largest, in order of the word. Word intervals: id, key, word_index, word_id, from 0 in order of
+    the key and index. Phone intervals: id, word_interval_id, phone_index, phone, numbered likewise. Ids are made in range partitions.
+    """
+    word_rows, phone_rows = collect_alignments(rows, words, *key)
+    unknown = word_rows.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti")
+    top = vocabulary.agg(F.coalesce(F.max("word_id"), F.lit(-1)).cast("long").alias("_top"))
+    new = dense_ids(unknown, "word", name="_n").crossJoin(F.broadcast(top)).select("word", (F.col("_top") + 1 + F.col("_n")).alias("word_id"))  # one row
+    names = vocabulary.select("word", F.col("word_id").cast("long").alias("word_id")).unionByName(new)
+    word_ids = dense_ids(word_rows, *key, "word_index", name="id")
+    phone_ids = dense_ids(phone_rows, *key, "word_index", "phone_index", name="id")
+    owners = word_ids.select(*key, "word_index", F.col("id").alias("word_interval_id"))
+    word_intervals = word_ids.join(names, "word").select("id", *key, "word_index", "word_id")
+    return word_intervals, phone_ids.join(owners, [*key, "word_index"]).select("id", "word_interval_id", "phone_index", "phone"), new

@@ -64,3 +64,10 @@ def ladder(counts: DataFrame, needed: int, steps: Sequence[int]) -> DataFrame:
     for s in reversed(steps[:-1]):
         least = F.when(F.col(f"s{s}") >= needed, F.lit(s)).otherwise(least)
     return counts.crossJoin(sums.select(least.alias("_least"))).where("n >= _least").drop("_least")
+
+
+def speaker_ladder(rows: DataFrame, speaker: str, duration: str, needed: int, steps: Sequence[int] = (30, 15, 5)) -> DataFrame:
+    """speaker, n: how many utterances no longer than the mean of all rows each speaker has, of the speakers of the first step that together has the rows needed (see ladder)."""
+    mean = rows.agg(F.avg(duration).alias("_mean"))
+    short = rows.crossJoin(F.broadcast(mean)).where(F.col(duration) <= F.col("_mean"))  # one row
+    return ladder(short.groupBy(speaker).agg(F.count("*").alias("n")), needed, steps)

@@ -222,13 +222,13 @@ def balanced_jobs(t):
 
 
 @query(
-    "WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), "
+    "WITH s AS (SELECT source, count(*) AS n FROM documents WHERE n_chars <= (SELECT avg(n_chars) FROM documents) GROUP BY source), "
     "k AS (SELECT CASE WHEN sum(n) FILTER (n >= 30) >= 300 THEN 30 WHEN sum(n) FILTER (n >= 15) >= 300 THEN 15 ELSE 5 END AS least FROM s) "
     "SELECT source, n FROM s, k WHERE n >= least"
 )
 def speaker_ladder(t):
-    counts = t.documents.groupBy("source").agg(F.count("*").alias("n"))
-    return sampling.ladder(counts, 300, (30, 15, 5))
+    """Speakers with enough utterances no longer than the mean."""
+    return sampling.speaker_ladder(t.documents, "source", "n_chars", 300)
 
 
 @query("SELECT word, letters FROM (SELECT DISTINCT word, len(word) AS letters FROM (" + _WORDS + ")) WHERE letters > 12")

@@ -148,3 +148,38 @@ def spelled_turns(t):
     """Nested lists as one text: the letters of each word of a turn."""
     letters = F.transform(_text(), lambda w: F.filter(F.split(w, ""), lambda x: x != ""))
     return t.conversations.select("conv_id", "turn", nested_text(letters).alias("spelled"))
+
+
+def _stems_sql() -> str:
+    """A list of (k, base, parts) for the column ``rest``, in the order of operators.dictionary."""
+    out, k = ["{'k': 0, 'base': rest, 'parts': [rest]}"], 0
+    for ending, olds in dictionary.ENDINGS:
+        n = f"(length(rest) - {len(ending)})"
+        fits = f"(suffix(rest, '{ending}') AND {n} > 1)"
+        options = [(fits, f"rest[:{n}] || '{old}'") for old in olds]
+        options += [(f"({fits} AND {n} > 2 AND rest[{n}] = rest[{n} - 1])", f"rest[:{n} - 1]"), (f"({fits} AND rest[{n}] = 'i')", f"rest[:{n} - 1] || 'y'")]
+        for condition, base in options:
+            k += 1
+            out.append(f"{{'k': {k}, 'base': CASE WHEN {condition} THEN {base} END, 'parts': [{base}, '+{ending}']}}")
+    return f"[{', '.join(out)}]"
+
+
+_CUTS_SQL = ", ".join(
+    f"{{'k': {k}, 'b': '{b}+', 'r': CASE WHEN starts_with(rest, '{b}') THEN regexp_replace(rest[{len(b) + 1}:], '^-', '') END}}" for k, b in enumerate(dictionary.BEGINNINGS)
+)
+
+
+@query(
+    f"WITH RECURSIVE w AS (SELECT DISTINCT unnest({_T}) AS word FROM documents), v AS ({_WORDS}), "
+    f"a AS (SELECT word, word AS rest, []::INTEGER[] AS path, []::VARCHAR[] AS front FROM w UNION ALL SELECT word, c.r, list_append(path, c.k), list_append(front, c.b) FROM (SELECT word, path, front, unnest([{_CUTS_SQL}]) AS c FROM a) WHERE c.r <> ''), "
+    f"s AS (SELECT rest, unnest({_stems_sql()}) AS c FROM (SELECT DISTINCT rest FROM a)), "
+    "b AS (SELECT rest, arg_min(c.parts, c.k) AS parts FROM s JOIN v ON v.word = c.base GROUP BY rest), "
+    f"o AS (SELECT * FROM a WHERE len(path) = 0 UNION ALL SELECT word, c.r, list_append(path, c.k), list_append(front, c.b) FROM (SELECT word, path, front, unnest([{_CUTS_SQL}]) AS c FROM o WHERE rest NOT IN (SELECT rest FROM b)) WHERE c.r <> ''), "
+    "f AS (SELECT word, list_concat(front, parts) AS parts, row_number() OVER (PARTITION BY word ORDER BY path) AS k FROM o JOIN b USING (rest)) "
+    "SELECT word, array_to_string(coalesce(f.parts, [word]), ' ') AS parts FROM w LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (word)"
+)
+def affix_tokens(t):
+    """Every word of the documents as a word of the benchmark and its affixes, where there is such a split."""
+    words = t.documents.select(F.explode(_text()).alias("word"))
+    vocabulary = t.benchmark.select(F.explode(_text()).alias("word"))
+    return dictionary.split_affixes(words, vocabulary).select("word", F.array_join("parts", " ").alias("parts"))

@@ -68,6 +68,22 @@ _RUNS = (
 )
 
 
+@query(
+    "WITH s AS (SELECT event_type, avg(ln(value)) AS mean, stddev_samp(ln(value)) AS sd FROM events WHERE value > 0 GROUP BY event_type), "
+    "z AS (SELECT user_id, max(abs((ln(value) - mean) / nullif(sd, 0))) AS w FROM events JOIN s USING (event_type) WHERE value > 0 GROUP BY user_id), "
+    "r AS (SELECT user_id, max(n) AS longest FROM (" + _RUNS.format(rows=f"SELECT *, value < 25 AS state FROM ({_SPANS})") + ") GROUP BY user_id), "
+    "q AS (SELECT user_id, count(*) AS n, avg(CAST(json_extract(props, '$.k') AS DOUBLE)) AS g, 10 * log10(greatest(avg(value) FILTER (event_type <> 'error'), 2.220446049250313e-16)) "
+    "- 10 * log10(greatest(coalesce(avg(value) FILTER (event_type = 'error'), min(value)), 2.220446049250313e-16)) AS snr FROM events GROUP BY user_id) "
+    "SELECT user_id, n, round(g, 6) AS mean_goodness, round(snr, 5) AS snr, round(w, 5) AS duration_deviation, round(w, 5) AS power_deviation, coalesce(longest, 0) AS longest_short_run FROM q LEFT JOIN z USING (user_id) LEFT JOIN r USING (user_id)"
+)
+def utterance_quality_in_full(t):
+    """Goodness, deviations, signal-to-noise ratio and short runs of each utterance (here: a value is both a duration and a power)."""
+    rows = _spans(t).join(t.events.select("event_id", F.get_json_object("props", "$.k").cast("double").alias("goodness")), "event_id")
+    out = iv.utterance_quality(rows, "user_id", "label", ["begin", "event_id"], "value", "value", F.col("label") == "error", "goodness", 25)
+    rounded = {c: F.round(c, 5) for c in ("snr", "duration_deviation", "power_deviation")}
+    return out.withColumns(rounded | {"mean_goodness": F.round("mean_goodness", 6)})
+
+
 @query("SELECT user_id, max(n) AS longest FROM (" + _RUNS.format(rows=f"SELECT *, value < 25 AS state FROM ({_SPANS})") + ") GROUP BY user_id")
 def max_short_run(t):
     runs = iv.runs(_spans(t), ["user_id"], ["begin", "event_id"], F.col("value") < 25)

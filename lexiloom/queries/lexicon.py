@@ -121,16 +121,45 @@ def split_utterances(t):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'unknown-' || lang ELSE coalesce(m.new, source) END AS speaker FROM documents LEFT JOIN (SELECT DISTINCT source, min(source) OVER (PARTITION BY length(source)) AS new FROM documents) m USING (source)"
+    "WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS k FROM l WHERE len(l) > 1) "
+    "SELECT doc_id, source, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s) UNION ALL "
+    "SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY doc_id, k), source, l[k] FROM s"
+)
+def segmented_utterances(t):
+    """Utterances of several segments (here: lines) replaced by these, with new ids."""
+    rows = t.documents.select("doc_id", "source", "text")
+    lines = rows.where(F.size(F.split("text", "\n")) > 1).select("doc_id", F.posexplode(F.split("text", "\n")).alias("segment", "text"))
+    return corpus.replace_by_segments(rows, lines, "doc_id", "segment")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN n_chars < 300 THEN doc_id || '_unknown' ELSE coalesce(m.new, source) END AS speaker FROM documents LEFT JOIN (SELECT DISTINCT source, min(source) OVER (PARTITION BY length(source)) AS new FROM documents) m USING (source)"
 )
 def merged_speakers(t):
-    """Speakers renamed by a mapping; unknown ones become one speaker a file."""
+    """Speakers renamed by a mapping; unknown ones (here: of short texts) become one speaker a file."""
     names = t.documents.groupBy("source").agg(F.count("*").alias("n"))
     first = names.groupBy(F.length("source").alias("l")).agg(F.min("source").alias("new"))
-    mapping = names.join(first, F.length("source") == F.col("l")).select("source", "new")
-    joined = t.documents.join(mapping, "source", "left")
-    unknown = F.concat(F.lit("unknown-"), "lang")
-    return joined.select("doc_id", F.when(F.col("n_chars") < 300, unknown).otherwise(F.coalesce("new", "source")).alias("speaker"))
+    mapping = names.join(first, F.length("source") == F.col("l")).select(F.col("source").alias("speaker"), "new")
+    rows = t.documents.select("doc_id", F.col("source").alias("speaker"), "n_chars")
+    return corpus.rename_speakers(rows, mapping, "speaker", "doc_id", F.col("n_chars") < 300).select("doc_id", "speaker")
+
+
+@query(
+    f"WITH w AS (SELECT conv_id, turn, word_index, word, row_number() OVER (ORDER BY conv_id, turn, word_index) - 1 AS id FROM (SELECT conv_id, turn, a[i] AS word, i - 1 AS word_index FROM (SELECT conv_id, turn, {_T} AS a, unnest(range(1, len({_T}) + 1)) AS i FROM conversations))), "
+    f"v AS (SELECT word, row_number() OVER (ORDER BY encode(word)) - 1 AS word_id FROM (SELECT DISTINCT unnest({_T}) AS word FROM benchmark)), "
+    "n AS (SELECT word, (SELECT max(word_id) FROM v) + row_number() OVER (ORDER BY encode(word)) AS word_id FROM (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM v))), "
+    "x AS (SELECT * FROM v UNION ALL SELECT * FROM n), p AS (SELECT w.id AS owner, word_id, string_split(word, '') AS l FROM w JOIN x USING (word)), "
+    "q AS (SELECT owner, word_id, j, l[j] AS phone FROM (SELECT owner, word_id, l, unnest(range(1, len(l) + 1)) AS j FROM p)) "
+    "SELECT row_number() OVER (ORDER BY owner, j) - 1 AS id, owner AS word_interval_id, word_id, j - 1 AS phone_index, phone FROM q"
+)
+def numbered_alignments(t):
+    """Phone intervals with ids, those of their word intervals and of their words, new words included."""
+    letters = lambda w: F.filter(F.split(w, ""), lambda x: x != "")
+    nested = F.transform(_text(), lambda w: F.struct(w.alias("word"), letters(w).alias("phones")))
+    known = corpus.dense_ids(t.benchmark.select(F.explode(_text()).alias("word")).distinct(), "word", name="word_id")
+    words, phones, _ = lexicon.numbered_alignments(t.conversations.withColumn("nested", nested), "nested", known, "conv_id", "turn")
+    owners = words.select(F.col("id").alias("word_interval_id"), "word_id")
+    return phones.join(owners, "word_interval_id").select("id", "word_interval_id", "word_id", F.col("phone_index").cast("long").alias("phone_index"), "phone")
 
 
 @query(

@@ -83,10 +83,14 @@ def test_exports(spark, tmp_path):
 
 
 def test_dictionaries(spark):
-    words = frozenset(["walk", "hope", "happy", "able", "stop", "do", "terrible"])
-    split = lambda w: dictionary.split_affixes(w, words)
-    assert split("walking") == ["walk", "+ing"] and split("hoping") == ["hope", "+ing"] and split("stopped") == ["stop", "+ed"]
-    assert split("happiness") == ["happy", "+ness"] and split("undo") == ["un+", "do"] and split("xyz") == ["xyz"] and split("walk") == ["walk"]
+    cases = {
+        "walking": "walk +ing", "hoping": "hope +ing", "stopped": "stop +ed", "happiness": "happy +ness", "undo": "un+ do", "xyz": "xyz", "walk": "walk",
+        "reundoes": "re+ un+ do +es", "un-walked": "un+ walk +ed", "understop": "under+ stop", "nonsense": "nonsense", "un": "un", "terribly": "terrible +ly",
+    }
+    words = spark.createDataFrame([(w,) for w in [*cases, "walk", None]], "word string")
+    known = spark.createDataFrame([(w,) for w in ["walk", "hope", "happy", "able", "stop", "do", "terrible"]], "word string")
+    assert {r.word: " ".join(r.parts) for r in dictionary.split_affixes(words, known).collect()} == cases
+    assert dictionary.split_affixes(words.limit(0), known).count() == 0 and dictionary.split_affixes(words, known.limit(0)).where("size(parts) > 1").count() == 0
     rows = spark.createDataFrame([("I walk [noise] qq", ), (None,)], "text string")
     got = dictionary.normalized(rows, "text", frozenset(["i", "walk"])).collect()
     assert got[0].normalized_text == "i walk [bracketed] qq" and got[0].oovs == ["qq"] and got[1].oovs == []
