@@ -134,12 +134,12 @@ def class_statistics(t):
     "WITH e AS (SELECT vec_id, label, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL), "
     "w AS (SELECT vec_id, e.i, x - m AS x FROM e JOIN m USING (label, i)), g AS (SELECT i, avg(x) AS g FROM e GROUP BY i), b AS (SELECT label, m.i, m - g AS x, n FROM m JOIN g USING (i)), "
     "ww AS (SELECT p.i, q.i AS j, avg(p.x * q.x) AS v FROM w p JOIN w q USING (vec_id) GROUP BY ALL), bb AS (SELECT p.i, q.i AS j, sum(p.n * p.x * q.x) / sum(p.n) AS v FROM b p JOIN b q USING (label) GROUP BY ALL) "
-    "SELECT i, j, round(ww.v, 7) AS within, round(bb.v, 7) AS between FROM ww JOIN bb USING (i, j)"
+    "SELECT i, j, round(ww.v, 7) + 0.0::DOUBLE AS within, round(bb.v, 7) + 0.0::DOUBLE AS between FROM ww JOIN bb USING (i, j)"
 )
 def class_scatter(t):
     """Covariance within and between speakers, for every pair of dimensions."""
     s = mixtures.scatter(t.embeddings, "embedding", "label")
-    return s.select("i", "j", F.round("within", 7).alias("within"), F.round("between", 7).alias("between"))
+    return s.select("i", "j", (F.round("within", 7) + F.lit(0.0)).alias("within"), (F.round("between", 7) + F.lit(0.0)).alias("between"))
 
 
 @query()
