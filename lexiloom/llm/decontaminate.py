@@ -325,7 +325,11 @@ def find_leaks(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a leak, with all their columns; ids may repeat or be null."""
+    """The rows of docs without a leak (see find_leaks), with all their columns.
+
+    Ids may repeat or be null: a row is judged by its own text. Null texts count as empty and stay; columns of any name pass through; an empty
+    table on either side leaves docs as they are.
+    """
     key, name = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text_bytes())), unused(docs, "_key")
     leaks = find_leaks(docs, benchmark, key=key, **options).select(F.col("key").alias(name)).distinct()
     return docs.withColumn(name, key).join(leaks, name, "left_anti").select(*docs.columns)

@@ -62,7 +62,11 @@ def groups(docs: DataFrame, heavy_rows: int = 64, summary_items: int = 4096, win
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns: of equal normalised texts the one with the smallest doc_id.
+
+    Null texts count as empty; null ids come last; of rows that share id and text one stays, whichever; columns of any name pass
+    through, an empty table stays empty.
+    """
     # a row is known by its id and text; of rows that share both, the window leaves one
     key, one = unused(docs, "_key"), unused(docs, "_one")
     name = lambda digest: F.concat_ws(":", F.col("doc_id").cast("string"), digest).alias(key)

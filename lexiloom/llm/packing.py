@@ -163,5 +163,9 @@ def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, keep_words: bool = True) -> DataFrame:
-    """Pieces of all documents with their place: the operator as the query and the pipeline use it."""
+    """Pieces of all documents with their place: the operator as the query and the pipeline use it.
+
+    Null texts count as empty (a piece of the end id alone); null ids pass through, repeated rows are packed each; other columns are ignored, an
+    empty table gives an empty result.
+    """
     return pack(pieces(docs, tokenizer_path, end_id, capacity, keep_words), capacity)

@@ -172,7 +172,8 @@ def write_shards(
     about shard_tokens ids (a document stays whole). A shard is one row of a zstd-compressed
     Parquet file: its place (part, shard), its documents with their number of ids, and the matrix.
     Spark's own writer commits the files, so tasks may be lost and repeated. Null text counts as empty;
-    null doc_ids come first; rows with the same doc_id follow each other by the bytes of their texts.
+    null doc_ids come first; rows with the same doc_id follow each other by the bytes of their texts. Other columns are ignored; an
+    empty table writes files without a shard.
     """
     ship_package(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
@@ -261,7 +262,10 @@ def shard_documents(shards: DataFrame) -> DataFrame:
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Writes the documents as shards into the shared folder and describes what the files hold."""
+    """Writes the documents as shards into the shared folder and describes what the files hold: doc_id, start, n_tokens, ids_crc32.
+
+    Nulls, repeated ids, other columns and empty tables: see write_shards; an empty table gives an empty result.
+    """
     path = scratch_path(docs.sparkSession, "wavelet")
     write_shards(docs, path, tokenizer_path, end_id)
     return shard_documents(read_shards(docs.sparkSession, path))
