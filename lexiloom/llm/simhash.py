@@ -191,8 +191,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
 
 
-def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, least: int = 3, most: int = 50_000) -> np.ndarray:
-    """Shingles that are frequent in a sample of the texts, sorted. They serve for the order alone, which may be any."""
+def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, share: float = 1 / 12, least: int = 3, most: int = 400_000) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, sorted. They serve for the order alone, which may be any.
+
+    The sample is a share of the texts, ``sample`` of them at least, so that how often a shingle must occur to be found doesn't grow with the corpus.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +207,7 @@ def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, least:
                     yield pa.RecordBatch.from_arrays([_lists(sets)], names=["hashes"])
                     sets, size = [], 0
 
-    share = min(1.0, sample / max(1, texts.count()))
+    share = min(1.0, max(share, sample / max(1, texts.count())))
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = some.mapInArrow(tidy(listed), "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
     top = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h")
