@@ -191,7 +191,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
 
 
-def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, share: float = 1 / 12, least: int = 3, most: int = 400_000) -> np.ndarray:
+def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, share: float = 1 / 12, least: int = 2, most: int = 400_000) -> np.ndarray:
     """Shingles that are frequent in a sample of the texts, sorted. They serve for the order alone, which may be any.
 
     The sample is a share of the texts, ``sample`` of them at least, so that how often a shingle must occur to be found doesn't grow with the corpus.
