@@ -178,6 +178,15 @@ def set_head(hashes: np.ndarray, common: np.ndarray, part: Fraction) -> np.ndarr
     return hashes[: n + 1 + (-part.numerator * n) // part.denominator]
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set, as a signed long: bits set in over half of its hashes, each counted once."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK_WORDS):
+        block = np.ascontiguousarray(hashes[at : at + BLOCK_WORDS])
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def set_print(hashes: np.ndarray) -> np.ndarray:
     """PRINT_BITS bits as longs; the prints of two sets differ in at most as many bits as the sets in shingles."""
     odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PRINT_BITS) & 1
@@ -214,12 +223,24 @@ def common_shingles(texts: DataFrame, shingle: int, sample: int = 8_000, share:
     return np.sort(top.toPandas()["h"].to_numpy(np.int64, copy=True).view(np.uint64))
 
 
+def simhash_pairs(by_fp: DataFrame, rows: int | None = None) -> DataFrame:
+    """a, b: candidates of fp, rep. Of equal fingerprints the smallest rep with each other one, and of close ones the two smallest."""
+    first = cut(by_fp.groupBy("fp").agg(F.min("rep").alias("first")), rows)
+    same = by_fp.join(first, "fp").where("rep <> first").select("first", "rep")
+    ends = close_pairs(first.select("fp"))
+    near = ends.join(first.select(F.col("fp").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("y")), "v")
+    both = same.toDF("x", "y").unionByName(near.select("x", "y"))
+    return cut(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), rows)
+
+
 def similar_groups(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, light: int = 24, leaders: int = 4
 ) -> DataFrame:
     """doc_id and component_id: groups of documents linked by a Jaccard similarity of word shingles.
 
-    Exact, by prefix filtering: texts with equal shingle sets form a class, and the first of a class is posted
+    Texts with equal shingle sets form a class. The first of each class has a SimHash of its set; those whose fingerprints are equal or meet in the
+    byte-position index with count filtering (``close_pairs``) are candidates, verified like all others. What fingerprints
+    can't guarantee is made up for by an exact prefix filter, for sets that are not yet in one component: the first of a class is posted
     under the shingles of its set's head (``set_head``); two sets at the similarity meet under the
     first shingle that both hold, where their sizes and places allow it. A posting of up to ``light``
     sets gives all its pairs. In a longer one the most central set (largest sum of posting sizes) is paired with
@@ -237,7 +258,7 @@ def similar_groups(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, digests, prints, heads = [], [], [], [], []
+            ids, sizes, digests, fps, prints, heads = [], [], [], [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = shingle_set(x.as_py(), shingle)
                 if i is None or not len(hashes):
@@ -245,14 +266,15 @@ def similar_groups(
                 ids.append(i)
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes))
+                fps.append(set_fingerprint(hashes))
                 prints.append(set_print(hashes))
                 heads.append(set_head(hashes, common.value, part))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prints), _lists(heads)],
-                names=["doc_id", "size", "digest", "print", "head"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), _lists(prints), _lists(heads)],
+                names=["doc_id", "size", "digest", "fp", "print", "head"],
             )
 
-    kinds = "doc_id long, size long, digest binary, print array<long>, head array<long>"
+    kinds = "doc_id long, size long, digest binary, fp long, print array<long>, head array<long>"
     sketches = held(texts.mapInArrow(tidy(sketch), kinds))
     n_sets, n_heads = sketches.agg(F.count("*"), F.coalesce(F.sum(F.size("head")), F.lit(0))).first()
     classes = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -260,10 +282,9 @@ def similar_groups(
     same = cut(same.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")), n_sets)
     index = sketches.join(same.select(F.col("v").alias("doc_id")), "doc_id", "left_anti")
     prints = index.select("doc_id", "size", "print")
+    by_fp = cut(index.select("fp", F.col("doc_id").alias("rep")), n_sets)
     index = index.select(F.col("doc_id").alias("rep"), "size", F.posexplode("head").alias("pos", "key"))
     sizes = cut(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), n_heads)
-    posted = cut(index.join(sizes, "key"), n_heads)
-    n_posted = posted.count()
 
     def possible(most: Column, both: Column) -> Column:
         """Whether sets of ``both`` shingles together may be similar with at most ``most`` in common."""
@@ -310,7 +331,7 @@ def similar_groups(
     def unsettled(links: DataFrame) -> DataFrame:
         """The long postings whose sets are not all in one component; comp, and main: the one most of them are in."""
         roots = connected_components(links).select(F.col("node").alias("rep"), "root")
-        named = cut(long_.join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"), n_posted)
+        named = cut(long_.drop("comp").join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"), n_posted)
         kinds = named.groupBy("key", "comp").count().groupBy("key")
         kinds = kinds.agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("kinds"))
         return cut(named.join(kinds.where("kinds > 1").select("key", "main"), "key"), n_posted)
@@ -322,12 +343,21 @@ def similar_groups(
         found = rows.alias("m").join(best, "key").select("m.*", "t").where(F.col("comp") != F.col("t.comp"))
         return found.alias("m").where(meeting("m", "t")).select(*ordered("m", "t"))
 
+    found = simhash_pairs(by_fp, n_sets)
+    close = verified(found)
+    clean_up(spark)
+    linked = cut(connected_components(close).select(F.col("node").alias("rep"), "root"), n_sets)
+    posted = index.join(sizes, "key").join(linked, "rep", "left")
+    posted = cut(posted.withColumn("comp", F.coalesce("root", "rep")).drop("root"), n_heads)
+    n_posted = posted.count()
     short = posted.where(F.col("n") <= light)
-    pairs = short.alias("a").join(short.alias("b"), "key").where("a.rep < b.rep").where(meeting("a", "b"))
+    pairs = short.alias("a").join(short.alias("b"), "key").where("a.rep < b.rep AND a.comp <> b.comp").where(meeting("a", "b"))
     central = posted.groupBy("rep").agg(F.sum("n").alias("score"))
     long_ = cut(posted.where(F.col("n") > light).join(central, "rep"), n_posted)
-    tested = cut(pairs.select(*ordered("a", "b")).unionByName(led(long_.withColumn("comp", F.col("rep")))).distinct())
-    links = verified(tested)
+    tested = cut(pairs.select(*ordered("a", "b")).unionByName(led(long_)).distinct())
+    tested = cut(tested.join(found, ["a", "b"], "left_anti"))
+    links = close.unionByName(verified(tested))
+    tested = tested.unionByName(found)
     clean_up(spark)
     turn = 1 if not long_.isEmpty() else None
     while turn is not None:

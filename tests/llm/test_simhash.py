@@ -173,3 +173,17 @@ def test_components_of_a_graph(spark, one_task):
     want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
     rows = common.connected_components(spark.createDataFrame([*edges, (None, 3)], "u long, v long"), one_task=one_task).collect()
     assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
+
+
+def test_groups_come_through_the_fingerprints(spark, monkeypatch):
+    """Near copies with close fingerprints are candidates of the SimHash index, and the prefix filter only adds to them."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(400)) for _ in range(12)]
+    texts = dict(enumerate(base)) | {100 + k: x + " end" for k, x in enumerate(base)}
+    prints = {i: simhash.set_fingerprint(simhash.shingle_set(t.encode(), 5)) for i, t in texts.items()}
+    close = {(i, j) for i, j in combinations(sorted(texts), 2) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2}
+    seen = []
+    plain = simhash.simhash_pairs
+    monkeypatch.setattr(simhash, "simhash_pairs", lambda *a: seen.append(plain(*a)) or seen[-1])
+    assert check_groups(spark, texts) == 12
+    assert {(r.a, r.b) for r in seen[0].collect()} == close and len(close) >= 10
