@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +65,8 @@ def align(reference: list[tuple], hypothesis: list[tuple], gap: float = 5.0) ->
     orders = [sorted(range(len(side)), key=lambda k, side=side: float(side[k][0])) for side in (reference, hypothesis)]
     a, b = ([side[k] for k in order] for side, order in zip((reference, hypothesis), orders, strict=True))
     n, m = len(a), len(b)
+    if not n or not m:
+        return [(k, None) for k in orders[0]] + [(None, k) for k in orders[1]]
     begins, ends = ([np.array([float(x[k]) for x in side]) for side in (a, b)] for k in (0, 1))
     labels = [np.array([hash(x[2]) for x in side]) for side in (a, b)]
     low = np.searchsorted(begins[1], begins[0] - 2 * gap, "left")
@@ -104,22 +107,40 @@ def align(reference: list[tuple], hypothesis: list[tuple], gap: float = 5.0) ->
     return out[::-1]
 
 
+#: Pairs of intervals that a task turns from Python objects into Arrow at once.
+_PAIRS = 1 << 14
+
+
+def stretches(reference: DataFrame, hypothesis: DataFrame, key: str, silence: tuple[str, ...] = ("sil", ""), gap: float = 5.0) -> DataFrame:
+    """key, _ref, _hyp: each utterance's intervals cut wherever none begins for more than two gaps, and sorted.
+
+    No match goes over such a cut (see align), so stretches are aligned for themselves and none grows with the utterance. Utterances without a reference are left out.
+    """
+    ref, hyp = (x.where(~F.col("label").isin(*silence)).select(key, "begin", "end", "label") for x in (reference, hypothesis))
+    hyp = hyp.join(ref.select(key).distinct(), key, "left_semi")
+    both = ref.withColumn("_side", F.lit(0)).unionByName(hyp.withColumn("_side", F.lit(1)))
+    order = Window.partitionBy(key).orderBy("begin")
+    begin = F.col("begin").cast("double")
+    apart = F.coalesce(begin - F.lag(begin).over(order) > 2 * gap + 1e-3, F.lit(False))  # wider than need be is never wrong
+    cut = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = both.withColumn("_new", apart.cast("long")).withColumn("_stretch", cut)
+    interval = F.struct("begin", "end", "label")
+    listed = lambda side: F.sort_array(F.collect_list(F.when(F.col("_side") == side, interval)))
+    return rows.groupBy(key, "_stretch").agg(listed(0).alias("_ref"), listed(1).alias("_hyp")).drop("_stretch")
+
+
 def aligned_pairs(reference: DataFrame, hypothesis: DataFrame, key: str, silence: tuple[str, ...] = ("sil", "")) -> DataFrame:
     """key, reference, hypothesis, overlap: aligned labels of each utterance, ``-`` for a gap, and the boundary error of pairs.
 
-    Both sides: key, begin, end, label. One utterance is aligned at a time; what comes out feeds plain aggregates.
+    Both sides: key, begin, end, label. One stretch of an utterance is aligned at a time; what comes out feeds plain aggregates.
     """
-    sides = [
-        x.where(~F.col("label").isin(*silence)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "label"))).alias(name))
-        for x, name in ((reference, "_ref"), (hypothesis, "_hyp"))
-    ]
+    kind = pa.list_(pa.struct([("reference", pa.string()), ("hypothesis", pa.string()), ("overlap", pa.float64())]))
 
-    @F.pandas_udf("array<struct<reference:string,hypothesis:string,overlap:double>>")
-    def pairs(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(ref, hyp, strict=True):
-            a = [(x["begin"], x["end"], x["label"]) for x in (a if a is not None else [])]
-            b = [(x["begin"], x["end"], x["label"]) for x in (b if b is not None else [])]
+    @F.arrow_udf("array<struct<reference:string,hypothesis:string,overlap:double>>")
+    def pairs(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        done, out, n = [], [], 0
+        for x, y in zip(ref, hyp, strict=True):  # only one row's intervals are Python objects at a time
+            a, b = ([(r["begin"], r["end"], r["label"]) for r in side.as_py() or []] for side in (x, y))
             out.append([
                 {
                     "reference": "-" if i is None else a[i][2],
@@ -128,10 +149,14 @@ def aligned_pairs(reference: DataFrame, hypothesis: DataFrame, key: str, silence
                 }
                 for i, j in align(a, b)
             ])
-        return pd.Series(out, dtype=object)
-
-    joined = sides[0].join(sides[1], key, "left")
-    return joined.select(key, F.explode(pairs("_ref", "_hyp")).alias("_p")).select(key, "_p.*")
+            n += len(out[-1])
+            if n >= _PAIRS:
+                done.append(pa.array(out, kind))
+                out, n = [], 0
+        return pa.concat_arrays([*done, pa.array(out, kind)])
+
+    rows = stretches(reference, hypothesis, key, silence)
+    return rows.select(key, F.explode(pairs("_ref", "_hyp")).alias("_p")).select(key, "_p.*")
 
 
 def alignment_totals(pairs: DataFrame) -> DataFrame:

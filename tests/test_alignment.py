@@ -108,3 +108,26 @@ def test_clusters_are_those_of_the_nearest_centres(spark):
         distance = ((centres - x[r.vec_id]) ** 2).sum(axis=1)
         wrong += distance[names.index(r.cluster)] > distance.min() + 0.05
     assert wrong <= 0.02 * len(rows)
+
+
+def test_long_utterances_are_aligned_in_stretches(spark):
+    """One utterance over hours: no list of it reaches Python whole, and the pairs are those of the whole lists."""
+    rng = random.Random(11)
+    ref, hyp, at = [], [], 0.0
+    for k in range(400):
+        at += rng.choice([0.3, 1.0, 9.9, 10.0, 10.2, 40.0])
+        label = rng.choice("abc")
+        if rng.random() < 0.9:
+            ref.append((1, at, at + 0.2, label))
+        if rng.random() < 0.9:
+            hyp.append((1, at + rng.choice([0.0, 0.05]), at + 0.27, rng.choice([label, "d"])))
+    kinds = "user long, begin double, end double, label string"
+    a = spark.createDataFrame([*ref, (2, 0.0, 1.0, "a"), (None, 0.0, 1.0, "b")], kinds)
+    b = spark.createDataFrame([*hyp, (3, 0.0, 1.0, "a"), (None, 0.0, 1.0, "b")], kinds)
+    got = [tuple(r) for r in metrics.aligned_pairs(a, b, "user").collect()]
+    one, two = ([x[1:] for x in side] for side in (ref, hyp))
+    want = [(1, "-" if i is None else one[i][2], "-" if j is None else two[j][2]) for i, j in metrics.align(one, two)]
+    assert sorted(r[:3] for r in got if r[0] == 1) == sorted(want)
+    assert [r[:3] for r in got if r[0] == 2] == [(2, "a", "-")] and [r[:3] for r in got if r[0] is None] == [(None, "b", "-")] and not [r for r in got if r[0] == 3]
+    sizes = metrics.stretches(a, b, "user").select((F.size("_ref") + F.size("_hyp")).alias("n")).collect()
+    assert max(r.n for r in sizes) < 100
