@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import product
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def edits(a: list, b: list) -> int:
-    """Insertions, deletions and substitutions between two lists; a row of the table at a time."""
+def edits(a: Sequence, b: Sequence) -> int:
+    """Insertions, deletions and substitutions between two sequences; a column of the table at a time, as the bits of whole numbers (Myers, Hyyrö)."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
         return len(a)
-    number: dict = {}
-    x = [number.setdefault(v, len(number)) for v in a]
-    y = np.array([number.setdefault(v, len(number)) for v in b])
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, v in enumerate(x, 1):
-        now = np.empty_like(row)
-        now[0] = i
-        now[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != v))
-        row = np.minimum.accumulate(now - steps) + steps  # insertions run along the row
-    return int(row[-1])
+    places: dict = {}
+    for i, v in enumerate(b):
+        places[v] = places.get(v, 0) | 1 << i
+    every, top, n = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    up, down = every, 0  # where a column of the table rises by one from row to row, and where it falls
+    for v in a:
+        same = places.get(v, 0)
+        across = same | down
+        along = (((same & up) + up) ^ up) | same
+        rise, fall = down | (every & ~(along | up)), up & along
+        if rise & top:
+            n += 1
+        elif fall & top:
+            n -= 1
+        rise, fall = (rise << 1 | 1) & every, (fall << 1) & every
+        up, down = (fall | ~(across | rise)) & every, rise & across
+    return n
 
 
 def token_edits(a: Column, b: Column) -> Column:
-    """Edits between two token arrays; null counts as empty."""
-
-    @F.pandas_udf("long")
-    def count(x: pd.Series, y: pd.Series) -> pd.Series:
-        none: list = []
-        return pd.Series(
-            [edits(list(p) if p is not None else none, list(q) if q is not None else none) for p, q in zip(x, y, strict=True)],
-            dtype="int64",
-        )
+    """Edits between two token arrays; null counts as empty. Only one row's tokens are Python objects at a time."""
+
+    @F.arrow_udf("long")
+    def count(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([edits(p.as_py() or [], q.as_py() or []) for p, q in zip(x, y, strict=True)], pa.int64())
+
+    return count(a, b)
+
+
+def text_edits(a: Column, b: Column) -> Column:
+    """Edits between the characters of two texts; null counts as empty."""
+
+    @F.arrow_udf("long")
+    def count(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([edits(p.as_py() or "", q.as_py() or "") for p, q in zip(x, y, strict=True)], pa.int64())
 
     return count(a, b)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.edit import token_edits, without_bracketed
+from ..functions.edit import text_edits, token_edits, without_bracketed
 
 
 def error_counts(rows: DataFrame, gold: str, hyp: str) -> DataFrame:
@@ -18,12 +18,11 @@ def error_counts(rows: DataFrame, gold: str, hyp: str) -> DataFrame:
     An empty hypothesis makes every word and character an edit.
     """
     g, h = without_bracketed(F.col(gold)), without_bracketed(F.coalesce(hyp, F.array().cast("array<string>")))
-    letters = lambda x: F.filter(F.split(F.array_join(x, ""), ""), lambda c: c != "")
     return rows.withColumns(
         {
             "word_edits": token_edits(g, h),
             "n_words": F.size(g).cast("long"),
-            "char_edits": token_edits(letters(g), letters(h)),
+            "char_edits": text_edits(F.array_join(g, ""), F.array_join(h, "")),
             "n_chars": F.length(F.array_join(g, "")).cast("long"),
         }
     )

@@ -1,6 +1,7 @@
 """Operators on small hand-made frames, and round trips of the file formats."""
 
 import datetime
+import random
 import struct
 
 import pytest
@@ -266,3 +267,24 @@ def test_new_files(spark, tmp_path):
     (folder / "a.wav").write_bytes(b"no text")
     run_stream(segments.new_utterances(spark, str(tmp_path / "corpus")), "arrived", tmp_path)
     assert [(r.speaker, r.text) for r in spark.table("arrived").collect()] == [("mary", "hello there")]
+
+
+def test_edits_against_the_table(spark):
+    edits = edit.edits
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
+        return row[-1]
+
+    rng = random.Random(5)
+    for k in range(400):
+        a, b = ([rng.choice(["ab", "b", "\U0001f600", None]) for _ in range(rng.randrange(90 if k % 7 == 0 else 9))] for _ in range(2))
+        assert edits(a, b) == table(a, b)
+    assert edits("", "") == 0 and edits("abc", "") == 3 and edits("kitten", "sitting") == 3
+    df = spark.createDataFrame([("kitten", "sitting"), (None, "a\U0001f600"), ("", "")], "a string, b string")
+    assert [r.n for r in df.select(edit.text_edits(F.col("a"), F.col("b")).alias("n")).collect()] == [3, 2, 0]
