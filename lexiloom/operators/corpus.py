@@ -126,6 +126,22 @@ def dense_ids(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
     return placed.join(starts, "_p").select(*kept, (F.col("_start") + F.col("_k")).alias(name))
 
 
+def totals_before(rows: DataFrame, values: Sequence[str], *order: str) -> DataFrame:
+    """rows with each of the values (not null) replaced by its total over the rows before, in order; summed in range partitions and shifted by those before. Rows equal in order stand in any order.
+
+    The sorted rows are checkpointed first, as in dense_ids.
+    """
+    checkpoint_folder(rows.sparkSession)
+    place = {"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id()}
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(place).checkpoint()
+    sizes = placed.groupBy("_p").agg(*(F.sum(c).alias(c) for c in values))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select("_p", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_start_{c}") for c in values))
+    inner = Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumns({f"_inner_{c}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in values}).join(starts, "_p")
+    return summed.withColumns({c: F.col(f"_start_{c}") + F.col(f"_inner_{c}") for c in values}).select(*rows.columns)
+
+
 def ranks_within(rows: DataFrame, group: str, *order: Column, name: str = "rank") -> DataFrame:
     """rows with their rank (from 0) within the group, in rising order; numbered over all groups in range partitions, so a large group isn't sorted in one task."""
     keys = {f"_order{k}": c for k, c in enumerate(order)}

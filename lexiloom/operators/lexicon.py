@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import correction, probability
 from ..session import checkpoint_folder
-from .corpus import dense_ids
+from .corpus import dense_ids, explode_words, totals_before
 
 FIELDS = ("probability", "silence_after", "silence_before_correction", "nonsilence_before_correction")
 
@@ -258,19 +258,34 @@ def collect_alignments(rows: DataFrame, words: str, *key: str) -> tuple[DataFram
     return word_rows, phones
 
 
-def numbered_alignments(rows: DataFrame, words: str, vocabulary: DataFrame, *key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def numbered_alignments(rows: DataFrame, words: Column, vocabulary: DataFrame, *key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(word intervals, phone intervals, new words) of nested alignments (see collect_alignments), with ids.
 
     vocabulary: word, word_id. Words that it lacks are new words with the ids after its largest, in order of the word. Word intervals: id, key, word_index, word_id, from 0 in order of
-    the key and index. Phone intervals: id, word_interval_id, phone_index, phone, numbered likewise. Ids are made in range partitions.
+    the key and index. Phone intervals: id, word_interval_id, word_id, phone_index, phone, numbered likewise.
+
+    Only sizes are sorted: a row's first ids are the words and phones of the rows before it, and its words and phones count on from there. Rows of one key
+    stand by their size.
     """
-    word_rows, phone_rows = collect_alignments(rows, words, *key)
-    unknown = word_rows.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti")
+    phones_before = F.aggregate(words, F.array(F.lit(0).cast("long")), lambda at, w: F.concat(at, F.array(F.element_at(at, -1) + F.greatest(F.size(w["phones"]), F.lit(0)))))
+    named = rows.withColumn("_key", F.struct(*key))  # nulls in keys are alike
+    sizes = named.select("_key", phones_before.alias("_b")).select("_key", (F.size("_b") - 1).cast("long").alias("_n"), F.element_at("_b", -1).alias("_m")).where("_n > 0")
+    firsts = totals_before(sizes.select("*", F.col("_n").alias("_word"), F.col("_m").alias("_phone")), ["_word", "_phone"], "_key", "_n", "_m")
+    firsts = firsts.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_n", "_m", "_word", "_phone"))).alias("_firsts"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as few bytes become many rows and such partitions aren't merged
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy(F.size("_b"), F.element_at("_b", -1)))
+    nested = named.repartition(parts, "_key").select("_key", *key, words.alias("_ws"), phones_before.alias("_b")).withColumn("_copy", copy).join(firsts, "_key")
+    nested = nested.select(*key, F.get("_firsts", F.col("_copy") - 1).alias("_first"), "_ws", "_b")
+    spread = nested.select(*key, "_first", "_b", F.posexplode_outer("_ws").alias("word_index", "_w")).where("word_index IS NOT NULL")
+    word_rows = spread.select(
+        (F.col("_first._word") + F.col("word_index")).alias("id"), *key, "word_index", F.col("_w.word").alias("word"), F.col("_w.phones").alias("_phones"),
+        (F.col("_first._phone") + F.get("_b", "word_index")).alias("_phone"),
+    )
+    unknown = explode_words(rows, F.transform(words, lambda w: w["word"])).distinct().join(vocabulary.select("word"), "word", "left_anti")
     top = vocabulary.agg(F.coalesce(F.max("word_id"), F.lit(-1)).cast("long").alias("_top"))
     new = dense_ids(unknown, "word", name="_n").crossJoin(F.broadcast(top)).select("word", (F.col("_top") + 1 + F.col("_n")).alias("word_id"))  # one row
     names = vocabulary.select("word", F.col("word_id").cast("long").alias("word_id")).unionByName(new)
-    word_ids = dense_ids(word_rows, *key, "word_index", name="id")
-    phone_ids = dense_ids(phone_rows, *key, "word_index", "phone_index", name="id")
-    owners = word_ids.select(*key, "word_index", F.col("id").alias("word_interval_id"))
-    word_intervals = word_ids.join(names, "word").select("id", *key, "word_index", "word_id")
-    return word_intervals, phone_ids.join(owners, [*key, "word_index"]).select("id", "word_interval_id", "phone_index", "phone"), new
+    known = word_rows.join(names, "word")
+    phones = known.select("_phone", F.col("id").alias("word_interval_id"), "word_id", F.posexplode_outer("_phones").alias("phone_index", "phone")).where("phone_index IS NOT NULL")
+    phones = phones.select((F.col("_phone") + F.col("phone_index")).alias("id"), "word_interval_id", "word_id", "phone_index", "phone")
+    return known.select("id", *key, "word_index", "word_id"), phones, new

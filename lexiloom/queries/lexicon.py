@@ -157,9 +157,8 @@ def numbered_alignments(t):
     letters = lambda w: F.filter(F.split(w, ""), lambda x: x != "")
     nested = F.transform(_text(), lambda w: F.struct(w.alias("word"), letters(w).alias("phones")))
     known = corpus.dense_ids(t.benchmark.select(F.explode(_text()).alias("word")).distinct(), "word", name="word_id")
-    words, phones, _ = lexicon.numbered_alignments(t.conversations.withColumn("nested", nested), "nested", known, "conv_id", "turn")
-    owners = words.select(F.col("id").alias("word_interval_id"), "word_id")
-    return phones.join(owners, "word_interval_id").select("id", "word_interval_id", "word_id", F.col("phone_index").cast("long").alias("phone_index"), "phone")
+    _, phones, _ = lexicon.numbered_alignments(t.conversations, nested, known, "conv_id", "turn")
+    return phones.select("id", "word_interval_id", "word_id", F.col("phone_index").cast("long").alias("phone_index"), "phone")
 
 
 @query(

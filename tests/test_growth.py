@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tokens
-from lexiloom.operators import language_model
+from lexiloom.operators import language_model, lexicon
 
 
 def optimized(df):
@@ -15,3 +15,22 @@ def test_texts_are_cut_once(spark):
     counts = language_model.ngram_counts(df, tokens(F.col("text")), 2, "g")
     assert optimized(counts).count("split(") == 1
     assert {tuple(r) for r in counts.collect()} == {("a", "x y", 3), ("a", "y x", 1), (None, "y x", 1)}
+
+
+def test_numbered_alignments_with_repeated_and_null_keys(spark):
+    """Ids are those of the rows in order, whatever the partitions; no sorted table holds a text."""
+    texts = [("k", 1, "bb a"), ("k", 1, "c"), ("k", None, "a zz"), (None, 2, "a"), ("a", 5, ""), ("a", 3, None), ("a", 1, "cab bb a")]
+    df = spark.createDataFrame(texts, "f string, t int, text string").repartition(3)
+    vocabulary = spark.createDataFrame([("a", 0), ("bb", 1)], "word string, word_id int")
+    split = lambda c, p: F.filter(F.split(c, p), lambda x: x != "")
+    nested = F.transform(split(F.coalesce("text", F.lit("")), " "), lambda w: F.struct(w.alias("word"), split(w, "").alias("phones")))
+    words, phones, new = lexicon.numbered_alignments(df, nested, vocabulary, "f", "t")
+    assert {tuple(r) for r in new.collect()} == {("c", 2), ("cab", 3), ("zz", 4)}
+    ids = {"a": 0, "bb": 1, "c": 2, "cab": 3, "zz": 4}
+    order = sorted((x for x in texts if x[2]), key=lambda x: (x[0] is not None, x[0] or "", x[1] is not None, x[1] or 0, len(x[2].split())))
+    want = [(f, t, i, w) for f, t, text in order for i, w in enumerate(text.split())]
+    got = sorted(words.collect())
+    assert [r.id for r in got] == list(range(len(want)))
+    assert [(r.f, r.t, r.word_index, r.word_id) for r in got] == [(f, t, i, ids[w]) for f, t, i, w in want]
+    letters = [(k, ids[w], j, x) for k, (_, _, _, w) in enumerate(want) for j, x in enumerate(w)]
+    assert [tuple(r) for r in phones.orderBy("id").collect()] == [(n, *x) for n, x in enumerate(letters)]
