@@ -34,3 +34,19 @@ def test_numbered_alignments_with_repeated_and_null_keys(spark):
     assert [(r.f, r.t, r.word_index, r.word_id) for r in got] == [(f, t, i, ids[w]) for f, t, i, w in want]
     letters = [(k, ids[w], j, x) for k, (_, _, _, w) in enumerate(want) for j, x in enumerate(w)]
     assert [tuple(r) for r in phones.orderBy("id").collect()] == [(n, *x) for n, x in enumerate(letters)]
+
+
+def test_tested_bigrams_are_those_of_the_whole_model(spark):
+    df = spark.createDataFrame([("x", "a b a c. b a"), ("x", "c"), ("y", "a a a"), ("y", None), (None, "a b"), ("z", "q")], "lang string, text string")
+    tested = spark.createDataFrame([("<s>", "a"), ("a", "b"), ("b", "b"), ("a", "</s>"), ("zz", "a"), ("c", "zz"), ("q", "</s>")], "history string, word string").withColumn("n", F.lit(2))
+    asked = spark.createDataFrame([("x",), ("y",), ("z",), (None,)], "lang string").crossJoin(tested)
+    words = tokens(F.col("text"))
+
+    def scored(model):
+        rows = language_model.backoff_probability(asked, *model, "lang").collect()
+        return {(r.lang, r.history, r.word): r.prob if r.prob is None else round(r.prob, 12) for r in rows}
+
+    some = language_model.tested_bigram_model(df, words, "lang", tested)
+    assert scored(some) == scored(language_model.bigram_model(df, words, "lang"))
+    assert {(r.history, r.word) for r in some[0].collect()} <= {(h, w) for h in ("<s>", "a", "b", "c", "q") for w in ("a", "b", "</s>")}
+    assert not {r.word for r in some[1].collect()} & {"zz"}
