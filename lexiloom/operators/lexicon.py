@@ -242,12 +242,16 @@ def first_pronunciations(lexicon: DataFrame, *order: str) -> DataFrame:
 
 
 def hold_out(words: DataFrame, letters: Column, share: Column) -> DataFrame:
-    """words with ``held_out``: those that ``share`` picks, unless a letter of theirs is in no other word."""
+    """words with ``held_out``: those that ``share`` picks, unless a letter of theirs is in no other word.
+
+    The letters that only picked words have are few and go to all tasks as one row. Both passes read the words without a filter, so that they are made once.
+    """
     rows = words.withColumns({"_letters": letters, "_picked": share})
-    known = rows.where("NOT _picked").select(F.explode("_letters").alias("_l")).distinct()
-    unseen = rows.where("_picked").select("word", F.explode("_letters").alias("_l")).join(known, "_l", "left_anti")
-    back = unseen.select("word").distinct().withColumn("_back", F.lit(True))
-    return rows.join(back, "word", "left").select(*words.columns, (F.col("_picked") & F.col("_back").isNull()).alias("held_out"))
+    spread = rows.select("_picked", F.explode_outer("_letters").alias("_l")).where("_l IS NOT NULL")
+    only = spread.groupBy("_l").agg(F.coalesce(F.bool_or(~F.col("_picked")), F.lit(False)).alias("_known")).where("NOT _known")
+    unseen = only.agg(F.collect_list("_l").alias("_unseen"))  # one row
+    back = F.exists("_letters", lambda x: x.isNull()) | F.coalesce(F.arrays_overlap("_letters", "_unseen"), F.lit(False))
+    return rows.crossJoin(F.broadcast(unseen)).select(*words.columns, F.when(F.col("_picked"), ~F.coalesce(back, F.lit(False))).otherwise(F.col("_picked")).alias("held_out"))
 
 
 def collect_alignments(rows: DataFrame, words: str, *key: str) -> tuple[DataFrame, DataFrame]:

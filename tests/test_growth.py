@@ -36,6 +36,15 @@ def test_numbered_alignments_with_repeated_and_null_keys(spark):
     assert [tuple(r) for r in phones.orderBy("id").collect()] == [(n, *x) for n, x in enumerate(letters)]
 
 
+def test_hold_out_makes_its_words_once(spark):
+    df = spark.createDataFrame([("ab", False), ("b", True), ("bz", True), ("q", True), ("q", True), ("a", None), ("é", None), (None, True)], "w string, p boolean")
+    words = df.groupBy("w", "p").agg(F.count("*").alias("n")).select("w", "p")
+    got = lexicon.hold_out(words, F.split("w", ""), F.col("p"))
+    assert {(r.w, r.held_out) for r in got.collect()} == {("ab", False), ("b", True), ("bz", False), ("q", False), ("a", None), ("é", None), (None, True)}
+    rows = got.collect() and got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in rows
+
+
 def test_tested_bigrams_are_those_of_the_whole_model(spark):
     df = spark.createDataFrame([("x", "a b a c. b a"), ("x", "c"), ("y", "a a a"), ("y", None), (None, "a b"), ("z", "q")], "lang string, text string")
     tested = spark.createDataFrame([("<s>", "a"), ("a", "b"), ("b", "b"), ("a", "</s>"), ("zz", "a"), ("c", "zz"), ("q", "</s>")], "history string, word string").withColumn("n", F.lit(2))
