@@ -163,12 +163,21 @@ def in_subset(lexicon: DataFrame, words: DataFrame) -> DataFrame:
     return lexicon.join(seen, "word", "left").withColumn("included", F.col("_seen").isNotNull()).drop("_seen")
 
 
+def unknown_words(rows: DataFrame, words: Column, vocabulary: DataFrame, *keep: str) -> DataFrame:
+    """keep, word: one row for each word of a text that the vocabulary (column word) lacks, repeats included."""
+    return explode_words(rows, words, *keep).join(vocabulary.select("word").distinct(), "word", "left_anti").select(*keep, "word")
+
+
 def with_unknown_words(rows: DataFrame, words: Column, vocabulary: DataFrame, id: str, name: str = "oovs") -> DataFrame:
-    """rows with the words that the vocabulary (column word) lacks, in their order and joined by spaces; empty where there are none. Rows of one id must be equal in words."""
-    flat = rows.select(id, F.posexplode(words).alias("_at", "word")).dropDuplicates([id, "_at"])
-    unknown = flat.join(vocabulary.select("word").distinct(), "word", "left_anti")
-    listed = unknown.groupBy(id).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias(name))
-    return rows.join(listed, id, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    """rows with the words that the vocabulary (column word) lacks, in their order and joined by spaces; empty where there are none.
+
+    Only the known words of each id are moved; a text's words are held against them where the text is.
+    """
+    known = explode_words(rows, F.array_distinct(words), id).join(vocabulary.select("word").distinct(), "word", "left_semi")
+    listed = known.groupBy(F.col(id).alias("_id")).agg(F.collect_set("word").alias("_known"))
+    joined = rows.join(listed, F.col(id).eqNullSafe(F.col("_id")), "left")
+    unknown = F.filter(words, lambda x: F.col("_known").isNull() | ~F.array_contains("_known", x))
+    return joined.withColumn(name, F.coalesce(F.array_join(unknown, " "), F.lit(""))).drop("_id", "_known")
 
 
 def replace_by_segments(utterances: DataFrame, segments: DataFrame, id: str, order: str) -> DataFrame:

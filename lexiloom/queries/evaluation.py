@@ -241,5 +241,4 @@ def oov_report(t):
 def oov_utterances(t):
     """One row a word out of vocabulary (here: of the benchmark's words) of an utterance."""
     vocabulary = t.benchmark.select(F.explode(_text()).alias("word"))
-    marked = corpus.with_unknown_words(t.documents.select("doc_id", "text"), _text(), vocabulary, "doc_id")
-    return sinks.oov_utterances(marked, "oovs", "doc_id")
+    return corpus.unknown_words(t.documents, _text(), vocabulary, "doc_id")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tokens
-from lexiloom.operators import language_model, lexicon, selection
+from lexiloom.operators import corpus, language_model, lexicon, selection
+from lexiloom.sinks import files as sinks
 
 
 def optimized(df):
@@ -45,6 +46,16 @@ def test_hold_out_makes_its_words_once(spark):
     assert "ReusedExchange" in rows
 
 
+def test_unknown_words_are_not_put_together(spark):
+    df = spark.createDataFrame([(1, "b a zz b yy zz"), (2, "a"), (3, None), (None, "zz a"), (1, "a q")], "id int, text string")
+    vocabulary = spark.createDataFrame([("a",), ("b",), ("b",)], "word string")
+    words = tokens(F.col("text"))
+    got = corpus.unknown_words(df, words, vocabulary, "id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, sinks.oov_utterances(corpus.with_unknown_words(df, words, vocabulary, "id"), "oovs", "id").collect()))
+    assert sorted((r.id or 0, r.word) for r in got.collect()) == [(0, "zz"), (1, "q"), (1, "yy"), (1, "zz"), (1, "zz")]
+    assert "Aggregate [id" not in optimized(got)
+
+
 def test_training_subset_ranks_no_texts(spark, monkeypatch):
     df = spark.createDataFrame([(k, "xy"[k % 2], f"s{k % 3}", k % 5 == 0, k % 7, "long " * 50) for k in range(80)], "id int, lang string, source string, manual boolean, n int, text string")
     seen, ranks = [], selection.ranks_within
