@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine_distance
 from ..operators import mixtures, plda
 from ..operators import vectors as v
+from ..session import kept
 from .base import query
 
 _U = (
@@ -115,8 +117,9 @@ def plda_classification(t):
 def plda_error_rates(t):
     """Equal error rates of drawn pairs by likelihood ratio and by cosine."""
     rows, model = _plda(t)
-    by = {"plda": plda.scored_pairs(rows, "embedding", "label", "vec_id", model), "cosine": v.drawn_pairs(rows, "embedding", "label", "vec_id")}
-    rates = [v.equal_error_rate(pairs).select(F.lit(name).alias("scoring"), "eer", "threshold") for name, pairs in by.items()]
+    pairs = plda.score_pairs(v.drawn_vectors(rows, "embedding", "label", "vec_id"), model)
+    scores = kept(pairs.select("matched", F.col("score").alias("plda"), (1 - cosine_distance(F.col("x"), F.col("y"))).alias("cosine")), "scores")
+    rates = [v.equal_error_rate(scores.select("matched", F.col(name).alias("score"))).select(F.lit(name).alias("scoring"), "eer", "threshold") for name in ("plda", "cosine")]
     return rates[0].unionByName(rates[1])
 
 

@@ -81,3 +81,11 @@ def test_tested_bigrams_are_those_of_the_whole_model(spark):
     assert scored(some) == scored(language_model.bigram_model(df, words, "lang"))
     assert {(r.history, r.word) for r in some[0].collect()} <= {(h, w) for h in ("<s>", "a", "b", "c", "q") for w in ("a", "b", "</s>")}
     assert not {r.word for r in some[1].collect()} & {"zz"}
+
+
+def test_drawn_pairs_need_no_deduplication(spark):
+    df = spark.createDataFrame([(k, g, [float(k), 1.0]) for g, n in (("a", 9), ("b", 2), ("c", 1)) for k in range(ord(g) * 100, ord(g) * 100 + n)], "id int, g string, v array<double>")
+    pairs = vectors.drawn_vectors(df, "v", "g", "id")
+    got = [(r.a, r.b, r.matched) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == 9 * 5 + 9 * 2 + 2 * 1 + 2 * 1 + 1 * 5  # within a, a to b, within b, b to c, c to a
+    assert "Aggregate [a" not in optimized(pairs)
