@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tokens
-from lexiloom.operators import corpus, language_model, lexicon, selection
+from lexiloom.operators import corpus, language_model, lexicon, selection, vectors
 from lexiloom.sinks import files as sinks
 
 
@@ -89,3 +89,10 @@ def test_drawn_pairs_need_no_deduplication(spark):
     got = [(r.a, r.b, r.matched) for r in pairs.collect()]
     assert len(got) == len(set(got)) == 9 * 5 + 9 * 2 + 2 * 1 + 2 * 1 + 1 * 5  # within a, a to b, within b, b to c, c to a
     assert "Aggregate [a" not in optimized(pairs)
+
+
+def test_word_pairs_are_stored_compressed(spark):
+    df = spark.createDataFrame([("a", "x y x y"), ("a", "x"), (None, None)], "g string, text string")
+    pairs = language_model.word_pairs(df, tokens(F.col("text")), "g")
+    assert all(f.endswith(".zstd.parquet") for f in pairs.inputFiles()) and pairs.inputFiles()
+    assert {tuple(r) for r in pairs.collect()} == {("a", "<s>", "x", 2), ("a", "x", "y", 2), ("a", "y", "x", 1), ("a", "y", "</s>", 1), ("a", "x", "</s>", 1), (None, "<s>", "</s>", 1)}
