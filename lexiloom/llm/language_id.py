@@ -119,7 +119,7 @@ class Crf:
     weights: np.ndarray
     transition: np.ndarray
     lexicons: dict[str, int]
-    cache_words: int = 300_000
+    cache_words: int = 100_000
     chain: int = 64
     _rows: dict[str, int] = field(default_factory=dict)
     _table: np.ndarray | None = None
@@ -129,7 +129,7 @@ class Crf:
         return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_table")} | {"_rows": {}, "_table": None}
 
     def _emissions(self, tokens: list[str]) -> np.ndarray:
-        """Table row of each raw token; rows are kept for the next texts. Row 0: no letter."""
+        """Table row of each raw token, good until the next call; rows are kept for the next texts. Row 0: no letter."""
         if self._table is None:
             self._table = np.zeros((1 << 12, len(self.languages)), np.float32)
             self._rows, self._used = {"": 0}, 1
@@ -151,6 +151,11 @@ class Crf:
             self._used += len(pairs)
         return np.fromiter(map(self._rows.__getitem__, tokens), np.int64, len(tokens))
 
+    def _scores(self, tokens: list[str]) -> np.ndarray:
+        """Scores [word, label] of the tokens with a letter. They are copies: the table may be filled anew for the next text."""
+        rows = self._emissions(tokens)
+        return self._table[rows[rows > 0]]
+
     def forget(self) -> None:
         """Drops the kept words, so that a worker holds them no longer than its task."""
         self._rows, self._table, self._used = {}, None, 1
@@ -160,10 +165,10 @@ class Crf:
         tokens = cut_words(text)
         rows = self._emissions(tokens)
         kept = np.flatnonzero(rows)
-        return [tokens[k] for k in kept], self._marginals([rows[kept]])
+        return [tokens[k] for k in kept], self._marginals([self._table[rows[kept]]])
 
     def _marginals(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Label probabilities of all words, document after document.
+        """Label probabilities of all words, document after document, from their scores.
 
         A document is cut into chains of equal length, so that no chain is longer than ``chain``
         whatever the document, and the chains of all documents run side by side.
@@ -177,35 +182,34 @@ class Crf:
         offset = np.repeat((np.cumsum(chains) - chains) * self.chain, sizes)
         inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         slot = offset + inner
-        rows = np.zeros(total * self.chain, np.int64)
-        rows[slot] = np.concatenate(docs)
+        emission = np.zeros((total * self.chain, len(self.languages)), np.float32)
+        emission[slot] = np.concatenate(docs)
         valid = np.zeros(total * self.chain, bool)
         valid[slot] = True
         shape = (total, self.chain)
-        out = chain_marginals(self._table[rows].reshape(*shape, -1), valid.reshape(shape), self.transition)
+        out = chain_marginals(emission.reshape(*shape, -1), valid.reshape(shape), self.transition)
         return out.reshape(total * self.chain, -1)[slot]
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Language and score of each text, whole texts at any length."""
+    def predict(self, texts: list[str], places: int = 40_000) -> list[tuple[str, float]]:
+        """Language and score of each text, whole texts at any length.
+
+        Texts go together up to ``places`` places of chains, of which a short text takes a whole chain.
+        """
         out: list[tuple[str, float]] = []
         at = 0
         while at < len(texts):
             docs, size = [], 0
-            while at + len(docs) < len(texts) and (not docs or size < 200_000):
-                text = texts[at + len(docs)]
-                rows = self._emissions(cut_words(text)) if len(text) < 2_000_000 else None
-                if rows is None:
-                    break
-                docs.append(rows[rows > 0])
-                size += len(docs[-1])
+            while at + len(docs) < len(texts) and size < places and len(text := texts[at + len(docs)]) < 2_000_000:
+                docs.append(self._scores(cut_words(text)))
+                size += -(-len(docs[-1]) // self.chain) * self.chain
             if not docs:  # a very long text goes alone, in slices at white space
                 out.append(self._predict_long(texts[at]))
                 at += 1
                 continue
             marginals = self._marginals(docs)
             ends = np.cumsum([len(x) for x in docs])
-            for end, rows in zip(ends, docs, strict=True):
-                out.append(self._decide(marginals[end - len(rows) : end].sum(axis=0, dtype=np.float64), len(rows)))
+            for end, n in zip(ends, map(len, docs), strict=True):
+                out.append(self._decide(marginals[end - n : end].sum(axis=0, dtype=np.float64), n))
             at += len(docs)
         return out
 
@@ -214,10 +218,9 @@ class Crf:
         while at < len(text):
             end = text.find(" ", at + slice_chars)
             end = len(text) if end < 0 else end
-            rows = self._emissions(cut_words(text[at:end]))
-            rows = rows[rows > 0]
-            total += self._marginals([rows]).sum(axis=0, dtype=np.float64)
-            n, at = n + len(rows), end
+            scores = self._scores(cut_words(text[at:end]))
+            total += self._marginals([scores]).sum(axis=0, dtype=np.float64)
+            n, at = n + len(scores), end
         return self._decide(total, n)
 
     def _decide(self, total: np.ndarray, n: int) -> tuple[str, float]:
@@ -411,4 +414,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.4, **options) -> Dat
         if tool:
             tool.forget()
 
-    return docs.mapInArrow(tidy(work), docs.schema)
+    return docs.mapInArrow(tidy(work, most_bytes=1 << 20), docs.schema)

@@ -133,7 +133,7 @@ def range_ranked(df: DataFrame, order: list, label: str, rank: str, n: int | Non
     return rows.join(F.broadcast(shifts), part == F.col("_part")).select(*df.columns, (F.col("_shift") + inner).alias(rank))
 
 
-PLAN = "_length long, rank_from long, rank_to long, sequence long, each long, place long"
+PLAN = ["_length", "rank_from", "rank_to", "sequence", "each", "place"]
 
 
 def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -151,7 +151,9 @@ def pack(piece_rows: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = {r["length"]: r["n"] for r in docs.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError("a piece is empty or longer than the capacity")
-    plan = F.broadcast(docs.sparkSession.createDataFrame(sweep(counts, capacity), PLAN))
+    # an Arrow table becomes a local relation; a list would start Python workers of another kind on the executors, which then stay
+    runs = zip(*sweep(counts, capacity), strict=True) if counts else [[]] * len(PLAN)
+    plan = F.broadcast(docs.sparkSession.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in runs], PLAN)))
     placed = docs.join(plan, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")))
     turn = F.col("_rank") - F.col("rank_from")
     kept = [F.col(f"row.`{c}`") for c in piece_rows.columns if c.lower() not in ("sequence_id", "offset")]
